@@ -21,11 +21,27 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op9_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination_digests
+
+    return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import token_files
 
     return token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
 
 
-QUERIES = {"op10_token_files": op10_token_files}
+QUERIES = {
+    "op7_minmax_near_dedup": op7_minmax_near_dedup,
+    "op9_fm_index_decontamination": op9_fm_index_decontamination,
+    "op10_token_files": op10_token_files,
+}
 ORACLES: dict[str, str] = {}
