@@ -27,6 +27,12 @@ def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op9_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination_digests
 
@@ -41,6 +47,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_fm_index_decontamination": op9_fm_index_decontamination,
     "op10_token_files": op10_token_files,
 }
