@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,11 @@ HEAD = struct.Struct("<4sIIqQQQ")
 BLOCK = 1024
 #: Packed bytes after which a bucket goes on in its next file.
 FILE_BYTES = 32 << 20
-#: Distinct words that a worker remembers at most.
-WORDS_KEPT = 400_000
+#: Distinct words after which a worker remembers no more; later ones are encoded once a batch.
+WORDS_KEPT = 1_000_000
 NO_KEY = -(1 << 63)
+#: Words that the library encodes as one text.
+CHAIN = 500
 
 
 def width(vocabulary: int) -> int:
@@ -121,44 +124,59 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        space = self.library.encode(" ", add_special_tokens=False).tokens[0][0]
+        self.begins[[i for piece, i in vocabulary.items() if piece[0] == space]] = True
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a space before it.  Words go to the library in chains: the ids that begin with the space's byte are the words' first ones."""
+        out: list[bytes] = []
+        chains = [words[i : i + CHAIN] for i in range(0, len(words), CHAIN)]
+        got = self.library.encode_batch_fast([" " + " ".join(c) for c in chains], add_special_tokens=False)
+        for chain, x in zip(chains, got, strict=True):
+            ids = np.array(x.ids, np.uint32)
+            cuts = (np.flatnonzero(self.begins[ids]) * 4).tolist()
+            if len(cuts) == len(chain):
+                raw = ids.tobytes()
+                out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+            else:
+                out += self._whole([" " + w for w in chain])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of unsigned 32-bit integers."""
-        known = self.known
+        get = self.known.get
         split = [x.split(" ") for x in texts]
-        new = set()
-        for parts in split:
-            new.update(parts[1:])
-        new.difference_update(known)
-        if len(known) + len(new) > WORDS_KEPT:
-            known = self.known = {} if len(known) > WORDS_KEPT // 2 else known
-            new = set()
-            for parts in split:
-                new.update(parts[1:])
-            new.difference_update(known)
+        looked = [list(map(get, parts)) for parts in split]
+        new: set[str] = set()
+        for parts, got in zip(split, looked, strict=True):
+            if None in got:
+                new.update([p for p, g in zip(parts, got, strict=True) if g is None])
         inner = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
-        for x in new.difference(inner):
-            known[x] = None
-        known.update(zip(inner, self._whole([" " + x for x in inner]), strict=True))
-        out: list = [None] * len(texts)
-        look = known.__getitem__
-        heads, rest = [], []
-        for i, parts in enumerate(split):
-            if len(parts) == 1 or not parts[0] or parts[0][-1].isspace():
-                rest.append(i)
+        fresh = dict.fromkeys(new, False)  # False: beside other white space
+        fresh.update(zip(inner, self._words(inner), strict=True))
+        if len(self.known) < WORDS_KEPT:
+            self.known.update(fresh)
+        heads = self._whole([parts[0] for parts in split])
+        out: list = []
+        rest = []
+        for i, (parts, got, head) in enumerate(zip(split, looked, heads, strict=True)):
+            if len(parts) == 1:
+                out.append(head)
                 continue
-            got = list(map(look, parts[1:]))
-            try:
-                out[i] = b"".join(got)
-            except TypeError:  # a None
+            if None in got:
+                got = [fresh[p] if g is None else g for p, g in zip(parts, got, strict=True)]
+            joins = got[0] is not False and (False not in got)
+            if joins:
+                got[0] = head
+                out.append(b"".join(got))
+            else:
+                out.append(None)
                 rest.append(i)
-                continue
-            heads.append(i)
-        for i, x in zip(heads, self._whole([split[i][0] for i in heads]), strict=True):
-            out[i] = x + out[i]
         for i, x in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
             out[i] = x
         return out
@@ -206,8 +224,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
             keys.clear(), counts.clear(), held.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 bucket = part.column(2)[0].as_py() if bucket is None else bucket
                 for k, x in zip(part.column(0).to_pylist(), use.encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
                     x += end
