@@ -21,6 +21,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import languages
+
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_groups
 
@@ -46,6 +58,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_language_id": op2_language_id,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_fm_index_decontamination": op9_fm_index_decontamination,
