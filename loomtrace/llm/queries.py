@@ -33,6 +33,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_groups
 
@@ -60,6 +66,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
+    "op6_quality_ranking": op6_quality_ranking,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_fm_index_decontamination": op9_fm_index_decontamination,
