@@ -33,6 +33,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode
+
+    return encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -66,6 +72,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
+    "op3_sentencepiece": op3_sentencepiece,
     "op6_quality_ranking": op6_quality_ranking,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
