@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .warc import ORACLE as WARC_SQL
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,6 +41,18 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import revisit_rows
+
+    return revisit_rows(table(spark, sf_dir, "pages"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -73,10 +87,12 @@ QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_warc_revisits": op4_warc_revisits,
+    "op5_license_scan": op5_license_scan,
     "op6_quality_ranking": op6_quality_ranking,
     "op7_minmax_near_dedup": op7_minmax_near_dedup,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_fm_index_decontamination": op9_fm_index_decontamination,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_warc_revisits": WARC_SQL}
