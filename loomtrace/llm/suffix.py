@@ -237,6 +237,11 @@ def _part_batch(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], ["b", "later", "payload"])
 
 
+def own_rows(column: pa.Array, field: str, dups: list[int]) -> list[list[list[int]]]:
+    """For each row, the lists of ``field`` that are the row's own, by its number among the rows of its key."""
+    return [[x[field] for x in (v or ()) if x["dup"] == d and x[field]] for v, d in zip(column.to_pylist(), dups, strict=True)]
+
+
 def find_runs(buckets: int, length: int, anchor: int):
     """Step 1: rows (bucket, later, payload).  ``later`` payloads are repeats already; they go to any bucket."""
 
@@ -317,11 +322,11 @@ def cut_texts(buckets: int, length: int):
             big: dict[bytes, tuple] = {}
             later = []
             keys, dups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for r, asks in enumerate(batch.column(batch.schema.get_field_index("asks")).to_pylist()):
-                if not asks or not any(asks):
+            for r, asks in enumerate(own_rows(batch.column(5), "asks", dups)):
+                if not asks:
                     continue
                 raw = batch.column(2)[r].as_py().encode()
-                flat = np.concatenate([np.array(a, np.int64) for a in asks if a]).reshape(-1, 4)
+                flat = np.concatenate([np.array(a, np.int64) for a in asks]).reshape(-1, 4)
                 for start, more, where, anchor in flat.tolist():
                     if where >> 16:
                         for s in range(start, start + more + 1):
@@ -435,11 +440,12 @@ def _with_spans(docs: DataFrame, length: int, anchor: int, rest: list[str]) -> D
     dealt = dealt.select("__k", "__dup", "__t", "__rest")
     made = arrow_map(dealt, find_runs(parts, length, anchor), PARTS).repartitionById(parts, "b")
     found = arrow_map(made, match_runs(length), NOTES)
-    per_doc = found.groupBy(F.col("k").alias("__k"), F.col("dup").alias("__dup")).agg(F.collect_list("spans").alias("spans"), F.collect_list("asks").alias("asks"))
-    joined = dealt.join(per_doc, ["__k", "__dup"], "left").select("__k", "__dup", "__t", "__rest", "spans", "asks")
+    # by key alone, as the documents are dealt already, so that these joins move no text; own_rows() takes a row's own lists
+    per_doc = found.groupBy(F.col("k").alias("__k")).agg(F.collect_list(F.struct("dup", "spans")).alias("spans"), F.collect_list(F.struct("dup", "asks")).alias("asks"))
+    joined = dealt.join(per_doc, "__k", "left").select("__k", "__dup", "__t", "__rest", "spans", "asks")
     texts = arrow_map(joined, cut_texts(parts, length), PARTS).repartitionById(parts, "b")
-    more = arrow_map(texts, sort_texts(length), NOTES).groupBy(F.col("k").alias("__k"), F.col("dup").alias("__dup")).agg(F.collect_list("spans").alias("spans2"))
-    return joined.join(more, ["__k", "__dup"], "left").select("__k", "__dup", "__t", "__rest", "spans", "asks", "spans2")
+    more = arrow_map(texts, sort_texts(length), NOTES).groupBy(F.col("k").alias("__k")).agg(F.collect_list(F.struct("dup", "spans")).alias("spans2"))
+    return joined.join(more, "__k", "left").select("__k", "__dup", "__t", "__rest", "spans", "asks", "spans2")
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -448,9 +454,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     def judge(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text, one, two in zip(batch.column(2), batch.column(4).to_pylist(), batch.column(6).to_pylist(), strict=True):
+            dups = batch.column(1).to_pylist()
+            for text, one, two in zip(batch.column(2), own_rows(batch.column(4), "spans", dups), own_rows(batch.column(6), "spans", dups), strict=True):
                 raw = text.as_py().encode()
-                lists = [*(one or ()), *(two or ())]
+                lists = one + two
                 n, gone, spans, kept = len(raw), 0, 0, raw
                 if lists:
                     c = covered(n, lists)
@@ -472,9 +479,10 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     def cut(batches):
         for batch in batches:
             texts = []
-            for text, one, two in zip(batch.column(2), batch.column(4).to_pylist(), batch.column(6).to_pylist(), strict=True):
+            dups = batch.column(1).to_pylist()
+            for text, one, two in zip(batch.column(2), own_rows(batch.column(4), "spans", dups), own_rows(batch.column(6), "spans", dups), strict=True):
                 t = text.as_py()
-                lists = [*(one or ()), *(two or ())]
+                lists = one + two
                 if lists and t:
                     raw = np.frombuffer(t.encode(), np.uint8)
                     c = covered(len(raw), lists)
