@@ -1,4 +1,220 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Execution queries have the same statement as SQL.  Queries about a statement's meaning have their rows derived by hand.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import ids, surface
+from .operators import editor, graph
+from .operators.analysis import Analysis
+from .sources import catalog
+
+QUERIES: dict = dict(surface.QUERIES)
+ORACLES: dict[str, str] = dict(surface.ORACLES)
+
+SHOP = {"order_table": "order_no string, user_id string, order_amt decimal(18,2), status int, dt string", "user_table": "user_id string, user_name string, dt string"}
+DRIVER = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def shop(spark: SparkSession) -> DataFrame:
+    return catalog.columns_from(spark, SHOP, partitions=("dt",))
+
+
+def driver_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.columns_of(spark, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in DRIVER})
+
+
+def values(columns: str, rows: list[tuple], kinds: str = "") -> str:
+    """SQL for rows; ``kinds`` has a letter for each column: s text, i integer, d double."""
+    names = columns.split(", ")
+    kinds = kinds or "s" * len(names)
+    kind = {"s": "VARCHAR", "i": "BIGINT", "d": "DOUBLE"}
+
+    def one(v, k):
+        return f"CAST({'NULL' if v is None else repr(v) if k != 's' else chr(39) + str(v).replace(chr(39), chr(39) * 2) + chr(39)} AS {kind[k]})"
+
+    if not rows:
+        return "SELECT " + ", ".join(f"{one(None, k)} AS {n}" for n, k in zip(names, kinds, strict=True)) + " WHERE 1 = 0"
+    return " UNION ALL ".join("SELECT " + ", ".join(f"{one(v, k)} AS {n}" for v, n, k in zip(r, names, kinds, strict=True)) for r in rows)
+
+
+def add(name: str, make, columns: str, rows: list[tuple], kinds: str = "") -> None:
+    """Registers a query with its rows; integer columns are cast to bigint."""
+    names = columns.split(", ")
+    ks = kinds or "s" * len(names)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = make(spark)
+        return df.select(*[(F.col(n).cast("bigint") if k == "i" else F.col(n).cast("double") if k == "d" else F.col(n).cast("string")).alias(n) for n, k in zip(names, ks, strict=True)])
+
+    QUERIES[name] = run
+    ORACLES[name] = values(columns, rows, ks)
+
+
+def explained(name: str, table: str, sql: str, columns: str, rows: list[tuple], kinds: str = "", where: str = "true", extended: bool = False) -> None:
+    """A query about one statement over SHOP."""
+    add(name, lambda spark: getattr(Analysis(spark, [("q", sql)], shop(spark), extended=extended), table).where(where), columns, rows, kinds)
+
+
+OT, UT, OUT = "column:default.order_table.", "column:default.user_table.", "output_column:scope:root:"
+
+# --- the flagship: lineage of a statement over the driver's tables ---
+
+FLAGSHIP = """WITH o AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'),
+     m AS (SELECT o.o_custkey, SUM(l.l_extendedprice * (1 - l.l_discount)) AS revenue, COUNT(DISTINCT o.o_orderkey) AS order_cnt
+           FROM o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_custkey)
+SELECT c.c_mktsegment AS segment, m.revenue AS revenue, m.order_cnt AS order_cnt
+FROM m JOIN customer c ON m.o_custkey = c.c_custkey"""
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Analysis(spark, [("flagship", FLAGSHIP)], driver_catalog(spark, sf_dir)).edges.select("query_id", "edge_type", "source", "target")
+
+
+QUERIES["lineage_flagship"] = flagship
+ORACLES["lineage_flagship"] = values("query_id, edge_type, source, target", [("flagship", *r) for r in [
+    ("alias", "column:default.customer.c_mktsegment", OUT + "1:segment"),
+    ("alias", "column:default.lineitem.l_extendedprice", OUT + "2:revenue"),
+    ("alias", "column:default.lineitem.l_discount", OUT + "2:revenue"),
+    ("alias", "column:default.orders.o_orderkey", OUT + "3:order_cnt"),
+    ("join_condition", "column:default.orders.o_custkey", "column:default.customer.c_custkey"),
+    ("join_condition", "column:default.orders.o_orderkey", "column:default.lineitem.l_orderkey"),
+    ("projection", "table:default.orders", "table:default.o"),
+    ("projection", "table:default.o", "table:default.m"),
+    ("projection", "table:default.lineitem", "table:default.m"),
+]])
+
+
+def flagship_executed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surface.run(spark, sf_dir, FLAGSHIP_MONEY)
+
+
+FLAGSHIP_MONEY = FLAGSHIP.replace("SUM(l.l_extendedprice * (1 - l.l_discount))", "CAST(SUM(CAST(l.l_extendedprice * (1 - l.l_discount) AS DECIMAL(18,4))) AS DOUBLE)")
+QUERIES["flagship_executed"], ORACLES["flagship_executed"] = flagship_executed, FLAGSHIP_MONEY
+
+# --- catalog ---
+
+_IN = ", ".join(f"'{t}'" for t in DRIVER)
+QUERIES["catalog_tables"] = lambda spark, sf: driver_catalog(spark, sf).select("table_name").distinct()
+ORACLES["catalog_tables"] = f"SELECT DISTINCT table_name FROM information_schema.columns WHERE table_name IN ({_IN})"
+QUERIES["catalog_columns"] = lambda spark, sf: driver_catalog(spark, sf).select("table_name", "column_name", F.col("ordinal").cast("bigint").alias("ordinal"))
+ORACLES["catalog_columns"] = f"SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS ordinal FROM information_schema.columns WHERE table_name IN ({_IN})"
+QUERIES["catalog_table_search"] = lambda spark, sf: catalog.search_tables(driver_catalog(spark, sf), "er").select("table_name")
+ORACLES["catalog_table_search"] = f"SELECT DISTINCT table_name FROM information_schema.columns WHERE table_name IN ({_IN}) AND table_name LIKE '%er%'"
+QUERIES["catalog_column_search"] = lambda spark, sf: catalog.search_columns(driver_catalog(spark, sf), "Orders", "key").select("table_name", "column_name", F.col("ordinal").cast("bigint").alias("ordinal"))
+ORACLES["catalog_column_search"] = "SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS ordinal FROM information_schema.columns WHERE table_name = 'orders' AND column_name LIKE '%key%'"
+QUERIES["catalog_context_counts"] = lambda spark, sf: driver_catalog(spark, sf).groupBy("table_name").agg(F.count("*").alias("n"))
+ORACLES["catalog_context_counts"] = f"SELECT table_name, COUNT(*) AS n FROM information_schema.columns WHERE table_name IN ({_IN}) GROUP BY table_name"
+add("catalog_latest_version", lambda spark: catalog.latest(spark.createDataFrame([("v1", 1), ("v3", 3), ("v2", 2)], "version string, seq bigint")), "version", [("v3",)])
+
+
+def payload(spark: SparkSession, tables: list) -> DataFrame:
+    """A payload of (table, [(column, type, ordinal)])."""
+    rows = [("1.0", "v2", False, "default", "default", "test", [("default", "default", t, None, None, [(c, k, None, o, False, True) for c, k, o in cols]) for t, cols in tables])]
+    return spark.createDataFrame(rows, catalog.PAYLOAD)
+
+
+add("import_diff", lambda spark: catalog.diff(payload(spark, [("order_table", [("order_no", "int", 1), ("user_id", "string", 2), ("order_amt", "int", 3), ("status", "int", 4), ("dt", "string", 5)]), ("user_table", [("user_id", "string", 1), ("age", "int", 2)]), ("fresh", [("a", "int", 1), ("b", "int", 2)])]), shop(spark)), "table_name, change, added_columns", [("order_table", "unchanged", 0), ("user_table", "updated", 1), ("fresh", "added", 2)], "ssi")
+add("import_duplicate_columns", lambda spark: catalog.validate(payload(spark, [("t", [("order_no", "string", 1), ("user_id", "string", 2), ("ORDER_NO", "string", 3)])])), "t_idx, c_idx, code, level", [(0, 2, "METADATA_IMPORT_DUPLICATE_COLUMN", "error")], "iiss")
+add("import_complex_types", lambda spark: catalog.validate(payload(spark, [("t", [("a", "map<string,int>", 1), ("b", "decimal(18,2)", 2), ("c", "string", 3)]), ("u", [("d", "ARRAY<int>", 1)])])), "t_idx, c_idx, code, level", [(0, 0, "METADATA_IMPORT_COMPLEX_TYPE", "info"), (0, 1, "METADATA_IMPORT_COMPLEX_TYPE", "info"), (1, 0, "METADATA_IMPORT_COMPLEX_TYPE", "info")], "iiss")
+add("import_missing_ordinal", lambda spark: catalog.validate(payload(spark, [("t", [("a", "int", 1), ("b", "int", None)])])), "t_idx, c_idx, code, level", [(0, 1, "METADATA_IMPORT_MISSING_ORDINAL", "warning")], "iiss")
+add("import_commit", lambda spark: catalog.merged(payload(spark, [("user_table", [("id", "int", 1), ("name", "string", 2), ("ID", "bigint", 3)])]), shop(spark)).where("table_name = 'user_table'"), "table_name, column_name, data_type, ordinal", [("user_table", "ID", "bigint", 3), ("user_table", "name", "string", 2)], "sssi")
+
+# --- parse and scope ---
+
+JOINED = "SELECT o.order_no, u.user_name AS name FROM order_table o LEFT JOIN user_table u ON o.user_id = u.user_id AND o.dt = u.dt WHERE o.status = 1"
+explained("parse_table_refs", "p_relations", "WITH a AS (SELECT * FROM s.t1) SELECT * FROM a JOIN cat.s.t2 ON a.x = t2.x WHERE a.y IN (SELECT y FROM t3)", "catalog, schema, table, kind", [("default", "s", "t1", "table"), ("default", "default", "a", "cte"), ("cat", "s", "t2", "table"), ("default", "default", "t3", "table")])
+explained("parse_column_refs", "p_column_refs", JOINED, "clause, raw", [("select", "o.order_no"), ("select", "u.user_name"), ("on", "o.user_id"), ("on", "u.user_id"), ("on", "o.dt"), ("on", "u.dt"), ("where", "o.status")])
+explained("parse_error_diagnostic", "diagnostics", "SELEC order_no FROM order_table", "code, level", [("PARSE_ERROR", "error")])
+explained("scope_relations", "relations", JOINED, "alias, table, relation_id, entity_id", [("o", "order_table", "scope_relation:root:o", "table:default.order_table"), ("u", "user_table", "scope_relation:root:u", "table:default.user_table")])
+explained("scope_duplicate_alias", "diagnostics", "SELECT 1 AS x FROM order_table t JOIN user_table T ON 1 = 1", "code, related", [("DUPLICATE_ALIAS", "T")])
+explained("scope_join_keys", "joins", JOINED, "join_type, left_key, right_key, risk", [("leftouter", "o.user_id", "u.user_id", "medium"), ("leftouter", "o.dt", "u.dt", "medium")], extended=True)
+explained("scope_cte_columns", "items", "WITH a AS (SELECT order_no AS n, order_amt * 2 AS d FROM order_table), b AS (SELECT * FROM a) SELECT n FROM b", "owner, ordinal, output_name", [("a", 1, "n"), ("a", 2, "d"), ("b", 1, "n"), ("b", 2, "d"), ("__root__", 1, "n")], "sis")
+explained("scope_union_segments", "items", "SELECT user_id FROM order_table UNION ALL SELECT user_id FROM user_table UNION ALL SELECT 'x'", "segment_index, expression_sql, expression_kind", [(0, "user_id", "column"), (1, "user_id", "column"), (2, "'x'", "literal")], "iss")
+explained("scope_recursive_cte", "diagnostics", "WITH RECURSIVE t AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM t WHERE n < 3) SELECT n FROM t", "code, related", [("RECURSIVE_CTE_UNSUPPORTED", "t")])
+explained("scope_expression_kind", "p_select_items", "SELECT status, 1 AS one, UPPER(dt) AS u, order_amt + 1 AS p, order_no FROM order_table", "ordinal, output_name, expression_kind", [(1, "status", "column"), (2, "one", "literal"), (3, "u", "function"), (4, "p", "expression"), (5, "order_no", "column")], "iss")
+
+# --- resolution ---
+
+RESOLVED = "raw, status, column_id"
+explained("resolve_qualified", "resolved", "SELECT o.order_no, user_table.user_name FROM order_table o, user_table", RESOLVED, [("o.order_no", "resolved", OT + "order_no"), ("user_table.user_name", "resolved", UT + "user_name")])
+explained("resolve_unqualified", "resolved", "SELECT ORDER_NO, user_name FROM order_table o, user_table u", RESOLVED, [("ORDER_NO", "resolved", OT + "order_no"), ("user_name", "resolved", UT + "user_name")])
+explained("resolve_unknown_table", "diagnostics", "SELECT x.a FROM nowhere x", "code, level, related", [("UNKNOWN_TABLE", "warning", "nowhere")])
+explained("resolve_unknown_column", "diagnostics", "SELECT order_no, nope FROM order_table", "code, level, related", [("UNKNOWN_COLUMN", "warning", "nope")])
+explained("resolve_ambiguous", "diagnostics", "SELECT user_id FROM order_table o JOIN user_table u ON o.user_id = u.user_id", "code, level, related", [("AMBIGUOUS_COLUMN", "warning", "user_id: order_table, user_table")])
+explained("resolve_through_cte", "sources", "WITH a AS (SELECT order_amt AS x FROM order_table), b AS (SELECT x AS y FROM a) SELECT b.y AS z FROM b", "ordinal, column_id", [(1, OT + "order_amt")], "is")
+explained("resolve_status", "statuses", "SELECT nope FROM order_table", "status, errors, warnings", [("partial", 0, 1)], "sii")
+
+# --- lineage ---
+
+EDGE = "edge_type, source, target"
+explained("lineage_simple", "edges", "SELECT order_no, status FROM order_table", EDGE, [("projection", OT + "order_no", OUT + "1:order_no"), ("projection", OT + "status", OUT + "2:status")])
+explained("lineage_alias", "edges", "SELECT order_no AS `订单` FROM order_table", EDGE, [("alias", OT + "order_no", OUT + "1:h_81b3798beb")])
+explained("lineage_expression", "edges", "SELECT order_amt * 0.1 AS commission FROM order_table", EDGE, [("alias", OT + "order_amt", OUT + "1:commission")])
+explained("lineage_literal", "edges", "SELECT 1 AS flag FROM order_table", EDGE, [("projection", "literal:scope:root:1", OUT + "1:flag")])
+explained("lineage_star", "edges", "SELECT u.* FROM order_table o JOIN user_table u ON o.user_id = u.user_id", EDGE, [("projection", UT + "user_id", OUT + "1:user_id"), ("projection", UT + "user_name", OUT + "2:user_name"), ("projection", UT + "dt", OUT + "3:dt"), ("join_condition", OT + "user_id", UT + "user_id")])
+explained("lineage_cte_chain", "edges", "WITH a AS (SELECT user_id, order_amt FROM order_table), b AS (SELECT a.user_id AS uid, a.order_amt FROM a) SELECT uid, order_amt AS amt FROM b", EDGE, [("alias", OT + "user_id", OUT + "1:uid"), ("alias", OT + "order_amt", OUT + "2:amt"), ("projection", "table:default.order_table", "table:default.a"), ("projection", "table:default.a", "table:default.b")])
+explained("lineage_join_condition", "edges", JOINED, "edge_type, source, target, label", [("projection", OT + "order_no", OUT + "1:order_no", None), ("alias", UT + "user_name", OUT + "2:name", None), ("join_condition", OT + "user_id", UT + "user_id", "ON o.user_id = u.user_id"), ("join_condition", OT + "dt", UT + "dt", "ON o.dt = u.dt")])
+explained("lineage_union_mapping", "edges", "SELECT user_id AS k FROM order_table UNION ALL SELECT user_name FROM user_table", "edge_type, source, target, label", [("alias", OT + "user_id", OUT + "1:k", None), ("union_mapping", OT + "user_id", OUT + "1:k", "UNION segment 0"), ("union_mapping", UT + "user_name", OUT + "1:k", "UNION segment 1")])
+X = "expression:scope:root:"
+explained("lineage_aggregate", "edges", "SELECT user_id, SUM(order_amt) / COUNT(status) AS r FROM order_table GROUP BY user_id", EDGE, [("projection", OT + "user_id", OUT + "1:user_id"), ("expression", OT + "order_amt", X + "2:agg"), ("expression", OT + "status", X + "2:agg"), ("expression", X + "2:agg", OUT + "2:r")])
+explained("lineage_case", "edges", "SELECT CASE WHEN status = 1 THEN order_amt ELSE 0 END AS paid FROM order_table", EDGE, [("expression", OT + "status", X + "1:case"), ("expression", OT + "order_amt", X + "1:case"), ("expression", X + "1:case", OUT + "1:paid")])
+explained("lineage_window", "edges", "SELECT ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY order_amt DESC) AS rn FROM order_table", EDGE, [("expression", OT + "user_id", X + "1:window"), ("expression", OT + "order_amt", X + "1:window"), ("expression", X + "1:window", OUT + "1:rn")])
+explained("lineage_unknown", "edges", "SELECT nope FROM order_table", "edge_type, source, target, confidence", [("unknown", "unknown:scope:root:1:nope", OUT + "1:nope", 0.3)], "sssd")
+explained("lineage_missing_metadata", "edges", "SELECT t.a AS b FROM ods.raw t", EDGE, [("alias", "column:ods.raw.a", OUT + "1:b")])
+explained("lineage_derived_table", "edges", "SELECT q.n FROM (SELECT user_name AS n FROM (SELECT * FROM user_table) i) q", EDGE, [("alias", UT + "user_name", OUT + "1:n")])
+explained("lineage_nodes", "nodes", "WITH a AS (SELECT order_no FROM order_table) SELECT order_no, 1 AS one FROM a", "id, node_type, label", [("table:default.order_table", "table", "order_table"), ("table:default.a", "cte", "a"), (OT + "order_no", "column", "order_no"), (OUT + "1:order_no", "output_column", "order_no"), (OUT + "2:one", "output_column", "one"), ("literal:scope:root:2", "literal", "1 AS one")])
+explained("lineage_summary", "summary", JOINED, "tables, source_columns, output_columns, edges, diagnostics", [(2, 6, 2, 4, 0)], "iiiii")
+explained("expression_kinds", "expressions", "SELECT COUNT(DISTINCT user_id) AS u, CASE WHEN status > 0 THEN 1 END AS c, RANK() OVER (PARTITION BY dt ORDER BY order_amt) AS r FROM order_table GROUP BY 2", "ordinal, kind, function_name, partition_by, order_by", [(1, "agg", "COUNT_DISTINCT", "", ""), (2, "case", None, "", ""), (3, "window", "RANK", "dt", "order_amt")], "issss")
+
+# --- graph ---
+
+GRAPH = "WITH a AS (SELECT user_id, order_amt FROM order_table), b AS (SELECT a.user_id, u.user_name, a.order_amt FROM a JOIN user_table u ON a.user_id = u.user_id) SELECT user_name, SUM(order_amt) AS total FROM b GROUP BY user_name"
+GRAPH_EDGES = values("source, target", [(UT + "user_name", OUT + "1:user_name"), (OT + "order_amt", X + "2:agg"), (X + "2:agg", OUT + "2:total"), (OT + "user_id", UT + "user_id"), ("table:default.order_table", "table:default.a"), ("table:default.a", "table:default.b"), ("table:default.user_table", "table:default.b")])
+
+
+def graphed(name: str, make, sql: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: make(Analysis(spark, [("q", GRAPH)], shop(spark)))
+    ORACLES[name] = f"WITH RECURSIVE e AS ({GRAPH_EDGES}), {sql}"
+
+
+graphed("graph_upstream_closure", lambda a: graph.closure(a.edges, OUT + "2:total").select("id", F.col("distance").cast("bigint").alias("distance")), f"c(id, d) AS (SELECT source, 1 FROM e WHERE target = '{OUT}2:total' UNION SELECT e.source, c.d + 1 FROM e JOIN c ON e.target = c.id WHERE c.d < 9) SELECT id, CAST(MIN(d) AS BIGINT) AS distance FROM c GROUP BY id")
+graphed("graph_downstream_closure", lambda a: graph.closure(a.edges, "table:default.order_table", upstream=False).select("id", F.col("distance").cast("bigint").alias("distance")), "c(id, d) AS (SELECT target, 1 FROM e WHERE source = 'table:default.order_table' UNION SELECT e.target, c.d + 1 FROM e JOIN c ON e.source = c.id WHERE c.d < 9) SELECT id, CAST(MIN(d) AS BIGINT) AS distance FROM c GROUP BY id")
+graphed("graph_levels", lambda a: graph.levels(a.nodes, a.edges).select("id", F.col("level").cast("bigint").alias("level")), "c(id, d) AS (SELECT id, 0 FROM (SELECT source AS id FROM e UNION SELECT target FROM e) n WHERE id LIKE 'table:%' UNION SELECT e.target, c.d + 1 FROM e JOIN c ON e.source = c.id WHERE e.target LIKE 'table:%' AND c.d < 9) SELECT id, CAST(MAX(d) AS BIGINT) AS level FROM c GROUP BY id")
+graphed("graph_table_view", lambda a: graph.table_view(a.nodes, a.edges)[1].select("source", "target"), "x AS (SELECT 1) SELECT source, target FROM e WHERE source LIKE 'table:%' AND target LIKE 'table:%'")
+graphed("graph_neighbourhood", lambda a: graph.neighbourhood(a.edges, "table:default.b").select("id"), "x AS (SELECT 1) SELECT source AS id FROM e WHERE target = 'table:default.b' UNION SELECT target FROM e WHERE source = 'table:default.b' UNION SELECT 'table:default.b'")
+graphed("graph_output_sources", lambda a: graph.output_tables(a.sources, a._outputs).select("output_name", "table_id"), "x AS (SELECT 1) " + values("output_name, table_id", [("user_name", "table:default.user_table"), ("total", "table:default.order_table")]))
+add("graph_layout", lambda spark: graph.layout(Analysis(spark, [("q", "SELECT order_no, status AS s FROM order_table")], shop(spark)).nodes), "id, x, y", [("table:default.order_table", 48, 72), (OT + "order_no", 270, 130), (OT + "status", 270, 188), (OUT + "1:order_no", 560, 246), (OUT + "2:s", 560, 304)], "sii")
+
+# --- locations ---
+
+PLACED = "entity_id, entity_type, raw_text, start_offset, end_offset, start_line, start_col"
+explained("locations_select", "locations", "SELECT order_no,\n  status AS s FROM order_table o", PLACED, [(OUT + "1:order_no", "output_column", "order_no", 7, 15, 1, 8), (OT + "order_no", "column", "order_no", 7, 15, 1, 8), (OUT + "2:s", "output_column", "status AS s", 19, 30, 2, 3), (OT + "status", "column", "status", 19, 25, 2, 3), ("table:default.order_table", "table", "order_table", 36, 47, 2, 20), ("scope_relation:root:o", "table_alias", "order_table o", 36, 49, 2, 20)], "sssiiii")
+explained("locations_clauses", "locations", "SELECT dt FROM order_table WHERE status = 1 GROUP BY dt ORDER BY dt", PLACED, [("clause:0".replace("clause", "where"), "clause", "status = 1", 33, 43, 1, 34), ("group_by:0", "clause", "dt", 53, 55, 1, 54), ("order_by:0", "clause", "dt", 65, 67, 1, 66)], "sssiiii", where="entity_type = 'clause'")
+explained("locations_cte_join_case_window", "locations", "WITH a AS (SELECT 1 AS x) SELECT CASE WHEN a.x > 0 THEN 1 END AS c, RANK() OVER (ORDER BY a.x) AS r FROM a JOIN user_table u ON a.x = u.user_id", PLACED, [("cte:scope:root:a", "cte", "a AS (SELECT 1 AS x)", 5, 25, 1, 6), (X + "1:case", "expression", "CASE WHEN a.x > 0 THEN 1 END", 33, 61, 1, 34), (X + "2:window", "expression", "RANK() OVER (ORDER BY a.x)", 68, 94, 1, 69), ("join_on:scope:root:0", "join", "a.x = u.user_id", 128, 143, 1, 129)], "sssiiii", where="entity_type in ('cte', 'expression', 'join')")
+add("utf16_coordinates", lambda spark: spark.createDataFrame([("a\n🙂b", 1), ("a\n🙂b", 4), ("x\r\nyz", 4), ("", 0)], "t string, o int").select(F.col("o"), ids.utf16_length(F.col("t")).alias("n"), ids.line_of(F.col("t"), F.col("o")).alias("line"), ids.column_of(F.col("t"), F.col("o")).alias("col")), "o, n, line, col", [(1, 5, 1, 2), (4, 5, 2, 3), (4, 5, 2, 2), (0, 0, 1, 1)], "iiii")
+add("cursor_entity", lambda spark: editor.as_of(Analysis(spark, [("q", "SELECT order_no,\n  status AS s FROM order_table o")], shop(spark)).locations.where("entity_type = 'output_column'"), 2, 9), "entity_id", [(OUT + "2:s",)])
+
+# --- semantics ---
+
+REPORT = "SELECT user_id, SUM(order_amt) AS total, COUNT(DISTINCT order_no) AS n, MAX(status) + 1 AS m FROM order_table WHERE dt = '2024-01-01' GROUP BY user_id HAVING SUM(order_amt) > 10"
+explained("sem_grain", "grain", REPORT, "grain_type, columns", [("group_by", "user_id")])
+add("sem_grain_kinds", lambda spark: Analysis(spark, [("a", "SELECT DISTINCT user_id, dt FROM order_table"), ("b", "SELECT order_no, RANK() OVER (PARTITION BY dt ORDER BY status) AS r FROM order_table"), ("c", "SELECT order_no FROM order_table"), ("d", "SELECT dt, COUNT(*) AS n FROM order_table GROUP BY 1")], shop(spark)).grain, "query_id, grain_type, columns", [("a", "distinct", "user_id, dt"), ("b", "window_partition", "dt"), ("c", "detail", ""), ("d", "group_by", "1")])
+explained("sem_filters", "filters", REPORT, "filter_type, expression", [("partition_filter", "dt = '2024-01-01'"), ("having", "SUM(order_amt) > 10")])
+explained("sem_metrics", "metrics", REPORT, "output_name, metric_type, target", [("total", "sum", OT + "order_amt"), ("n", "count_distinct", OT + "order_no"), ("m", "max", OT + "status")])
+explained("sem_joins", "joins", JOINED, "join_type, left_key, right_key, risk", [("inner", "o.user_id", "u.user_id", "medium"), ("inner", "o.dt", "u.dt", "medium")])
+add("sem_dedup", lambda spark: Analysis(spark, [("a", "SELECT DISTINCT dt FROM order_table"), ("b", "SELECT dt FROM order_table UNION SELECT dt FROM user_table"), ("c", "SELECT dt FROM order_table UNION ALL SELECT dt FROM user_table"), ("d", "SELECT order_no, ROW_NUMBER() OVER (PARTITION BY dt ORDER BY status) AS r FROM order_table"), ("e", "SELECT dt FROM order_table GROUP BY dt")], shop(spark)).dedup, "query_id, dedup_type", [("a", "distinct"), ("b", "union"), ("d", "row_number"), ("e", "group_by")])
+add("sem_risks", lambda spark: Analysis(spark, [("a", JOINED), ("b", "SELECT o.dt FROM order_table o, user_table u WHERE o.dt = '1'"), ("c", "SELECT COUNT(*) AS n FROM order_table")], shop(spark)).risks, "query_id, risk_type, level", [("a", "join_amplification", "warning"), ("a", "no_partition_filter", "info"), ("b", "potential_cartesian", "warning"), ("c", "no_partition_filter", "info"), ("c", "ambiguous_metrics", "info")])
+
+# --- editor ---
+
+add("complete_tables", lambda spark: editor.complete(spark, shop(spark), "SELECT * FROM ", 1, 15).where("kind = 'table'"), "kind, label", [("table", "order_table"), ("table", "user_table")])
+add("complete_columns", lambda spark: editor.complete(spark, shop(spark), "SELECT  FROM user_table u", 1, 8).where("kind = 'column'"), "kind, label", [("column", "user_id"), ("column", "user_name"), ("column", "dt")])
+add("complete_keywords", lambda spark: editor.complete(spark, shop(spark), "", 1, 1).where("label in ('SELECT', 'COALESCE', 'order_table')"), "kind, label", [("keyword", "SELECT"), ("function", "COALESCE")])
+add("hover_column", lambda spark: editor.hover(spark, shop(spark), "SELECT o.order_amt FROM order_table o", 1, 12), "kind, name, data_type", [("column", "order_table.order_amt", "decimal(18,2)")])
+add("hover_table", lambda spark: editor.hover(spark, shop(spark), "SELECT 1\nFROM user_table", 2, 8), "kind, name, data_type", [("table", "user_table", None)])
+add("format_statement", lambda spark: spark.createDataFrame([(editor.format_sql(spark, "select a.x , count( * ) n from t a where a.y=1 group by a.x"),)], "text string"), "text", [("SELECT a.x, count(*) n\nFROM t a\nWHERE a.y = 1\nGROUP BY a.x",)])
