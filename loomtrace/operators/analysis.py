@@ -273,6 +273,39 @@ class Analysis:
         d = self.diagnostics.groupBy("query_id").agg(F.count(F.lit(1)).alias("diagnostics"))
         return self.p_requests.select("query_id").join(n, "query_id", "left").join(e, "query_id", "left").join(d, "query_id", "left").na.fill(0)
 
+    # --- assembly ---
+
+    @stage
+    def scopes(self) -> DataFrame:
+        """query_id, scope_id, parent, aliases (alias=entity id, sorted): the root and one child for each CTE."""
+        t = self._tops.where("kind <> 'derived' and (top = '__root__' or not startswith(top, '__'))")
+        own = t.groupBy("query_id", "top").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "alias", "entity_id"))), "; ").alias("aliases"))
+        at_root = F.col("top") == ROOT
+        return own.select("query_id", F.when(at_root, "scope:root").otherwise(F.concat(F.lit("scope:cte:"), ids.segment(F.col("top")))).alias("scope_id"), F.when(~at_root, "scope:root").alias("parent"), "aliases")
+
+    @stage
+    def stages(self) -> DataFrame:
+        """query_id, ord, stage, state: how each stage of the analysis went."""
+        names = ("parse", "scope", "name_resolution", "projection", "expression_analysis", "lineage", "source_location", "graph", "semantics")
+        of = {"PARSE_ERROR": "parse", "RECURSIVE_CTE_UNSUPPORTED": "scope", "DUPLICATE_ALIAS": "scope", "UNKNOWN_TABLE": "name_resolution", "UNKNOWN_COLUMN": "name_resolution", "AMBIGUOUS_COLUMN": "name_resolution", "STAR_EXPANSION_FAILED": "projection"}
+        code = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
+        hit = self.diagnostics.select("query_id", F.element_at(code, F.col("code")).alias("stage"), "level").groupBy("query_id", "stage").agg(F.max(F.col("level") == "error").alias("error"))
+        each = self.p_requests.select("query_id", "parsed", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("ord", "stage"))
+        state = F.when(~F.col("parsed") & (F.col("stage") != "parse"), "skipped").when(F.col("error"), "failed").when(F.col("error").isNotNull(), "partial").otherwise("success")
+        return each.join(hit, ["query_id", "stage"], "left").select("query_id", F.col("ord").cast("int").alias("ord"), "stage", state.alias("state"))
+
+    @stage
+    def results(self) -> DataFrame:
+        """query_id, result: status, confidence, nodes, edges and diagnostics of a statement as one JSON text."""
+        def lists(df, name):
+            rest = [c for c in df.columns if c != "query_id"]
+            return df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+
+        r = self.statuses.select("query_id", "status", F.when(F.col("status") == "failed", "low").when(F.col("status") == "partial", "medium").otherwise("high").alias("confidence"))
+        for df, name in ((self.nodes, "nodes"), (self.edges.select("query_id", "id", "edge_type", "source", "target", "label", "confidence"), "edges"), (self.diagnostics, "diagnostics")):
+            r = r.join(lists(df, name), "query_id", "left").withColumn(name, F.coalesce(name, F.array()))
+        return r.select("query_id", F.to_json(F.struct(*[c for c in r.columns if c != "query_id"])).alias("result"))
+
     # --- semantics ---
 
     @stage

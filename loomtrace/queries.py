@@ -55,8 +55,13 @@ def add(name: str, make, columns: str, rows: list[tuple], kinds: str = "") -> No
     ORACLES[name] = values(columns, rows, ks)
 
 
+#: What explained() has registered, for tests that explain all statements at once.
+EXPLAINED: dict[str, tuple] = {}
+
+
 def explained(name: str, table: str, sql: str, columns: str, rows: list[tuple], kinds: str = "", where: str = "true", extended: bool = False) -> None:
     """A query about one statement over SHOP."""
+    EXPLAINED[name] = (table, sql, columns, rows, kinds or "s" * len(columns.split(", ")), where, extended)
     add(name, lambda spark: getattr(Analysis(spark, [("q", sql)], shop(spark), extended=extended), table).where(where), columns, rows, kinds)
 
 
