@@ -216,6 +216,18 @@ def shard_hits(windows: Windows, h: np.ndarray, first: np.ndarray) -> tuple[np.n
     return flag, found, list(zip(spans.tolist(), (np.flatnonzero(close) + 1).tolist(), strict=True))
 
 
+def cut_texts(texts: pa.Array, spans: dict[int, list]) -> pa.Array:
+    """The texts without their rows' spans."""
+    out = texts.to_pylist()
+    for r, own in spans.items():
+        raw, at, keep = out[r].encode(), 0, []
+        for s in own:
+            keep.append(raw[at : s["start"]])
+            at = s["stop"]
+        out[r] = b"".join([*keep, raw[at:]]).decode()
+    return pa.array(out, pa.string())
+
+
 def _blocks(items: DataFrame, item_id: str, text: str) -> list[list[tuple[str, str]]]:
     """The items in blocks of BLOCK_BYTES of text at most (or one item each); they come to the driver a block at a time."""
     block, size, out = [], 0, []
@@ -229,9 +241,9 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> list[list[tuple[str, s
     return [*out, block] if block or not out else out
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), cut: str | None = None) -> DataFrame:
     """Per document: key, n_words, items (sorted ids of items with occurring windows), spans (merged removal spans as
-    [byte start, byte end) pairs of the UTF-8 text), n_hit words, and the columns ``keep``.
+    [byte start, byte end) pairs of the UTF-8 text), n_hit words, and the columns ``keep`` (which must not have these names), of which ``cut`` is the text and comes without its spans, if there is one block.
 
     The texts are read once and not shuffled.  The benchmark goes to the executors in blocks of bounded size; with more
     than one block, each block is a pass over the texts and a document's passes are merged by its row number.
@@ -263,6 +275,9 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                         base = int(at[i + r] - at[i])
                         got.setdefault(r, []).append({"start": int(start[a]) - base, "stop": int(end[b - 1]) - base})
                     rows = range(j - i)
+                    rest = list(part.columns[2:])
+                    if cut:
+                        rest[keep.index(cut)] = cut_texts(rest[keep.index(cut)], got)
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column(1),
@@ -270,7 +285,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                             pa.array((sums[first[1:]] - sums[first[:-1]]).astype(np.int64)),
                             pa.array([sorted(windows.names[x] for x in found.get(r, ())) for r in rows], pa.list_(pa.string())),
                             pa.array([got.get(r, []) for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                            *part.columns[2:],
+                            *rest,
                         ],
                         [key, "n_words", "n_hit", "items", "spans", *keep],
                     )
@@ -334,29 +349,25 @@ def sha_of_items(items: list[str]) -> str:
 
 
 def remove_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs with the removal spans cut from the texts and n_chars counted anew; clean texts stay as they are."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    found = contamination(docs, items, keep=others)
+    """docs with the removal spans cut from the texts and n_chars counted anew; clean texts stay as they are.  Columns of any name are kept."""
     columns = docs.columns
-    schema = docs.schema
-    src = found.select("spans", *columns)
-    text_at = src.columns.index("text")
-
-    def cut(batches):
-        for batch in batches:
-            texts = []
-            for spans, t in zip(batch.column(0).to_pylist(), batch.column(text_at).to_pylist(), strict=True):
-                if spans:
-                    raw, at, keep = t.encode(), 0, []
-                    for s in spans:
-                        keep.append(raw[at : s["start"]])
-                        at = s["stop"]
-                    t = b"".join([*keep, raw[at:]]).decode()
-                texts.append(t)
-            out = {c: batch.column(i + 1) for i, c in enumerate(columns)}
-            out["text"] = pa.array(texts, pa.string())
-            if "n_chars" in out:
-                out["n_chars"] = pa.array([None if t is None else len(t) for t in texts], out["n_chars"].type)
-            yield pa.RecordBatch.from_pydict(out)
-
-    return arrow_map(src, cut, schema)
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    text = f"c{columns.index('text')}"
+    key = f"c{columns.index('doc_id')}" if "doc_id" in columns else "c0"
+    rest = tuple(c for c in plain.columns if c != key)
+    one = len(_blocks(items, "item_id", "text")) == 1
+    got = contamination(plain, items, key=key, text=text, keep=rest, cut=text if one else None)
+    if not one:
+        schema = ", ".join(f"{c} {t}" for c, t in plain.dtypes)
+
+        def cut(batches):
+            for batch in batches:
+                out = {c: batch.column(i + 1) for i, c in enumerate(batch.schema.names[1:])}
+                out[text] = cut_texts(out[text], {r: x for r, x in enumerate(batch.column(0).to_pylist()) if x})
+                yield pa.RecordBatch.from_pydict(out)
+
+        got = arrow_map(got.select("spans", *plain.columns), cut, schema)
+    of = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
+    if "n_chars" in of:
+        of["n_chars"] = F.when(F.col(text).isNull(), of["n_chars"]).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
+    return got.select(*[of[c].alias(c) for c in columns])

@@ -33,7 +33,7 @@ UNKNOWN = 10.0
 #: Bytes of a word from which it goes through the trie alone.
 LONG = 96
 #: Distinct words after which a worker remembers no more.
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
 NORMAL, UNKNOWN_KIND, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -352,10 +352,11 @@ def _encoder(token: str, model: Model) -> Encoder:
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep``, n_tokens, n_byte_tokens, token_ids (array of int), decoded_sha256 (of the text that the ids decode to), round_trip (whether that is the text, markers as spaces).
 
-    One pass, no shuffle.  The model is read on the driver and goes to the tasks; it is as large as its vocabulary.
+    A kept column with the name of one of these is left out.  One pass, no shuffle.  The model is read on the driver and goes to the tasks; it is as large as its vocabulary.
     """
     model = read_model(path)
     token = hashlib.sha256(repr((path, len(model.pieces))).encode()).hexdigest()
+    keep = tuple(c for c in keep if c.lower() not in ("n_tokens", "n_byte_tokens", "token_ids", "decoded_sha256", "round_trip"))
     src = docs.select(F.col(text).alias("__t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
     schema = ", ".join(f"`{c}` {src.dtypes[i + 1][1]}" for i, c in enumerate(keep)) + ", n_tokens bigint, n_byte_tokens bigint, token_ids array<int>, decoded_sha256 string, round_trip boolean"
     is_byte = model.kinds == BYTE
@@ -363,8 +364,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     def work(batches):
         use = _encoder(token, model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
                 texts = [t or "" for t in part.column(0).to_pylist()]
                 ids = use.encode(texts)
                 flat = np.frombuffer(b"".join(ids), "<u4")
