@@ -111,7 +111,7 @@ def later_windows(texts: list[bytes], order_key: np.ndarray, length: int) -> np.
         return later
     eight = np.zeros(n + 8, U)
     for i in range(8):
-        eight[: n - i] |= raw[i:].astype(U) << U(8 * i)
+        eight[: max(0, n - i)] |= raw[i:].astype(U) << U(8 * i)
     same = np.ones(len(order) - 1, bool)
     steps = [*range(0, length - 7, 8), length - 8] if length >= 8 else []
     p, q = order[:-1], order[1:]
@@ -498,5 +498,5 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     text = F.when(F.col("__rest.__null"), F.lit(None)).otherwise(F.col("__t"))
     columns = {c: F.col(f"__rest.c{i}") for i, c in enumerate(rest)} | {"text": text}
     if "n_chars" in columns:
-        columns["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(text.isNull(), columns["n_chars"]).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return got.select(*[columns[c].alias(c) for c in docs.columns])
