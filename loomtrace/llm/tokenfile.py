@@ -18,9 +18,11 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels
 from .session import arrow_map, fanout, new_folder, ordered_bounds, ordered_bucket, put_file
 
 MAGIC = b"BPK1"
@@ -31,6 +33,8 @@ FILE_BYTES = 32 << 20
 #: Distinct words after which a worker remembers no more; later ones are encoded once a batch.
 WORDS_KEPT = 1_000_000
 NO_KEY = -(1 << 63)
+#: Text bytes whose words are numbered together.
+STEP_BYTES = 10 << 20
 #: Words that the library encodes as one text.
 CHAIN = 500
 
@@ -147,41 +151,61 @@ class WordEncoder:
                 out += self._whole([" " + w for w in chain])
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of unsigned 32-bit integers."""
-        get = self.known.get
-        split = [x.split(" ") for x in texts]
-        looked = [list(map(get, parts)) for parts in split]
-        new: set[str] = set()
-        for parts, got in zip(split, looked, strict=True):
-            if None in got:
-                new.update([p for p, g in zip(parts, got, strict=True) if g is None])
-        inner = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text, as bytes of unsigned 32-bit integers; null is the empty text.
+
+        A batch's words are numbered by Arrow, so that each distinct one is looked up once, and the texts' ids are gathered
+        from the distinct words' ids in one numpy step.
+        """
+        texts = pc.fill_null((pa.array(texts, pa.string()) if isinstance(texts, list) else texts).cast(pa.large_string()), "")
+        if not len(texts):
+            return []
+        split = pc.split_pattern(texts, " ")
+        at = split.offsets.to_numpy()
+        at = at - at[0]
+        coded = split.flatten().dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        got = list(map(self.known.get, words))
+        new = [w for w, g in zip(words, got, strict=True) if g is None]
+        inner = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
         fresh = dict.fromkeys(new, False)  # False: beside other white space
         fresh.update(zip(inner, self._words(inner), strict=True))
         if len(self.known) < WORDS_KEPT:
             self.known.update(fresh)
-        heads = self._whole([parts[0] for parts in split])
-        out: list = []
-        rest = []
-        for i, (parts, got, head) in enumerate(zip(split, looked, heads, strict=True)):
-            if len(parts) == 1:
-                out.append(head)
-                continue
-            if None in got:
-                got = [fresh[p] if g is None else g for p, g in zip(parts, got, strict=True)]
-            joins = got[0] is not False and (False not in got)
-            if joins:
-                got[0] = head
-                out.append(b"".join(got))
-            else:
-                out.append(None)
-                rest.append(i)
-        for i, x in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
+        got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
+        bad = np.array([g is False for g in got], bool)
+        first = at[:-1]
+        heads = self._whole([words[i] for i in code[first].tolist()])
+        unsafe = np.logical_or.reduceat(bad[code], first) & (np.diff(at) > 1)
+        # heads follow the words in the table: a text's first word has no space before it
+        code[first] = len(words) + np.arange(len(first))
+        table = [g or b"" for g in got] + heads
+        size = np.array([len(g) // 4 for g in table], np.int64)
+        flat = np.frombuffer(b"".join(table), np.uint32)
+        begin = np.cumsum(size) - size
+        n = size[code]
+        end = np.cumsum(n)
+        ids = flat[np.repeat(begin[code] - end + n, n) + np.arange(int(end[-1]))]
+        ends = np.concatenate(([0], end))[at] * 4
+        raw = ids.tobytes()
+        out = [raw[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        rest = np.flatnonzero(unsafe).tolist()
+        for i, x in zip(rest, self._whole([texts[i].as_py() for i in rest]), strict=True):
             out[i] = x
         return out
 
 
+def steps(column: pa.Array, size: int):
+    """(from, to) of consecutive rows with about ``size`` bytes."""
+    _, at = kernels.flat(column)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
+        yield i, j
+        i = j
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)
@@ -224,10 +248,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
             keys.clear(), counts.clear(), held.clear()
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for i, j in steps(batch.column(1), STEP_BYTES):
+                part = batch.slice(i, j - i)
                 bucket = part.column(2)[0].as_py() if bucket is None else bucket
-                for k, x in zip(part.column(0).to_pylist(), use.encode([x or "" for x in part.column(1).to_pylist()]), strict=True):
+                for k, x in zip(part.column(0).to_pylist(), use.encode(part.column(1)), strict=True):
                     x += end
                     n = len(x) // 4
                     keys.append(NO_KEY if k is None else k)
