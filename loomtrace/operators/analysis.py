@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..plans import parsed
-from ..shared import cut
+from ..shared import brought, cut, small_table
 
 ROOT = parsed.ROOT
 KEY = ["query_id", "owner", "segment_index"]
+#: Parsed rows up to which the tables of an analysis are held on the driver, as the parsed rows are.
+FEW = 20_000
 
 
 def every(parts: list[DataFrame]) -> DataFrame:
@@ -28,8 +30,7 @@ def stage(make):
 
     @wraps(make)
     def kept(self):
-        made = make(self)
-        return tuple(cut(x) for x in made) if isinstance(made, tuple) else cut(made)
+        return self.keep(make(self))
 
     return cached_property(kept)
 
@@ -44,8 +45,10 @@ class Analysis:
         self.spark, self.extended = spark, extended
         rows = parsed.parse(spark, statements, dialect)
         self.depth = max((r[2] for r in rows["owners"]), default=0)
+        # what is parsed is on the driver already; tables derived from few rows stay there, others are written
+        self.keep = brought if sum(map(len, rows.values())) <= FEW else cut
         for name, ddl in parsed.SCHEMAS.items():
-            setattr(self, "p_" + name, spark.createDataFrame(rows[name], ddl))
+            setattr(self, "p_" + name, small_table(spark, rows[name], ddl))
         self.catalog = columns.select("catalog", "schema_name", "table_name", "column_name", "data_type", "ordinal", "is_partition", (F.col("comment") if "comment" in columns.columns else F.lit(None).cast("string")).alias("comment"))
 
     # --- relations and their columns ---
@@ -57,7 +60,7 @@ class Analysis:
         r = self.p_relations.join(F.broadcast(known), (F.col("kind") == "table") & (F.col("catalog") == F.col("k_c")) & (F.col("schema") == F.col("k_s")) & (ids.normal(F.col("table")) == F.col("k_t")), "left")
         return r.select(*self.p_relations.columns, ((F.col("kind") != "table") | F.col("k_t").isNotNull()).alias("found"), ids.table_id(F.col("catalog"), F.col("schema"), F.col("table")).alias("entity_id"), ids.relation_id(F.col("alias")).alias("relation_id"))
 
-    @stage
+    @cached_property
     def _levels(self) -> tuple[DataFrame, DataFrame]:
         """(owner columns, select items with stars expanded and ordinals counted anew)."""
         rel = self.relations.select(*KEY, "ord", "alias", "table", "kind", "source_owner", "found", "entity_id", "catalog", "schema")
@@ -67,7 +70,7 @@ class Analysis:
             .join(F.broadcast(cat), (F.col("catalog") == F.col("k_c")) & (F.col("schema") == F.col("k_s")) & (ids.normal(F.col("table")) == F.col("k_t")))
             .select(*KEY, "ord", "alias", "table", "kind", "source_owner", "col_ord", "column_name", "data_type", "is_partition", ids.column_id(F.col("catalog"), F.col("schema"), F.col("table"), F.col("column_name")).alias("column_id"))
         )
-        columns, items = [cut(physical)], []
+        columns, items = [self.keep(physical)], []
         nested = rel.where("kind <> 'table'")
         level_of = self.p_owners.groupBy("query_id", "owner").agg(F.max("level").alias("level"))
         for level in range(self.depth + 1):
@@ -86,11 +89,11 @@ class Analysis:
                 F.lit(False).alias("from_star"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("source_owner"), F.lit(None).cast("int").alias("source_ord"), F.lit(None).cast("string").alias("column_id"), F.lit(None).cast("string").alias("column_name"), "start_idx", "stop_idx",
             )
             made = plain.unionByName(wide).withColumn("ordinal", F.row_number().over(Window.partitionBy(*KEY).orderBy("item_ord", "a", "b"))).drop("a", "b")
-            made = cut(made)
+            made = self.keep(made)
             items.append(made)
             if level < self.depth:
                 out = made.where("segment_index = 0").select("query_id", F.col("owner").alias("source_owner"), F.col("ordinal").alias("col_ord"), F.col("output_name").alias("column_name"))
-                columns.append(cut(nested.join(out, ["query_id", "source_owner"]).select(*KEY, "ord", "alias", "table", "kind", "source_owner", "col_ord", "column_name", F.lit("unknown").alias("data_type"), F.lit(False).alias("is_partition"), F.lit(None).cast("string").alias("column_id"))))
+                columns.append(self.keep(nested.join(out, ["query_id", "source_owner"]).select(*KEY, "ord", "alias", "table", "kind", "source_owner", "col_ord", "column_name", F.lit("unknown").alias("data_type"), F.lit(False).alias("is_partition"), F.lit(None).cast("string").alias("column_id"))))
         return every(columns), every(items)
 
     @property
@@ -152,7 +155,7 @@ class Analysis:
             done.append(front.where("kind = 'table'"))
             if i == self.depth:
                 break
-            front = cut(
+            front = self.keep(
                 front.where("kind <> 'table'").join(steps, "query_id").where("source_owner = s_owner and source_ord = s_ord")
                 .select("query_id", *keep, F.col("n_kind").alias("kind"), F.col("n_owner").alias("source_owner"), F.col("n_ord").alias("source_ord"), F.col("n_id").alias("column_id"), F.col("n_name").alias("column_name")).distinct()
             )

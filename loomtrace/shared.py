@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +17,19 @@ def cut(df: DataFrame) -> DataFrame:
             folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A DataFrame of rows that are on the driver; its size is known to the optimizer."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = StructType.fromDDL(ddl)
+    types = to_arrow_schema(schema)
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(types)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=types), schema)
+
+
+def brought(df: DataFrame) -> DataFrame:
+    """df, run and held on the driver: for tables that are known to be small."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)

@@ -119,3 +119,11 @@ def test_other_dialects(spark):
 def test_flagship(spark, sf_dir):
     got = {(r.edge_type, r.source, r.target) for r in q.flagship(spark, sf_dir).collect()}
     assert ("alias", "column:default.lineitem.l_discount", q.OUT + "2:revenue") in got and len(got) == 9
+
+
+def test_many_statements_go_through_the_shared_folder(spark, monkeypatch):
+    from loomtrace.operators import analysis
+
+    monkeypatch.setattr(analysis, "FEW", 0)
+    a = Analysis(spark, OTHERS[:3], q.shop(spark))
+    assert ("projection", q.UT + "user_id", q.OUT + "1:user_id") in edges(a, "shadow") and a.statuses.count() == 3
