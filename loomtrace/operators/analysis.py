@@ -182,6 +182,13 @@ class Analysis:
         failed = stars.join(self.items.where("from_star").select(*KEY, "item_ord").distinct(), [*KEY, "item_ord"], "left_anti").select("query_id", F.lit("STAR_EXPANSION_FAILED").alias("code"), F.lit("warning").alias("level"), F.when(F.col("star_target") == "", "*").otherwise(F.concat("star_target", F.lit(".*"))).alias("related")).distinct()
         return every([d, table, unknown, ambiguous, twice, failed])
 
+    @stage
+    def reported(self) -> DataFrame:
+        """Diagnostics with ids, numbered in a query by level, code and names; errors first."""
+        rank = F.when(F.col("level") == "error", 0).when(F.col("level") == "warning", 1).otherwise(2)
+        n = F.row_number().over(Window.partitionBy("query_id").orderBy(rank, "code", "related"))
+        return self.diagnostics.distinct().withColumn("ord", n).select("query_id", "ord", F.concat(F.lit("diag:"), "code", F.lit(":"), F.col("ord").cast("string")).alias("diagnostic_id"), "code", "level", "related")
+
     @stage
     def statuses(self) -> DataFrame:
         """query_id, status, errors, warnings, infos."""

@@ -6,8 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keywords and functions that are offered (fixed values).
-KEYWORDS = "SELECT FROM WHERE AND OR NOT IN EXISTS BETWEEN LIKE IS NULL AS ON JOIN INNER LEFT RIGHT FULL OUTER CROSS UNION ALL INTERSECT EXCEPT GROUP BY HAVING ORDER ASC DESC LIMIT OFFSET DISTINCT CASE WHEN THEN ELSE END WITH OVER PARTITION ROWS RANGE TRUE FALSE USING NATURAL LATERAL VIEW VALUES INSERT INTO CREATE TABLE SET".split()
-FUNCTIONS = "COUNT SUM AVG MIN MAX COALESCE IFNULL NVL NULLIF CAST CONCAT SUBSTR TRIM UPPER LOWER LENGTH REPLACE ROUND FLOOR CEIL ABS DATE DATE_FORMAT NOW CURRENT_DATE CURRENT_TIMESTAMP ROW_NUMBER RANK DENSE_RANK LEAD LAG FIRST_VALUE LAST_VALUE".split()
+KEYWORDS = (
+    "SELECT", "FROM", "WHERE", "JOIN", "LEFT", "RIGHT", "INNER", "OUTER",
+    "FULL", "CROSS", "ON", "AND", "OR", "NOT", "IN", "EXISTS", "BETWEEN",
+    "LIKE", "IS", "NULL", "AS", "DISTINCT", "ALL", "UNION", "INTERSECT",
+    "EXCEPT", "ORDER", "BY", "ASC", "DESC", "GROUP", "HAVING", "LIMIT",
+    "OFFSET", "INSERT", "INTO", "VALUES", "UPDATE", "SET", "DELETE",
+    "CREATE", "TABLE", "VIEW", "ALTER", "DROP", "WITH", "CASE", "WHEN",
+    "THEN", "ELSE", "END", "CAST", "COUNT", "SUM", "AVG", "MIN", "MAX",
+    "COALESCE", "IFNULL", "NVL", "NULLIF", "TRUE", "FALSE",
+)
+FUNCTIONS = (
+    "COUNT", "SUM", "AVG", "MIN", "MAX", "COALESCE", "IFNULL", "NVL",
+    "NULLIF", "CAST", "CONCAT", "SUBSTR", "TRIM", "UPPER", "LOWER",
+    "LENGTH", "REPLACE", "ROUND", "FLOOR", "CEIL", "ABS", "DATE",
+    "DATE_FORMAT", "NOW", "CURRENT_DATE", "CURRENT_TIMESTAMP",
+    "ROW_NUMBER", "RANK", "DENSE_RANK", "LAG", "LEAD", "FIRST_VALUE",
+    "LAST_VALUE",
+)
+#: Words that are no names: keywords that aren't functions, and a few that are not offered.
+STRUCTURE = {*KEYWORDS, "USING", "OVER", "PARTITION", "ROWS", "RANGE", "NATURAL", "LATERAL"} - set(FUNCTIONS)
 TABLE_AFTER, COLUMN_AFTER = {"FROM", "JOIN", "INTO", "TABLE", "UPDATE"}, {"SELECT", "WHERE", "AND", "OR", "ON", "BY", "HAVING", "WHEN", "THEN", "ELSE", "SET", "DISTINCT"}
 
 
@@ -38,7 +56,7 @@ def tables_in(words: list[str]) -> dict[str, str]:
         if w.upper() in ("FROM", "JOIN") or (w == "," and any(x.upper() == "FROM" for x in words[:i]) and not any(x.upper() in ("WHERE", "GROUP", "ORDER") for x in words[:i])):
             name = words[i + 1].strip("`").lower()
             rest = words[i + 2 : i + 4]
-            alias = rest[1] if len(rest) == 2 and rest[0].upper() == "AS" else rest[0] if rest and rest[0].upper() not in KEYWORDS and rest[0].isidentifier() else name
+            alias = rest[1] if len(rest) == 2 and rest[0].upper() == "AS" else rest[0] if rest and rest[0].upper() not in STRUCTURE and rest[0].isidentifier() else name
             out[alias.strip("`").lower()] = name
     return out
 
@@ -92,11 +110,11 @@ def format_sql(spark: SparkSession, sql: str) -> str:
     """A statement with keywords in capitals and a line for each clause."""
     out, last, depth = "", "", 0
     for w in tokens(spark, sql):
-        up = w.upper() if w.upper() in KEYWORDS or w.upper() in BREAKS else w
+        up = w.upper() if w.upper() in STRUCTURE or w.upper() in BREAKS else w
         depth += (w == "(") - (w == ")")
         if up in BREAKS and depth == 0 and out and not (up == "JOIN" and last in BREAKS):
             out = out.rstrip() + "\n"
-        glue = w in (",", ")", ".", ";") or last in ("(", ".") or (w == "(" and last.upper() not in KEYWORDS and last not in ("=", ",", "+", "-", "*", "/", "<", ">"))
+        glue = w in (",", ")", ".", ";") or last in ("(", ".") or (w == "(" and last.upper() not in STRUCTURE and last not in ("=", ",", "+", "-", "*", "/", "<", ">"))
         out = out.rstrip(" ") + up if glue or out.endswith("\n") or not out else out + up
         out += " "
         last = up

@@ -68,3 +68,15 @@ def layout(nodes: DataFrame) -> DataFrame:
 def search(nodes: DataFrame, text: str) -> DataFrame:
     """Nodes whose label or id holds a text."""
     return nodes.where(F.lower(F.concat_ws(" ", "label", "id")).contains(text.lower()))
+
+
+def highlights(nodes: DataFrame, edges: DataFrame, mode: str) -> DataFrame:
+    """query_id, id: what a view marks - expressions and what they touch, or nodes that could not be resolved."""
+    if mode == "expression":
+        own = nodes.where("node_type = 'expression'").select("query_id", "id").distinct()
+    elif mode == "diagnostics":
+        own = nodes.where("node_type = 'unknown'").select("query_id", "id").distinct()
+    else:
+        raise ValueError(f"no marks for the view {mode!r}")
+    ends = edges.select("query_id", F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges.select("query_id", F.col("target").alias("id"), F.col("source").alias("other")))
+    return own.unionByName(ends.join(own, ["query_id", "id"]).select("query_id", F.col("other").alias("id"))).distinct()

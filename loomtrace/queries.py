@@ -129,6 +129,17 @@ add("import_complex_types", lambda spark: catalog.validate(payload(spark, [("t",
 add("import_missing_ordinal", lambda spark: catalog.validate(payload(spark, [("t", [("a", "int", 1), ("b", "int", None)])])), "t_idx, c_idx, code, level", [(0, 1, "METADATA_IMPORT_MISSING_ORDINAL", "warning")], "iiss")
 add("import_commit", lambda spark: catalog.merged(payload(spark, [("user_table", [("id", "int", 1), ("name", "string", 2), ("ID", "bigint", 3)])]), shop(spark)).where("table_name = 'user_table'"), "table_name, column_name, data_type, ordinal", [("user_table", "ID", "bigint", 3), ("user_table", "name", "string", 2)], "sssi")
 
+_DOUBLE = [("t", [("a", "int", 1), ("A", "int", 2), ("b", "int", 3)]), ("u", [("x", "int", 1)])]
+
+
+def _committed(spark: SparkSession, part: str) -> DataFrame:
+    return catalog.commit(payload(spark, _DOUBLE), shop(spark), spark.createDataFrame([("v1", 1)], "version string, seq bigint"), "job-1")[part]
+
+
+add("import_job", lambda spark: _committed(spark, "jobs"), "job_id, metadata_version, status, total_tables, total_columns, error_count", [("job-1", "v2", "committed", 2, 4, 1)], "sssiii")
+add("import_errors", lambda spark: _committed(spark, "errors"), "table_index, column_index, error_code", [(0, 1, "METADATA_IMPORT_DUPLICATE_COLUMN")], "iis")
+add("catalog_versions", lambda spark: _committed(spark, "versions"), "version, seq", [("v1", 1), ("v2", 2)], "si")
+
 # --- parse and scope ---
 
 JOINED = "SELECT o.order_no, u.user_name AS name FROM order_table o LEFT JOIN user_table u ON o.user_id = u.user_id AND o.dt = u.dt WHERE o.status = 1"
@@ -154,6 +165,10 @@ explained("resolve_ambiguous", "diagnostics", "SELECT user_id FROM order_table o
 explained("resolve_through_cte", "sources", "WITH a AS (SELECT order_amt AS x FROM order_table), b AS (SELECT x AS y FROM a) SELECT b.y AS z FROM b", "ordinal, column_id", [(1, OT + "order_amt")], "is")
 explained("resolve_status", "statuses", "SELECT nope FROM order_table", "status, errors, warnings", [("partial", 0, 1)], "sii")
 
+explained("diagnostic_report", "reported", "SELECT nope, user_id FROM order_table o JOIN user_table u ON o.user_id = u.user_id", "ord, diagnostic_id, level, related", [(1, "diag:AMBIGUOUS_COLUMN:1", "warning", "user_id: order_table, user_table"), (2, "diag:UNKNOWN_COLUMN:2", "warning", "nope")], "isss")
+explained("stage_statuses", "stages", "SELECT nope FROM order_table", "ord, stage, state", [(0, "parse", "success"), (1, "scope", "success"), (2, "name_resolution", "partial"), (3, "projection", "success"), (4, "expression_analysis", "success"), (5, "lineage", "success"), (6, "source_location", "success"), (7, "graph", "success"), (8, "semantics", "success")], "iss")
+explained("lineage_scopes", "scopes", "WITH a AS (SELECT t.order_no FROM order_table t) SELECT x.order_no FROM a x", "scope_id, parent, aliases", [("scope:root", None, "x=table:default.a"), ("scope:cte:a", "scope:root", "t=table:default.order_table")])
+
 # --- lineage ---
 
 EDGE = "edge_type, source, target"
@@ -195,6 +210,9 @@ graphed("graph_neighbourhood", lambda a: graph.neighbourhood(a.edges, "table:def
 graphed("graph_output_sources", lambda a: graph.output_tables(a.sources, a._outputs).select("output_name", "table_id"), "x AS (SELECT 1) " + values("output_name, table_id", [("user_name", "table:default.user_table"), ("total", "table:default.order_table")]))
 add("graph_layout", lambda spark: graph.layout(Analysis(spark, [("q", "SELECT order_no, status AS s FROM order_table")], shop(spark)).nodes), "id, x, y", [("table:default.order_table", 48, 72), (OT + "order_no", 270, 130), (OT + "status", 270, 188), (OUT + "1:order_no", 560, 246), (OUT + "2:s", 560, 304)], "sii")
 
+graphed("graph_highlights", lambda a: graph.highlights(a.nodes, a.edges, "expression").select("id"), f"x AS (SELECT 1) SELECT source AS id FROM e WHERE target = '{X}2:agg' UNION SELECT target FROM e WHERE source = '{X}2:agg' UNION SELECT '{X}2:agg'")
+graphed("graph_search", lambda a: graph.search(a.nodes.where("node_type = 'column'"), "AMT").select("id"), f"x AS (SELECT 1) SELECT '{OT}order_amt' AS id")
+
 # --- locations ---
 
 PLACED = "entity_id, entity_type, raw_text, start_offset, end_offset, start_line, start_col"
@@ -219,7 +237,8 @@ add("sem_risks", lambda spark: Analysis(spark, [("a", JOINED), ("b", "SELECT o.d
 
 add("complete_tables", lambda spark: editor.complete(spark, shop(spark), "SELECT * FROM ", 1, 15).where("kind = 'table'"), "kind, label", [("table", "order_table"), ("table", "user_table")])
 add("complete_columns", lambda spark: editor.complete(spark, shop(spark), "SELECT  FROM user_table u", 1, 8).where("kind = 'column'"), "kind, label", [("column", "user_id"), ("column", "user_name"), ("column", "dt")])
-add("complete_keywords", lambda spark: editor.complete(spark, shop(spark), "", 1, 1).where("label in ('SELECT', 'COALESCE', 'order_table')"), "kind, label", [("keyword", "SELECT"), ("function", "COALESCE")])
+add("complete_keywords", lambda spark: editor.complete(spark, shop(spark), "", 1, 1).where("label in ('SELECT', 'COALESCE', 'order_table')"), "kind, label", [("keyword", "SELECT"), ("keyword", "COALESCE"), ("function", "COALESCE")])
+add("complete_vocabulary", lambda spark: editor.complete(spark, shop(spark), "", 1, 1).groupBy("kind").agg(F.count("*").alias("n")), "kind, n", [("keyword", 63), ("function", 33)], "si")
 add("hover_column", lambda spark: editor.hover(spark, shop(spark), "SELECT o.order_amt FROM order_table o", 1, 12), "kind, name, data_type", [("column", "order_table.order_amt", "decimal(18,2)")])
 add("hover_table", lambda spark: editor.hover(spark, shop(spark), "SELECT 1\nFROM user_table", 2, 8), "kind, name, data_type", [("table", "user_table", None)])
 add("format_statement", lambda spark: spark.createDataFrame([(editor.format_sql(spark, "select a.x , count( * ) n from t a where a.y=1 group by a.x"),)], "text string"), "text", [("SELECT a.x, count(*) n\nFROM t a\nWHERE a.y = 1\nGROUP BY a.x",)])

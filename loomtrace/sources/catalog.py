@@ -79,6 +79,23 @@ def merged(payload: DataFrame, current: DataFrame) -> DataFrame:
     return old.unionByName(new)
 
 
+def commit(payload: DataFrame, current: DataFrame, versions: DataFrame, job_id: str) -> dict[str, DataFrame]:
+    """What a commit writes: columns (the new catalog), versions (with the payload's, counted on), jobs (one row) and
+    errors.  Only an unsupported schema version stops it; the columns then stay as they are and the job is failed."""
+    found = validate(payload)
+    errors = found.where("level = 'error'").select(F.lit(job_id).alias("job_id"), F.col("t_idx").alias("table_index"), F.col("c_idx").alias("column_index"), F.col("code").alias("error_code"))
+    stopped = not found.where("code = 'METADATA_IMPORT_SCHEMA_UNSUPPORTED'").isEmpty()
+    columns = current if stopped else merged(payload, current)
+    c = payload_columns(payload).where("column_name is not null")
+    counts = c.agg(F.count_distinct("t_idx").alias("total_tables"), F.count(F.lit(1)).alias("total_columns"))
+    bad = errors.agg(F.count(F.lit(1)).alias("error_count"))
+    version = payload.select("metadata_version")
+    jobs = version.crossJoin(counts).crossJoin(bad).select(F.lit(job_id).alias("job_id"), "metadata_version", F.lit("failed" if stopped else "committed").alias("status"), "total_tables", "total_columns", "error_count")  # one row each
+    last = versions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
+    new = version.join(versions, version["metadata_version"] == versions["version"], "left_anti").crossJoin(last).select(F.col("metadata_version").alias("version"), (F.col("last") + 1).alias("seq"))
+    return {"columns": columns, "versions": versions if stopped else versions.select("version", "seq").unionByName(new), "jobs": jobs, "errors": errors}
+
+
 def save(columns: DataFrame, path: str) -> None:
     """Publishes a version of the catalog, one folder a version; readers see it when it is complete."""
     columns.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metadata_version").parquet(path)
