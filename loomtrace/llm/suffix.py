@@ -10,9 +10,10 @@ of its kind.  Suffixes are dealt to tasks by content, so that equal prefixes mee
    a part of the input all but the first are repeats already, and only the first goes on.
 2. Runs meet by their anchor's hash.  All but the first of equal digests are repeats in full.  An anchor with one digest
    left has no other repeat; only the first runs of anchors with several digests still have open windows.
-3. The open runs' texts are cut from the documents and meet again by anchor.  An anchor with more than BIG open runs is
-   dealt on by its windows' hashes instead, one window a row and combined before the shuffle, so no task's share is
-   unbounded.
+   Anchors that a sample finds very frequent, with many digests, meet by digest instead, and all their first runs stay open.
+3. The open runs' texts are cut from the documents and meet again by anchor.  An anchor with more than BIG open runs, or a
+   very frequent one, is dealt on by its windows' hashes instead, one window a row and combined before the shuffle, so
+   that no task's share grows with one passage.
 4. Each task sorts the suffixes of its texts by a difference cover modulo 3 - sample suffixes by their triples' names,
    recursion on the names (until they span LENGTH bytes), the other suffixes by one symbol and a sample rank, and a
    merge - and compares adjacent LENGTH-byte prefixes: of each group of equal ones all but the earliest are repeats.
@@ -42,6 +43,9 @@ LENGTH = 100
 ANCHOR = 32
 #: Open runs of one anchor beyond which they are dealt by window.
 BIG = 4000
+#: Documents that are sampled for very frequent anchors at most, and the digests an anchor must have among them: that many,
+#: and that part of all digests there; so the list of such anchors is bounded.  It decides on routes only, not on results.
+SAMPLE_DOCS, SAMPLE_DIGESTS, SAMPLE_PART = 20_000, 300, 1e-4
 #: Text bytes whose runs are combined before the shuffle.
 PART_BYTES = 16 << 20
 #: Bytes that are sorted together; ranks stay below 2**21, so three of them fit one 64-bit key.
@@ -242,7 +246,34 @@ def own_rows(column: pa.Array, field: str, dups: list[int]) -> list[list[list[in
     return [[x[field] for x in (v or ()) if x["dup"] == d and x[field]] for v, d in zip(column.to_pylist(), dups, strict=True)]
 
 
-def find_runs(buckets: int, length: int, anchor: int):
+def frequent_anchors(docs: DataFrame, length: int, anchor: int) -> np.ndarray:
+    """Anchors with very many digests in a bounded sample of the documents; 1 / SAMPLE_PART of them at most."""
+    n = docs.count()
+    part = min(1.0, SAMPLE_DOCS / max(1, n))
+    sample = docs.where((F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) / F.lit(float(1 << 53))) < part).select("text")
+
+    def count(batches):
+        for batch in batches:
+            for _, _, raw, at in slices(batch, 0, PART_BYTES):
+                h, digest, *_ = runs(raw, at, length, anchor)
+                both = np.unique(np.stack((h, digest), 1), axis=0) if len(h) else np.empty((0, 2), U)
+                keys, times = np.unique(both[:, 0], return_counts=True)
+                some = times > 1
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[some].view(np.int64), 0)), pa.array(np.append(times[some], 0)), pa.array(np.append(np.zeros(int(some.sum()), np.int64), len(both)))], ["a", "n", "total"])
+
+    got = arrow_map(sample, count, "a bigint, n bigint, total bigint").groupBy("a").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where((F.col("n") >= SAMPLE_DIGESTS) | (F.col("total") > 0)).collect()
+    least = max(SAMPLE_DIGESTS, SAMPLE_PART * sum(r.total for r in got))
+    return np.sort(np.array([r.a for r in got if r.n >= least], np.int64).view(U))
+
+
+def listed(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which values are among an ascending few."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
+
+
+def find_runs(buckets: int, length: int, anchor: int, frequent: np.ndarray):
     """Step 1: rows (bucket, later, payload).  ``later`` payloads are repeats already; they go to any bucket."""
 
     def find(batches):
@@ -259,7 +290,7 @@ def find_runs(buckets: int, length: int, anchor: int):
                 keep[order[first]] = True
                 out = []
                 kept = np.flatnonzero(keep)
-                bucket = (h[kept] % U(buckets)).astype(np.int64)
+                bucket = (np.where(listed(h[kept], frequent), kernels.mix(digest[kept]), h[kept]) % U(buckets)).astype(np.int64)
                 sort = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[sort], prepend=-1))
                 for a, b in zip(cuts, np.append(cuts[1:], len(sort)), strict=True):
@@ -273,7 +304,7 @@ def find_runs(buckets: int, length: int, anchor: int):
     return find
 
 
-def match_runs(length: int):
+def match_runs(length: int, frequent: np.ndarray):
     """Step 2: the documents' spans and open runs (first window, windows less one, anchor's place + 2**16 if dealt by window, anchor hash)."""
 
     def match(batches):
@@ -299,10 +330,11 @@ def match_runs(length: int):
             yield spans_of(c, order[~two])
         group = np.cumsum(one) - 1
         variants = np.bincount(group[two])
-        open_ = two & (variants[group] > 1)
+        often = listed(c["anchor"][order], frequent)
+        open_ = two & ((variants[group] > 1) | often)
         if open_.any():
             take = order[open_]
-            big = (variants[group[open_]] > BIG).astype(np.int64) << 16
+            big = ((variants[group[open_]] > BIG) | often[open_]).astype(np.int64) << 16
             values = np.stack((c["start"][take], c["more"][take].astype(np.int64), c["where"][take].astype(np.int64) + big, c["anchor"][take].view(np.int64)), 1)
             yield notes(c["key"][take], c["dup"][take], values, False)
 
@@ -435,11 +467,12 @@ def covered(n: int, lists: list) -> np.ndarray:
 def _with_spans(docs: DataFrame, length: int, anchor: int, rest: list[str]) -> DataFrame:
     """__k, __dup, __t, __rest, spans (arrays of start and stop in turn, from steps 2 and 4)."""
     parts = fanout(docs)
+    frequent = frequent_anchors(docs, length, anchor)
     src = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_KEY)).alias("__k"), F.coalesce("text", F.lit("")).alias("__t"), F.struct(F.col("text").isNull().alias("__null"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("__rest"))
     dealt = src.repartition(parts, "__k").withColumn("__dup", F.row_number().over(Window.partitionBy("__k").orderBy("__t")))
     dealt = dealt.select("__k", "__dup", "__t", "__rest")
-    made = arrow_map(dealt, find_runs(parts, length, anchor), PARTS).repartitionById(parts, "b")
-    found = arrow_map(made, match_runs(length), NOTES)
+    made = arrow_map(dealt, find_runs(parts, length, anchor, frequent), PARTS).repartitionById(parts, "b")
+    found = arrow_map(made, match_runs(length, frequent), NOTES)
     # by key alone, as the documents are dealt already, so that these joins move no text; own_rows() takes a row's own lists
     per_doc = found.groupBy(F.col("k").alias("__k")).agg(F.collect_list(F.struct("dup", "spans")).alias("spans"), F.collect_list(F.struct("dup", "asks")).alias("asks"))
     joined = dealt.join(per_doc, "__k", "left").select("__k", "__dup", "__t", "__rest", "spans", "asks")

@@ -86,9 +86,11 @@ def plain_repeats(rows, length=100):
     return sorted(out, key=lambda r: [(v is not None, v) for v in r])
 
 
-@pytest.mark.parametrize("big", [4000, 1])
-def test_repeated_bytes(spark, monkeypatch, big):
+@pytest.mark.parametrize("big, digests", [(4000, 300), (1, 300), (4000, 2)])
+def test_repeated_bytes(spark, monkeypatch, big, digests):
     monkeypatch.setattr(suffix, "BIG", big)
+    monkeypatch.setattr(suffix, "SAMPLE_DIGESTS", digests)
+    monkeypatch.setattr(suffix, "SAMPLE_PART", 0)
     rows = awkward() + [(200 + k, f"{k} " * 30 + PROSE + f" {k * k} " * 20, "en", "s", 0) for k in range(25)]
     got = rows_of(suffix.repeated_bytes(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == plain_repeats(rows)
