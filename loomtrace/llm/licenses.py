@@ -4,11 +4,13 @@ A text and a template are sequences of words (letters and digits, lower case).
 anchors; of the anchors the longest increasing subsequence stays; the gaps between them are aligned in the same way, after
 equal words at their ends.  Coverage is the share of the template's words that are aligned.
 
-A template is aligned only where it can reach the threshold: a text without enough of the template's distinct words
-can't (an exact bound), and of the others the window with most template words is aligned, which has room for the template
-and as many foreign words again.
+A template is aligned with windows of the text that start at one of its words: one as long as the template, and one that
+has room for as many foreign words again.  Every window that can reach the threshold is aligned; a window can't align more
+words than it shares with the template, counted with repeats (an exact bound), nor can a text without enough of the
+template's distinct words.  The best coverage of all windows counts.
 
-Defined cases: null, empty or wordless texts have no licence; equal coverages: the first template by name is the best;
+Defined cases: null, empty or wordless texts have no licence; equal coverages: the first template by name is the best, and
+of a template's windows the first one, the shorter of two; a licence with more foreign words than own ones isn't looked for;
 repeated rows are scanned each; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -95,11 +97,25 @@ class Template:
         raw = text.encode()
         _, _, h, _ = kernels.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), kernels.ALNUM)
         self.name, self.words = name, h.tolist()
-        self.distinct = np.unique(h)
+        self.distinct, self.times = np.unique(h, return_counts=True)
         #: Distinct words that a text needs at least to reach the threshold.
         self.least = len(self.distinct) - int((1 - threshold) * len(h) + 1e-9)
 
 
+def shared(place: np.ndarray, code: np.ndarray, times: np.ndarray, wide: int) -> np.ndarray:
+    """For each window of ``wide`` words that starts at one of the ascending places: the words it shares with a template, counted with repeats.  ``code`` numbers the words at the places, ``times`` is how often the template has each."""
+    n = len(place)
+    order = np.argsort(code, kind="stable")
+    back = np.arange(n) - times[code[order]]
+    same = (back >= 0) & (code[order[np.maximum(back, 0)]] == code[order])
+    # an occurrence counts in the windows that hold it, but not the one of the same word that many times before
+    after = np.zeros(n, np.int64)
+    after[order[same]] = order[back[same]] + 1
+    change = np.bincount(np.maximum(after, np.searchsorted(place, place - wide, "right")), minlength=n + 1)
+    change[1:] -= 1
+    return np.cumsum(change[:-1])
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_words, n_licenses, licenses (names, comma-joined), best_license, best_coverage, span_start and span_end (bytes of the best one's first and last aligned word).  One pass, no shuffle."""
     templates = TEMPLATES if templates is None else templates
@@ -112,6 +128,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         quick = np.zeros(1 << 20, bool)
         quick[(every >> np.uint64(44)).astype(np.int64)] = True
         member = [np.isin(every, t.distinct) for t in use]
+        times = [np.zeros(len(every), np.int64) for _ in use]
+        for t, m, c in zip(use, member, times, strict=True):
+            c[m] = t.times
 
         def rows(raw, at):
             start, end, h, first = kernels.words(raw, at, kernels.ALNUM)
@@ -125,25 +144,30 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                 n = int(first[r + 1] - first[r])
                 own = hits[edge[r] : edge[r + 1]]
                 found = []
-                if len(own) > 2:
+                if len(own):
                     present = np.zeros(len(every), bool)
                     present[code[own]] = True
-                    for t, m in zip(use, member, strict=True):
+                    for t, m, c in zip(use, member, times, strict=True):
                         if (present & m).sum() >= max(1, t.least):
-                            found += best(t, m, own, code, h, int(first[r]), int(first[r + 1]))
+                            found += best(t, own[m[code[own]]], c, code, h, int(first[r + 1]))
                 yield n, found, start, end, int(at[r])
 
-        def best(t, m, own, code, h, lo, hi):
-            mine = own[m[code[own]]]
-            wide = 2 * len(t.words)
-            inside = np.searchsorted(mine, mine + wide) - np.arange(len(mine))
-            out = None
-            for p in np.flatnonzero(inside == inside.max())[:1].tolist():
-                a, b = int(mine[p]), min(hi, int(mine[p]) + wide)
-                pairs = align(t.words, h[a:b].tolist())
-                share = len(pairs) / len(t.words)
-                if share >= threshold:
-                    out = (t.name, share, a + pairs[0][1], a + pairs[-1][1])
+        def best(t, mine, c, code, h, hi):
+            n = len(t.words)
+            # windows in order: at each place the short one, then the long one
+            most = np.stack([shared(mine, code[mine], c, wide) for wide in (n, 2 * n)], axis=1).reshape(-1)
+            able = np.flatnonzero(most / n >= threshold)
+            top, at, out = 0, -1, None
+            for w in able[np.argsort(-most[able], kind="stable")].tolist():
+                if most[w] < top:
+                    break
+                if most[w] == top and w > at:
+                    continue
+                a = int(mine[w // 2])
+                pairs = align(t.words, h[a : min(hi, a + n * (1 + w % 2))].tolist())
+                if len(pairs) / n >= threshold and (len(pairs) > top or (len(pairs) == top and w < at)):
+                    top, at = len(pairs), w
+                    out = (t.name, top / n, a + pairs[0][1], a + pairs[-1][1])
             return [out] if out else []
 
         for batch in batches:

@@ -160,6 +160,35 @@ def test_license_scan(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_license_after_other_windows(spark):
+    line = "Released under the MIT License."
+    rows = [
+        (510, "the one the two the three the four the five " + PROSE * 2 + line, None, None, 0),
+        (511, (PROSE + "the " * 40) * 30 + line, None, None, 0),
+        (512, line.replace("Released", "Published") * 9, None, None, 0),
+        (513, "license mit the under " * 9, None, None, 0),
+        (514, line, None, None, 0),
+    ]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows), {"MIT line": line, "two": "mit license"}).collect()}
+    for i in (510, 511):
+        t = next(r[1] for r in rows if r[0] == i)
+        assert got[i].n_licenses == 2 and got[i].best_license == "MIT line" and got[i].best_coverage == 1.0 and t[got[i].span_start : got[i].span_end] == line.rstrip(".")
+    assert {r.doc_id: r.best_coverage for r in licenses.scan(frame(spark, rows[2:]), {"MIT line": line}).collect()} == {512: 0.8, 513: 0.0, 514: 1.0}
+    assert licenses.scan(frame(spark, [(1, "mit license", None, None, 0)]), {"two": "mit license"}).first().best_coverage == 1.0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(0, 4), min_size=1, max_size=60), st.lists(st.integers(0, 4), min_size=1, max_size=9), st.integers(1, 20))
+def test_shared_words(text, template, wide):
+    from collections import Counter
+
+    place = np.flatnonzero(np.isin(text, template))
+    if not len(place):
+        return
+    got = licenses.shared(place, np.array(text)[place], np.bincount(template, minlength=5), wide)
+    assert got.tolist() == [sum((Counter(text[p : p + wide]) & Counter(template)).values()) for p in place.tolist()]
+
+
 def test_quality(spark):
     rows = [(i, PROSE[i % 40 :] * 3 if i % 3 else "BUY!! NOW!! " * 20 + str(i), "en", "s", 0) for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)] + [(None, 1, 0), (5, None, 0), (9999, 0, 0)], "doc_id bigint, quality int, toxic int")
