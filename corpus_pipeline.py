@@ -17,8 +17,8 @@ def quality(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """One document, the smallest doc_id, of each near-duplicate group."""
-    return keep_one(docs, percent=85)
+    """One document, the smallest doc_id, of each near-duplicate group: links are a likeness of 0.8 or more on shingles of five words."""
+    return keep_one(docs, percent=80, words=5)
 
 
 def suffix_dedup(spark, docs, sf_dir):

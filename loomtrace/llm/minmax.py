@@ -6,7 +6,7 @@ import numpy as np
 
 from . import kernels
 
-#: Words of a shingle.
+#: Words of a shingle where no other number is given.
 SHINGLE = 3
 #: Hash functions; each gives a minimum and a maximum, so a signature has twice as many values.
 FUNCTIONS = 48

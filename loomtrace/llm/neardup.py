@@ -8,7 +8,8 @@
    (in buckets of more than SMALL members) met in an earlier band.  A task returns the links that join its members.
 4. Components of the links, by star steps.
 
-With 24 bands of 4 values, a pair of likeness 0.85 shares no band with probability (1 - 0.85**4)**24 = 2e-8.
+With 24 bands of 4 values, a pair of likeness 0.85 shares no band with probability (1 - 0.85**4)**24 = 2e-8, one of
+0.8 with 3e-6.
 
 Defined cases: null, empty or wordless texts have an empty set and are linked with nothing; a text of fewer words than a
 shingle is one shingle; rows of one doc_id count as one document; a null doc_id is linked with nothing, its component is
@@ -32,7 +33,7 @@ SMALL = 16
 STEP_BYTES = 4 << 20
 
 
-def set_rows(docs: DataFrame) -> DataFrame:
+def set_rows(docs: DataFrame, words: int = minmax.SHINGLE) -> DataFrame:
     """doc_id, n_shingles, d1 and d2 (a 128-bit digest of the set, 0 for the empty set), bands."""
 
     def hashed(batches):
@@ -41,7 +42,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
             i = 0
             while i < batch.num_rows:
                 j = max(i + 1, int(np.searchsorted(at, at[i] + STEP_BYTES, "right")) - 1)
-                values, v_at = minmax.sets(raw[at[i] : at[j]], at[i : j + 1] - at[i])
+                values, v_at = minmax.sets(raw[at[i] : at[j]], at[i : j + 1] - at[i], words)
                 n = np.diff(v_at)
                 digests = np.zeros((j - i, 2), np.int64)
                 for r in np.flatnonzero(n).tolist():
@@ -60,14 +61,14 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), hashed, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>")
 
 
-def bucket_links(percent: int):
+def bucket_links(percent: int, words: int = minmax.SHINGLE):
     """The work on buckets: rows (bucket, band, size, block, other block, own block, doc_id, text), sorted by the first five."""
 
     def work(rows: list, band: int, size: int) -> list[tuple[int, int]]:
         own = [r[0] for r in rows]
         ids = [r[1] for r in rows]
         raw, at = kernels.flat_texts([(r[2] or "").encode() for r in rows])
-        values, v_at = minmax.sets(raw, at)
+        values, v_at = minmax.sets(raw, at, words)
         part = [values[v_at[i] : v_at[i + 1]] for i in range(len(rows))]
         n = np.diff(v_at)
         keys = None
@@ -116,7 +117,7 @@ def bucket_links(percent: int):
     return links
 
 
-def near_links(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def near_links(docs: DataFrame, groups: DataFrame, percent: int, words: int = minmax.SHINGLE) -> DataFrame:
     """Links (a, b) between groups' documents that join all linked ones."""
     by_band = groups.select("rep", F.posexplode("bands").alias("band", "key")).withColumnRenamed("key", "bucket")
     parts = fanout(docs)
@@ -135,17 +136,17 @@ def near_links(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = with_text.withColumn("o", other).select("bucket", "band", "size", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "text")
     tasks = tasks.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "rep")
-    return arrow_map(tasks, bucket_links(percent), "a bigint, b bigint")
+    return arrow_map(tasks, bucket_links(percent, words), "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: links are pairs with 100 * intersection >= percent * union of their sets of 3-word shingles."""
-    rows = cut(set_rows(docs))
+def near_groups(docs: DataFrame, percent: int = 85, words: int = minmax.SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: links are pairs with 100 * intersection >= percent * union of their sets of shingles of ``words`` words."""
+    rows = cut(set_rows(docs, words))
     groups = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     # a document with rows of several sets links their groups through itself
     several = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("doc_id")
     through = rows.join(several, "doc_id").where("n_shingles > 0").join(groups.select("d1", "d2", "rep"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = near_links(docs, groups, percent)
+    links = near_links(docs, groups, percent, words)
     linked = components(links.unionAll(through))
     reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = reps.join(linked, reps.rep == linked.node, "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
@@ -154,9 +155,9 @@ def near_groups(docs: DataFrame, percent: int = 85) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 85, words: int = minmax.SHINGLE) -> DataFrame:
     """docs with one document of each near-duplicate group: that of the smallest doc_id, once."""
-    kept = near_groups(docs, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near_groups(docs, percent, words).where("kept and doc_id is not null").select("doc_id").distinct()
     first = Window.partitionBy("doc_id").orderBy("text")
     once = docs.join(kept, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1").select(docs.columns)
     return once.unionAll(docs.where("doc_id is null"))

@@ -69,6 +69,18 @@ def test_pipeline(spark, sf_dir):
     assert len(kept & bad) <= 0.1 * len(bad)
 
 
+def test_near_copies_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    def text(name, n):
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    # shared and all shingles of five words: 82 of 100 at the end or the start, 80 of 100, 79 of 100
+    rows = [(1, text("a", 86)), (2, text("a", 104)), (3, text("b", 104)), (4, text("b", 104).split(" ", 18)[18]), (5, text("c", 84)), (6, text("c", 104)), (7, text("d", 83)), (8, text("d", 104))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, None).collect()) == [1, 3, 5, 7, 8]
+
+
 def test_pipeline_of_awkward_documents(spark, sf_dir):
     import corpus_pipeline
 
