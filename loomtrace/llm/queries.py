@@ -80,7 +80,7 @@ def op9_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import token_files
 
-    return token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
+    return token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2, added=True)
 
 
 QUERIES = {

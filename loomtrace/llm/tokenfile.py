@@ -117,16 +117,18 @@ class WordEncoder:
     """Encodes texts word by word with a byte-level BPE tokenizer, whose pre-tokenizer never joins characters across a
     single space between two other characters: ids of a text are the ids of its first word and of each later word with
     its space before it.  Words are looked up among those met before; the library encodes the others.  Texts with other
-    runs of white space beside a space are encoded whole."""
+    runs of white space beside a space are encoded whole.  With ``added``, added tokens (such as <|endoftext|>) in a text
+    have their own ids, as by the library's default, and such texts are encoded whole; without, they are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not added
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()] if added else []
         self.known: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -178,6 +180,8 @@ class WordEncoder:
         first = at[:-1]
         heads = self._whole([words[i] for i in code[first].tolist()])
         unsafe = np.logical_or.reduceat(bad[code], first) & (np.diff(at) > 1)
+        for token in self.added:
+            unsafe |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         # heads follow the words in the table: a text's first word has no space before it
         code[first] = len(words) + np.arange(len(first))
         table = [g or b"" for g in got] + heads
@@ -206,10 +210,10 @@ def steps(column: pa.Array, size: int):
         i = j
 
 
-def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+def encoder(path: str, added: bool = False) -> WordEncoder:
+    if (path, added) not in _encoders:
+        _encoders[path, added] = WordEncoder(path, added)
+    return _encoders[path, added]
 
 
 def vocabulary_size(path: str) -> int:
@@ -218,7 +222,7 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size()
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int, key: str = "doc_id", text: str = "text", bits: int | None = None) -> list[tuple[int, int]]:
+def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int, key: str = "doc_id", text: str = "text", bits: int | None = None, added: bool = False) -> list[tuple[int, int]]:
     """Encodes every text, appends end_id, writes the ids in ascending key order to files of ``folder``.  Returns (bucket, ids) of each bucket that has rows: as many entries as partitions at most.
 
     The texts are shuffled once, to ordered buckets; each task writes its bucket's files under names that depend on the
@@ -231,7 +235,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
     rows = rows.repartitionById(len(bounds) + 1, "b").sortWithinPartitions("k", "t")
 
     def write(batches):
-        use = encoder(tokenizer)
+        use = encoder(tokenizer, added)
         end = np.array([end_id], np.uint32).tobytes()
         bucket = None
         place = total = seq = size = 0
@@ -315,8 +319,8 @@ def _read(spark, folder: str, written: list[tuple[int, int]], whole: bool) -> Da
     return arrow_map(files, read, schema)
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None, added: bool = False) -> DataFrame:
     """Writes docs' ids to ``folder`` (a new one of the shared folder by default) and reads them back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-files")
-    return read_token_digests(spark, folder, write_token_files(docs, tokenizer, folder, end_id))
+    return read_token_digests(spark, folder, write_token_files(docs, tokenizer, folder, end_id, added=added))

@@ -274,3 +274,19 @@ def test_token_files(spark, monkeypatch):
     got = tokenfile.token_files(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA), path)
     assert sorted([tuple(r) for r in got.collect()], key=lambda r: r[1]) == want
     assert tokenfile.token_files(frame(spark, []), path).count() == 0
+
+
+def test_added_tokens_in_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from loomtrace.llm.queries import op10_token_files
+
+    texts = ["<|endoftext|> a", "a <|endoftext|> b", "a<|endoftext|>b c", " x  <|endoftext|>\n<|endoftext|>", "<|endoftext", PROSE, ""]
+    spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    library = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    want, at = [], 0
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids + [2]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert rows_of(op10_token_files(spark, str(tmp_path)), "doc_id", "start", "n_tokens", "ids_crc32") == want
