@@ -7,27 +7,34 @@ suffix array, its Burrows-Wheeler transform, a wavelet matrix (rank in one step
 positions.  All windows search backward together, one vector step per word; the rows of each hit walk back (LF steps) to
 a sampled position, and the occurrences become removal spans, merged per document.
 
+The benchmark is kept in block files of the shared folder, each of bounded size and written by Spark's tasks; a task holds
+one block at a time and judges its shards by every block, so that no row's result depends on the number of blocks and
+nothing is merged by key.
+
 Defined cases: null or wordless texts have no words and no hits; null or wordless items have no window; an item of fewer
-words than a window is one window; equal items are all counted; repeated rows are judged each on its own; empty tables
-give empty results or no hits; further columns are ignored or kept.
+words than a window is one window; items of equal text are all counted, rows of one item_id once (a null item_id is "");
+repeated and null doc_ids are judged row by row; texts of any length are indexed whole; empty tables give empty results or
+no hits; further columns are ignored or kept.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .session import arrow_map
+from .session import arrow_map, get_file, new_folder, put_file
 
 #: Consecutive words of a window.
 WINDOW = 10
-#: Benchmark text that one pass sends to the executors at most; a larger benchmark is searched in such blocks.
-BLOCK_BYTES = 16 << 20
+#: Text bytes of a block of benchmark items (or one item); bounds a task's memory.
+BLOCK_BYTES = 4 << 20
 #: Every so many text positions the suffix array is kept.
 SAMPLE = 8
 #: Text bytes of a shard that are indexed together.
@@ -140,22 +147,27 @@ class Windows:
         raw, at = kernels.flat_texts([t.encode() for _, t in items])
         _, _, h, first = kernels.words(raw, at, kernels.ALNUM)
         self.vocabulary, symbol = np.unique(h, return_inverse=True)
-        symbol = symbol + 2  # 0 ends a text, 1 separates its runs
-        found: dict[tuple, set] = {}
-        for i in range(len(items)):
-            w = symbol[first[i] : first[i + 1]].tolist()
-            for j in range(max(1, len(w) - window + 1) if w else 0):
-                found.setdefault(tuple(w[j : j + window]), set()).add(i)
+        symbol = np.append(symbol + 2, np.zeros(window, np.int64))  # 0 ends a text, 1 separates its runs
+        n = np.diff(first)
+        count = np.where(n >= window, n - window + 1, np.minimum(n, 1))
+        item = np.repeat(np.arange(len(items)), count)
+        start = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        length = np.minimum(n[item], window)
+        rows = np.where(np.arange(window) < length[:, None], symbol[start[:, None] + np.arange(window)], 0)
+        self.patterns, code = np.unique(rows, axis=0, return_inverse=True)
+        self.lengths = (self.patterns > 0).sum(axis=1)
+        order = np.lexsort((item, code.reshape(-1)))
+        self.item_of = item[order]
+        self.item_at = np.searchsorted(code.reshape(-1)[order], np.arange(len(self.patterns) + 1))
         self.names = [str(k) for k, _ in items]
-        self.lengths = np.array([len(w) for w in found], np.int64)
-        self.patterns = np.zeros((len(found), window), np.int64)
-        for r, w in enumerate(found):
-            self.patterns[r, : len(w)] = w
-        self.items = [sorted(x) for x in found.values()]
-        self.least = int(self.lengths.min()) if len(found) else 0
+        self.least = int(self.lengths.min()) if len(self.patterns) else 0
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.vocabulary >> np.uint64(44)).astype(np.int64)] = True
 
+    def items(self, pattern: int) -> set[str]:
+        """The items that hold a window."""
+        return {self.names[i] for i in self.item_of[self.item_at[pattern] : self.item_at[pattern + 1]].tolist()}
+
     def symbols(self, h: np.ndarray) -> np.ndarray:
         """The words' symbols; 0 for words of no item."""
         out = np.zeros(len(h), np.int64)
@@ -166,12 +178,12 @@ class Windows:
         return out
 
 
-def shard_hits(windows: Windows, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, set], list[tuple[int, int]]]:
-    """Of one shard: which words are hit, the items found in each row, and the merged hit runs [word, word)."""
+def shard_hits(windows: Windows, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, dict[int, set]]:
+    """Of one shard: which words are hit, and the items found in each row."""
     hit = np.zeros(len(h) + 1, np.int64)
     found: dict[int, set] = {}
     if not len(h) or not len(windows.patterns):
-        return hit[:-1] > 0, found, []
+        return hit[:-1] > 0, found
     symbol = windows.symbols(h)
     edge = np.zeros(len(h) + 1, bool)
     edge[first] = True
@@ -185,7 +197,7 @@ def shard_hits(windows: Windows, h: np.ndarray, first: np.ndarray) -> tuple[np.n
     long = ends - starts >= windows.least
     starts, ends = starts[long], ends[long]
     if not len(starts):
-        return hit[:-1] > 0, found, []
+        return hit[:-1] > 0, found
     sizes = ends - starts + 1
     total = int(sizes.sum())
     run = np.repeat(np.arange(len(starts)), sizes)
@@ -196,24 +208,28 @@ def shard_hits(windows: Windows, h: np.ndarray, first: np.ndarray) -> tuple[np.n
     lo, hi = index.search(windows.patterns, windows.lengths)
     which = np.flatnonzero(hi > lo)
     if not len(which):
-        return hit[:-1] > 0, found, []
+        return hit[:-1] > 0, found
     counts = (hi - lo)[which]
     owner = np.repeat(which, counts)
     rows = np.repeat(lo[which], counts) + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     place = word[index.locate(rows)]
     np.add.at(hit, place, 1)
     np.add.at(hit, place + windows.lengths[owner], -1)
-    flag = np.cumsum(hit[:-1]) > 0
     row = np.searchsorted(first, place, "right") - 1
     for key in np.unique(row * len(windows.patterns) + owner).tolist():
         r, w = divmod(key, len(windows.patterns))
-        found.setdefault(r, set()).update(windows.items[w])
-    cut = flag.copy()
-    cut[1:] &= ~flag[:-1] | edge[1:-1]
-    spans = np.flatnonzero(cut)
-    close = flag.copy()
+        found.setdefault(r, set()).update(windows.items(w))
+    return np.cumsum(hit[:-1]) > 0, found
+
+
+def hit_runs(flag: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+    """The runs [word, word) of hit words, none across rows."""
+    edge = np.zeros(len(flag) + 1, bool)
+    edge[first] = True
+    begin, close = flag.copy(), flag.copy()
+    begin[1:] &= ~flag[:-1] | edge[1:-1]
     close[:-1] &= ~flag[1:] | edge[1:-1]
-    return flag, found, list(zip(spans.tolist(), (np.flatnonzero(close) + 1).tolist(), strict=True))
+    return list(zip(np.flatnonzero(begin).tolist(), (np.flatnonzero(close) + 1).tolist(), strict=True))
 
 
 def cut_texts(texts: pa.Array, spans: dict[int, list]) -> pa.Array:
@@ -228,119 +244,106 @@ def cut_texts(texts: pa.Array, spans: dict[int, list]) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> list[list[tuple[str, str]]]:
-    """The items in blocks of BLOCK_BYTES of text at most (or one item each); they come to the driver a block at a time."""
-    block, size, out = [], 0, []
-    for k, t in items.select(F.col(item_id).cast("string"), F.col(text)).where(F.col(text).isNotNull()).toLocalIterator():
-        n = len(t.encode())
-        if block and size + n > BLOCK_BYTES:
-            out.append(block)
-            block, size = [], 0
-        block.append(("" if k is None else k, t))
-        size += n
-    return [*out, block] if block or not out else out
+def item_blocks(items: DataFrame, item_id: str, text: str) -> tuple[str, list[str]]:
+    """Writes the items to block files of BLOCK_BYTES of text at most (or one item each): their folder and names."""
+    spark = items.sparkSession
+    folder = new_folder(spark, "benchmark")
+    src = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("k"), F.col(text).alias("t")).where("t is not null")
+    size = src.agg(F.sum(F.octet_length("t"))).first()[0] or 0
 
+    def write(batches):
+        part, block, size, names = TaskContext.get().partitionId(), [], 0, []
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), cut: str | None = None) -> DataFrame:
-    """Per document: key, n_words, items (sorted ids of items with occurring windows), spans (merged removal spans as
-    [byte start, byte end) pairs of the UTF-8 text), n_hit words, and the columns ``keep`` (which must not have these names), of which ``cut`` is the text and comes without its spans, if there is one block.
+        def flush():
+            names.append(f"{part:06d}-{len(names):06d}")
+            put_file(folder, names[-1], [json.dumps(block).encode()])
+            block.clear()
 
-    The texts are read once and not shuffled.  The benchmark goes to the executors in blocks of bounded size; with more
-    than one block, each block is a pass over the texts and a document's passes are merged by its row number.
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                n = len(t.encode())
+                if block and size + n > BLOCK_BYTES:
+                    flush()
+                    size = 0
+                block.append((k, t))
+                size += n
+        if block:
+            flush()
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+
+    dealt = src.repartition(max(1, -(-size // BLOCK_BYTES)))
+    return folder, sorted(r.name for r in arrow_map(dealt, write, "name string").collect())
+
+
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: tuple[str, ...] = (), cut: str | None = None) -> DataFrame:
+    """Per row: key, n_words, n_hit words, items (sorted distinct ids of items with occurring windows), spans (merged removal
+    spans as [byte start, byte end) pairs of the UTF-8 text) and the columns ``keep`` (which must not have these names), of
+    which ``cut`` is the text and comes without its spans.  The texts are read once and not shuffled.
     """
-    blocks = _blocks(items, item_id, item_text)
+    folder, names = item_blocks(items, item_id, item_text)
     src = docs.select(F.col(text).alias("__t"), F.col(key).alias("__k"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)])
     types = dict(src.dtypes)
-    schema = f"`{key}` {types['__k']}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>" + "".join(f", `{c}` {types[f'__{i}']}" for i, c in enumerate(keep))
-
-    def one(block):
-        ready: list = []
-
-        def find(batches):
-            if not ready:
-                ready.append(Windows(block, window))
-            windows = ready[0]
-            for batch in batches:
-                raw, at = kernels.flat(batch.column(0))
-                i = 0
-                while i < batch.num_rows:
-                    j = max(i + 1, int(np.searchsorted(at, at[i] + SHARD_BYTES, "right")) - 1)
-                    part = batch.slice(i, j - i)
-                    start, end, h, first = kernels.words(raw[at[i] : at[j]], at[i : j + 1] - at[i], kernels.ALNUM)
-                    flag, found, spans = shard_hits(windows, h, first)
-                    sums = np.concatenate(([0], np.cumsum(flag)))
-                    got: dict[int, list] = {}
-                    for a, b in spans:
-                        r = int(np.searchsorted(first, a, "right")) - 1
-                        base = int(at[i + r] - at[i])
-                        got.setdefault(r, []).append({"start": int(start[a]) - base, "stop": int(end[b - 1]) - base})
-                    rows = range(j - i)
-                    rest = list(part.columns[2:])
-                    if cut:
-                        rest[keep.index(cut)] = cut_texts(rest[keep.index(cut)], got)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column(1),
-                            pa.array(np.diff(first).astype(np.int64)),
-                            pa.array((sums[first[1:]] - sums[first[:-1]]).astype(np.int64)),
-                            pa.array([sorted(windows.names[x] for x in found.get(r, ())) for r in rows], pa.list_(pa.string())),
-                            pa.array([got.get(r, []) for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
-                            *rest,
-                        ],
-                        [key, "n_words", "n_hit", "items", "spans", *keep],
-                    )
-                    i = j
-
-        return arrow_map(src, find, schema)
-
-    if len(blocks) == 1:
-        return one(blocks[0])
-    return _merged([one(b) for b in blocks], key, keep)
-
-
-def _merged(passes: list[DataFrame], key: str, keep: tuple[str, ...]) -> DataFrame:
-    """The union of several passes' hits of each document.  Equal rows (same key and kept columns) have equal hits and are merged as copies: their number is one pass's."""
-    n = len(passes)
-    every = passes[0].withColumn("__p", F.lit(0))
-    for i, p in enumerate(passes[1:], 1):
-        every = every.unionByName(p.withColumn("__p", F.lit(i)))
-    group = every.groupBy(key, "n_words", *keep).agg(
-        F.array_sort(F.flatten(F.collect_list("items"))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("__s"),
-        (F.count(F.lit(1)) / n).cast("int").alias("__n"),
-    )
-    joined = F.aggregate(
-        "__s",
-        F.array().cast("array<struct<start:bigint,stop:bigint>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["stop"] >= s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["stop"], s["stop"]).alias("stop"))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    return group.withColumn("spans", joined).withColumn("items", F.when(F.col("__n") > 1, F.array_distinct("items")).otherwise(F.col("items"))).withColumn("__i", F.explode(F.sequence(F.lit(1), "__n"))).drop("__s", "__n", "__i").withColumn("n_hit", F.lit(None).cast("bigint")).select(key, "n_words", "n_hit", "items", "spans", *keep)
+    schema = f"`{key}` {types['__k']}, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
+    schema += "".join(f", `{c}` {types[f'__{i}']}" for i, c in enumerate(keep))
+    span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
+    def find(batches):
+        held: dict[str, Windows] = {}
 
-def contamination_digests(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with more than one benchmark block, n_hit is counted from the merged spans."""
-    found = contamination(docs, items)
-    if len(_blocks(items, "item_id", "text")) > 1:
-        found = _recounted(docs, found)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-
+        def block(name):
+            if name not in held:
+                held.clear()
+                held[name] = Windows(json.loads(get_file(folder, name)), window)
+            return held[name]
 
-def _recounted(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """n_hit of merged spans: the words that start within one."""
-    once = docs.select("doc_id", F.col("text").alias("__t")).dropDuplicates(["doc_id"])
-    src = found.drop("n_hit").join(once, "doc_id", "left").select("doc_id", "n_words", "items", "spans", "__t")
-
-    def count(batches):
         for batch in batches:
-            raw, at = kernels.flat(batch.column(4))
-            start, _, _, first = kernels.words(raw, at, kernels.ALNUM)
-            hits = []
-            for r, spans in enumerate(batch.column(3).to_pylist()):
-                s = start[first[r] : first[r + 1]] - at[r]
-                hits.append(sum(int(np.searchsorted(s, x["stop"]) - np.searchsorted(s, x["start"])) for x in spans))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), batch.column(2), batch.column(3)], ["doc_id", "n_words", "n_hit", "items", "spans"])
+            shards = list(text_slices(batch.column(0), SHARD_BYTES))
+            seen = [[*kernels.words(raw, at, kernels.ALNUM)] for _, _, raw, at in shards]
+            flags = [np.zeros(len(h), bool) for _, _, h, _ in seen]
+            found: list[dict[int, set]] = [{} for _ in seen]
+            for name in names:
+                for (_, _, h, first), flag, all_found in zip(seen, flags, found, strict=True):
+                    hit, own = shard_hits(block(name), h, first)
+                    flag |= hit
+                    for r, x in own.items():
+                        all_found.setdefault(r, set()).update(x)
+            for (i, j, _, at), (start, end, _, first), flag, own in zip(shards, seen, flags, found, strict=True):
+                sums = np.concatenate(([0], np.cumsum(flag)))
+                got: dict[int, list] = {}
+                for a, b in hit_runs(flag, first):
+                    r = int(np.searchsorted(first, a, "right")) - 1
+                    got.setdefault(r, []).append({"start": int(start[a] - at[r]), "stop": int(end[b - 1] - at[r])})
+                part, rows = batch.slice(i, j - i), range(j - i)
+                rest = list(part.columns[2:])
+                if cut:
+                    rest[keep.index(cut)] = cut_texts(rest[keep.index(cut)], got)
+                columns = [
+                    part.column(1),
+                    pa.array(np.diff(first).astype(np.int64)),
+                    pa.array((sums[first[1:]] - sums[first[:-1]]).astype(np.int64)),
+                    pa.array([sorted(own.get(r, ())) for r in rows], pa.list_(pa.string())),
+                    pa.array([got.get(r, []) for r in rows], pa.list_(span)),
+                ]
+                yield pa.RecordBatch.from_arrays([*columns, *rest], [key, "n_words", "n_hit", "items", "spans", *keep])
+
+    return arrow_map(src, find, schema)
+
+
+def text_slices(column: pa.Array, size: int):
+    """(rows from, to, bytes, offsets) of consecutive rows with about ``size`` bytes of text."""
+    raw, at = kernels.flat(column)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
+        yield i, j, raw[at[i] : at[j]], at[i : j + 1] - at[i]
+        i = j
+
 
-    return arrow_map(src, count, "doc_id bigint, n_words bigint, n_hit bigint, items array<string>, spans array<struct<start:bigint,stop:bigint>>")
+def contamination_digests(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    found = contamination(docs, items)
+    ids = F.sha2(F.concat_ws(",", "items"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def sha_of_items(items: list[str]) -> str:
@@ -354,20 +357,28 @@ def remove_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
     plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
     text = f"c{columns.index('text')}"
     key = f"c{columns.index('doc_id')}" if "doc_id" in columns else "c0"
-    rest = tuple(c for c in plain.columns if c != key)
-    one = len(_blocks(items, "item_id", "text")) == 1
-    got = contamination(plain, items, key=key, text=text, keep=rest, cut=text if one else None)
-    if not one:
-        schema = ", ".join(f"{c} {t}" for c, t in plain.dtypes)
-
-        def cut(batches):
-            for batch in batches:
-                out = {c: batch.column(i + 1) for i, c in enumerate(batch.schema.names[1:])}
-                out[text] = cut_texts(out[text], {r: x for r, x in enumerate(batch.column(0).to_pylist()) if x})
-                yield pa.RecordBatch.from_pydict(out)
-
-        got = arrow_map(got.select("spans", *plain.columns), cut, schema)
+    got = contamination(plain, items, key=key, text=text, keep=tuple(c for c in plain.columns if c != key), cut=text)
     of = {c: F.col(f"c{i}") for i, c in enumerate(columns)}
     if "n_chars" in of:
         of["n_chars"] = F.when(F.col(text).isNull(), of["n_chars"]).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return got.select(*[of[c].alias(c) for c in columns])
+
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLE = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item, least(len(w), {WINDOW}) AS n, array_to_string(w[i : i + least(len(w), {WINDOW}) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - {WINDOW - 1}, 1))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM wins),
+grams AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT doc_id, i, n, item FROM grams JOIN wins USING (n, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
+"""

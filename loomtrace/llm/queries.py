@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import ORACLE as DECONTAM_SQL
 from .warc import ORACLE as WARC_SQL
 
 
@@ -95,4 +96,4 @@ QUERIES = {
     "op9_fm_index_decontamination": op9_fm_index_decontamination,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {"op4_warc_revisits": WARC_SQL}
+ORACLES: dict[str, str] = {"op4_warc_revisits": WARC_SQL, "op9_fm_index_decontamination": DECONTAM_SQL}

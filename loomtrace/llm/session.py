@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or an own one where that is unset (one machine only)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir.  Where that is unset, an own one on a single machine, an error on a cluster."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
@@ -87,6 +89,18 @@ def put_file(folder: str, name: str, payload: list) -> None:
     store.move(temp, f"{path}/{name}")
 
 
+def get_file(folder: str, name: str) -> bytes:
+    """The content of a file of the shared folder."""
+    if path := local_path(folder):
+        with open(f"{path}/{name}", "rb") as f:
+            return f.read()
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{path}/{name}") as f:
+        return f.read()
+
+
 _shipped: set[str] = set()
 
 

@@ -202,18 +202,19 @@ def test_quality(spark):
     assert quality.quality(frame(spark, []), labels).count() == 0
 
 
-ITEMS = [(1, PROSE), (2, "alpha beta"), (3, None), (4, "--"), (5, OTHER), (6, "alpha, BETA!"), (7, "日本語")]
+ITEMS = [(1, PROSE), (2, "alpha beta"), (3, None), (4, "--"), (5, OTHER), (6, "alpha, BETA!"), (7, "日本語"), (7, "eleven"), (None, "zzz")]
 
 
-@pytest.mark.parametrize("block", [1 << 24, 40])
+@pytest.mark.parametrize("block", [1 << 24, 40, 1])
 def test_contamination(spark, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
     windows = {}
     for k, t in ITEMS:
         w = alnum_words(t)
         for j in range(max(1, len(w) - 9) if w else 0):
-            windows.setdefault(tuple(w[j : j + 10]), set()).add(str(k))
-    docs = [r for r in awkward() if r[0] is not None and r[0] != 10] + [(300, "so Alpha-beta is", None, None, 0), (301, "x " * 50 + PROSE[20:] + "y " * 9, None, None, 0)]
+            windows.setdefault(tuple(w[j : j + 10]), set()).add("" if k is None else str(k))
+    more = [(300, "so Alpha-beta is"), (301, "x " * 50 + PROSE[20:] + "y " * 9), (302, "alpha beta zzz"), (302, "qqq www eee"), (302, "alpha beta zzz"), (None, "alpha beta xx"), (None, None), (303, "日本語 zzz eleven " * 300)]
+    docs = awkward() + [(i, t, None, None, 0) for i, t in more]
     want = []
     for i, t, *_ in docs:
         w, hit, found = alnum_words(t), set(), set()
@@ -225,12 +226,13 @@ def test_contamination(spark, monkeypatch, block):
         want.append((i, len(w), len(hit), len(found), decontam.sha_of_items(list(found)), len(hit) > 0))
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     got = rows_of(decontam.contamination_digests(frame(spark, docs), items), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    assert got == sorted(want)
+    assert got == sorted(want, key=lambda r: [(v is not None, v) for v in r])
     df = frame(spark, docs)
     cut = decontam.remove_spans(df, items)
     assert cut.columns == df.columns
     by = {r.doc_id: r.text for r in cut.collect()}
-    assert by[6] == "a" and by[3] is None and "jumps" not in by[301] and by[300] == "so  is"
+    assert by[6] == "a" and by[3] is None and "jumps" not in by[301] and by[300] == "so  is" and by[303].split() == []
+    assert len(docs) == cut.count() and {r.text for r in cut.where("doc_id = 302").collect()} == {"", "qqq www eee"}
     assert decontam.contamination_digests(frame(spark, []), items).count() == 0
     assert decontam.contamination_digests(frame(spark), items.where("false")).where("contaminated").count() == 0
 
