@@ -1,11 +1,17 @@
 """Language identification by compression.
 
-For each language, a zstandard dictionary of raw content is cut from a bounded sample of labelled texts.  A text is
-lower-cased and compressed whole, piece by piece, with every language's dictionary, and the language of the smallest result wins.  The margin - by what part
-the second smallest is larger - is the confidence; below ``margin`` the prediction is rejected (``accepted`` is false).
+For each language, a zstandard dictionary of raw content is made of a bounded sample of labelled texts.  A text is
+lower-cased and compressed whole, piece by piece, with every language's dictionary, and the language of the smallest result
+wins.  The margin - by what part the second smallest is larger - is the confidence; below ``margin`` the prediction is
+rejected (``accepted`` is false).
+
+The sample: of each language's distinct texts the SAMPLE_ROWS with the smallest hashes, those of at most a dictionary's
+size first.  A dictionary holds whole texts in this order as long as they fit, and the first in any case, so every labelled
+language is learned.  With more than DICTIONARIES_BYTES / DICTIONARY_BYTES languages the dictionaries get smaller.
 
 Defined cases: null, or text without a letter: lang_pred ``und``, score 0, not accepted; equal sizes: the language with more
-labelled rows, then the first by name; no labelled row at all: ``und`` throughout; repeated rows are judged each on its own;
+distinct labelled texts, then the first by name, score 0; a text with rows of several languages teaches each; no labelled row
+at all: ``und`` throughout; repeated rows are judged each on its own and taught once; very long texts are compressed whole;
 an empty table gives an empty result; further columns are ignored.
 """
 
@@ -15,20 +21,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import arrow_map
 
-#: Bytes of a language's dictionary.
+#: Bytes of a language's dictionary, and of all dictionaries together.
 DICTIONARY_BYTES = 112 << 10
-#: Sampled rows of a language, and characters taken of one at most.
-SAMPLE_ROWS = 160
-SAMPLE_CHARS = 768
+DICTIONARIES_BYTES = 64 << 20
+#: Labelled rows of a language that are sampled for its dictionary.
+SAMPLE_ROWS = 400
 #: Bytes that are compressed together; a text's sizes are the sums over its pieces, so that a long text isn't mainly compressed by itself.
 PIECE = 1024
-#: Languages that are learned at most, by labelled rows.
-LANGUAGES = 200
 LEVEL = 3
 MARGIN = 0.01
 LETTER = re.compile(r"[^\W\d_]")
@@ -38,32 +42,43 @@ def held_out(key: str, modulus: int, left: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(modulus)) == left
 
 
+def sampled(labelled: DataFrame, cap: int, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, n (distinct texts of the language), h, t: the SAMPLE_ROWS first texts of each language by (longer than ``cap`` bytes, hash).
+
+    Hashes are made distinct and ranked in salted groups before texts are looked at, so neither many copies of a text nor
+    one frequent language meet in one task, and only the sample's texts go on."""
+    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
+    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), (F.octet_length(text) > cap).alias("big"), F.col(text).alias("t"))
+    keys = rows.select("lang", "h", "big").distinct()
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("big", "h")
+    every = Window.partitionBy("lang").orderBy("big", "h")
+    few = keys.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= SAMPLE_ROWS)
+    few = few.withColumn("r", F.row_number().over(every)).where(F.col("r") <= SAMPLE_ROWS).select("lang", "h")
+    picked = rows.join(F.broadcast(few), ["lang", "h"])  # SAMPLE_ROWS keys of each language
+    return picked.groupBy("lang", "h", "big").agg(F.min("t").alias("t")).join(counts, "lang").select("lang", "n", "big", "h", "t")
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
-    """(language, dictionary), most frequent first.  The sample is the rows whose text's hash falls under a part of the range that gives about twice SAMPLE_ROWS rows; only those come to the driver."""
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = sorted(rows.groupBy(lang).count().collect(), key=lambda r: (-r[1], r[0]))[:LANGUAGES]
-    if not counts:
-        return []
-    part = F.lit(0.0)
-    for name, n in counts:
-        part = F.when(F.col(lang) == name, F.lit(min(1.0, 2 * SAMPLE_ROWS / n))).otherwise(part)
-    h = F.xxhash64(text)
-    sample = rows.where((F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))) < part).select(lang, h.alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
-    by: dict[str, dict[int, str]] = {}
-    for name, at, t in sample.toLocalIterator():
-        by.setdefault(name, {}).setdefault(at, t)
-    out = []
-    for name, _ in counts:
-        got, size = [], 0
-        for _, t in sorted(by.get(name, {}).items()):
-            b = t.lower().encode()[: DICTIONARY_BYTES - size]
-            got.append(b)
-            size += len(b)
-            if size >= DICTIONARY_BYTES:
-                break
-        if size >= 8:
-            out.append((name, b"\n".join(reversed(got))[-DICTIONARY_BYTES:]))
-    return out
+    """(language, dictionary), those of most distinct texts first."""
+    by: dict[str, list] = {}
+    counts: dict[str, int] = {}
+    for r in sampled(labelled, DICTIONARY_BYTES, text, lang).toLocalIterator():
+        counts[r.lang] = r.n
+        by.setdefault(r.lang, []).append((r.big, r.h, r.t.lower().encode("utf-8", "replace")))
+    room = min(DICTIONARY_BYTES, DICTIONARIES_BYTES // max(1, len(by)))
+    return [(name, dictionary([t for _, _, t in sorted(by[name])], room)) for name in sorted(by, key=lambda x: (-counts[x], x))]
+
+
+def dictionary(texts: list[bytes], room: int) -> bytes:
+    """Whole texts in their order as long as they fit, the first in any case and nearest to what is compressed."""
+    got, size = [], 0
+    for t in texts:
+        if not got or size + len(t) + 1 <= room:
+            got.append(t)
+            size += len(t) + 1
+    out = b"\n".join(reversed(got))
+    return out * (8 // len(out) + 1) if len(out) < 8 else out  # zstandard wants 8 bytes
 
 
 class Classifier:
@@ -84,7 +99,7 @@ class Classifier:
             return "und", 0.0, False
         raw = text.lower().encode("utf-8", "replace")
         sizes = [sum(len(c.compress(raw[i : i + PIECE])) for i in range(0, len(raw), PIECE)) for c in self.use]
-        best = int(np.argmin(sizes))
+        best = int(np.argmin(sizes))  # the first of equals
         if len(sizes) == 1:
             return self.names[0], 1.0, True
         second = min(s for i, s in enumerate(sizes) if i != best)
@@ -92,11 +107,8 @@ class Classifier:
         return self.names[best], float(gap), gap >= margin
 
 
-_ready: dict = {}
-
-
 def classify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], key: str = "doc_id", text: str = "text", extra: tuple = (), margin: float = MARGIN) -> DataFrame:
-    """key, extra columns, lang_pred, score, accepted.  The dictionaries go to the tasks: LANGUAGES * DICTIONARY_BYTES at most."""
+    """key, extra columns, lang_pred, score, accepted.  The dictionaries go to the tasks: about DICTIONARIES_BYTES at most."""
     src = docs.select(key, text, *extra)
     columns = [c for c in src.columns if c != text]
     schema = ", ".join(f"`{c}` {t}" for c, t in src.dtypes if c != text) + ", lang_pred string, score double, accepted boolean"

@@ -79,6 +79,43 @@ def test_languages(spark):
     assert langid.languages(frame(spark, [])).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    """Many copies of one text, an only text, a text longer than a dictionary, a text of less than 8 bytes."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    greek, long, short = "αλφα βητα γαμμα δελτα", " ".join(word("пбдгжз") for _ in range(12_000)), "ßß"
+    rows = [(4 * i, "un chien et un chat dorment sur le canapé", "fr", None, 0) for i in range(600)] + [(4 * i + 1, " ".join(word("abcdefghst") for _ in range(30)), "en", None, 0) for i in range(300)]
+    rows += [(10_001, greek, "el", None, 0), (10_003, long, "ru", None, 0), (10_005, short, "de", None, 0), (10_007, "", "xx", None, 0), (10_009, greek, None, None, 0)]
+    df = frame(spark, rows)
+    made = dict(langid.fit(df))
+    assert set(made) == {"fr", "en", "el", "ru", "de"} and made["ru"] == long.encode() and len(made["de"]) >= 8
+    got = {r.doc_id: r for r in langid.classify(df, list(made.items())).collect()}
+    assert all(got[i].lang_pred == lang for i, _, lang, *_ in rows if lang not in (None, "xx") and i != 10_005) and got[10_009].lang_pred == "el" and got[10_007].lang_pred == "und"
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text("abc dé\n", max_size=3000), min_size=1, max_size=4))
+def test_predictions_against_plain_compression(texts):
+    import zstandard
+
+    made = [("one", b"abc abc abd" * 40), ("two", "dé dé cab".encode() * 40), ("three", b"abc abc abd" * 40)]
+    use = langid.Classifier(made)
+    parameters = zstandard.ZstdCompressionParameters.from_level(langid.LEVEL, min_match=3, write_content_size=0, write_dict_id=0)
+    for t in texts:
+        if not any(c.isalpha() for c in t):
+            assert use.predict(t) == ("und", 0.0, False)
+            continue
+        raw, sizes = t.encode(), {}
+        for name, d in made:
+            c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=parameters)
+            sizes[name] = sum(len(c.compress(raw[i : i + langid.PIECE])) for i in range(0, len(raw), langid.PIECE))
+        name, score, accepted = use.predict(t)
+        first, second = sorted(sizes.values())[:2]
+        assert name == min(sizes, key=lambda x: (sizes[x], list(sizes).index(x))) and score == (second - first) / second and accepted == (score >= langid.MARGIN) and name != "three"
+
+
 def plain_viterbi(model, text):
     """Best pieces of a whole text by trying every one."""
     table = {p: i for i, (p, k) in enumerate(zip(model.pieces, model.kinds, strict=True)) if k == pieces.NORMAL}
