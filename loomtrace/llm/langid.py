@@ -5,8 +5,8 @@ lower-cased and compressed whole, piece by piece, with every language's dictiona
 wins.  The margin - by what part the second smallest is larger - is the confidence; below ``margin`` the prediction is
 rejected (``accepted`` is false).
 
-The sample: of each language's distinct texts the SAMPLE_ROWS with the smallest hashes, those of at most a dictionary's
-size first.  A dictionary holds whole texts in this order as long as they fit, and the first in any case, so every labelled
+The sample: of each language's distinct texts the SAMPLE_ROWS with the smallest hashes, those of at most a
+SHORTth of a dictionary first.  A dictionary holds whole texts in this order as long as they fit, and the first in any case, so every labelled
 language is learned.  With more than DICTIONARIES_BYTES / DICTIONARY_BYTES languages the dictionaries get smaller.
 
 Defined cases: null, or text without a letter: lang_pred ``und``, score 0, not accepted; equal sizes: the language with more
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .session import arrow_map
 
 #: Bytes of a language's dictionary, and of all dictionaries together.
-DICTIONARY_BYTES = 112 << 10
+DICTIONARY_BYTES = 320 << 10
 DICTIONARIES_BYTES = 64 << 20
+#: Texts of at most this part of a dictionary are sampled first, as many texts teach more than a few long ones.
+SHORT = 160
 #: Labelled rows of a language that are sampled for its dictionary.
 SAMPLE_ROWS = 400
 #: Bytes that are compressed together; a text's sizes are the sums over its pieces, so that a long text isn't mainly compressed by itself.
@@ -63,7 +65,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> list[tup
     """(language, dictionary), those of most distinct texts first."""
     by: dict[str, list] = {}
     counts: dict[str, int] = {}
-    for r in sampled(labelled, DICTIONARY_BYTES, text, lang).toLocalIterator():
+    for r in sampled(labelled, DICTIONARY_BYTES // SHORT, text, lang).toLocalIterator():
         counts[r.lang] = r.n
         by.setdefault(r.lang, []).append((r.big, r.h, r.t.lower().encode("utf-8", "replace")))
     room = min(DICTIONARY_BYTES, DICTIONARIES_BYTES // max(1, len(by)))
