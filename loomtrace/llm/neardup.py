@@ -2,11 +2,17 @@
 
 1. One pass over the texts: distinct shingle hashes, a digest of the set, and band keys of the min-max signature.
 2. Rows of equal sets are one group (aggregated before the shuffle); only its smallest document goes on.
-3. Groups that share a band key are a bucket.  Buckets of equal members are one bucket.  A bucket is handled in blocks of
-   BUCKET_BLOCK members; each pair of blocks is one task's work, so memory is bounded, no pair is ever a row, and no
-   bucket is capped.  Pairs are compared on full sets unless already joined within the task, or of sizes that can't link, or
-   (in buckets of more than SMALL members) met in an earlier band.  A task returns the links that join its members.
-4. Components of the links, by star steps.
+3. Groups that share a band key are a bucket.  Buckets of equal members are one bucket.
+4. Every member is compared with its bucket's leader (the smallest member), each pair of a leader and a member once over all
+   buckets, in chunks of BUCKET_BLOCK members: work and texts moved grow with the members.  Members that are linked with a
+   leader share its label.
+5. Of a bucket only pairs of members with different labels are open.  In a bucket of more than BUCKET_BLOCK members, those
+   without the commonest label first meet PIVOTS members that have it, and take that label if linked.
+6. What is still open is compared in pairs of blocks of BUCKET_BLOCK members: members without the commonest label with all
+   others.  So a large group of near copies costs its size times the number of its blocks of outsiders, memory is bounded, no
+   pair is ever a row, and no bucket is capped.  Pairs of sizes that can't link, or (in buckets of more than SMALL members)
+   met in an earlier band, are left out.
+7. Components of the links, by star steps.
 
 With 24 bands of 4 values, a pair of likeness 0.85 shares no band with probability (1 - 0.85**4)**24 = 2e-8, one of
 0.8 with 3e-6.
@@ -20,7 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels, minmax
@@ -28,6 +34,7 @@ from .components import components
 from .session import arrow_map, cut, fanout
 
 BUCKET_BLOCK = 512
+PIVOTS = 64
 SMALL = 16
 #: Text bytes that are hashed at once.
 STEP_BYTES = 4 << 20
@@ -62,19 +69,20 @@ def set_rows(docs: DataFrame, words: int = minmax.SHINGLE) -> DataFrame:
 
 
 def bucket_links(percent: int, words: int = minmax.SHINGLE):
-    """The work on buckets: rows (bucket, band, size, block, other block, own block, doc_id, text), sorted by the first five."""
+    """The work on buckets: rows (bucket, i, j, band, size, own block, doc_id, label, text), sorted by the first three and the
+    own block.  If there are two blocks, only pairs across them are compared.  Pairs of one label are linked already."""
 
     def work(rows: list, band: int, size: int) -> list[tuple[int, int]]:
         own = [r[0] for r in rows]
         ids = [r[1] for r in rows]
-        raw, at = kernels.flat_texts([(r[2] or "").encode() for r in rows])
+        raw, at = kernels.flat_texts([(r[3] or "").encode() for r in rows])
         values, v_at = minmax.sets(raw, at, words)
         part = [values[v_at[i] : v_at[i + 1]] for i in range(len(rows))]
         n = np.diff(v_at)
         keys = None
         if size > SMALL and band > 0:
             keys = minmax.bands(minmax.signatures(values, v_at))[:, :band]
-        root = np.arange(len(rows))
+        root = np.array([r[2] for r in rows])
         split = own[0] != own[-1]
         half = own.index(own[-1]) if split else 0
         links = []
@@ -83,7 +91,7 @@ def bucket_links(percent: int, words: int = minmax.SHINGLE):
             if lo >= len(rows):
                 break
             small, large = np.minimum(n[x], n[lo:]), np.maximum(n[x], n[lo:])
-            may = 100 * small >= percent * large
+            may = (100 * small >= percent * large) & (root[lo:] != root[x])
             if keys is not None:
                 may &= ~(keys[lo:] == keys[x]).any(axis=1)
             for y in (np.flatnonzero(may) + lo).tolist():
@@ -102,12 +110,12 @@ def bucket_links(percent: int, words: int = minmax.SHINGLE):
             return b
 
         for batch in batches:
-            for bucket, band, size, i, j, own, doc, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for bucket, i, j, band, size, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if (bucket, i, j) != key:
                     if len(rows) > 1:
                         out += work(rows, *head)
                     key, rows, head = (bucket, i, j), [], (band, size)
-                rows.append((own, doc, text))
+                rows.append(row)
             if len(out) > 10_000:
                 yield made()
         if len(rows) > 1:
@@ -117,42 +125,90 @@ def bucket_links(percent: int, words: int = minmax.SHINGLE):
     return links
 
 
+TASK = ("bucket", "i", "j", "band", "size", "own", "rep", "label")
+
+
 def near_links(docs: DataFrame, groups: DataFrame, percent: int, words: int = minmax.SHINGLE) -> DataFrame:
     """Links (a, b) between groups' documents that join all linked ones."""
-    by_band = groups.select("rep", F.posexplode("bands").alias("band", "key")).withColumnRenamed("key", "bucket")
     parts = fanout(docs)
+    by_band = groups.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
     sizes = (
         by_band.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("band").alias("band"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("s2"), F.min("rep").alias("least"))
+        .agg(F.count(F.lit(1)).alias("size"), F.min("band").alias("band"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("s2"), F.min(F.struct("rep", "n")).alias("least"))
         .where("size > 1")
     )
-    kept = sizes.groupBy("size", "s1", "s2", "least").agg(F.min(F.struct("band", "bucket")).alias("f")).select("f.bucket", "f.band", "size")
-    members = by_band.select("bucket", "rep").join(kept, "bucket")
-    blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(11), "rep"), blocks).cast("int")
-    members = members.select("bucket", "band", "size", "rep", own.alias("own"), blocks.alias("blocks"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").where("rep is not null")
-    with_text = members.join(texts, "rep")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    tasks = with_text.withColumn("o", other).select("bucket", "band", "size", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "rep", "text")
-    tasks = tasks.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "rep")
-    return arrow_map(tasks, bucket_links(percent, words), "a bigint, b bigint")
+    kept = sizes.groupBy("size", "s1", "s2", "least").agg(F.min(F.struct("band", "bucket")).alias("f")).select("f.bucket", "f.band", "size", F.col("least.rep").alias("lead"), F.col("least.n").alias("lead_n"))
+    members = cut(by_band.select("bucket", "rep", "n").join(kept, "bucket"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").where("rep is not null").repartition(parts, "rep")
+    texts = cut(texts.join(members.select("rep").distinct(), "rep", "left_semi"))  # stays dealt by rep
+
+    def met(tasks: DataFrame) -> DataFrame:
+        """The links within tasks; a text goes to as many tasks as it has rows."""
+        with_text = tasks.join(texts, "rep").select(*TASK, "text")
+        dealt = with_text.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "rep")
+        return cut(arrow_map(dealt, bucket_links(percent, words), "a bigint, b bigint"))
+
+    def task(df: DataFrame, i, j, own, band=0, size=0, bucket="bucket", rep="rep", label="label") -> DataFrame:
+        made = {"bucket": bucket, "i": i, "j": j, "band": band, "size": size, "own": own, "rep": rep, "label": label}
+        return df.select(*[(F.col(v) if isinstance(v, str) else v if isinstance(v, Column) else F.lit(v)).cast("bigint").alias(k) for k, v in made.items()])
+
+    # every member with its leader
+    can = F.lit(100) * F.least("n", "lead_n") >= F.lit(percent) * F.greatest("n", "lead_n")
+    pairs = members.where((F.col("rep") != F.col("lead")) & can).groupBy("lead", "rep").agg(F.max("size").alias("size"))
+    pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), "rep"), F.ceil(F.col("size") / BUCKET_BLOCK)))
+    heads = pairs.select("lead", "chunk").distinct()
+    first = met(task(heads, "chunk", 0, 0, bucket="lead", rep="lead", label="lead").unionAll(task(pairs, "chunk", 0, 1, bucket="lead", label="rep")))
+    labels = first.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label"))
+
+    # buckets without their leaders that have several labels
+    rest = members.where("rep <> lead").join(labels, "rep", "left").select("bucket", "band", "size", "rep", F.coalesce("label", "rep").alias("label"))
+    counts = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most")).where("kinds > 1")
+    several = several.select("bucket", "all", F.col("most.label").alias("main"), F.col("most.n").alias("mains"))
+    open_ = cut(rest.join(several, "bucket"))
+
+    # large ones: outsiders with pivots of the commonest label
+    large = open_.where(F.col("all") > BUCKET_BLOCK)
+    pivots = large.where("label = main").withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(13), "rep"), "rep"))).where(F.col("r") <= PIVOTS)
+    outside = large.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), "rep"), F.ceil((F.col("all") - F.col("mains")) / BUCKET_BLOCK)))
+    chunks = outside.select("bucket", "chunk").distinct()
+    second = met(task(pivots.join(chunks, "bucket"), "chunk", 0, 0, "band", "size").unionAll(task(outside, "chunk", 0, 1, "band", "size")))
+    pivots = pivots.select("bucket", "rep", F.lit(True).alias("pivot"))
+    joined = second.join(pivots.select(F.col("rep").alias("a"), "bucket"), "a").select("bucket", F.col("b").alias("rep"), F.lit(True).alias("in")).distinct()
+    left = open_.join(pivots, ["bucket", "rep"], "left").where("pivot is null").join(joined, ["bucket", "rep"], "left")
+    left = left.withColumn("label", F.when(F.col("in"), F.col("main")).otherwise(F.col("label")))
+
+    # the rest in pairs of blocks: outsiders' blocks come first and meet all blocks after them
+    sums = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.sum((F.col("label") != F.col("main")).cast("bigint")).alias("outs")).where("outs > 0 and left > 1")
+    left = left.join(sums, "bucket")
+    one = F.col("left") <= BUCKET_BLOCK
+    outs = F.when(one, F.lit(1)).otherwise(F.ceil(F.col("outs") / BUCKET_BLOCK))
+    mains_blocks = F.when(one, F.lit(0)).otherwise(F.ceil((F.col("left") - F.col("outs")) / BUCKET_BLOCK))
+    is_out = F.col("label") != F.col("main")
+    h = F.xxhash64(F.lit(11), "rep")
+    own = F.when(one, F.lit(0)).when(is_out, F.pmod(h, outs)).otherwise(outs + F.pmod(h, mains_blocks)).cast("int")
+    blocks = left.select("bucket", "band", "size", "rep", "label", own.alias("own"), outs.cast("int").alias("outs"), (outs + mains_blocks).cast("int").alias("blocks"))
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("own") < F.col("outs"), F.col("blocks")).otherwise(F.col("outs")) - 1))
+    blocks = blocks.withColumn("o", other)
+    third = met(task(blocks, F.least("own", "o"), F.greatest("own", "o"), "own", "band", "size"))
+    return first.unionAll(second).unionAll(third)
 
 
 def near_groups(docs: DataFrame, percent: int = 85, words: int = minmax.SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links are pairs with 100 * intersection >= percent * union of their sets of shingles of ``words`` words."""
     rows = cut(set_rows(docs, words))
-    groups = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    full = rows.where("n_shingles > 0")
+    groups = cut(full.where("doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    reps = groups.select("d1", "d2", "rep")
     # a document with rows of several sets links their groups through itself
-    several = rows.where("n_shingles > 0").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("doc_id")
-    through = rows.join(several, "doc_id").where("n_shingles > 0").join(groups.select("d1", "d2", "rep"), ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    several = full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("doc_id")
+    through = full.join(several, "doc_id").join(reps, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = near_links(docs, groups, percent, words)
     linked = components(links.unionAll(through))
-    reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = reps.join(linked, reps.rep == linked.node, "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
-    out = rows.select("doc_id", "n_shingles", "d1", "d2").join(reps, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    in_group = full.where("doc_id is not null").join(reps, ["d1", "d2"]).select("doc_id", "n_shingles", F.col("root").alias("component_id"))
+    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return in_group.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, percent: int = 85, words: int = minmax.SHINGLE) -> DataFrame:

@@ -33,11 +33,15 @@ def plain_groups(rows, percent=85):
     return [(i, top(i) if i is not None else None) for i, *_ in rows]
 
 
-@pytest.mark.parametrize("block, small", [(512, 16), (2, 1)])
-def test_near_groups(spark, monkeypatch, block, small):
+@pytest.mark.parametrize("block, small, pivots", [(512, 16, 64), (2, 1, 1), (5, 3, 2)])
+def test_near_groups(spark, monkeypatch, block, small, pivots):
     monkeypatch.setattr(neardup, "BUCKET_BLOCK", block)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
     monkeypatch.setattr(neardup, "SMALL", small)
     rows = awkward() + [(100 + k, PROSE * 6 + " ".join(f"w{k}x{j}" for j in range(k % 7)), "en", "s", 0) for k in range(40)]
+    # families whose members share bands, but aren't all linked: each has lost another part, and a chain of small changes
+    base = [f"b{j}" for j in range(60)]
+    rows += [(300 + k, " ".join(base[: 2 * k] + base[2 * k + 6 :]), "en", "s", 0) for k in range(27)] + [(400 + k, " ".join(base[k:] + [f"c{j}" for j in range(k)]), "en", "s", 0) for k in range(24)]
     got = rows_of(neardup.near_groups(frame(spark, rows)), "doc_id", "component_id")
     assert got == sorted(plain_groups(rows), key=lambda r: [(v is not None, v) for v in r])
 
