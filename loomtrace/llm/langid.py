@@ -32,7 +32,7 @@ DICTIONARIES_BYTES = 64 << 20
 #: Texts of at most this part of a dictionary are sampled first, as many texts teach more than a few long ones.
 SHORT = 160
 #: Labelled rows of a language that are sampled for its dictionary.
-SAMPLE_ROWS = 400
+SAMPLE_ROWS = 256
 #: Bytes that are compressed together; a text's sizes are the sums over its pieces, so that a long text isn't mainly compressed by itself.
 PIECE = 1024
 LEVEL = 3
@@ -53,7 +53,7 @@ def sampled(labelled: DataFrame, cap: int, text: str = "text", lang: str = "lang
     rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), (F.octet_length(text) > cap).alias("big"), F.col(text).alias("t"))
     keys = rows.select("lang", "h", "big").distinct()
     counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    salted = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("big", "h")
+    salted = Window.partitionBy("lang", F.pmod("h", F.lit(16))).orderBy("big", "h")
     every = Window.partitionBy("lang").orderBy("big", "h")
     few = keys.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= SAMPLE_ROWS)
     few = few.withColumn("r", F.row_number().over(every)).where(F.col("r") <= SAMPLE_ROWS).select("lang", "h")

@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import ORACLE as DECONTAM_SQL
+from .neardup import ORACLE as NEAR_SQL
+from .suffix import ORACLE as SUFFIX_SQL
 from .warc import ORACLE as WARC_SQL
 
 
@@ -96,4 +98,9 @@ QUERIES = {
     "op9_fm_index_decontamination": op9_fm_index_decontamination,
     "op10_token_files": op10_token_files,
 }
-ORACLES: dict[str, str] = {"op4_warc_revisits": WARC_SQL, "op9_fm_index_decontamination": DECONTAM_SQL}
+ORACLES: dict[str, str] = {
+    "op4_warc_revisits": WARC_SQL,
+    "op7_minmax_near_dedup": NEAR_SQL,
+    "op8_suffix_dedup": SUFFIX_SQL,
+    "op9_fm_index_decontamination": DECONTAM_SQL,
+}

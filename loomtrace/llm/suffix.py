@@ -533,3 +533,23 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     if "n_chars" in columns:
         columns["n_chars"] = F.when(text.isNull(), columns["n_chars"]).otherwise(F.char_length(text).cast(docs.schema["n_chars"].dataType))
     return got.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+#: repeated_bytes(docs).
+ORACLE = f"""
+WITH h AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
+later AS (
+  SELECT doc_id, p FROM (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY x[p + 1 : p + {LENGTH}] ORDER BY doc_id, p) AS r
+    FROM (SELECT doc_id, x, unnest(generate_series(0, octet_length(x) - {LENGTH})) AS p FROM h WHERE octet_length(x) >= {LENGTH})) WHERE r > 1),
+marked AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH}, true) AS fresh FROM later),
+numbered AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM marked),
+spans AS (SELECT doc_id, s, min(p) AS start, max(p) + {LENGTH} AS stop FROM numbered GROUP BY doc_id, s),
+gaps AS (SELECT doc_id, s, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY s), 0) AS free FROM spans),
+cut AS (
+  SELECT doc_id, sum(stop - start) AS gone, count(*) AS spans, max(stop) AS tail, string_agg(hex(x[free + 1 : start]), '' ORDER BY s) AS kept
+  FROM gaps JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(x) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(CASE WHEN gone IS NULL THEN x ELSE unhex(kept || hex(x[tail + 1 : octet_length(x)])) END) AS kept_sha256
+FROM h LEFT JOIN cut USING (doc_id)
+"""
