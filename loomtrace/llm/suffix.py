@@ -5,25 +5,22 @@ and an earlier start).  So for every start of such a string it must be known whe
 of its kind.  Suffixes are dealt to tasks by content, so that equal prefixes meet, and each task sorts its own:
 
 1. Anchors.  In every window of LENGTH bytes the smallest hash of ANCHOR consecutive bytes (leftmost of equals) is its
-   anchor, so equal windows have equal anchors at equal places.  Neighbouring windows of one anchor are a run; a run's
-   text (anchor, place and all its windows) has a digest.  Runs of equal digests are combined before the shuffle: in
-   a part of the input all but the first are repeats already, and only the first goes on.
-2. Runs meet by their anchor's hash.  All but the first of equal digests are repeats in full.  An anchor with one digest
-   left has no other repeat; only the first runs of anchors with several digests still have open windows.
-   Anchors that a sample finds very frequent, with many digests, meet by digest instead, and all their first runs stay open.
-3. The open runs' texts are cut from the documents and meet again by anchor.  An anchor with more than BIG open runs, or a
-   very frequent one, is dealt on by its windows' hashes instead, one window a row and combined before the shuffle, so
-   that no task's share grows with one passage.
-4. Each task sorts the suffixes of its texts by a difference cover modulo 3 - sample suffixes by their triples' names,
-   recursion on the names (until they span LENGTH bytes), the other suffixes by one symbol and a sample rank, and a
-   merge - and compares adjacent LENGTH-byte prefixes: of each group of equal ones all but the earliest are repeats.
-5. A document's spans are merged and cut from its bytes.
-
-The documents are shuffled once; that exchange serves steps 1, 3 and 5.  A sort of all suffixes of the corpus in one
-distributed recursion would move some 20 bytes for each byte of text and level; here only runs are moved.
-
-Defined cases: null is the empty text; null keys come before all others and stay null; rows of one key are ordered by
-text; empty tables give empty results; further columns are ignored or, by drop_repeats, kept.
+   anchor, so equal windows have equal anchors at equal places.  Neighbouring windows of one anchor are a run.  Each part of
+   the documents tells its distinct anchors, each once; a window whose anchor occurs once in the corpus has no equal.
+2. Each part hears which of its anchors occur again, cuts the texts of their runs from its documents and deals them by
+   anchor.  Equal texts within a slice are compared and go on once.  Anchors with more than BIG different runs are dealt
+   by the hash of each window instead, so that no task's share grows with one passage.  Hashes only route.
+3. Each task sorts its runs' texts; of adjacent equal ones all but the earliest are repeats.  Where an anchor has different
+   texts, their suffixes are sorted by a difference cover modulo 3 - sample suffixes by their triples' names, recursion on
+   the names (until they span LENGTH bytes), the other suffixes by one symbol and a sample rank, and a merge - and adjacent
+   LENGTH-byte prefixes are compared: of each group of equal ones all but the earliest are repeats.
+4. A document's spans are merged and cut from its bytes.
+
+The documents are shuffled once; that exchange serves steps 1, 2 and 4.  All decisions compare bytes.
+
+Defined cases: null is the empty text; null keys come before all others and stay null; rows of one key are ordered by a hash
+of their text; of rows equal in key and text one is the first and the others repeat it; texts of any length are held whole;
+empty tables give empty results; further columns are ignored or, by drop_repeats, kept.
 """
 
 from __future__ import annotations
@@ -41,12 +38,9 @@ from .session import arrow_map, fanout
 
 LENGTH = 100
 ANCHOR = 32
-#: Open runs of one anchor beyond which they are dealt by window.
+#: Different runs of one anchor beyond which they are dealt by window.
 BIG = 4000
-#: Documents that are sampled for very frequent anchors at most, and the digests an anchor must have among them: that many,
-#: and that part of all digests there; so the list of such anchors is bounded.  It decides on routes only, not on results.
-SAMPLE_DOCS, SAMPLE_DIGESTS, SAMPLE_PART = 20_000, 300, 1e-4
-#: Text bytes whose runs are combined before the shuffle.
+#: Text bytes whose runs are found, and whose equal runs are combined, at once.
 PART_BYTES = 16 << 20
 #: Bytes that are sorted together; ranks stay below 2**21, so three of them fit one 64-bit key.
 SORT_BYTES = 1 << 20
@@ -177,51 +171,42 @@ def runs(raw: np.ndarray, at: np.ndarray, length: int, anchor: int, segment: int
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
-def firsts(major: np.ndarray, minor: np.ndarray, key: np.ndarray, dup: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order by (major, minor, key, dup, start), and along it: first of its major, first of its (major, minor)."""
-    order = np.lexsort((start, dup, key, minor, major))
-    a, b = major[order], minor[order]
-    one = np.ones(len(order), bool)
-    one[1:] = a[1:] != a[:-1]
-    two = one.copy()
-    two[1:] |= b[1:] != b[:-1]
-    return order, one, two
+#: What tasks send: to task b, a payload; ``done`` payloads are repeats already.
+PARTS = "b int, done boolean, payload binary"
+#: Spans of a document (its key, its text's hash, its number among texts of that hash): start and stop in turn.
+NOTES = "k bigint, h bigint, u int, spans array<bigint>"
+NOTES_ARROW = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("u", pa.int32()), ("spans", pa.list_(pa.int64()))])
 
 
-PIECES = (("anchor", U), ("digest", U), ("key", np.int64), ("dup", np.int32), ("start", np.int64), ("more", np.uint16), ("where", np.uint16))
+def packed(columns: list[tuple[np.ndarray, type]]) -> bytes:
+    """Columns of equal length in one payload."""
+    return struct.pack("<q", len(columns[0][0])) + b"".join(c.astype(t).tobytes() for c, t in columns)
 
 
-def packed(columns: dict[str, np.ndarray], take: np.ndarray) -> bytes:
-    return struct.pack("<q", len(take)) + b"".join(columns[c][take].astype(t).tobytes() for c, t in PIECES)
+def unpacked(x: bytes, types: tuple) -> tuple[list[np.ndarray], int]:
+    """The columns of a payload and where it goes on."""
+    (n,) = struct.unpack_from("<q", x)
+    at, out = 8, []
+    for t in types:
+        out.append(np.frombuffer(x, t, n, at))
+        at += n * np.dtype(t).itemsize
+    return out, at
 
 
-def unpacked(payloads: list[bytes]) -> dict[str, np.ndarray]:
-    out: dict[str, list] = {c: [] for c, _ in PIECES}
-    for x in payloads:
-        (n,) = struct.unpack_from("<q", x)
-        at = 8
-        for c, t in PIECES:
-            out[c].append(np.frombuffer(x, t, n, at))
-            at += n * np.dtype(t).itemsize
-    return {c: np.concatenate(v) if v else np.empty(0, dict(PIECES)[c]) for c, v in out.items()}
+def part_batch(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], ["b", "done", "payload"])
 
 
-#: What tasks send about documents: key, dup, spans as start and stop in turn, open runs as four numbers each.
-NOTES = "k bigint, dup int, spans array<bigint>, asks array<bigint>"
-NOTES_ARROW = pa.schema([("k", pa.int64()), ("dup", pa.int32()), ("spans", pa.list_(pa.int64())), ("asks", pa.list_(pa.int64()))])
-
-
-def notes(key: np.ndarray, dup: np.ndarray, values: np.ndarray, spans: bool) -> pa.RecordBatch:
-    """A row for each document: its rows of ``values``, in one list.  The input is sorted here."""
-    order = np.lexsort((values[:, 0], dup, key))
-    key, dup, values = key[order], dup[order], values[order]
+def notes(key: np.ndarray, h: np.ndarray, u: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    """A row for each document: its spans in one list.  The input is sorted here."""
+    order = np.lexsort((start, u, h, key))
+    key, h, u = key[order], h[order], u[order]
     cut = np.ones(len(key), bool)
-    cut[1:] = (key[1:] != key[:-1]) | (dup[1:] != dup[:-1])
+    cut[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1]) | (u[1:] != u[:-1])
     at = np.flatnonzero(cut)
-    ends = np.append(at, len(key)) * values.shape[1]
-    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.ascontiguousarray(values).reshape(-1)))
-    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(dup[at].astype(np.int32)), lists if spans else none, none if spans else lists], schema=NOTES_ARROW)
+    ends = pa.array((np.append(at, len(key)) * 2).astype(np.int32))
+    values = np.stack((start[order], stop[order]), 1).astype(np.int64).reshape(-1)
+    return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(h[at]), pa.array(u[at].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(values))], schema=NOTES_ARROW)
 
 
 def slices(batch: pa.RecordBatch, column: int, size: int):
@@ -234,217 +219,207 @@ def slices(batch: pa.RecordBatch, column: int, size: int):
         i = j
 
 
-PARTS = "b int, later boolean, payload binary"
-
-
-def _part_batch(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], ["b", "later", "payload"])
-
+# step 1: anchor, different runs, whether it occurs twice; its answer: anchor, whether it is dealt by window
+ASK, ANSWER = (U, np.uint16, bool), (U, bool)
 
-def own_rows(column: pa.Array, field: str, dups: list[int]) -> list[list[list[int]]]:
-    """For each row, the lists of ``field`` that are the row's own, by its number among the rows of its key."""
-    return [[x[field] for x in (v or ()) if x["dup"] == d and x[field]] for v, d in zip(column.to_pylist(), dups, strict=True)]
 
-
-def frequent_anchors(docs: DataFrame, length: int, anchor: int) -> np.ndarray:
-    """Anchors with very many digests in a bounded sample of the documents; 1 / SAMPLE_PART of them at most."""
-    n = docs.count()
-    part = min(1.0, SAMPLE_DOCS / max(1, n))
-    sample = docs.where((F.shiftrightunsigned(F.xxhash64(F.lit(5), "doc_id"), 11) / F.lit(float(1 << 53))) < part).select("text")
-
-    def count(batches):
-        for batch in batches:
-            for _, _, raw, at in slices(batch, 0, PART_BYTES):
-                h, digest, *_ = runs(raw, at, length, anchor)
-                both = np.unique(np.stack((h, digest), 1), axis=0) if len(h) else np.empty((0, 2), U)
-                keys, times = np.unique(both[:, 0], return_counts=True)
-                some = times > 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[some].view(np.int64), 0)), pa.array(np.append(times[some], 0)), pa.array(np.append(np.zeros(int(some.sum()), np.int64), len(both)))], ["a", "n", "total"])
-
-    got = arrow_map(sample, count, "a bigint, n bigint, total bigint").groupBy("a").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).where((F.col("n") >= SAMPLE_DIGESTS) | (F.col("total") > 0)).collect()
-    least = max(SAMPLE_DIGESTS, SAMPLE_PART * sum(r.total for r in got))
-    return np.sort(np.array([r.a for r in got if r.n >= least], np.int64).view(U))
-
-
-def listed(values: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Which values are among an ascending few."""
-    if not len(some):
-        return np.zeros(len(values), bool)
-    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
-
-
-def find_runs(buckets: int, length: int, anchor: int, frequent: np.ndarray):
-    """Step 1: rows (bucket, later, payload).  ``later`` payloads are repeats already; they go to any bucket."""
+def find_anchors(buckets: int, length: int, anchor: int):
+    """Rows (b, k, h, payload): a part's distinct anchors, in the name of its first document."""
 
     def find(batches):
-        turn = 0
+        first, seen = None, []
         for batch in batches:
-            for i, j, raw, at in slices(batch, 2, PART_BYTES):
-                h, digest, start, more, where = runs(raw, at, length, anchor)
-                if not len(h):
-                    continue
-                row = np.searchsorted(at, start, "right") - 1
-                columns = {"anchor": h, "digest": digest, "key": batch.column(0).slice(i, j - i).to_numpy()[row], "dup": batch.column(1).slice(i, j - i).to_numpy()[row], "start": start - at[row], "more": more, "where": where}
-                order, _, first = firsts(h, digest, columns["key"], columns["dup"], columns["start"])
-                keep = np.zeros(len(h), bool)
-                keep[order[first]] = True
-                out = []
-                kept = np.flatnonzero(keep)
-                bucket = (np.where(listed(h[kept], frequent), kernels.mix(digest[kept]), h[kept]) % U(buckets)).astype(np.int64)
-                sort = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[sort], prepend=-1))
-                for a, b in zip(cuts, np.append(cuts[1:], len(sort)), strict=True):
-                    out.append((int(bucket[sort[a]]), False, packed(columns, kept[sort[a:b]])))
-                rest = np.flatnonzero(~keep)
-                if len(rest):
-                    turn += 1
-                    out.append(((int(h[0] % U(buckets)) + turn) % buckets, True, packed(columns, rest)))
-                yield _part_batch(out)
+            if first is None and batch.num_rows:
+                first = [batch.column(i)[0].as_py() for i in (0, 1)]
+            for _, _, raw, at in slices(batch, 3, PART_BYTES):
+                h, digest, *_ = runs(raw, at, length, anchor)
+                seen.append(np.stack((h, digest)))
+        if first is None:
+            return
+        h, digest = np.concatenate(seen, 1)
+        seen.clear()
+        order = np.lexsort((digest, h))
+        h, digest = h[order], digest[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        at = np.flatnonzero(new)
+        other = new.copy()
+        other[1:] |= digest[1:] != digest[:-1]
+        kinds = np.minimum(np.add.reduceat(other.astype(np.int64), at), 65535) if len(at) else at
+        twice = np.diff(np.append(at, len(h))) > 1
+        bucket = (h[at] % U(buckets)).astype(np.int64)
+        sort = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[sort], prepend=-1))
+        rows = []
+        for x, y in zip(cuts, np.append(cuts[1:], len(sort)), strict=True):
+            take = sort[x:y]
+            rows.append((int(bucket[take[0]]), packed([(h[at][take], ASK[0]), (kinds[take], ASK[1]), (twice[take], ASK[2])])))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([first[0]] * len(rows), pa.int64()), pa.array([first[1]] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["b", "k", "h", "payload"])
 
     return find
 
 
-def match_runs(length: int, frequent: np.ndarray):
-    """Step 2: the documents' spans and open runs (first window, windows less one, anchor's place + 2**16 if dealt by window, anchor hash)."""
-
-    def match(batches):
-        held: list[bytes] = []
-
-        def spans_of(c, take):
-            start = c["start"][take]
-            return notes(c["key"][take], c["dup"][take], np.stack((start, start + c["more"][take].astype(np.int64) + length), 1), True)
+def answer(most: int):
+    """Rows (k, h, payload): those of each part's anchors that occur again, and whether they have more than ``most`` different runs."""
 
+    def work(batches):
+        names, asked = [], []
         for batch in batches:
-            later = []
-            for is_later, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                (later if is_later else held).append(x)
-            if later:
-                c = unpacked(later)
-                yield spans_of(c, np.arange(len(c["key"])))
-        if not held:
+            names += zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            asked += [unpacked(x, ASK)[0] for x in batch.column(3).to_pylist()]
+        if not names:
             return
-        c = unpacked(held)
-        held.clear()
-        order, one, two = firsts(c["anchor"], c["digest"], c["key"], c["dup"], c["start"])
-        if not two.all():
-            yield spans_of(c, order[~two])
-        group = np.cumsum(one) - 1
-        variants = np.bincount(group[two])
-        often = listed(c["anchor"][order], frequent)
-        open_ = two & ((variants[group] > 1) | often)
-        if open_.any():
-            take = order[open_]
-            big = ((variants[group[open_]] > BIG) | often[open_]).astype(np.int64) << 16
-            values = np.stack((c["start"][take], c["more"][take].astype(np.int64), c["where"][take].astype(np.int64) + big, c["anchor"][take].view(np.int64)), 1)
-            yield notes(c["key"][take], c["dup"][take], values, False)
+        every, code = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        kinds = np.bincount(code, np.concatenate([a[1] for a in asked]))
+        times = np.bincount(code, np.concatenate([a[2] for a in asked]) + 1.0)
+        again, often = times > 1, kinds > most
+        at, out = 0, []
+        for a in asked:
+            own = code[at : at + len(a[0])]
+            at += len(a[0])
+            take = again[own]
+            out.append(packed([(a[0][take], ANSWER[0]), (often[own][take], ANSWER[1])]))
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in names], pa.int64()), pa.array([h for _, h in names], pa.int64()), pa.array(out, pa.binary())], ["k", "h", "payload"])
+
+    return work
+
 
-    return match
+# step 2: route, key, hash, number, start, size; then the texts
+TEXTS = (U, np.int64, np.int64, np.int32, np.int64, np.int64)
 
 
-def cut_texts(buckets: int, length: int):
-    """Step 3: rows (bucket, later, payload) with the open runs' texts; payload: count, then anchors, keys, dups, starts, sizes, texts."""
+def cut_texts(buckets: int, length: int, anchor: int):
+    """Rows (b, done, payload) with the texts of the runs whose anchors occur again."""
 
     def pack(rows):
-        head = struct.pack("<q", len(rows))
-        return head + np.array([r[0] for r in rows], U).tobytes() + np.array([r[1] for r in rows], np.int64).tobytes() + np.array([r[2] for r in rows], np.int32).tobytes() + np.array([r[3] for r in rows], np.int64).tobytes() + np.array([len(r[4]) for r in rows], np.int64).tobytes() + b"".join(r[4] for r in rows)
+        route, owner, text = zip(*rows, strict=True)
+        k, h, u, start = (np.array(x) for x in zip(*owner, strict=True))
+        return packed([(np.array(route, U), U), (k, np.int64), (h, np.int64), (u, np.int32), (start, np.int64), (np.array([len(x) for x in text]), np.int64)]) + b"".join(text)
 
     def cut(batches):
+        known = None
         for batch in batches:
-            by: dict[int, list] = {}
-            big: dict[bytes, tuple] = {}
-            later = []
-            keys, dups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for r, asks in enumerate(own_rows(batch.column(5), "asks", dups)):
-                if not asks:
+            if known is None and batch.num_rows:
+                answers = batch.column(4)[0].as_py()
+                if answers is None:
+                    raise RuntimeError("the documents are not dealt as they were when their anchors were found")
+                got = [unpacked(x, ANSWER)[0] for x in answers]
+                again, often = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
+                order = np.argsort(again)
+                known = again[order], often[order]
+            for i, j, raw, at in slices(batch, 3, PART_BYTES):
+                h, _, start, more, _ = runs(raw, at, length, anchor)
+                place = np.minimum(np.searchsorted(known[0], h), max(0, len(known[0]) - 1))
+                take = np.flatnonzero(known[0][place] == h) if len(known[0]) else np.empty(0, np.int64)
+                if not len(take):
                     continue
-                raw = batch.column(2)[r].as_py().encode()
-                flat = np.concatenate([np.array(a, np.int64) for a in asks]).reshape(-1, 4)
-                for start, more, where, anchor in flat.tolist():
-                    if where >> 16:
-                        for s in range(start, start + more + 1):
-                            w, own = raw[s : s + length], (keys[r], dups[r], s)
-                            was = big.get(w)
-                            if was is None:
-                                big[w] = own
-                            elif own < was:
-                                big[w] = own
-                                later.append((0, *was, b""))
-                            else:
-                                later.append((0, *own, b""))
-                    else:
-                        a = anchor & kernels.MASK
-                        by.setdefault(a % buckets, []).append((a, keys[r], dups[r], start, raw[start : start + more + length]))
-            for w, own in big.items():
-                a = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-                by.setdefault(a % buckets, []).append((a, *own, w))
-            rows = [(b, False, pack(x)) for b, x in by.items()]
-            if later:
-                rows.append((int(abs(later[0][1])) % buckets, True, pack(later)))
-            if rows:
-                yield _part_batch(rows)
+                row = np.searchsorted(at, start[take], "right") - 1
+                own = list(zip(*[batch.column(c).slice(i, j - i).to_numpy()[row].tolist() for c in (0, 1, 2)], (start[take] - at[row]).tolist(), strict=True))
+                text = raw.tobytes()
+                first: dict[tuple, tuple] = {}
+                done = []
+
+                def meet(route, owner, piece):
+                    was = first.get((route, piece))
+                    if was is None or owner < was:
+                        first[route, piece] = owner
+                        owner = was
+                    if owner is not None:
+                        done.append((0, owner, b""))
+                        sizes.append(len(piece))
+
+                sizes: list[int] = []
+                for a, owner, s, m, w in zip(h[take].tolist(), own, start[take].tolist(), more[take].tolist(), known[1][place[take]].tolist(), strict=True):
+                    if not w:
+                        meet(a, owner, text[s : s + m + length])
+                        continue
+                    for d in range(m + 1):
+                        piece = text[s + d : s + d + length]
+                        meet(int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little"), (*owner[:3], owner[3] + d), piece)
+                by: dict[int, list] = {}
+                for (route, piece), owner in first.items():
+                    by.setdefault(route % buckets, []).append((route, owner, piece))
+                rows = [(b, False, pack(x)) for b, x in by.items()]
+                if done:
+                    k, hh, u, s = (np.array(x) for x in zip(*[o for _, o, _ in done], strict=True))
+                    rows.append((int(take[0]) % buckets, True, packed([(np.zeros(len(k)), U), (k, np.int64), (hh, np.int64), (u, np.int32), (s, np.int64), (np.array(sizes), np.int64)])))
+                yield part_batch(rows)
 
     return cut
 
 
 def sort_texts(length: int):
-    """Step 4: the spans of repeated windows."""
-
-    def read(payloads):
-        cols: list[list] = [[], [], [], [], []]
-        texts: list[bytes] = []
-        for x in payloads:
-            (n,) = struct.unpack_from("<q", x)
-            at = 8
-            for c, t in zip(cols, (U, np.int64, np.int32, np.int64, np.int64), strict=True):
-                c.append(np.frombuffer(x, t, n, at))
-                at += n * np.dtype(t).itemsize
-            for s in cols[4][-1].tolist():
-                texts.append(x[at : at + s])
-                at += s
-        return [np.concatenate(c) for c in cols], texts
-
-    def windows(anchor, key, dup, start, texts):
-        """Spans of one share of whole anchors' texts, which are in the order of (anchor, key, dup, start)."""
-        rank = np.empty(len(texts), np.int64)
-        rank[np.lexsort((start, dup, key))] = np.arange(len(texts))
+    """Step 3: the spans of repeated windows."""
+
+    def windows(rank, texts):
+        """(text, start, stop) of the repeated windows of one share of whole routes' different texts."""
         later = later_windows(texts, rank, length)
-        if not later.any():
-            return None
+        at = np.flatnonzero(later)
+        if not len(at):
+            return at, at, at
         sizes = np.array([len(x) for x in texts], np.int64)
         base = np.cumsum(sizes) - sizes
-        at = np.flatnonzero(later)
         own = np.searchsorted(base, at, "right") - 1
         begin = np.ones(len(at), bool)
         begin[1:] = (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])
         i = np.flatnonzero(begin)
         j = np.append(i[1:], len(at)) - 1
-        s = start[own[i]] + at[i] - base[own[i]]
-        return notes(key[own[i]], dup[own[i]], np.stack((s, s + at[j] - at[i] + length), 1), True)
+        start = at[i] - base[own[i]]
+        return own[i], start, start + at[j] - at[i] + length
 
     def work(batches):
         held: list[bytes] = []
         for batch in batches:
-            later = []
-            for is_later, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                (later if is_later else held).append(x)
-            if later:
-                (_, key, dup, start, _), _ = read(later)
-                yield notes(key, dup, np.stack((start, start + length), 1), True)
+            for done, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if done:
+                    (_, k, h, u, start, size), _ = unpacked(x, TEXTS)
+                    yield notes(k, h, u, start, start + size)
+                else:
+                    held.append(x)
         if not held:
             return
-        (anchor, key, dup, start, sizes), texts = read(held)
+        columns, texts = [], []
+        for x in held:
+            got, at = unpacked(x, TEXTS)
+            columns.append(got)
+            for n in got[5].tolist():
+                texts.append(x[at : at + n])
+                at += n
         held.clear()
-        order = np.argsort(anchor, kind="stable")
-        anchor, key, dup, start, sizes = anchor[order], key[order], dup[order], start[order], sizes[order]
+        route, k, h, u, start, size = (np.concatenate(c) for c in zip(*columns, strict=True))
+        columns.clear()
+        # by route, then text; of equal ones the earliest first
+        order = np.lexsort((start, u, h, k, route))
+        rows = order.tolist()
+        rows.sort(key=lambda i: (int(route[i]), texts[i]))
+        order = np.array(rows)
+        same = np.array([False, *(route[x] == route[y] and texts[x] == texts[y] for x, y in zip(rows, rows[1:], strict=False))])
+        if same.any():
+            x = order[same]
+            yield notes(k[x], h[x], u[x], start[x], start[x] + size[x])
+        order = order[~same]
+        route = route[order]
+        one = np.ones(len(order), bool)
+        one[1:] = route[1:] != route[:-1]
+        group = np.cumsum(one) - 1
+        order = order[np.bincount(group)[group] > 1]
+        group = group[np.bincount(group)[group] > 1]
+        if not len(order):
+            return
+        k, h, u, start, size = k[order], h[order], u[order], start[order], size[order]
         texts = [texts[i] for i in order.tolist()]
-        cuts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1], [True])))
-        ends = np.concatenate(([0], np.cumsum(sizes)))
+        cuts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
+        ends = np.concatenate(([0], np.cumsum(size)))
         i = 0
         while i < len(cuts) - 1:
             j = max(i + 1, int(np.searchsorted(ends[cuts], ends[cuts[i]] + SORT_BYTES, "right")) - 1)
             a, b = cuts[i], cuts[j]
-            if (got := windows(anchor[a:b], key[a:b], dup[a:b], start[a:b], texts[a:b])) is not None:
-                yield got
+            rank = np.empty(b - a, np.int64)
+            rank[np.lexsort((start[a:b], u[a:b], h[a:b], k[a:b]))] = np.arange(b - a)
+            own, x, y = windows(rank, texts[a:b])
+            if len(own):
+                own = own + a
+                yield notes(k[own], h[own], u[own], start[own] + x, start[own] + y)
             i = j
 
     return work
@@ -465,20 +440,37 @@ def covered(n: int, lists: list) -> np.ndarray:
 
 
 def _with_spans(docs: DataFrame, length: int, anchor: int, rest: list[str]) -> DataFrame:
-    """__k, __dup, __t, __rest, spans (arrays of start and stop in turn, from steps 2 and 4)."""
+    """__k, __u, __again (equal to an earlier row in key and text), __t, __rest, spans (a list of (u, spans))."""
     parts = fanout(docs)
-    frequent = frequent_anchors(docs, length, anchor)
-    src = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_KEY)).alias("__k"), F.coalesce("text", F.lit("")).alias("__t"), F.struct(F.col("text").isNull().alias("__null"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("__rest"))
-    dealt = src.repartition(parts, "__k").withColumn("__dup", F.row_number().over(Window.partitionBy("__k").orderBy("__t")))
-    dealt = dealt.select("__k", "__dup", "__t", "__rest")
-    made = arrow_map(dealt, find_runs(parts, length, anchor, frequent), PARTS).repartitionById(parts, "b")
-    found = arrow_map(made, match_runs(length, frequent), NOTES)
-    # by key alone, as the documents are dealt already, so that these joins move no text; own_rows() takes a row's own lists
-    per_doc = found.groupBy(F.col("k").alias("__k")).agg(F.collect_list(F.struct("dup", "spans")).alias("spans"), F.collect_list(F.struct("dup", "asks")).alias("asks"))
-    joined = dealt.join(per_doc, "__k", "left").select("__k", "__dup", "__t", "__rest", "spans", "asks")
-    texts = arrow_map(joined, cut_texts(parts, length), PARTS).repartitionById(parts, "b")
-    more = arrow_map(texts, sort_texts(length), NOTES).groupBy(F.col("k").alias("__k")).agg(F.collect_list(F.struct("dup", "spans")).alias("spans2"))
-    return joined.join(more, "__k", "left").select("__k", "__dup", "__t", "__rest", "spans", "asks", "spans2")
+    t = F.coalesce("text", F.lit(""))
+    src = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_KEY)).alias("__k"), t.alias("__t"), F.struct(F.col("text").isNull().alias("__null"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("__rest"))
+    # texts without a window take no part and are dealt by their row; so many equal ones don't meet
+    short = F.octet_length("__t") < length
+    src = src.withColumn("__h", F.when(short, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("__t")))
+    w = Window.partitionBy("__k", "__h").orderBy("__t")
+    dealt = src.repartition(parts, "__k", "__h").withColumn("__u", F.dense_rank().over(w)).withColumn("__again", F.coalesce(F.lag("__t").over(w) == F.col("__t"), F.lit(False)))
+    live = dealt.where(~F.col("__again") & ~short).select("__k", "__h", "__u", "__t")
+    asked = arrow_map(live, find_anchors(parts, length, anchor), "b int, k bigint, h bigint, payload binary").repartitionById(parts, "b")
+    answers = arrow_map(asked, answer(BIG), "k bigint, h bigint, payload binary")
+    answers = answers.groupBy(F.col("k").alias("__k"), F.col("h").alias("__h")).agg(F.collect_list("payload").alias("answers"))  # one row for each part
+    joined = live.join(answers, ["__k", "__h"], "left").select("__k", "__h", "__u", "__t", "answers")
+    texts = arrow_map(joined, cut_texts(parts, length, anchor), PARTS).repartitionById(parts, "b")
+    found = arrow_map(texts, sort_texts(length), NOTES)
+    found = found.groupBy(F.col("k").alias("__k"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("u", "spans")).alias("spans"))  # of one text
+    return dealt.join(found, ["__k", "__h"], "left").select("__k", "__u", "__again", "__t", "__rest", "spans")
+
+
+def spans_of(batch: pa.RecordBatch, length: int) -> list[tuple[bytes, np.ndarray | None]]:
+    """Each row's bytes and which of them go; None if none do."""
+    out = []
+    for u, again, text, spans in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3, 5)], strict=True):
+        raw = text.encode()
+        if again and len(raw) >= length:
+            out.append((raw, np.ones(len(raw), bool)))
+        else:
+            own = [x["spans"] for x in spans or () if x["u"] == u]
+            out.append((raw, covered(len(raw), own) if own else None))
+    return out
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
@@ -487,17 +479,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     def judge(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            dups = batch.column(1).to_pylist()
-            for text, one, two in zip(batch.column(2), own_rows(batch.column(4), "spans", dups), own_rows(batch.column(6), "spans", dups), strict=True):
-                raw = text.as_py().encode()
-                lists = one + two
-                n, gone, spans, kept = len(raw), 0, 0, raw
-                if lists:
-                    c = covered(n, lists)
-                    gone = int(c.sum())
-                    spans = int(c[0]) + int(np.count_nonzero(c[1:] & ~c[:-1])) if n else 0
+            for raw, c in spans_of(batch, length):
+                gone, spans, kept = 0, 0, raw
+                if c is not None:
+                    gone, spans = int(c.sum()), int(c[0]) + int(np.count_nonzero(c[1:] & ~c[:-1]))
                     kept = np.frombuffer(raw, np.uint8)[~c].tobytes()
-                for o, v in zip(out, (n, gone, spans, hashlib.sha256(kept).hexdigest()), strict=True):
+                for o, v in zip(out, (len(raw), gone, spans, hashlib.sha256(kept).hexdigest()), strict=True):
                     o.append(v)
             key = batch.column(0).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(key, mask=key == NO_KEY), *[pa.array(o, pa.int64()) for o in out[:3]], pa.array(out[3])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -512,18 +499,14 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     def cut(batches):
         for batch in batches:
             texts = []
-            dups = batch.column(1).to_pylist()
-            for text, one, two in zip(batch.column(2), own_rows(batch.column(4), "spans", dups), own_rows(batch.column(6), "spans", dups), strict=True):
-                t = text.as_py()
-                lists = one + two
-                if lists and t:
-                    raw = np.frombuffer(t.encode(), np.uint8)
-                    c = covered(len(raw), lists)
+            for data, c in spans_of(batch, length):
+                if c is not None:
+                    raw = np.frombuffer(data, np.uint8)
                     lead = np.flatnonzero((raw & 0xC0) != 0x80)
                     whole = np.repeat(np.logical_and.reduceat(c, lead), np.diff(np.append(lead, len(raw))))
-                    t = raw[~whole].tobytes().decode()
-                texts.append(t)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(3)], ["__t", "__rest"])
+                    data = raw[~whole].tobytes()
+                texts.append(data.decode())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(4)], ["__t", "__rest"])
 
     spans = _with_spans(docs, length, anchor, rest)
     kind = spans.schema["__rest"].dataType.simpleString()
@@ -538,10 +521,10 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
 #: repeated_bytes(docs).
 ORACLE = f"""
 WITH h AS (SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents),
-later AS (
-  SELECT doc_id, p FROM (
-    SELECT doc_id, p, row_number() OVER (PARTITION BY x[p + 1 : p + {LENGTH}] ORDER BY doc_id, p) AS r
-    FROM (SELECT doc_id, x, unnest(generate_series(0, octet_length(x) - {LENGTH})) AS p FROM h WHERE octet_length(x) >= {LENGTH})) WHERE r > 1),
+wins AS (
+  SELECT doc_id, p, CAST(doc_id AS HUGEINT) * 1099511627776 + p AS place, x[p + 1 : p + {LENGTH}] AS w
+  FROM (SELECT doc_id, x, unnest(generate_series(0, octet_length(x) - {LENGTH})) AS p FROM h WHERE octet_length(x) >= {LENGTH})),
+later AS (SELECT doc_id, p FROM wins WHERE place NOT IN (SELECT min(place) FROM wins GROUP BY w)),
 marked AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + {LENGTH}, true) AS fresh FROM later),
 numbered AS (SELECT doc_id, p, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM marked),
 spans AS (SELECT doc_id, s, min(p) AS start, max(p) + {LENGTH} AS stop FROM numbered GROUP BY doc_id, s),

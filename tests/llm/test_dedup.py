@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from loomtrace.llm import minmax, neardup, suffix
 
-from .helpers import SCHEMA, PROSE, awkward, frame, rows_of, space_words
+from .helpers import OTHER, PROSE, SCHEMA, awkward, frame, rows_of, space_words
 
 
 def plain_groups(rows, percent=85):
@@ -73,7 +73,10 @@ def test_signature_estimates_likeness():
 
 
 def plain_repeats(rows, length=100):
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    import xxhash
+
+    place = lambda t: int(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64))
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place(r[1])))
     seen, out = set(), []
     for i, t, *_ in rows:
         raw = (t or "").encode()
@@ -90,16 +93,32 @@ def plain_repeats(rows, length=100):
     return sorted(out, key=lambda r: [(v is not None, v) for v in r])
 
 
-@pytest.mark.parametrize("big, digests", [(4000, 300), (1, 300), (4000, 2)])
-def test_repeated_bytes(spark, monkeypatch, big, digests):
+@pytest.mark.parametrize("big, part", [(4000, 16 << 20), (1, 16 << 20), (3, 2000), (0, 1)])
+def test_repeated_bytes(spark, monkeypatch, big, part):
     monkeypatch.setattr(suffix, "BIG", big)
-    monkeypatch.setattr(suffix, "SAMPLE_DIGESTS", digests)
-    monkeypatch.setattr(suffix, "SAMPLE_PART", 0)
+    monkeypatch.setattr(suffix, "PART_BYTES", part)
     rows = awkward() + [(200 + k, f"{k} " * 30 + PROSE + f" {k * k} " * 20, "en", "s", 0) for k in range(25)]
+    rows += [(5, PROSE * 2 + "x", "en", "s", 0), (5, OTHER * 2, "en", "s", 0), (5, OTHER * 2, "fr", "s", 0), (None, PROSE, "fr", "s", 0)]
     got = rows_of(suffix.repeated_bytes(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == plain_repeats(rows)
 
 
+def test_many_rows_without_a_key(spark):
+    rows = [(None, f"row {k % 1500} " * (k % 40) + PROSE[: k % 120], "en", "s", 0) for k in range(5000)] + [(7, PROSE, "en", "s", 0)] * 40 + [(None, None, None, None, None)] * 30
+    got = rows_of(suffix.repeated_bytes(frame(spark, rows, extra=False)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == plain_repeats(rows)
+
+
+def test_a_text_of_megabytes(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(1, "".join(rng.choice("abcdef") for _ in range(700_000)), "en", "s", 0)]
+    rows += [(2, rows[0][1][300_000:300_500] + "z" * 250 + rows[0][1][1000:1100], "en", "s", 0)]
+    got = {r.doc_id: r for r in suffix.repeated_bytes(frame(spark, rows)).collect()}
+    assert (got[1].n_removed, got[2].n_removed, got[2].n_spans) == (0, 500 + 249 + 100, 2)
+
+
 def test_repeats_empty(spark):
     assert suffix.repeated_bytes(frame(spark, [])).count() == 0
     assert suffix.drop_repeats(frame(spark, [])).count() == 0
