@@ -30,6 +30,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -294,7 +295,8 @@ def cut_texts(buckets: int, length: int, anchor: int):
     def pack(rows):
         route, owner, text = zip(*rows, strict=True)
         k, h, u, start = (np.array(x) for x in zip(*owner, strict=True))
-        return packed([(np.array(route, U), U), (k, np.int64), (h, np.int64), (u, np.int32), (start, np.int64), (np.array([len(x) for x in text]), np.int64)]) + b"".join(text)
+        head = packed([(np.array(route, U), U), (k, np.int64), (h, np.int64), (u, np.int32), (start, np.int64), (np.array([len(x) for x in text]), np.int64)])
+        return head + zstandard.ZstdCompressor(level=1).compress(b"".join(text))
 
     def cut(batches):
         known = None
@@ -317,32 +319,25 @@ def cut_texts(buckets: int, length: int, anchor: int):
                 own = list(zip(*[batch.column(c).slice(i, j - i).to_numpy()[row].tolist() for c in (0, 1, 2)], (start[take] - at[row]).tolist(), strict=True))
                 text = raw.tobytes()
                 first: dict[tuple, tuple] = {}
-                done = []
-
-                def meet(route, owner, piece):
-                    was = first.get((route, piece))
-                    if was is None or owner < was:
-                        first[route, piece] = owner
-                        owner = was
-                    if owner is not None:
-                        done.append((0, owner, b""))
-                        sizes.append(len(piece))
-
-                sizes: list[int] = []
+                done = []  # documents and places ascend, so the first owner of a text is the earliest
                 for a, owner, s, m, w in zip(h[take].tolist(), own, start[take].tolist(), more[take].tolist(), known[1][place[take]].tolist(), strict=True):
                     if not w:
-                        meet(a, owner, text[s : s + m + length])
+                        piece = text[s : s + m + length]
+                        if first.setdefault((a, piece), owner) is not owner:
+                            done.append((*owner, m + length))
                         continue
                     for d in range(m + 1):
                         piece = text[s + d : s + d + length]
-                        meet(int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little"), (*owner[:3], owner[3] + d), piece)
+                        owner_d = (*owner[:3], owner[3] + d)
+                        if first.setdefault((int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little"), piece), owner_d) is not owner_d:
+                            done.append((*owner_d, length))
                 by: dict[int, list] = {}
                 for (route, piece), owner in first.items():
                     by.setdefault(route % buckets, []).append((route, owner, piece))
                 rows = [(b, False, pack(x)) for b, x in by.items()]
                 if done:
-                    k, hh, u, s = (np.array(x) for x in zip(*[o for _, o, _ in done], strict=True))
-                    rows.append((int(take[0]) % buckets, True, packed([(np.zeros(len(k)), U), (k, np.int64), (hh, np.int64), (u, np.int32), (s, np.int64), (np.array(sizes), np.int64)])))
+                    k, hh, u, s, size = (np.array(x) for x in zip(*done, strict=True))
+                    rows.append((int(h[take[0]] % U(buckets)), True, packed([(np.zeros(len(k)), U), (k, np.int64), (hh, np.int64), (u, np.int32), (s, np.int64), (size, np.int64)])))
                 yield part_batch(rows)
 
     return cut
@@ -382,18 +377,19 @@ def sort_texts(length: int):
         for x in held:
             got, at = unpacked(x, TEXTS)
             columns.append(got)
+            every, at = zstandard.decompress(x[at:]), 0
             for n in got[5].tolist():
-                texts.append(x[at : at + n])
+                texts.append(every[at : at + n])
                 at += n
         held.clear()
         route, k, h, u, start, size = (np.concatenate(c) for c in zip(*columns, strict=True))
         columns.clear()
         # by route, then text; of equal ones the earliest first
-        order = np.lexsort((start, u, h, k, route))
-        rows = order.tolist()
-        rows.sort(key=lambda i: (int(route[i]), texts[i]))
+        rows = np.lexsort((start, u, h, k)).tolist()
+        rank = np.unique(route, return_inverse=True)[1].tolist()
+        rows.sort(key=lambda i: (rank[i], texts[i]))
         order = np.array(rows)
-        same = np.array([False, *(route[x] == route[y] and texts[x] == texts[y] for x, y in zip(rows, rows[1:], strict=False))])
+        same = np.array([False, *(rank[x] == rank[y] and texts[x] == texts[y] for x, y in zip(rows, rows[1:], strict=False))])
         if same.any():
             x = order[same]
             yield notes(k[x], h[x], u[x], start[x], start[x] + size[x])
@@ -449,11 +445,12 @@ def _with_spans(docs: DataFrame, length: int, anchor: int, rest: list[str]) -> D
     src = src.withColumn("__h", F.when(short, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("__t")))
     w = Window.partitionBy("__k", "__h").orderBy("__t")
     dealt = src.repartition(parts, "__k", "__h").withColumn("__u", F.dense_rank().over(w)).withColumn("__again", F.coalesce(F.lag("__t").over(w) == F.col("__t"), F.lit(False)))
-    live = dealt.where(~F.col("__again") & ~short).select("__k", "__h", "__u", "__t")
+    # with __rest, so that all steps read one exchange
+    live = dealt.where(~F.col("__again") & ~short).select("__k", "__h", "__u", "__t", "__rest")
     asked = arrow_map(live, find_anchors(parts, length, anchor), "b int, k bigint, h bigint, payload binary").repartitionById(parts, "b")
     answers = arrow_map(asked, answer(BIG), "k bigint, h bigint, payload binary")
     answers = answers.groupBy(F.col("k").alias("__k"), F.col("h").alias("__h")).agg(F.collect_list("payload").alias("answers"))  # one row for each part
-    joined = live.join(answers, ["__k", "__h"], "left").select("__k", "__h", "__u", "__t", "answers")
+    joined = live.join(answers, ["__k", "__h"], "left").select("__k", "__h", "__u", "__t", "answers", "__rest")
     texts = arrow_map(joined, cut_texts(parts, length, anchor), PARTS).repartitionById(parts, "b")
     found = arrow_map(texts, sort_texts(length), NOTES)
     found = found.groupBy(F.col("k").alias("__k"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("u", "spans")).alias("spans"))  # of one text
