@@ -6,8 +6,8 @@ both have), containment, and the number of distinct shingles ((K - 1) / K-th sma
 fewer than K shingles are held whole, and all three figures are then exact.
 
 Defined cases: null text is empty and has the empty sketch, whose string is ""; two empty sketches are alike (1.0), an
-empty and another are not (0.0); a text of fewer than five words is one shingle; rows of one key are ordered by text; null
-keys come first; an only document is its own next one; further columns are ignored.
+empty and another are not (0.0); a text of fewer than five words is one shingle; rows of one key are ordered by a
+hash of their text, then text; null keys come first; an only document is its own next one; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
-from .session import arrow_map, fanout, ordered_bounds, ordered_bucket
+from .session import OrderedBuckets, arrow_map, fanout
 
 K = 128
 SHINGLE = 5
@@ -90,8 +90,6 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 def merged(parts: DataFrame, by: str, sketch: str = "fingerprint", k: int = K) -> DataFrame:
     """by, fingerprint: the sketch of the union of each group's sketches.  The k smallest of a group are kept by a rank that
     is cut in each task before the shuffle (and salted, for large groups), so a group is nowhere gathered whole."""
-    from pyspark.sql import Window
-
     src = parts.select(F.col(by).alias("__g"), F.col(sketch).alias("__s"))
     kind = dict(src.dtypes)["__g"]
 
@@ -130,22 +128,21 @@ def merged(parts: DataFrame, by: str, sketch: str = "fingerprint", k: int = K) -
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(b, g, k, t): docs in ordered buckets; each bucket ends with the next bucket's first key (g: true), the last with the first of all.  One shuffle of the texts."""
-    parts = fanout(docs)
-    bounds = ordered_bounds(docs, key, parts)
-    src = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)).alias("k"), F.coalesce(text, F.lit("")).alias("t")).withColumn("b", ordered_bucket("k", bounds))
-    ids = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)).alias("k")).withColumn("b", ordered_bucket("k", bounds))
-    firsts = dict(ids.groupBy("b").agg(F.min("k")).collect())  # one for each partition
-    used = sorted(firsts)
-    before = {b: used[i - 1] for i, b in enumerate(used)}
-    n = len(bounds) + 1
-    first = F.array(*[F.lit(firsts.get(b)).cast("bigint") for b in range(n)])
-    prior = F.array(*[F.lit(before.get(b)).cast("int") for b in range(n)])
+    """(b, g, k, t): docs in ordered buckets; each bucket ends with the next bucket's first document (g: true), the last with the first of all.  One shuffle of the texts."""
+    k, t = F.coalesce(F.col(key).cast("bigint"), F.lit(NO_KEY)), F.coalesce(text, F.lit(""))
+    src = docs.select(k.alias("k"), F.xxhash64(t).alias("h"), t.alias("t"))
+    buckets = OrderedBuckets(src, [F.col("k"), F.col("h")], fanout(docs))
+    src = src.withColumn("b", buckets.of(F.col("k"), F.col("h")))
+    firsts = src.groupBy("b").agg(F.min(F.struct("k", "h")).alias("o"))
+    all_ = Window.partitionBy(F.lit(0))  # one row a bucket
+    before = F.coalesce(F.lag("b").over(all_.orderBy("b")), F.max("b").over(all_))
+    firsts = firsts.select("o.k", "o.h", before.alias("before"))
+    rows = src.join(F.broadcast(firsts), ["k", "h"], "left")
     own = F.struct(F.col("b").alias("b"), F.lit(False).alias("g"))
-    other = F.struct(F.get(prior, F.col("b")).alias("b"), F.lit(True).alias("g"))
-    places = F.when(F.col("k") == F.get(first, F.col("b")), F.array(own, other)).otherwise(F.array(own))
-    rows = src.withColumn("p", F.explode(places)).select("p.b", "p.g", "k", "t")
-    return rows.repartitionById(n, "b").sortWithinPartitions("b", "g", "k", "t")
+    other = F.struct(F.col("before").alias("b"), F.lit(True).alias("g"))
+    places = F.when(F.col("before").isNotNull(), F.array(own, other)).otherwise(F.array(own))
+    rows = rows.withColumn("p", F.explode(places)).select("p.b", "p.g", "k", "t", "h")
+    return rows.repartitionById(buckets.n, "b").sortWithinPartitions("b", "g", "k", "h", "t").select("b", "g", "k", "t")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:

@@ -143,8 +143,8 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     if not len(h):
         return np.empty(0, U), out_at
     full = np.zeros(max(0, len(h) - k + 1), U)
-    for i in range(k):
-        full += mix(h[i : len(h) - k + 1 + i] + U((BASE * (i + 1)) & MASK)) * U(((2 * i + 1) * 0xC2B2AE3D27D4EB4F) & MASK)
+    for i in range(k if len(full) else 0):
+        full += mix(h[i : len(full) + i] + U((BASE * (i + 1)) & MASK)) * U(((2 * i + 1) * 0xC2B2AE3D27D4EB4F) & MASK)
     row = np.repeat(np.arange(len(n)), count)
     place = first[row] + np.arange(len(row)) - out_at[row]
     short = n[row] < k

@@ -164,7 +164,7 @@ def near_links(docs: DataFrame, groups: DataFrame, percent: int, words: int = mi
     rest = members.where("rep <> lead").join(labels, "rep", "left").select("bucket", "band", "size", "rep", F.coalesce("label", "rep").alias("label"))
     counts = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     several = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most")).where("kinds > 1")
-    several = several.select("bucket", "all", F.col("most.label").alias("main"), F.col("most.n").alias("mains"))
+    several = cut(several.select("bucket", "all", F.col("most.label").alias("main"), F.col("most.n").alias("mains")))  # so that a large bucket's join can be split
     open_ = cut(rest.join(several, "bucket"))
 
     # large ones: outsiders with pivots of the commonest label
@@ -180,7 +180,7 @@ def near_links(docs: DataFrame, groups: DataFrame, percent: int, words: int = mi
 
     # the rest in pairs of blocks: outsiders' blocks come first and meet all blocks after them
     sums = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.sum((F.col("label") != F.col("main")).cast("bigint")).alias("outs")).where("outs > 0 and left > 1")
-    left = left.join(sums, "bucket")
+    left = left.join(cut(sums), "bucket")
     one = F.col("left") <= BUCKET_BLOCK
     outs = F.when(one, F.lit(1)).otherwise(F.ceil(F.col("outs") / BUCKET_BLOCK))
     mains_blocks = F.when(one, F.lit(0)).otherwise(F.ceil((F.col("left") - F.col("outs")) / BUCKET_BLOCK))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -40,25 +41,31 @@ def fanout(df: DataFrame) -> int:
     return max(conf, df.rdd.getNumPartitions())
 
 
-def ordered_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """Cuts of the key's values into about equal parts, from its quantiles; reads the key only.  As many values as parts at most."""
-    if parts < 2:
-        return []
-    cuts = df.select(F.col(key).cast("double").alias("k")).where("k is not null").stat.approxQuantile("k", [i / parts for i in range(1, parts)], 1 / (4 * parts))
-    return sorted({int(x) for x in cuts})
-
-
-def ordered_bucket(key: str, bounds: list[int]) -> Column:
-    """The number of bounds that are not above the key: ascending with the key, 0 for null.  Two levels of about sqrt(n) comparisons each."""
-    if not bounds:
-        return F.lit(0)
-    width = max(1, int(len(bounds) ** 0.5))
-    groups = [bounds[i : i + width] for i in range(0, len(bounds), width)]
-    heads = F.array(*[F.lit(g[0]).cast("bigint") for g in groups])
-    rows = F.array(*[F.array(*[F.lit(x).cast("bigint") for x in g]) for g in groups])
-    k = F.col(key)
-    group = F.size(F.filter(heads, lambda x: x <= k))
-    return F.when(k.isNull() | (group == 0), F.lit(0)).otherwise((group - 1) * F.lit(width) + F.size(F.filter(F.element_at(rows, group), lambda x: x <= k))).cast("int")
+class OrderedBuckets:
+    """Buckets of about equal size that ascend with some columns.  Spark's range partitioner samples the cuts, one a
+    partition; they go into plans as one constant of some 16 bytes a partition, not as expressions."""
+
+    def __init__(self, df: DataFrame, columns: list[Column], parts: int):
+        order = F.struct(*[c.cast("bigint").alias(f"o{i}") for i, c in enumerate(columns)])
+        dealt = df.select(order.alias("o")).repartitionByRange(max(1, parts), "o").select(F.spark_partition_id().alias("p"), "o")
+        cuts = sorted(tuple(r.o) for r in dealt.groupBy("p").agg(F.min("o").alias("o")).collect())[1:]
+        self.n = len(cuts) + 1
+        self.width = max(1, int(len(cuts) ** 0.5))
+        groups = [cuts[i : i + self.width] for i in range(0, len(cuts), self.width)]
+        item = "struct<" + ",".join(f"o{i}:bigint" for i in range(len(columns))) + ">"
+        named = [[{f"o{i}": x for i, x in enumerate(c)} for c in g] for g in groups]
+        # constants by the optimizer's folding
+        self.heads = F.from_json(F.lit(json.dumps([g[0] for g in named])), f"array<{item}>")
+        self.groups = F.from_json(F.lit(json.dumps(named)), f"array<array<{item}>>")
+
+    def of(self, *columns: Column) -> Column:
+        """The number of cuts that are not above a row, found in two steps of about sqrt(n) comparisons."""
+        if self.n == 1:
+            return F.lit(0)
+        own = F.struct(*[c.cast("bigint").alias(f"o{i}") for i, c in enumerate(columns)])
+        group = F.size(F.filter(self.heads, lambda x: x <= own))
+        inner = F.size(F.filter(F.element_at(self.groups, F.greatest(group, F.lit(1))), lambda x: x <= own))
+        return F.when(group == 0, F.lit(0)).otherwise((group - 1) * F.lit(self.width) + inner).cast("int")
 
 
 def local_path(folder: str) -> str | None:

@@ -7,7 +7,7 @@ words, so lane j of every group of 64 starts at the same bit and all groups are
 per lane.  A document is reached by its first id's place alone.
 
 Defined cases: null text is empty and has the end id only; null keys come first and read back as null; repeated keys are
-kept and ordered by text; an empty table makes no file and an empty result; further columns are ignored.
+kept and ordered by a hash of their text, then text; an empty table makes no file and an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .session import arrow_map, fanout, new_folder, ordered_bounds, ordered_bucket, put_file
+from .session import OrderedBuckets, arrow_map, fanout, new_folder, put_file
 
 MAGIC = b"BPK1"
 HEAD = struct.Struct("<4sIIqQQQ")
@@ -230,9 +230,10 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int,
     """
     bits = bits or width(vocabulary_size(tokenizer))
     parts = fanout(docs)
-    bounds = ordered_bounds(docs, key, parts)
-    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).withColumn("b", ordered_bucket("k", bounds))
-    rows = rows.repartitionById(len(bounds) + 1, "b").sortWithinPartitions("k", "t")
+    rows = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
+    order = [F.coalesce("k", F.lit(NO_KEY)), F.xxhash64(F.coalesce("t", F.lit("")))]
+    buckets = OrderedBuckets(rows, order, parts)
+    rows = rows.withColumn("b", buckets.of(*order)).repartitionById(buckets.n, "b").sortWithinPartitions(*order, "t").select("k", "t", "b")
 
     def write(batches):
         use = encoder(tokenizer, added)

@@ -6,7 +6,7 @@ ts: the largest record_id).  It is resolved if the validators agree: the entity
 have one, else the modification dates if both have one, else the payload digests.  The resolved record takes the
 response's headers and, over them, those that a not-modified answer may update.
 
-As-of without a hot task: ts is cut into ordered blocks by quantiles; in a block the latest response is a running maximum
+As-of without a hot task: ts is cut into ordered blocks of about equal size; in a block the latest response is a running maximum
 within (URL, block), before it the maximum of the URL's earlier blocks, of which there are as many as partitions at most.
 Only keys and validators move; headers are joined by record_id at the end.
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import fanout, ordered_bounds, ordered_bucket
+from .session import OrderedBuckets, fanout
 
 #: Query parameters that name no other content (fixed values).
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid)(=|$)"
@@ -44,7 +44,7 @@ def resolve(records: DataFrame) -> DataFrame:
     parts = fanout(records)
     revisit = F.coalesce(F.col("kind") == "revisit", F.lit(False))
     r = records.select("record_id", canonical(F.col("url")).alias("url_key"), F.coalesce(F.col("ts").cast("bigint"), F.lit(-(1 << 62))).alias("ts"), revisit.alias("again"), "etag", "last_modified", "digest")
-    r = r.withColumn("blk", ordered_bucket("ts", ordered_bounds(r, "ts", parts)))
+    r = r.withColumn("blk", OrderedBuckets(r, [F.col("ts")], parts).of(F.col("ts")))
     full = F.when(~F.col("again") & F.col("url_key").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest"))
     r = r.withColumn("full", full)
     in_block = Window.partitionBy("url_key", "blk").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)

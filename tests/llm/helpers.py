@@ -42,3 +42,16 @@ def alnum_words(t):
 def rows_of(df, *names):
     key = lambda r: [(v is not None, v) for v in r]
     return sorted([tuple(r[n] for n in names) for r in df.collect()], key=key)
+
+
+def text_place(t) -> int:
+    """The place of a text among those of one key: Spark's xxhash64."""
+    import numpy as np
+    import xxhash
+
+    return int(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64))
+
+
+def in_order(rows):
+    """(key, text) in the order of operators that look at a document's next or earlier ones: null keys first."""
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_place(r[1]), r[1] or ""))

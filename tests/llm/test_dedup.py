@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from loomtrace.llm import minmax, neardup, suffix
 
-from .helpers import OTHER, PROSE, SCHEMA, awkward, frame, rows_of, space_words
+from .helpers import OTHER, PROSE, SCHEMA, awkward, frame, in_order, rows_of, space_words
 
 
 def plain_groups(rows, percent=85):
@@ -73,10 +73,7 @@ def test_signature_estimates_likeness():
 
 
 def plain_repeats(rows, length=100):
-    import xxhash
-
-    place = lambda t: int(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).astype(np.int64))
-    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place(r[1])))
+    rows = in_order(rows)
     seen, out = set(), []
     for i, t, *_ in rows:
         raw = (t or "").encode()

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from loomtrace.llm import decontam, fingerprints, kernels, langid, licenses, pieces, quality, tokenfile
 from loomtrace.llm.queries import tokenizer
 
-from .helpers import OTHER, PROSE, SCHEMA, alnum_words, awkward, frame, rows_of, space_words
+from .helpers import OTHER, PROSE, SCHEMA, alnum_words, awkward, frame, in_order, rows_of, space_words
 
 
 @settings(max_examples=80, deadline=None)
@@ -34,16 +34,35 @@ def test_words_longer_than_a_segment(monkeypatch):
     assert (end - start).tolist() == [50, 1, 2, 40, 33] and first.tolist() == [0, 4, 4, 5]
 
 
-def test_fingerprint_edits(spark):
-    rows = sorted([(i, t or "") for i, t, *_ in awkward()], key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+def plain_sketch(text):
+    """The 128 smallest hashes of a text's shingles, one shingle at a time."""
+    w = space_words(text)
+    every = [" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4) if w else 0)]
+    return sorted({int(x) for one in every for x in fingerprints.sketches([one])[0].tolist()})[:128]
+
+
+def plain_likeness(a, b):
+    if not a and not b:
+        return 1.0
+    u = sorted(set(a) | set(b))[:128]
+    return len([x for x in u if x in set(a) and x in set(b)]) / len(u)
+
+
+@pytest.mark.parametrize("parts", [None, 9])
+def test_fingerprint_edits(spark, monkeypatch, parts):
+    if parts:
+        monkeypatch.setattr(fingerprints, "fanout", lambda docs: parts)
+    more = [(None, f"no key {k}") for k in range(20)] + [(30, PROSE * 9 + str(k % 3)) for k in range(9)]
+    rows = in_order([(i, t or "") for i, t, *_ in awkward()] + more)
     want = []
     for j, (i, t) in enumerate(rows):
         q, after = len(t) // 4, rows[(j + 1) % len(rows)][1]
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()))
-    got = fingerprints.fingerprint_edits(frame(spark)).collect()
-    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], key=str) == sorted(want, key=str)
+        e = t[: len(t) - q] + after[:q]
+        a, b, c = plain_sketch(t), plain_sketch(e), plain_sketch(after)
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), plain_likeness(a, b), plain_likeness(a, c), np.array(a, ">u8").tobytes().hex()))
+    got = fingerprints.fingerprint_edits(frame(spark, awkward() + [(i, t, None, None, 0) for i, t in more])).collect()
+    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next, fingerprints.from_text(r.fingerprint).astype(">u8").tobytes().hex()) for r in got], key=str) == sorted(want, key=str)
     assert len({r.fingerprint for r in got if r.doc_id in (9, 10)}) == 1 and next(r.fingerprint for r in got if r.doc_id == 3) == ""
-    assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
     assert fingerprints.fingerprint_edits(frame(spark, [])).count() == 0
     only = fingerprints.fingerprint_edits(frame(spark, [(1, PROSE, None, None, 0)])).first()
     assert only.near_next == 1.0
@@ -303,14 +322,14 @@ def test_token_files(spark, monkeypatch):
 
     path = tokenizer("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    rows = sorted([(i, t or "") for i, t, *_ in awkward()] + [(40, "<|endoftext|> a"), (41, "it's  two\n\n lines "), (42, "x y z")], key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    monkeypatch.setattr(tokenfile, "fanout", lambda docs: 7)
+    rows = in_order([(i, t or "") for i, t, *_ in awkward()] + [(40, "<|endoftext|> a"), (41, "it's  two\n\n lines "), (42, "x y z")] + [(None, f"null key {k}") for k in range(30)])
     want, at = [], 0
     for i, t in rows:
         ids = library.encode(t, add_special_tokens=False).ids + [2]
         want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
-    got = tokenfile.token_files(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA), path)
+    got = tokenfile.token_files(spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], SCHEMA), path, added=True)
     assert sorted([tuple(r) for r in got.collect()], key=lambda r: r[1]) == want
     assert tokenfile.token_files(frame(spark, []), path).count() == 0
 
