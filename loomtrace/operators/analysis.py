@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..plans import parsed
-from ..shared import brought, cut, small_table
+from .. import shared
+from ..shared import brought, cut, quick, small_table
 
 ROOT = parsed.ROOT
 KEY = ["query_id", "owner", "segment_index"]
-#: Parsed rows up to which the tables of an analysis are held on the driver, as the parsed rows are.
-FEW = 20_000
-
 
 def every(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
@@ -38,18 +36,31 @@ def stage(make):
 class Analysis:
     """Analysis of (query_id, sql) statements against catalog columns (catalog, schema_name, table_name, column_name, data_type, ordinal, is_partition; comment if there).
 
-    ``extended`` shows true join types; otherwise the report's join type is always 'inner'.
+    ``extended`` shows true join types, and joins without a condition as errors; otherwise the report's join type is always
+    'inner'.  ``disambiguate_by_join`` takes an unqualified column for its first relation's where all its relations are
+    joined by equality on it; for USING and NATURAL joins that always holds.
     """
 
-    def __init__(self, spark: SparkSession, statements: list[tuple[str, str]], columns: DataFrame, dialect: str = "spark", extended: bool = False):
-        self.spark, self.extended = spark, extended
+    def __init__(self, spark: SparkSession, statements: list[tuple[str, str]], columns: DataFrame, dialect: str = "spark", extended: bool = False, disambiguate_by_join: bool = False):
+        self.extended, self.by_join = extended, disambiguate_by_join
         rows = parsed.parse(spark, statements, dialect)
         self.depth = max((r[2] for r in rows["owners"]), default=0)
-        # what is parsed is on the driver already; tables derived from few rows stay there, others are written
-        self.keep = brought if sum(map(len, rows.values())) <= FEW else cut
+        self.natural = any(r[3] == "natural_join" for r in rows["clauses"])
+        comment = F.col("comment") if "comment" in columns.columns else F.lit(None).cast("string")
+        self.catalog = columns.select("catalog", "schema_name", "table_name", "column_name", "data_type", "ordinal", "is_partition", comment.alias("comment"))
+        # what is parsed is on the driver already; of few statements the tables that they name, and all that is derived,
+        # stay there as long as they are small; others are written
+        self.keep = cut
+        if sum(map(len, rows.values())) <= shared.FEW:
+            self.keep = brought
+            names = sorted({r[7].strip("`\" ").lower() for r in rows["relations"]})
+            named = self.catalog.where(ids.normal(F.col("table_name")).isin(names)).limit(shared.FEW + 1).toArrow()
+            if named.num_rows <= shared.FEW:
+                spark = quick(spark)
+                self.catalog = spark.createDataFrame(named, self.catalog.schema)
+        self.spark = spark
         for name, ddl in parsed.SCHEMAS.items():
             setattr(self, "p_" + name, small_table(spark, rows[name], ddl))
-        self.catalog = columns.select("catalog", "schema_name", "table_name", "column_name", "data_type", "ordinal", "is_partition", (F.col("comment") if "comment" in columns.columns else F.lit(None).cast("string")).alias("comment"))
 
     # --- relations and their columns ---
 
@@ -57,7 +68,7 @@ class Analysis:
     def relations(self) -> DataFrame:
         """Relations with found (in the catalog), entity_id and relation_id."""
         known = self.catalog.select(F.col("catalog").alias("k_c"), F.col("schema_name").alias("k_s"), ids.normal(F.col("table_name")).alias("k_t")).distinct()
-        r = self.p_relations.join(F.broadcast(known), (F.col("kind") == "table") & (F.col("catalog") == F.col("k_c")) & (F.col("schema") == F.col("k_s")) & (ids.normal(F.col("table")) == F.col("k_t")), "left")
+        r = self.p_relations.join(known, (F.col("kind") == "table") & (F.col("catalog") == F.col("k_c")) & (F.col("schema") == F.col("k_s")) & (ids.normal(F.col("table")) == F.col("k_t")), "left")
         return r.select(*self.p_relations.columns, ((F.col("kind") != "table") | F.col("k_t").isNotNull()).alias("found"), ids.table_id(F.col("catalog"), F.col("schema"), F.col("table")).alias("entity_id"), ids.relation_id(F.col("alias")).alias("relation_id"))
 
     @cached_property
@@ -67,7 +78,7 @@ class Analysis:
         cat = self.catalog.select(F.col("catalog").alias("k_c"), F.col("schema_name").alias("k_s"), ids.normal(F.col("table_name")).alias("k_t"), F.col("ordinal").alias("col_ord"), "column_name", "data_type", "is_partition")
         physical = (
             rel.where("kind = 'table' and found")
-            .join(F.broadcast(cat), (F.col("catalog") == F.col("k_c")) & (F.col("schema") == F.col("k_s")) & (ids.normal(F.col("table")) == F.col("k_t")))
+            .join(cat, (F.col("catalog") == F.col("k_c")) & (F.col("schema") == F.col("k_s")) & (ids.normal(F.col("table")) == F.col("k_t")))
             .select(*KEY, "ord", "alias", "table", "kind", "source_owner", "col_ord", "column_name", "data_type", "is_partition", ids.column_id(F.col("catalog"), F.col("schema"), F.col("table"), F.col("column_name")).alias("column_id"))
         )
         columns, items = [self.keep(physical)], []
@@ -106,13 +117,26 @@ class Analysis:
 
     # --- resolution ---
 
+    @cached_property
+    def join_keys(self) -> DataFrame:
+        """The parsed keys, and those of NATURAL joins: columns of the right relation that one before it has too."""
+        if not self.natural:
+            return self.p_join_keys
+        c = self.owner_columns.select(*KEY, "ord", "alias", "column_name")
+        right = self.p_clauses.where("clause = 'natural_join'").select(*KEY, F.col("text").alias("alias")).join(c, [*KEY, "alias"]).select(*KEY, F.col("ord").alias("r_ord"), F.col("alias").alias("r_table"), F.col("column_name").alias("r_column"))
+        both = right.join(c, KEY).where("ord < r_ord and lower(column_name) = lower(r_column)")
+        first = both.groupBy(*KEY, "r_ord", "r_table", "r_column").agg(F.min_by(F.struct("alias", "column_name"), "ord").alias("l"))
+        number = F.row_number().over(Window.partitionBy("query_id").orderBy("owner", "segment_index", "r_ord", "r_column")) + 100_000
+        made = first.select(*KEY, number.alias("key_ord"), F.lit("Inner").alias("join_type"), F.col("l.alias").alias("l_table"), F.col("l.column_name").alias("l_column"), "r_table", "r_column", F.concat(F.lit("USING ("), "r_column", F.lit(")")).alias("raw_sql"))
+        return self.keep(self.p_join_keys.unionByName(made.select(*self.p_join_keys.columns)))
+
     @stage
     def _refs(self) -> DataFrame:
         """All references that are resolved: those of select lists, ON columns and both sides of join keys."""
         cols = [*KEY, "clause", "ordinal", "ref_ord", "raw", "column", "table", "start_idx", "stop_idx"]
         refs = self.p_column_refs.select(*cols)
         none = F.lit(None).cast("int")
-        side = lambda s: self.p_join_keys.select(*KEY, F.lit(f"key_{s}").alias("clause"), F.col("key_ord").alias("ordinal"), F.lit(0).alias("ref_ord"), F.concat_ws(".", f"{s}_table", f"{s}_column").alias("raw"), F.col(f"{s}_column").alias("column"), F.col(f"{s}_table").alias("table"), none.alias("start_idx"), none.alias("stop_idx"))
+        side = lambda s: self.join_keys.select(*KEY, F.lit(f"key_{s}").alias("clause"), F.col("key_ord").alias("ordinal"), F.lit(0).alias("ref_ord"), F.concat_ws(".", f"{s}_table", f"{s}_column").alias("raw"), F.col(f"{s}_column").alias("column"), F.col(f"{s}_table").alias("table"), none.alias("start_idx"), none.alias("stop_idx"))
         return every([refs, side("l"), side("r")])
 
     @stage
@@ -126,8 +150,14 @@ class Analysis:
         w = Window.partitionBy(*ref)
         both = r.join(c, on, "left").withColumn("by_alias", F.max((n(F.col("table")) == n(F.col("c_alias"))).cast("int")).over(w)).where("table is null or c_ord is null or by_alias = 0 or lower(trim(table)) = lower(trim(c_alias)) or by_alias is null")
         both = both.withColumn("n", F.count("c_ord").over(w)).withColumn("rank", F.row_number().over(w.orderBy("c_ord", "source_ord")))
-        names = F.array_sort(F.collect_set("c_table").over(w))
-        first = both.withColumn("candidates", names).where("rank = 1")
+        names, aliases = F.array_sort(F.collect_set("c_table").over(w)), F.collect_set(n(F.col("c_alias"))).over(w)
+        first = both.withColumn("candidates", names).withColumn("aliases", aliases).where("rank = 1")
+        # a column on which all its relations are joined by equality is the first one's
+        equal = self.join_keys.where("lower(l_column) = lower(r_column)" + ("" if self.by_join else " and raw_sql like 'USING%'"))
+        equal = equal.select(*[F.col(k).alias(f"e_{k}") for k in KEY], n(F.col("l_column")).alias("e_column"), F.explode(F.array(n(F.col("l_table")), n(F.col("r_table")))).alias("e_table"))
+        equal = equal.groupBy(*[f"e_{k}" for k in KEY], "e_column").agg(F.collect_set("e_table").alias("joined"))
+        e_on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"e_{k}") for k in KEY]) & (n(F.col("column")) == F.col("e_column")) & F.col("table").isNull() & (F.col("n") > 1)
+        first = first.join(equal, e_on, "left").withColumn("n", F.when(F.size(F.array_except("aliases", "joined")) == 0, F.lit(1)).otherwise(F.col("n")))
         lost = self.relations.where("not found").select(*[F.col(k).alias(f"m_{k}") for k in KEY], F.col("ord").alias("m_ord"), F.col("alias").alias("m_alias"), F.col("table").alias("m_table"), F.col("catalog").alias("m_catalog"), F.col("schema").alias("m_schema"))
         m_on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"m_{k}") for k in KEY]) & (F.col("n") == 0) & (F.col("table").isNull() | (n(F.col("table")) == n(F.col("m_alias"))) | (n(F.col("table")) == n(F.col("m_table"))))
         first = first.join(lost, m_on, "left").withColumn("m_rank", F.row_number().over(w.orderBy("m_ord"))).where("m_rank = 1")
@@ -146,18 +176,21 @@ class Analysis:
         cols = [*KEY, "ordinal", "ref_ord", "kind", "source_owner", "source_ord", "column_id", "column_name"]
         return refs.select(*cols).unionByName(self.items.where("from_star").withColumn("ref_ord", F.lit(0)).select(*cols))
 
-    def _trace(self, start: DataFrame, keep: list[str]) -> DataFrame:
-        """Physical columns behind rows with query_id, kind, source_owner, source_ord, column_id, column_name; through as many owners as are nested."""
+    def _trace(self, start: DataFrame, keep: list[str], path: bool = False) -> DataFrame:
+        """Physical columns behind rows with query_id, kind, source_owner, source_ord, column_id, column_name; through as many
+        owners as are nested.  With ``path``, also where each stands: the references' numbers on the way, from ref_ord on."""
+        if path:
+            start, keep = start.withColumn("path", F.array("ref_ord")), [*keep, "path"]
         cols = ["query_id", *keep, "kind", "source_owner", "source_ord", "column_id", "column_name"]
         front, done = start.select(*cols), []
-        steps = self._steps.select("query_id", F.col("owner").alias("s_owner"), F.col("ordinal").alias("s_ord"), F.col("kind").alias("n_kind"), F.col("source_owner").alias("n_owner"), F.col("source_ord").alias("n_ord"), F.col("column_id").alias("n_id"), F.col("column_name").alias("n_name"))
+        steps = self._steps.select("query_id", F.col("owner").alias("s_owner"), F.col("ordinal").alias("s_ord"), F.col("ref_ord").alias("n_ref"), F.col("kind").alias("n_kind"), F.col("source_owner").alias("n_owner"), F.col("source_ord").alias("n_ord"), F.col("column_id").alias("n_id"), F.col("column_name").alias("n_name"))
         for i in range(self.depth + 1):
             done.append(front.where("kind = 'table'"))
             if i == self.depth:
                 break
             front = self.keep(
                 front.where("kind <> 'table'").join(steps, "query_id").where("source_owner = s_owner and source_ord = s_ord")
-                .select("query_id", *keep, F.col("n_kind").alias("kind"), F.col("n_owner").alias("source_owner"), F.col("n_ord").alias("source_ord"), F.col("n_id").alias("column_id"), F.col("n_name").alias("column_name")).distinct()
+                .select("query_id", *[F.concat("path", F.array("n_ref")).alias("path") if c == "path" else c for c in keep], F.col("n_kind").alias("kind"), F.col("n_owner").alias("source_owner"), F.col("n_ord").alias("source_ord"), F.col("n_id").alias("column_id"), F.col("n_name").alias("column_name")).distinct()
             )
         return every(done).select("query_id", *keep, "column_id", "column_name").distinct()
 
@@ -180,7 +213,10 @@ class Analysis:
         twice = rel.withColumn("n", F.row_number().over(Window.partitionBy(*KEY, ids.normal(F.col("alias"))).orderBy("ord"))).where("n > 1").select("query_id", F.lit("DUPLICATE_ALIAS").alias("code"), F.lit("warning").alias("level"), F.col("alias").alias("related")).distinct()
         stars = self.p_select_items.where("expression_kind = 'star'").select(*KEY, F.col("ordinal").alias("item_ord"), "star_target")
         failed = stars.join(self.items.where("from_star").select(*KEY, "item_ord").distinct(), [*KEY, "item_ord"], "left_anti").select("query_id", F.lit("STAR_EXPANSION_FAILED").alias("code"), F.lit("warning").alias("level"), F.when(F.col("star_target") == "", "*").otherwise(F.concat("star_target", F.lit(".*"))).alias("related")).distinct()
-        return every([d, table, unknown, ambiguous, twice, failed])
+        # outputs of the statement that are expressions of no class and lead to no column
+        plain = self._outputs.where("expression_kind in ('function', 'expression') and expression_class is null and not from_star")
+        bare = plain.join(self.sources.where("segment_index = 0").select("query_id", "ordinal").distinct(), ["query_id", "ordinal"], "left_anti").select("query_id", F.lit("NOT_SUPPORTED_IN_P0").alias("code"), F.lit("info").alias("level"), F.col("expression_sql").alias("related"))
+        return every([d, table, unknown, ambiguous, twice, failed, bare])
 
     @stage
     def reported(self) -> DataFrame:
@@ -205,6 +241,14 @@ class Analysis:
         p = self.p_select_items.select(*KEY, F.col("ordinal").alias("item_ord"), "is_distinct", F.array_join("partition_by", ", ").alias("partition_by"), F.array_join("order_by", ", ").alias("order_by"))
         return i.join(p, [*KEY, "item_ord"]).select("query_id", F.concat(F.lit("expression:scope:root:"), F.col("ordinal").cast("string"), F.lit(":"), "expression_class").alias("expression_id"), "ordinal", F.col("expression_class").alias("kind"), "function_name", "is_distinct", "expression_sql", "partition_by", "order_by", "output_name")
 
+    @stage
+    def expression_parts(self) -> DataFrame:
+        """query_id, expression_id, part (when, then, else, argument), ord, text, columns: what classified outputs are made of."""
+        own = self.items.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0)).select("query_id", "item_ord", "ordinal")
+        x = self.expressions.select("query_id", "ordinal", "expression_id").join(own, ["query_id", "ordinal"]).select("query_id", F.col("item_ord").alias("ordinal"), "expression_id")
+        parts = self.p_expression_parts.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0))
+        return parts.join(x, ["query_id", "ordinal"]).select("query_id", "expression_id", "part", "ord", "text", F.array_join("columns", ", ").alias("columns"))
+
     @stage
     def _outputs(self) -> DataFrame:
         return self.items.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0)).withColumn("output_id", ids.output_id(F.col("ordinal"), F.col("output_name")))
@@ -236,9 +280,13 @@ class Analysis:
         e.append(made(union, F.lit("union_mapping"), F.col("column_id"), F.col("output_id"), F.concat(F.lit("UNION segment "), F.col("segment_index").cast("string"))))
         sides = self.resolved.where("clause in ('key_l', 'key_r') and status in ('resolved', 'missing')")
         ends = self._trace(sides, ["owner", "segment_index", "clause", "ordinal"])
-        left = ends.where("clause = 'key_l'").select("query_id", "owner", "segment_index", "ordinal", F.col("column_id").alias("l"))
-        right = ends.where("clause = 'key_r'").select("query_id", "owner", "segment_index", "ordinal", F.col("column_id").alias("r"))
-        keys = left.join(right, ["query_id", "owner", "segment_index", "ordinal"]).join(self.p_join_keys.select("query_id", "owner", "segment_index", F.col("key_ord").alias("ordinal"), "raw_sql"), ["query_id", "owner", "segment_index", "ordinal"])
+        place = [*KEY, "ordinal"]
+        keys = self.join_keys.select(*KEY, F.col("key_ord").alias("ordinal"), "raw_sql", "l_column", "r_column")
+        for x in ("l", "r"):
+            keys = keys.join(ends.where(f"clause = 'key_{x}'").select(*place, F.col("column_id").alias(x)), place, "left")
+        # a side that leads nowhere is an unknown node
+        lost = lambda x: F.coalesce(x, ids.unknown_id(F.concat(F.lit("join_"), F.col("ordinal").cast("string")), F.col(f"{x}_column")))
+        keys = keys.where("l is not null or r is not null").withColumn("l", lost("l")).withColumn("r", lost("r"))
         e.append(made(keys, F.lit("join_condition"), F.col("l"), F.col("r"), F.concat(F.lit("ON "), "raw_sql"), owner=F.col("owner")))
         e.append(made(self.cte_inputs, F.lit("projection"), F.col("source"), F.col("target"), owner=F.col("owner")))
         all_ = every(e).withColumn("id", ids.edge_id(F.col("edge_type"), F.col("source"), F.col("target")))
@@ -295,14 +343,23 @@ class Analysis:
 
     @stage
     def stages(self) -> DataFrame:
-        """query_id, ord, stage, state: how each stage of the analysis went."""
+        """query_id, ord, stage, state, codes (of its diagnostics, each once): how each stage of the analysis went."""
         names = ("parse", "scope", "name_resolution", "projection", "expression_analysis", "lineage", "source_location", "graph", "semantics")
-        of = {"PARSE_ERROR": "parse", "RECURSIVE_CTE_UNSUPPORTED": "scope", "DUPLICATE_ALIAS": "scope", "UNKNOWN_TABLE": "name_resolution", "UNKNOWN_COLUMN": "name_resolution", "AMBIGUOUS_COLUMN": "name_resolution", "STAR_EXPANSION_FAILED": "projection"}
+        of = {"PARSE_ERROR": "parse", "RECURSIVE_CTE_UNSUPPORTED": "scope", "DUPLICATE_ALIAS": "scope", "UNKNOWN_TABLE": "name_resolution", "UNKNOWN_COLUMN": "name_resolution", "AMBIGUOUS_COLUMN": "name_resolution", "STAR_EXPANSION_FAILED": "projection", "NOT_SUPPORTED_IN_P0": "projection"}
         code = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
-        hit = self.diagnostics.select("query_id", F.element_at(code, F.col("code")).alias("stage"), "level").groupBy("query_id", "stage").agg(F.max(F.col("level") == "error").alias("error"))
+        hit = self.diagnostics.select("query_id", F.element_at(code, F.col("code")).alias("stage"), "level", "code").groupBy("query_id", "stage").agg(F.max(F.col("level") == "error").alias("error"), F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("codes"))
         each = self.p_requests.select("query_id", "parsed", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("ord", "stage"))
         state = F.when(~F.col("parsed") & (F.col("stage") != "parse"), "skipped").when(F.col("error"), "failed").when(F.col("error").isNotNull(), "partial").otherwise("success")
-        return each.join(hit, ["query_id", "stage"], "left").select("query_id", F.col("ord").cast("int").alias("ord"), "stage", state.alias("state"))
+        return each.join(hit, ["query_id", "stage"], "left").select("query_id", F.col("ord").cast("int").alias("ord"), "stage", state.alias("state"), F.coalesce("codes", F.lit("")).alias("codes"))
+
+    @stage
+    def confidence(self) -> DataFrame:
+        """query_id, partial, level, reasons: a lineage with outputs that are not resolved in full is partial."""
+        lost = self.edges.where("edge_type = 'unknown'").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("target", ":", -1))), ", ").alias("lost"))
+        r = self.statuses.join(lost, "query_id", "left")
+        level = F.when(F.col("status") == "failed", "low").when((F.col("status") == "partial") | F.col("lost").isNotNull(), "medium").otherwise("high")
+        reasons = F.when(F.col("status") == "failed", "the statement does not parse").when(F.col("lost").isNotNull(), F.concat(F.lit("not resolved in full: "), "lost")).when(F.col("status") == "partial", "there are diagnostics").otherwise("all columns are resolved")
+        return r.select("query_id", F.col("lost").isNotNull().alias("partial"), level.alias("level"), reasons.alias("reasons"))
 
     @stage
     def results(self) -> DataFrame:
@@ -338,15 +395,16 @@ class Analysis:
         named = F.lower("column").rlike("^(dt|pt|ds|date)$|_(dt|date)$")
         hit = refs.join(parts, [refs[k] == parts[k] for k in KEY] + [F.lower(refs["column"]) == parts["p"]], "left").select(*[refs[k] for k in KEY], (named | F.col("p").isNotNull()).alias("hit"))
         hit = hit.groupBy(*KEY).agg(F.max("hit").alias("hit"))
-        w = self.p_clauses.where("clause in ('where', 'having')").join(hit, KEY, "left")
-        kind = F.when(F.col("clause") == "having", "having").when(F.coalesce("hit", F.lit(False)), "partition_filter").otherwise("where")
-        on = self.p_join_keys.select("query_id", "owner", F.lit("join_condition").alias("filter_type"), F.col("raw_sql").alias("expression"))
+        w = self.p_clauses.where("clause in ('where', 'having', 'qualify')").join(hit, KEY, "left")
+        kind = F.when(F.col("clause") != "where", F.col("clause")).when(F.coalesce("hit", F.lit(False)), "partition_filter").otherwise("where")
+        on = self.join_keys.select("query_id", "owner", F.lit("join_condition").alias("filter_type"), F.col("raw_sql").alias("expression"))
         return w.select("query_id", "owner", kind.alias("filter_type"), F.col("text").alias("expression")).unionByName(on)
 
     @stage
     def metrics(self) -> DataFrame:
-        """query_id, output_name, metric_type, target (the first physical column, or null)."""
-        first = self.sources.where("segment_index = 0").groupBy("query_id", "ordinal").agg(F.min("column_id").alias("target"))
+        """query_id, output_name, metric_type, target (the physical column of the first reference, or null)."""
+        own = self._steps.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0))
+        first = self._trace(own, ["ordinal"], path=True).groupBy("query_id", "ordinal").agg(F.min_by("column_id", F.struct("path", "column_id")).alias("target"))
         o = self._outputs.where("expression_kind in ('function', 'expression')")
         head = F.upper(F.regexp_replace("expression_sql", r"\s+", " "))
         kind = F.when(head.rlike(r"^COUNT ?\( ?DISTINCT"), "count_distinct")
@@ -359,7 +417,7 @@ class Analysis:
         """query_id, owner, join_type, left_key, right_key, risk."""
         many = self._tops.where("kind = 'table'").groupBy("query_id").agg(F.count_distinct("entity_id").alias("n"))
         how = F.lower("join_type") if self.extended else F.lit("inner")
-        return self.p_join_keys.join(many, "query_id", "left").select("query_id", "owner", how.alias("join_type"), F.concat_ws(".", "l_table", "l_column").alias("left_key"), F.concat_ws(".", "r_table", "r_column").alias("right_key"), F.when(F.col("n") >= 2, "medium").otherwise("low").alias("risk"))
+        return self.join_keys.join(many, "query_id", "left").select("query_id", "owner", how.alias("join_type"), F.concat_ws(".", "l_table", "l_column").alias("left_key"), F.concat_ws(".", "r_table", "r_column").alias("right_key"), F.when(F.col("n") >= 2, "medium").otherwise("low").alias("risk"))
 
     @stage
     def dedup(self) -> DataFrame:
@@ -376,14 +434,33 @@ class Analysis:
         partitioned = self.filters.where("filter_type = 'partition_filter'").select("query_id").distinct()
         has = self._tops.where("kind = 'table'").select("query_id").distinct()
         per = self.relations.where("kind = 'table' and owner not like '\\_\\_subquery%'").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        keyless = per.join(self.p_join_keys.select(*KEY).distinct(), KEY, "left_anti")
+        keyless = per.join(self.join_keys.select(*KEY).distinct(), KEY, "left_anti")
         return every([
             made(self.joins.where("risk = 'medium'"), "join_amplification", "warning"),
             made(has.join(partitioned, "query_id", "left_anti"), "no_partition_filter", "info"),
             made(keyless, "potential_cartesian", "warning"),
             made(self.metrics.where("target is null"), "ambiguous_metrics", "info"),
+            *([made(keyless, "join_amplification", "error")] if self.extended else []),
         ])
 
+    @stage
+    def semantics(self) -> DataFrame:
+        """query_id, status ('partial' with an unknown grain or an error among the risks), report: grain, filters, metrics, joins, de-duplication, risks and evidence as one JSON text."""
+        def lists(df, name):
+            return df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "query_id"]))).alias(name))
+
+        r = self.grain.join(self.risks.where("level = 'error'").select("query_id", F.lit(True).alias("bad")).distinct(), "query_id", "left")
+        r = r.select("query_id", F.when((F.col("grain_type") == "unknown") | F.col("bad"), "partial").otherwise("success").alias("status"), F.struct("grain_type", "columns").alias("result_grain"))
+        marks = every([
+            self.filters.select("query_id", F.concat(F.lit("filter:"), "expression").alias("e")),
+            self.metrics.where("target is not null").select("query_id", F.col("target").alias("e")),
+            self.joins.select("query_id", F.concat(F.lit("join:"), "left_key", F.lit("="), "right_key").alias("e")),
+        ])
+        r = r.join(marks.groupBy("query_id").agg(F.array_sort(F.collect_set("e")).alias("evidence")), "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.array()))
+        for df, name in ((self.filters, "filters"), (self.metrics, "metrics"), (self.joins, "joins"), (self.dedup, "dedup"), (self.risks, "risks")):
+            r = r.join(lists(df, name), "query_id", "left").withColumn(name, F.coalesce(name, F.array()))
+        return r.select("query_id", "status", F.to_json(F.struct(*[c for c in r.columns if c not in ("query_id", "status")])).alias("report"))
+
     # --- locations ---
 
     @stage
@@ -403,7 +480,7 @@ class Analysis:
             made(refs, "column", entity),
             made(c.where("clause = 'cte'"), "cte", F.concat(F.lit("cte:scope:root:"), ids.segment(F.col("text")))),
             made(c.where("clause = 'join_on'"), "join", F.concat(F.lit("join_on:scope:root:"), F.col("ord").cast("string"))),
-            made(c.where("clause in ('where', 'having', 'group_by', 'order_by')"), "clause", F.concat("clause", F.lit(":"), F.col("ord").cast("string"))),
+            made(c.where("clause in ('where', 'having', 'qualify', 'group_by', 'order_by')"), "clause", F.concat("clause", F.lit(":"), F.col("ord").cast("string"))),
             made(c.where((F.col("clause") == "union_segment") & root), "union_segment", F.concat(F.lit("union_segment:root:"), F.col("ord").cast("string"))),
         ]
         body = self.p_select_items.where(root & F.col("expression_class").isNotNull()).select("query_id", F.col("ordinal").alias("item_ord"), F.col("segment_index"), "body_start", "body_stop")
@@ -415,3 +492,11 @@ class Analysis:
             "query_id", "entity_id", "entity_type", F.decode(F.substring(F.encode("sql", "UTF-16LE"), F.col("start_offset") * 2 + 1, (F.col("end_offset") - F.col("start_offset")) * 2), "UTF-16LE").alias("raw_text"),
             "start_offset", "end_offset", ids.line_of(F.col("sql"), F.col("start_offset")).alias("start_line"), ids.column_of(F.col("sql"), F.col("start_offset")).alias("start_col"),
         )
+
+    @stage
+    def node_locations(self) -> DataFrame:
+        """query_id, id, node_type, status ('exact', 'unavailable'), confidence, location_id, start_offset, end_offset: the first place of every node of the graph."""
+        first = self.locations.groupBy("query_id", F.col("entity_id").alias("id")).agg(F.min(F.struct("start_offset", "end_offset")).alias("at"))
+        n = self.nodes.select("query_id", "id", "node_type").distinct().join(first, ["query_id", "id"], "left")
+        there = F.col("at").isNotNull()
+        return n.select("query_id", "id", "node_type", F.when(there, "exact").otherwise("unavailable").alias("status"), F.when(there, F.lit(1.0)).otherwise(F.lit(0.0)).alias("confidence"), F.when(there, ids.location_id(F.col("id"), F.col("at.start_offset"), F.col("at.end_offset"))).alias("location_id"), "at.start_offset", "at.end_offset")

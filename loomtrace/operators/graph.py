@@ -57,7 +57,7 @@ def neighbourhood(edges: DataFrame, node: str) -> DataFrame:
 
 def output_tables(sources: DataFrame, outputs: DataFrame) -> DataFrame:
     """query_id, output_name, table_id: the tables that each output comes from, by its columns' owners."""
-    owner = F.concat(F.lit("table:"), F.substring_index(F.regexp_replace("column_id", "^column:", ""), ".", 2))
+    owner = F.regexp_replace("column_id", r"^column:(.*)\.[^.]*$", "table:$1")  # the id of a column ends with its own part
     return sources.where("segment_index = 0").join(outputs.select("query_id", "ordinal", "output_name"), ["query_id", "ordinal"]).select("query_id", "output_name", owner.alias("table_id")).distinct()
 
 
@@ -69,17 +69,28 @@ def layout(nodes: DataFrame) -> DataFrame:
     return nodes.select("query_id", "id", x.cast("bigint").alias("x"), (at * 58 + 72).cast("bigint").alias("y"))
 
 
+def result_view(nodes: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a table view's result: one node a query beside the outputs, at the tables' mean height, and an edge from each table."""
+    tables = nodes.where("node_type = 'table'").select("query_id", "id").distinct()
+    at = tables.join(placed, ["query_id", "id"]).groupBy("query_id").agg(F.avg("y").alias("y"))
+    result = F.concat(F.lit("result:"), "query_id")
+    return at.select("query_id", result.alias("id"), F.lit(560).cast("bigint").alias("x"), "y"), tables.select("query_id", F.col("id").alias("source"), result.alias("target"))
+
+
 def search(nodes: DataFrame, text: str) -> DataFrame:
     """Nodes whose label or id holds a text."""
     return nodes.where(F.lower(F.concat_ws(" ", "label", "id")).contains(text.lower()))
 
 
 def highlights(nodes: DataFrame, edges: DataFrame, mode: str) -> DataFrame:
-    """query_id, id: what a view marks - expressions and what they touch, or nodes that could not be resolved."""
+    """query_id, id: what a view marks - expressions and what they touch, nodes that could not be resolved, or CTEs and the ends of joins."""
     if mode == "expression":
         own = nodes.where("node_type = 'expression'").select("query_id", "id").distinct()
     elif mode == "diagnostics":
         own = nodes.where("node_type = 'unknown'").select("query_id", "id").distinct()
+    elif mode == "semantics":
+        joined = edges.where("edge_type = 'join_condition'").select("query_id", F.explode(F.array("source", "target")).alias("id"))
+        return nodes.where("node_type = 'cte'").select("query_id", "id").unionByName(joined).distinct()
     else:
         raise ValueError(f"no marks for the view {mode!r}")
     ends = edges.select("query_id", F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges.select("query_id", F.col("target").alias("id"), F.col("source").alias("other")))

@@ -12,6 +12,8 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             import tempfile
 
             folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
@@ -30,6 +32,27 @@ def small_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_arrays(columns, schema=types), schema)
 
 
+#: Rows that a table on the driver may have.
+FEW = 20_000
+
+
 def brought(df: DataFrame) -> DataFrame:
-    """df, run and held on the driver: for tables that are known to be small."""
-    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+    """df, run and held on the driver if it has FEW rows at most; else written to the shared folder."""
+    got = df.limit(FEW + 1).toArrow()
+    return df.sparkSession.createDataFrame(got, df.schema) if got.num_rows <= FEW else cut(df)
+
+
+_quick: dict = {}
+
+
+def quick(spark: SparkSession) -> SparkSession:
+    """A session of the same application for tables of few rows: no code generation, one partition, no plans changed at run time."""
+    key = spark.sparkContext.applicationId
+    if key not in _quick:
+        made = spark.newSession()
+        for k, v in {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.shuffle.partitions": "1", "spark.sql.leafNodeDefaultParallelism": "1"}.items():
+            made.conf.set(k, v)
+        made.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+        _quick.clear()
+        _quick[key] = made
+    return _quick[key]

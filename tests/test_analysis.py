@@ -122,8 +122,8 @@ def test_flagship(spark, sf_dir):
 
 
 def test_many_statements_go_through_the_shared_folder(spark, monkeypatch):
-    from loomtrace.operators import analysis
+    from loomtrace import shared
 
-    monkeypatch.setattr(analysis, "FEW", 0)
+    monkeypatch.setattr(shared, "FEW", 0)
     a = Analysis(spark, OTHERS[:3], q.shop(spark))
     assert ("projection", q.UT + "user_id", q.OUT + "1:user_id") in edges(a, "shadow") and a.statuses.count() == 3
