@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ids
+
 #: Keywords and functions that are offered (fixed values).
 KEYWORDS = (
     "SELECT", "FROM", "WHERE", "JOIN", "LEFT", "RIGHT", "INNER", "OUTER",
@@ -29,14 +31,15 @@ STRUCTURE = {*KEYWORDS, "USING", "OVER", "PARTITION", "ROWS", "RANGE", "NATURAL"
 TABLE_AFTER, COLUMN_AFTER = {"FROM", "JOIN", "INTO", "TABLE", "UPDATE"}, {"SELECT", "WHERE", "AND", "OR", "ON", "BY", "HAVING", "WHEN", "THEN", "ELSE", "SET", "DISTINCT"}
 
 
-def tokens(spark: SparkSession, sql: str) -> list[str]:
-    """The words of a text, by Spark's lexer; blanks and comments are left out."""
+def tokens(spark: SparkSession, sql: str, comments: bool = False) -> list[str]:
+    """The words of a text, by Spark's lexer; blanks are left out, and comments unless they are wanted."""
     jvm = spark._jvm
     parser = jvm.org.apache.spark.sql.catalyst.parser
     lexer = parser.SqlBaseLexer(parser.UpperCaseCharStream(jvm.org.antlr.v4.runtime.CharStreams.fromString(sql)))
     lexer.removeErrorListeners()
     found = lexer.getAllTokens()
-    return [t.getText() for t in (found.get(i) for i in range(found.size())) if t.getChannel() == 0]
+    every = [found.get(i) for i in range(found.size())]
+    return [t.getText() for t in every if t.getChannel() == 0 or (comments and t.getText().startswith(("--", "/*")))]
 
 
 def context(words: list[str]) -> str:
@@ -80,7 +83,9 @@ def complete(spark: SparkSession, columns: DataFrame, sql: str, line: int, col:
 
 def hover(spark: SparkSession, columns: DataFrame, sql: str, line: int, col: int) -> DataFrame:
     """kind, name, data_type of what the cursor is on: a column by its prefix, else a table, else a column of the statement's tables; no row if nothing."""
-    text = sql.replace("\r\n", "\n").split("\n")[line - 1]
+    lines = sql.replace("\r\n", "\n").split("\n")
+    text = lines[line - 1] if 0 < line <= len(lines) else ""
+    col = max(1, min(col, len(text) + 1))
     is_name = lambda ch: ch.isalnum() or ch in "_`"
     a = b = col - 1
     while a > 0 and is_name(text[a - 1]):
@@ -107,20 +112,32 @@ BREAKS = ("SELECT", "FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "UNION
 
 
 def format_sql(spark: SparkSession, sql: str) -> str:
-    """A statement with keywords in capitals and a line for each clause."""
-    out, last, depth = "", "", 0
-    for w in tokens(spark, sql):
+    """A statement with keywords in capitals and a line for each clause; comments stay where they are."""
+    out, last, depth, sign = "", "", 0, False
+    operators = ("=", "<", ">", "<=", ">=", "<>", "!=", "+", "-", "*", "/", "%")
+    for w in tokens(spark, sql, comments=True):
+        if w.startswith(("--", "/*")):
+            out = (out if out.endswith("\n") or not out else out.rstrip(" ") + " ") + w.rstrip() + ("\n" if w.startswith("--") else " ")
+            continue
         up = w.upper() if w.upper() in STRUCTURE or w.upper() in BREAKS else w
         depth += (w == "(") - (w == ")")
         if up in BREAKS and depth == 0 and out and not (up == "JOIN" and last in BREAKS):
             out = out.rstrip() + "\n"
-        glue = w in (",", ")", ".", ";") or last in ("(", ".") or (w == "(" and last.upper() not in STRUCTURE and last not in ("=", ",", "+", "-", "*", "/", "<", ">"))
+        glue = sign or w in (",", ")", ".", ";") or last in ("(", ".") or (w == "(" and last.upper() not in STRUCTURE and last not in (",", *operators))
         out = out.rstrip(" ") + up if glue or out.endswith("\n") or not out else out + up
         out += " "
+        sign = w in ("+", "-") and (not last or last in ("(", ",", *operators) or last.upper() in STRUCTURE)
         last = up
     return out.strip()
 
 
+def revealed(locations: DataFrame, requests: DataFrame, entity_id: str) -> DataFrame:
+    """query_id, start_line, start_col, end_line, end_col: the range of an entity's first place, for an editor."""
+    first = locations.where(F.col("entity_id") == entity_id).groupBy("query_id").agg(F.min(F.struct("start_offset", "end_offset", "start_line", "start_col")).alias("at"))
+    j = first.join(requests.select("query_id", "sql"), "query_id")
+    return j.select("query_id", "at.start_line", "at.start_col", ids.line_of(F.col("sql"), F.col("at.end_offset")).alias("end_line"), ids.column_of(F.col("sql"), F.col("at.end_offset")).alias("end_col"))
+
+
 def as_of(locations: DataFrame, line: int, col: int) -> DataFrame:
     """query_id, entity_id: the location on the cursor's line that begins last at or before it."""
     return locations.where((F.col("start_line") == line) & (F.col("start_col") <= col)).groupBy("query_id").agg(F.max_by("entity_id", F.struct("start_col", "entity_id")).alias("entity_id"))

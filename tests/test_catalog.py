@@ -7,6 +7,7 @@ import pytest
 from loomtrace import queries as q
 from loomtrace.operators import editor
 from loomtrace.sources import catalog
+from loomtrace.sources.store import Store
 
 
 def write(path, payload):
@@ -36,15 +37,59 @@ def test_checks(spark, tmp_path):
     assert codes == ["METADATA_IMPORT_EMPTY_COLUMNS", "METADATA_IMPORT_EMPTY_TABLE_NAME", "METADATA_IMPORT_SCHEMA_UNSUPPORTED"]
 
 
+def test_nested_unknown_keys_fail(spark, tmp_path):
+    for bad in ({"name": "t", "extra": 1, "columns": [{"name": "a"}]}, {"name": "t", "columns": [{"name": "a", "extra": 1}]}):
+        with pytest.raises(ValueError, match="extra"):
+            catalog.read_payload(spark, write(tmp_path / "n.json", PAYLOAD | {"tables": [bad]}))
+
+
 def test_store(spark, tmp_path):
-    store = str(tmp_path / "store")
-    catalog.save(q.shop(spark), store)
-    catalog.save(catalog.columns_from(spark, {"n": "a int"}, version="v2"), store)
-    got = spark.read.parquet(store)
-    assert got.where("metadata_version = 'v1'").count() == 8 and got.where("metadata_version = 'v2'").count() == 1
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.versions().count() == 0 and store.effective_version() is None and store.tables().count() == 0
+    first = store.load(write(tmp_path / "a.json", PAYLOAD | {"source_name": "test"}))
+    assert store.effective_version() == "v9" and store.effective_version("no") is None
+    made = {r.normalized_name: (r.created_at, r.updated_at) for r in store.read("tables").collect()}
+    again = {"metadata_version": "v9", "tables": [{"name": "T", "columns": [{"name": "a", "ordinal": 1}, {"name": "b", "ordinal": 2}]}, {"name": " ", "columns": [{"name": "x"}]}]}
+    p = catalog.read_payload(spark, write(tmp_path / "b.json", again))
+    seen = store.preview(p).first()
+    assert (seen.status, seen.tables, seen.total_columns, seen.added, seen.updated, seen.unchanged, seen.errors, seen.warnings) == ("preview_ready", 2, 3, 1, 1, 0, 1, 1)
+    second = store.commit(p)
+    now = {r.normalized_name: (r.created_at, r.updated_at) for r in store.read("tables").collect()}
+    assert now["t"][0] == made["t"][0] and now["t"][1] > made["t"][1] and now["u"] == made["u"]
+    assert [r.column_name for r in store.columns("t").collect()] == ["a", "b"] and store.table("T").count() == 1 and store.table("zz").count() == 0
+    jobs = {r.job_id: (r.status, r.total_tables, r.skipped_tables, r.error_count) for r in store.read("jobs").collect()}
+    assert jobs == {first: ("committed", 2, 0, 0), second: ("committed", 2, 1, 1)} and store.read("errors").count() == 1
+    store.commit(catalog.read_payload(spark, write(tmp_path / "c.json", {"metadata_version": "v10", "tables": [{"name": "n", "schema": "ods", "columns": [{"name": "a"}]}]})))
+    assert [(r.version, r.table_count) for r in store.versions().collect()] == [("v10", 1), ("v9", 2)]
+    assert [r.table_name for r in store.tables(schema="ods").collect()] == ["n"] and store.tables("v9", schema="default").count() == 1 and {r.table_name for r in store.context("v9").collect()} == {"T", "u"}
+    failed = store.commit(catalog.read_payload(spark, write(tmp_path / "d.json", PAYLOAD | {"schema_version": "2.0", "metadata_version": "v11"})))
+    assert store.read("jobs").where(f"job_id = '{failed}'").first().status == "failed" and store.effective_version() == "v10"
+
+
+def test_a_failed_commit_changes_nothing(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.load(write(tmp_path / "a.json", PAYLOAD))
+    before = store._newest()
+    with pytest.raises(Exception):  # noqa: B017
+        store.publish({"columns": store.read("columns").limit(0), "jobs": spark.range(1).selectExpr("raise_error('stop') as job_id")})
+    assert store._newest() == before and store.read("columns").count() == 3
+
+
+def test_export_and_import_again(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "one"))
+    store.load(write(tmp_path / "a.json", PAYLOAD))
+    store.export(str(tmp_path / "out"))
+    other = Store(spark, str(tmp_path / "two"))
+    other.load(str(tmp_path / "out"))
+    assert sorted(map(tuple, other.read("columns").collect()), key=str) == sorted(map(tuple, store.read("columns").collect()), key=str)
+
+
+def test_formatting_keeps_comments(spark):
+    assert editor.format_sql(spark, "select -1, a - -2 -- why\nfrom t /* all */ where b=1") == "SELECT -1, a - -2 -- why\nFROM t /* all */\nWHERE b = 1"
 
 
 def test_completion_of_unfinished_text(spark):
     got = editor.complete(spark, q.shop(spark), "SELECT u. FROM user_table AS u WHERE (", 1, 10).where("kind = 'column'")
     assert {r.label for r in got.collect()} == {"user_id", "user_name", "dt"}
     assert editor.hover(spark, q.shop(spark), "SELECT zz FROM user_table", 1, 9).count() == 0
+    assert editor.hover(spark, q.shop(spark), "SELECT 1", 7, 90).count() == 0
