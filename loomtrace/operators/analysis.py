@@ -133,10 +133,10 @@ class Analysis:
     @stage
     def _refs(self) -> DataFrame:
         """All references that are resolved: those of select lists, ON columns and both sides of join keys."""
-        cols = [*KEY, "clause", "ordinal", "ref_ord", "raw", "column", "table", "start_idx", "stop_idx"]
+        cols = [*KEY, "clause", "ordinal", "ref_ord", "raw", "column", "table", "schema", "start_idx", "stop_idx"]
         refs = self.p_column_refs.select(*cols)
         none = F.lit(None).cast("int")
-        side = lambda s: self.join_keys.select(*KEY, F.lit(f"key_{s}").alias("clause"), F.col("key_ord").alias("ordinal"), F.lit(0).alias("ref_ord"), F.concat_ws(".", f"{s}_table", f"{s}_column").alias("raw"), F.col(f"{s}_column").alias("column"), F.col(f"{s}_table").alias("table"), none.alias("start_idx"), none.alias("stop_idx"))
+        side = lambda s: self.join_keys.select(*KEY, F.lit(f"key_{s}").alias("clause"), F.col("key_ord").alias("ordinal"), F.lit(0).alias("ref_ord"), F.concat_ws(".", f"{s}_table", f"{s}_column").alias("raw"), F.col(f"{s}_column").alias("column"), F.col(f"{s}_table").alias("table"), F.lit(None).cast("string").alias("schema"), none.alias("start_idx"), none.alias("stop_idx"))
         return every([refs, side("l"), side("r")])
 
     @stage
@@ -159,7 +159,7 @@ class Analysis:
         e_on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"e_{k}") for k in KEY]) & (n(F.col("column")) == F.col("e_column")) & F.col("table").isNull() & (F.col("n") > 1)
         first = first.join(equal, e_on, "left").withColumn("n", F.when(F.size(F.array_except("aliases", "joined")) == 0, F.lit(1)).otherwise(F.col("n")))
         lost = self.relations.where("not found").select(*[F.col(k).alias(f"m_{k}") for k in KEY], F.col("ord").alias("m_ord"), F.col("alias").alias("m_alias"), F.col("table").alias("m_table"), F.col("catalog").alias("m_catalog"), F.col("schema").alias("m_schema"))
-        m_on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"m_{k}") for k in KEY]) & (F.col("n") == 0) & (F.col("table").isNull() | (n(F.col("table")) == n(F.col("m_alias"))) | (n(F.col("table")) == n(F.col("m_table"))))
+        m_on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"m_{k}") for k in KEY]) & (F.col("n") == 0) & (F.col("table").isNull() | (n(F.col("table")) == n(F.col("m_alias"))) | (n(F.col("table")) == n(F.col("m_table")))) & (F.col("schema").isNull() | (n(F.col("schema")) == n(F.col("m_schema"))))
         first = first.join(lost, m_on, "left").withColumn("m_rank", F.row_number().over(w.orderBy("m_ord"))).where("m_rank = 1")
         status = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").when(F.col("m_ord").isNotNull(), "missing").otherwise("unknown")
         ok, miss = status == "resolved", status == "missing"

@@ -129,6 +129,12 @@ add("import_complex_types", lambda spark: catalog.validate(payload(spark, [("t",
 add("import_missing_ordinal", lambda spark: catalog.validate(payload(spark, [("t", [("a", "int", 1), ("b", "int", None)])])), "t_idx, c_idx, code, level", [(0, 1, "METADATA_IMPORT_MISSING_ORDINAL", "warning")], "iiss")
 add("import_commit", lambda spark: catalog.merged(payload(spark, [("user_table", [("id", "int", 1), ("name", "string", 2), ("ID", "bigint", 3)])]), shop(spark)).where("table_name = 'user_table'"), "table_name, column_name, data_type, ordinal", [("user_table", "ID", "bigint", 3), ("user_table", "name", "string", 2)], "sssi")
 
+add("import_preview", lambda spark: catalog.preview(payload(spark, [("order_table", [("order_no", "int", 1), ("extra", "array<int>", None)]), ("user_table", [("user_id", "string", 1), ("USER_NAME", "string", 2), ("dt", "string", 3)]), ("fresh", [("a", "int", 1), ("A", "int", 2)])]), shop(spark)), "metadata_version, status, tables, total_columns, added, updated, unchanged, errors, warnings, info", [("v2", "preview_ready", 3, 7, 1, 1, 1, 1, 1, 1)], "ssiiiiiiii")
+add("import_diff_keys", lambda spark: catalog.diff(payload(spark, [("Order_Table", [(c, "int", 1) for c in ("ORDER_NO", "user_id", "order_amt", "status", "dt")])]), shop(spark)), "table_name, change, added_columns", [("Order_Table", "unchanged", 0)], "ssi")
+add("catalog_table_lookup", lambda spark: catalog.table_named(shop(spark), "`ORDER_table`", "v1"), "catalog, schema_name, table_name", [("default", "default", "order_table")])
+add("catalog_context", lambda spark: catalog.context(shop(spark), "v1").select("table_name", F.array_join(F.transform("columns", lambda x: x["column_name"]), ", ").alias("names")), "table_name, names", [("order_table", "order_no, user_id, order_amt, status, dt"), ("user_table", "user_id, user_name, dt")])
+add("catalog_export", lambda spark: catalog.payload_columns(catalog.exported(shop(spark), "v1", top=1)), "metadata_version, table_name, c_idx, column_name, is_partition", [("v1", "order_table", i, c, str(c == "dt").lower()) for i, c in enumerate(("order_no", "user_id", "order_amt", "status", "dt"))], "ssiss")
+
 _DOUBLE = [("t", [("a", "int", 1), ("A", "int", 2), ("b", "int", 3)]), ("u", [("x", "int", 1)])]
 
 
@@ -152,6 +158,7 @@ explained("scope_join_keys", "joins", JOINED, "join_type, left_key, right_key, r
 explained("scope_cte_columns", "items", "WITH a AS (SELECT order_no AS n, order_amt * 2 AS d FROM order_table), b AS (SELECT * FROM a) SELECT n FROM b", "owner, ordinal, output_name", [("a", 1, "n"), ("a", 2, "d"), ("b", 1, "n"), ("b", 2, "d"), ("__root__", 1, "n")], "sis")
 explained("scope_union_segments", "items", "SELECT user_id FROM order_table UNION ALL SELECT user_id FROM user_table UNION ALL SELECT 'x'", "segment_index, expression_sql, expression_kind", [(0, "user_id", "column"), (1, "user_id", "column"), (2, "'x'", "literal")], "iss")
 explained("scope_recursive_cte", "diagnostics", "WITH RECURSIVE t AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM t WHERE n < 3) SELECT n FROM t", "code, related", [("RECURSIVE_CTE_UNSUPPORTED", "t")])
+explained("scope_cte_cycle", "diagnostics", "WITH a AS (SELECT b.x FROM b), b AS (SELECT c.x FROM c), c AS (SELECT a.x FROM a), d AS (SELECT a.x FROM a) SELECT x FROM d", "code, related", [("RECURSIVE_CTE_UNSUPPORTED", "a"), ("RECURSIVE_CTE_UNSUPPORTED", "b"), ("RECURSIVE_CTE_UNSUPPORTED", "c")], where="code in ('RECURSIVE_CTE_UNSUPPORTED', 'UNKNOWN_TABLE')")
 explained("scope_expression_kind", "p_select_items", "SELECT status, 1 AS one, UPPER(dt) AS u, order_amt + 1 AS p, order_no FROM order_table", "ordinal, output_name, expression_kind", [(1, "status", "column"), (2, "one", "literal"), (3, "u", "function"), (4, "p", "expression"), (5, "order_no", "column")], "iss")
 
 # --- resolution ---
@@ -162,11 +169,17 @@ explained("resolve_unqualified", "resolved", "SELECT ORDER_NO, user_name FROM or
 explained("resolve_unknown_table", "diagnostics", "SELECT x.a FROM nowhere x", "code, level, related", [("UNKNOWN_TABLE", "warning", "nowhere")])
 explained("resolve_unknown_column", "diagnostics", "SELECT order_no, nope FROM order_table", "code, level, related", [("UNKNOWN_COLUMN", "warning", "nope")])
 explained("resolve_ambiguous", "diagnostics", "SELECT user_id FROM order_table o JOIN user_table u ON o.user_id = u.user_id", "code, level, related", [("AMBIGUOUS_COLUMN", "warning", "user_id: order_table, user_table")])
+explained("resolve_using", "resolved", "SELECT user_id, order_no, user_name FROM order_table JOIN user_table USING (user_id)", RESOLVED, [("user_id", "resolved", OT + "user_id"), ("order_no", "resolved", OT + "order_no"), ("user_name", "resolved", UT + "user_name")], where="clause = 'select'")
+explained("resolve_natural", "resolved", "SELECT user_id, dt, user_name FROM order_table NATURAL JOIN user_table", RESOLVED, [("user_id", "resolved", OT + "user_id"), ("dt", "resolved", OT + "dt"), ("user_name", "resolved", UT + "user_name")], where="clause = 'select'")
+add("resolve_by_join", lambda spark: Analysis(spark, [("q", "SELECT user_id, o.dt, dt AS d FROM order_table o JOIN user_table u ON o.user_id = u.user_id")], shop(spark), disambiguate_by_join=True).resolved.where("clause = 'select'"), RESOLVED, [("user_id", "resolved", OT + "user_id"), ("o.dt", "resolved", OT + "dt"), ("dt", "ambiguous", None)])
 explained("resolve_through_cte", "sources", "WITH a AS (SELECT order_amt AS x FROM order_table), b AS (SELECT x AS y FROM a) SELECT b.y AS z FROM b", "ordinal, column_id", [(1, OT + "order_amt")], "is")
 explained("resolve_status", "statuses", "SELECT nope FROM order_table", "status, errors, warnings", [("partial", 0, 1)], "sii")
 
 explained("diagnostic_report", "reported", "SELECT nope, user_id FROM order_table o JOIN user_table u ON o.user_id = u.user_id", "ord, diagnostic_id, level, related", [(1, "diag:AMBIGUOUS_COLUMN:1", "warning", "user_id: order_table, user_table"), (2, "diag:UNKNOWN_COLUMN:2", "warning", "nope")], "isss")
 explained("stage_statuses", "stages", "SELECT nope FROM order_table", "ord, stage, state", [(0, "parse", "success"), (1, "scope", "success"), (2, "name_resolution", "partial"), (3, "projection", "success"), (4, "expression_analysis", "success"), (5, "lineage", "success"), (6, "source_location", "success"), (7, "graph", "success"), (8, "semantics", "success")], "iss")
+explained("stage_codes", "stages", "SELECT nope, user_id FROM order_table o JOIN user_table u ON o.user_id = u.user_id", "stage, state, codes", [("name_resolution", "partial", "AMBIGUOUS_COLUMN, UNKNOWN_COLUMN")], where="codes <> ''")
+explained("projection_unsupported", "diagnostics", "SELECT NOW() AS t, UPPER(dt) AS u FROM order_table", "code, level, related", [("NOT_SUPPORTED_IN_P0", "info", "NOW() AS t")])
+explained("lineage_confidence", "confidence", "SELECT nope, order_no FROM order_table", "partial, level, reasons", [("true", "medium", "not resolved in full: nope")])
 explained("lineage_scopes", "scopes", "WITH a AS (SELECT t.order_no FROM order_table t) SELECT x.order_no FROM a x", "scope_id, parent, aliases", [("scope:root", None, "x=table:default.a"), ("scope:cte:a", "scope:root", "t=table:default.order_table")])
 
 # --- lineage ---
@@ -179,6 +192,10 @@ explained("lineage_literal", "edges", "SELECT 1 AS flag FROM order_table", EDGE,
 explained("lineage_star", "edges", "SELECT u.* FROM order_table o JOIN user_table u ON o.user_id = u.user_id", EDGE, [("projection", UT + "user_id", OUT + "1:user_id"), ("projection", UT + "user_name", OUT + "2:user_name"), ("projection", UT + "dt", OUT + "3:dt"), ("join_condition", OT + "user_id", UT + "user_id")])
 explained("lineage_cte_chain", "edges", "WITH a AS (SELECT user_id, order_amt FROM order_table), b AS (SELECT a.user_id AS uid, a.order_amt FROM a) SELECT uid, order_amt AS amt FROM b", EDGE, [("alias", OT + "user_id", OUT + "1:uid"), ("alias", OT + "order_amt", OUT + "2:amt"), ("projection", "table:default.order_table", "table:default.a"), ("projection", "table:default.a", "table:default.b")])
 explained("lineage_join_condition", "edges", JOINED, "edge_type, source, target, label", [("projection", OT + "order_no", OUT + "1:order_no", None), ("alias", UT + "user_name", OUT + "2:name", None), ("join_condition", OT + "user_id", UT + "user_id", "ON o.user_id = u.user_id"), ("join_condition", OT + "dt", UT + "dt", "ON o.dt = u.dt")])
+explained("lineage_join_natural", "edges", "SELECT user_name FROM order_table NATURAL JOIN user_table", EDGE, [("projection", UT + "user_name", OUT + "1:user_name"), ("join_condition", OT + "user_id", UT + "user_id"), ("join_condition", OT + "dt", UT + "dt")])
+explained("lineage_join_unknown", "edges", "SELECT o.order_no FROM order_table o JOIN user_table u ON o.user_id = u.nope", EDGE, [("projection", OT + "order_no", OUT + "1:order_no"), ("join_condition", OT + "user_id", "unknown:scope:root:join_0:nope")])
+explained("lineage_lateral_view", "edges", "SELECT o.order_no, x.part, pos FROM order_table o LATERAL VIEW posexplode(split(o.dt, '-')) x AS pos, part", EDGE, [("projection", OT + "order_no", OUT + "1:order_no"), ("alias", OT + "dt", OUT + "2:part"), ("alias", OT + "dt", OUT + "3:pos")])
+explained("lineage_lateral_views", "diagnostics", "SELECT e, f FROM order_table LATERAL VIEW explode(split(dt, '-')) q AS e LATERAL VIEW OUTER explode(split(e, '')) r AS f", "code, related", [])
 explained("lineage_union_mapping", "edges", "SELECT user_id AS k FROM order_table UNION ALL SELECT user_name FROM user_table", "edge_type, source, target, label", [("alias", OT + "user_id", OUT + "1:k", None), ("union_mapping", OT + "user_id", OUT + "1:k", "UNION segment 0"), ("union_mapping", UT + "user_name", OUT + "1:k", "UNION segment 1")])
 X = "expression:scope:root:"
 explained("lineage_aggregate", "edges", "SELECT user_id, SUM(order_amt) / COUNT(status) AS r FROM order_table GROUP BY user_id", EDGE, [("projection", OT + "user_id", OUT + "1:user_id"), ("expression", OT + "order_amt", X + "2:agg"), ("expression", OT + "status", X + "2:agg"), ("expression", X + "2:agg", OUT + "2:r")])
@@ -191,6 +208,10 @@ explained("lineage_nodes", "nodes", "WITH a AS (SELECT order_no FROM order_table
 explained("lineage_summary", "summary", JOINED, "tables, source_columns, output_columns, edges, diagnostics", [(2, 6, 2, 4, 0)], "iiiii")
 explained("expression_kinds", "expressions", "SELECT COUNT(DISTINCT user_id) AS u, CASE WHEN status > 0 THEN 1 END AS c, RANK() OVER (PARTITION BY dt ORDER BY order_amt) AS r FROM order_table GROUP BY 2", "ordinal, kind, function_name, partition_by, order_by", [(1, "agg", "COUNT_DISTINCT", "", ""), (2, "case", None, "", ""), (3, "window", "RANK", "dt", "order_amt")], "issss")
 
+explained("expression_aggregates", "expressions", "SELECT CORR(order_amt, status) AS c, REGR_SLOPE(order_amt, status) AS r, UPPER(dt) AS u FROM order_table GROUP BY 3", "ordinal, kind, function_name", [(1, "agg", "CORR"), (2, "agg", "REGR_SLOPE")], "iss")
+explained("expression_case_parts", "expression_parts", "SELECT CASE WHEN status = 1 THEN order_amt WHEN dt > '2' AND status > 2 THEN 0 ELSE status END AS p FROM order_table", "part, ord, text, columns", [("when", 0, "status = 1", "status"), ("then", 0, "order_amt", "order_amt"), ("when", 1, "dt > '2' AND status > 2", "dt, status"), ("then", 1, "0", ""), ("else", 2, "status", "status")], "siss")
+explained("expression_arguments", "expression_parts", "SELECT o.dt, SUM(o.order_amt * o.status) AS s FROM order_table o GROUP BY o.dt", "expression_id, part, text, columns", [(X + "2:agg", "argument", "o.order_amt * o.status", "o.order_amt, o.status")])
+
 # --- graph ---
 
 GRAPH = "WITH a AS (SELECT user_id, order_amt FROM order_table), b AS (SELECT a.user_id, u.user_name, a.order_amt FROM a JOIN user_table u ON a.user_id = u.user_id) SELECT user_name, SUM(order_amt) AS total FROM b GROUP BY user_name"
@@ -213,8 +234,15 @@ add("graph_layout", lambda spark: graph.layout(Analysis(spark, [("q", "SELECT or
 graphed("graph_highlights", lambda a: graph.highlights(a.nodes, a.edges, "expression").select("id"), f"x AS (SELECT 1) SELECT source AS id FROM e WHERE target = '{X}2:agg' UNION SELECT target FROM e WHERE source = '{X}2:agg' UNION SELECT '{X}2:agg'")
 graphed("graph_search", lambda a: graph.search(a.nodes.where("node_type = 'column'"), "AMT").select("id"), f"x AS (SELECT 1) SELECT '{OT}order_amt' AS id")
 
+add("graph_output_catalogs", lambda spark: (lambda a: graph.output_tables(a.sources, a._outputs))(Analysis(spark, [("q", "SELECT t.a AS x, s.raw.b FROM cat.ods.raw t JOIN s.raw ON t.k = s.raw.k")], shop(spark))), "output_name, table_id", [("x", "table:cat.ods.raw"), ("b", "table:s.raw")])
+graphed("graph_semantics_marks", lambda a: graph.highlights(a.nodes, a.edges, "semantics").select("id"), f"x AS (SELECT 1) SELECT 'table:default.a' AS id UNION SELECT 'table:default.b' UNION SELECT '{OT}user_id' UNION SELECT '{UT}user_id'")
+add("graph_result_view", lambda spark: (lambda a: graph.result_view(a.nodes, graph.layout(a.nodes))[0])(Analysis(spark, [("q", JOINED)], shop(spark))), "id, x, y", [("result:q", 560, 101)], "sii")
+
 # --- locations ---
 
+explained("locations_of_nodes", "node_locations", "SELECT order_no, 1 AS one FROM order_table", "id, status, start_offset, end_offset", [("table:default.order_table", "exact", 31, 42), (OT + "order_no", "exact", 7, 15), (OUT + "1:order_no", "exact", 7, 15), (OUT + "2:one", "exact", 17, 25), ("literal:scope:root:2", "unavailable", None, None)], "ssii")
+add("editor_reveal", lambda spark: (lambda a: editor.revealed(a.locations, a.p_requests, OUT + "2:s"))(Analysis(spark, [("q", "SELECT order_no,\n  status\n AS s FROM order_table o")], shop(spark))), "start_line, start_col, end_line, end_col", [(2, 3, 3, 6)], "iiii")
+
 PLACED = "entity_id, entity_type, raw_text, start_offset, end_offset, start_line, start_col"
 explained("locations_select", "locations", "SELECT order_no,\n  status AS s FROM order_table o", PLACED, [(OUT + "1:order_no", "output_column", "order_no", 7, 15, 1, 8), (OT + "order_no", "column", "order_no", 7, 15, 1, 8), (OUT + "2:s", "output_column", "status AS s", 19, 30, 2, 3), (OT + "status", "column", "status", 19, 25, 2, 3), ("table:default.order_table", "table", "order_table", 36, 47, 2, 20), ("scope_relation:root:o", "table_alias", "order_table o", 36, 49, 2, 20)], "sssiiii")
 explained("locations_clauses", "locations", "SELECT dt FROM order_table WHERE status = 1 GROUP BY dt ORDER BY dt", PLACED, [("clause:0".replace("clause", "where"), "clause", "status = 1", 33, 43, 1, 34), ("group_by:0", "clause", "dt", 53, 55, 1, 54), ("order_by:0", "clause", "dt", 65, 67, 1, 66)], "sssiiii", where="entity_type = 'clause'")
@@ -233,6 +261,11 @@ explained("sem_joins", "joins", JOINED, "join_type, left_key, right_key, risk",
 add("sem_dedup", lambda spark: Analysis(spark, [("a", "SELECT DISTINCT dt FROM order_table"), ("b", "SELECT dt FROM order_table UNION SELECT dt FROM user_table"), ("c", "SELECT dt FROM order_table UNION ALL SELECT dt FROM user_table"), ("d", "SELECT order_no, ROW_NUMBER() OVER (PARTITION BY dt ORDER BY status) AS r FROM order_table"), ("e", "SELECT dt FROM order_table GROUP BY dt")], shop(spark)).dedup, "query_id, dedup_type", [("a", "distinct"), ("b", "union"), ("d", "row_number"), ("e", "group_by")])
 add("sem_risks", lambda spark: Analysis(spark, [("a", JOINED), ("b", "SELECT o.dt FROM order_table o, user_table u WHERE o.dt = '1'"), ("c", "SELECT COUNT(*) AS n FROM order_table")], shop(spark)).risks, "query_id, risk_type, level", [("a", "join_amplification", "warning"), ("a", "no_partition_filter", "info"), ("b", "potential_cartesian", "warning"), ("c", "no_partition_filter", "info"), ("c", "ambiguous_metrics", "info")])
 
+explained("sem_metric_first_source", "metrics", "SELECT SUM(status * order_amt) AS s, MAX(order_amt + status) AS m FROM order_table", "output_name, target", [("s", OT + "status"), ("m", OT + "order_amt")])
+explained("sem_metric_through_ctes", "metrics", "WITH a AS (SELECT user_id, status - order_amt AS d FROM order_table) SELECT user_id, SUM(d) AS s FROM a GROUP BY user_id", "output_name, metric_type, target", [("s", "sum", OT + "status")])
+explained("sem_qualify", "filters", "SELECT order_no FROM order_table WHERE dt = '1' QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY order_amt) = 1", "filter_type, expression", [("partition_filter", "dt = '1'"), ("qualify", "ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY order_amt) = 1")])
+add("sem_report_status", lambda spark: Analysis(spark, [("a", REPORT), ("b", "SELECT o.dt FROM order_table o CROSS JOIN user_table u")], shop(spark), extended=True).semantics.select("query_id", "status", F.get_json_object("report", "$.result_grain.grain_type").alias("grain"), F.size(F.from_json(F.get_json_object("report", "$.evidence"), "array<string>")).alias("evidence")), "query_id, status, grain, evidence", [("a", "success", "group_by", 5), ("b", "partial", "detail", 0)], "sssi")
+
 # --- editor ---
 
 add("complete_tables", lambda spark: editor.complete(spark, shop(spark), "SELECT * FROM ", 1, 15).where("kind = 'table'"), "kind, label", [("table", "order_table"), ("table", "user_table")])

@@ -29,7 +29,7 @@ def tables(all_at_once):
 def test_explained(tables, name):
     table, _, columns, want, kinds, where, extended = q.EXPLAINED[name]
     names = columns.split(", ")
-    cast = {"s": lambda v: None if v is None else str(v), "i": int, "d": float}
+    cast = {"s": lambda v: None if v is None else str(v).lower() if isinstance(v, bool) else str(v), "i": lambda v: None if v is None else int(v), "d": float}
     got = [tuple(cast[k](r[n]) for n, k in zip(names, kinds, strict=True)) for r in tables(name, table, where, extended)]
     assert sorted(got, key=str) == sorted(want, key=str)
 
