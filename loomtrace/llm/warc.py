@@ -85,7 +85,8 @@ DELAY = 64
 
 def captures(pages: DataFrame) -> DataFrame:
     """The pages as an archive: every page is a full response at 2 * page_id, and is asked for again DELAY pages later with
-    the validators of its own text; the answer is a not-modified revisit (record_id -1 - page_id)."""
+    the validators of its own text; the answer is a not-modified revisit (record_id -1 - page_id).  Of page_ids that are 5
+    modulo 7 the revisit has another entity tag, and those of 3 modulo 11 stand before all responses."""
     digest = F.sha1(F.coalesce("html", F.lit("")))
     tag = F.concat(F.lit('"'), F.substring(digest, 1, 16), F.lit('"'))
     size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("string")
@@ -95,9 +96,10 @@ def captures(pages: DataFrame) -> DataFrame:
         F.col("page_id").alias("record_id"), "url", (F.col("page_id") * 2).alias("ts"), F.lit("response").alias("kind"), F.col("tag").alias("etag"), day(F.col("page_id")).alias("last_modified"), "digest",
         F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.col("size"), F.lit("etag"), F.col("tag"), F.lit("date"), (F.col("page_id") * 2).cast("string"), F.lit("age"), F.lit("0")).alias("headers"),
     )
-    at = F.col("page_id") * 2 + 1 + 2 * DELAY
+    at = F.when(F.pmod("page_id", F.lit(11)) == 3, F.lit(-1)).otherwise(F.col("page_id") * 2 + 1 + 2 * DELAY).cast("bigint")
+    tag_again = F.when(F.pmod("page_id", F.lit(7)) == 5, F.lit('"another"')).otherwise(F.col("tag"))
     again = page.select(
-        (-1 - F.col("page_id")).alias("record_id"), "url", at.alias("ts"), F.lit("revisit").alias("kind"), F.concat(F.lit("W/"), F.col("tag")).alias("etag"), day(F.col("page_id")).alias("last_modified"), "digest",
+        (-1 - F.col("page_id")).alias("record_id"), "url", at.alias("ts"), F.lit("revisit").alias("kind"), F.concat(F.lit("W/"), tag_again).alias("etag"), day(F.col("page_id")).alias("last_modified"), "digest",
         F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), at.cast("string"), F.lit("cache-control"), F.lit("max-age=60")).alias("headers"),
     )
     return response.unionByName(again)
@@ -119,12 +121,13 @@ k AS (
          regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
          array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\\?(.*)$', 1), '&'),
            lambda q: q <> '' AND NOT regexp_matches(lower(q), '{TRACKING}'))), '&') AS kept FROM p),
-c AS (SELECT page_id, digest, size, CASE WHEN host <> '' THEN host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS url_key FROM k),
+c AS (SELECT page_id, digest, size, CASE WHEN page_id % 11 = 3 THEN -1 ELSE page_id * 2 + 1 + {2 * DELAY} END AS asked,
+         CASE WHEN page_id % 7 = 5 THEN 'another' ELSE digest[1:16] END AS tag, CASE WHEN host <> '' THEN host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS url_key FROM k),
 t AS (
-  SELECT a.page_id, a.url_key, a.digest, max(b.page_id) AS target FROM c a
-  LEFT JOIN c b ON a.url_key = b.url_key AND b.page_id * 2 < a.page_id * 2 + 1 + {2 * DELAY} GROUP BY ALL)
-SELECT -1 - t.page_id AS record_id, t.url_key, t.page_id * 2 + 1 + {2 * DELAY} AS ts, t.target AS target_id, t.target * 2 AS target_ts,
-  CASE WHEN t.target IS NULL THEN 'no earlier response' WHEN c.digest[1:16] = t.digest[1:16] THEN 'resolved' ELSE 'changed' END AS outcome,
-  CASE WHEN c.digest[1:16] = t.digest[1:16] THEN 'age: 0; cache-control: max-age=60; content-length: ' || c.size || '; content-type: text/html; date: ' || (t.page_id * 2 + 1 + {2 * DELAY}) || '; etag: "' || c.digest[1:16] || '"' END AS headers
+  SELECT a.page_id, a.url_key, a.tag, a.asked, max(b.page_id) AS target FROM c a
+  LEFT JOIN c b ON a.url_key = b.url_key AND b.page_id * 2 < a.asked GROUP BY ALL)
+SELECT -1 - t.page_id AS record_id, t.url_key, t.asked AS ts, t.target AS target_id, t.target * 2 AS target_ts,
+  CASE WHEN t.target IS NULL THEN 'no earlier response' WHEN c.digest[1:16] = t.tag THEN 'resolved' ELSE 'changed' END AS outcome,
+  CASE WHEN c.digest[1:16] = t.tag THEN 'age: 0; cache-control: max-age=60; content-length: ' || c.size || '; content-type: text/html; date: ' || t.asked || '; etag: "' || c.digest[1:16] || '"' END AS headers
 FROM t LEFT JOIN c ON c.page_id = t.target
 """

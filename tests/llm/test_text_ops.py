@@ -233,6 +233,26 @@ def test_license_after_other_windows(spark):
     assert licenses.scan(frame(spark, [(1, "mit license", None, None, 0)]), {"two": "mit license"}).first().best_coverage == 1.0
 
 
+def test_licenses_against_every_window(spark):
+    import random
+
+    rng = random.Random(8)
+    templates = {"one": "alpha beta gamma delta alpha eps", "two": "beta beta zeta eta", "three": "eps"}
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "other"]) for _ in range(rng.randrange(0, 60))) for _ in range(300)]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    for threshold in (0.8, 0.5):
+        got = {r.doc_id: r for r in licenses.scan(frame(spark, rows), templates, threshold).collect()}
+        for i, t in enumerate(texts):
+            w, best = t.split(), {}
+            for name, body in templates.items():
+                b = body.split()
+                windows = [w[a : a + n] for a in range(len(w)) if w[a] in b for n in (len(b), 2 * len(b))]
+                best[name] = max([len(licenses.align(b, x)) / len(b) for x in windows], default=0)
+            found = {n: c for n, c in best.items() if c >= threshold}
+            assert got[i].licenses == ",".join(sorted(found)) and got[i].best_coverage == max(found.values(), default=0.0), t
+            assert got[i].best_license == min(found, key=lambda n: (-found[n], n), default=None)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=60), st.lists(st.integers(0, 4), min_size=1, max_size=9), st.integers(1, 20))
 def test_shared_words(text, template, wide):
@@ -247,7 +267,7 @@ def test_shared_words(text, template, wide):
 
 def test_quality(spark):
     rows = [(i, PROSE[i % 40 :] * 3 if i % 3 else "BUY!! NOW!! " * 20 + str(i), "en", "s", 0) for i in range(300)]
-    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)] + [(None, 1, 0), (5, None, 0), (9999, 0, 0)], "doc_id bigint, quality int, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)] + [(None, 1, 0), (5, None, 0), (6, 1, 0)] + [(9000 + i, 0, 0) for i in range(5000)], "doc_id bigint, quality int, toxic int")
     got = quality.quality(frame(spark, rows + awkward()[2:4]), labels).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
     assert np.mean([r.predicted == (r.doc_id % 3 > 0) for r in got if r.held_out]) > 0.98

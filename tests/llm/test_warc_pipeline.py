@@ -90,5 +90,25 @@ def test_pipeline_of_awkward_documents(spark, sf_dir):
         docs = frame(spark, rows)
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
-        docs.collect()
-    assert SCHEMA
+        ids = [r.doc_id for r in docs.collect()]
+        assert len(ids) == len({i for i in ids if i is not None}) + ids.count(None) and set(ids) <= {r.doc_id for r in frame(spark, rows).collect()}
+        assert {"doc_id", "k", "score", "token_ids"} <= set(docs.columns)
+        if rows == []:
+            assert ids == []
+
+
+def test_captures_have_all_outcomes(spark):
+    pages = spark.createDataFrame([(i, f"http://h.org/{i % 90}?ref=x", f"text {i % 5}") for i in range(400)], "page_id bigint, url string, html string")
+    got = warc.revisit_rows(pages)
+    assert got.count() == 400 and {r.outcome for r in got.collect()} == {"resolved", "changed", "no earlier response"}
+
+
+def test_resolve_with_ties_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "hot.org/p", 10, "response", f'"{i}"', None, None, {}, "") for i in range(5)] + [(100 + i, "hot.org/p", 11, "revisit", '"4"', None, None, {}, "") for i in range(300)]
+    df = spark.createDataFrame(rows, RECORD)
+    for name in ("blk", "again", "near", "carry", "full", "url_key", "outcome", "old", "new"):
+        df = df.withColumn(name, F.lit(name))
+    got = warc.resolve(df)
+    assert got.where("target_id = 4 and outcome = 'resolved'").count() == 300 and got.count() == 300
