@@ -130,7 +130,7 @@ class Analysis:
         made = first.select(*KEY, number.alias("key_ord"), F.lit("Inner").alias("join_type"), F.col("l.alias").alias("l_table"), F.col("l.column_name").alias("l_column"), "r_table", "r_column", F.concat(F.lit("USING ("), "r_column", F.lit(")")).alias("raw_sql"))
         return self.keep(self.p_join_keys.unionByName(made.select(*self.p_join_keys.columns)))
 
-    @stage
+    @cached_property
     def _refs(self) -> DataFrame:
         """All references that are resolved: those of select lists, ON columns and both sides of join keys."""
         cols = [*KEY, "clause", "ordinal", "ref_ord", "raw", "column", "table", "schema", "start_idx", "stop_idx"]
@@ -302,7 +302,7 @@ class Analysis:
             out = out.join(parent, (F.col("query_id") == F.col("p_q")) & (F.col("top") == F.col("p_o")), "left").withColumn("top", F.coalesce("up", "top")).drop("p_q", "p_o", "up")
         return out
 
-    @stage
+    @cached_property
     def cte_inputs(self) -> DataFrame:
         """query_id, source (a table's or CTE's id), target (the CTE that selects from it), owner."""
         t = self._tops.where((F.col("top") != ROOT) & (F.col("kind") != "derived") & ~F.col("top").startswith("__"))
