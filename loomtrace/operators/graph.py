@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import cut
+from ..shared import brought
 
 
 def closure(edges: DataFrame, start: str, upstream: bool = True, most: int | None = None) -> DataFrame:
@@ -15,15 +15,17 @@ def closure(edges: DataFrame, start: str, upstream: bool = True, most: int | Non
     round joins only the newly reached nodes, and leaves out those reached before, so that cycles end.  More than ``most`` steps, if given, are an error."""
     here, there = ("target", "source") if upstream else ("source", "target")
     e = edges.select("query_id", F.col(here).alias("h"), F.col(there).alias("t")).distinct()
-    front = cut(e.where(F.col("h") == start).select("query_id", F.col("t").alias("id"), F.lit(1).alias("distance")).distinct())
+    e = brought(e)
+    front = brought(e.where(F.col("h") == start).select("query_id", F.col("t").alias("id"), F.lit(1).alias("distance")).distinct())
     seen = front
     for step in count(2):
-        front = cut(front.join(e, (front["query_id"] == e["query_id"]) & (front["id"] == e["h"])).select(front["query_id"], F.col("t").alias("id"), F.lit(step).alias("distance")).distinct().join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti"))
+        reached = front.select("query_id", F.col("id").alias("h")).join(e, ["query_id", "h"]).select("query_id", F.col("t").alias("id"), F.lit(step).alias("distance")).distinct()
+        front = brought(reached.join(seen.select("query_id", "id"), ["query_id", "id"], "left_anti"))
         if front.isEmpty():
             break
         if most is not None and step > most:
             raise RuntimeError(f"the closure of {start} has more than {most} steps")
-        seen = seen.unionByName(front)
+        seen = brought(seen.unionByName(front))
     return seen.where(F.col("id") != start)
 
 
@@ -31,10 +33,11 @@ def levels(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataF
     """query_id, id, level of tables and CTEs: tables 0, a CTE one more than its highest source.  Levels are below the number of nodes; a cycle, or more than ``most`` rounds, is an error."""
     n = nodes.where("node_type in ('table', 'cte')").select("query_id", "id", "node_type").distinct()
     e = edges.where("source like 'table:%' and target like 'table:%'").select("query_id", "source", "target").distinct()
-    now = cut(n.select("query_id", "id", F.lit(0).alias("level")))
+    e = brought(e)
+    now = brought(n.select("query_id", "id", F.lit(0).alias("level")))
     for _ in range(now.count() + 1 if most is None else most):
         up = e.join(now, (e["query_id"] == now["query_id"]) & (e["source"] == now["id"])).groupBy(e["query_id"], e["target"]).agg((F.max("level") + 1).alias("up"))
-        new = cut(now.join(up.select(F.col("query_id").alias("q"), F.col("target").alias("x"), "up"), (F.col("query_id") == F.col("q")) & (F.col("id") == F.col("x")), "left").select("query_id", "id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
+        new = brought(now.join(up.select(F.col("query_id").alias("q"), F.col("target").alias("x"), "up"), (F.col("query_id") == F.col("q")) & (F.col("id") == F.col("x")), "left").select("query_id", "id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
         if new.join(now, ["query_id", "id", "level"], "left_anti").isEmpty():
             return new
         now = new
