@@ -33,7 +33,7 @@ from . import kernels, minmax
 from .components import components
 from .session import arrow_map, cut, fanout
 
-BUCKET_BLOCK = 512
+BUCKET_BLOCK = 128
 PIVOTS = 64
 SMALL = 16
 #: Text bytes that are hashed at once.
