@@ -1,0 +1,35 @@
+"""The first level of a distributed difference-cover recursion over all suffixes: sampled triples, range-partitioned and sorted, named."""
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from . import kernels
+from .session import arrow_map, fanout
+
+
+def first_level(docs):
+    def triples(batches):
+        for batch in batches:
+            raw, at = kernels.flat(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            for s in range(0, len(raw), 1 << 20):
+                e = min(len(raw), s + (1 << 20))
+                t = raw[s : e + 2].astype(np.int32)
+                t = np.append(t, [0, 0]).astype(np.int32)
+                key = (t[: e - s] << 16) | (t[1 : e - s + 1] << 8) | t[2 : e - s + 2]
+                row = np.searchsorted(at, np.arange(s, e), "right") - 1
+                pos = np.arange(s, e) - at[row]
+                take = pos % 3 != 0
+                yield pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(ids[row[take]]), pa.array(pos[take].astype(np.int32))], ["triple", "doc_id", "pos"])
+
+    src = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text")
+    rows = arrow_map(src, triples, "triple int, doc_id bigint, pos int")
+    named = rows.repartitionByRange(fanout(docs), "triple", "doc_id", "pos").sortWithinPartitions("triple", "doc_id", "pos")
+
+    def back(batches):
+        for b in batches:
+            yield b
+
+    # names go back to their places, where the next level's triples are made
+    there = arrow_map(named, back, "triple int, doc_id bigint, pos int").repartition(fanout(docs), "doc_id")
+    return there.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_bytes"), F.sum("triple").alias("n_removed"))
