@@ -28,7 +28,13 @@ def stage(make):
 
     @wraps(make)
     def kept(self):
-        return self.keep(make(self))
+        self.inside += 1
+        try:
+            return self.keep(make(self))
+        finally:
+            self.inside -= 1
+            if not self.inside:
+                self.settle()
 
     return cached_property(kept)
 
@@ -42,7 +48,7 @@ class Analysis:
     """
 
     def __init__(self, spark: SparkSession, statements: list[tuple[str, str]], columns: DataFrame, dialect: str = "spark", extended: bool = False, disambiguate_by_join: bool = False):
-        self.extended, self.by_join = extended, disambiguate_by_join
+        self.extended, self.by_join, caller = extended, disambiguate_by_join, spark
         rows = parsed.parse(spark, statements, dialect)
         self.depth = max((r[2] for r in rows["owners"]), default=0)
         self.natural = any(r[3] == "natural_join" for r in rows["clauses"])
@@ -58,9 +64,15 @@ class Analysis:
             if named.num_rows <= shared.FEW:
                 spark = quick(spark)
                 self.catalog = spark.createDataFrame(named, self.catalog.schema)
-        self.spark = spark
+        self.caller, self.spark, self.inside = caller, spark, 0
         for name, ddl in parsed.SCHEMAS.items():
             setattr(self, "p_" + name, small_table(spark, rows[name], ddl))
+        self.settle()
+
+    def settle(self) -> None:
+        """Making local tables leaves their session the active one; the caller's is that again."""
+        if self.spark is not self.caller:
+            self.caller.createDataFrame([], "none int")
 
     # --- relations and their columns ---
 
@@ -105,6 +117,8 @@ class Analysis:
             if level < self.depth:
                 out = made.where("segment_index = 0").select("query_id", F.col("owner").alias("source_owner"), F.col("ordinal").alias("col_ord"), F.col("output_name").alias("column_name"))
                 columns.append(self.keep(nested.join(out, ["query_id", "source_owner"]).select(*KEY, "ord", "alias", "table", "kind", "source_owner", "col_ord", "column_name", F.lit("unknown").alias("data_type"), F.lit(False).alias("is_partition"), F.lit(None).cast("string").alias("column_id"))))
+        if not self.inside:
+            self.settle()
         return every(columns), every(items)
 
     @property

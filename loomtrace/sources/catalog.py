@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import ids
+from ..shared import small_table
 
 #: The strict import format (fixed names).
 PAYLOAD = "schema_version string, metadata_version string, case_sensitive boolean, default_catalog string, default_schema string, source_name string, tables array<struct<catalog:string, schema:string, name:string, comment:string, table_type:string, columns:array<struct<name:string, data_type:string, comment:string, ordinal:int, is_partition:boolean, nullable:boolean>>>>"
@@ -29,7 +30,7 @@ def is_complex(kind: Column) -> Column:
 def columns_of(spark: SparkSession, tables: dict[str, DataFrame], version: str = "v1") -> DataFrame:
     """Catalog rows of DataFrames' own schemas."""
     rows = [(version, "default", "default", t, f.name, f.dataType.simpleString(), None, i, False) for t, df in tables.items() for i, f in enumerate(df.schema, 1)]
-    return spark.createDataFrame(rows, COLUMNS)
+    return small_table(spark, rows, COLUMNS)
 
 
 def columns_from(spark: SparkSession, tables: dict[str, str], version: str = "v1", partitions: tuple[str, ...] = ()) -> DataFrame:
@@ -40,7 +41,7 @@ def columns_from(spark: SparkSession, tables: dict[str, str], version: str = "v1
         for i, c in enumerate(ddl.split(", "), 1):
             column, kind = c.split(" ", 1)
             rows.append((version, "default", schema, name, column, kind, None, i, column in partitions))
-    return spark.createDataFrame(rows, COLUMNS)
+    return small_table(spark, rows, COLUMNS)
 
 
 def unknown_keys(got: T.DataType, want: T.DataType, at: str = "") -> list[str]:

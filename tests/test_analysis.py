@@ -121,6 +121,13 @@ def test_flagship(spark, sf_dir):
     assert ("alias", "column:default.lineitem.l_discount", q.OUT + "2:revenue") in got and len(got) == 9
 
 
+def test_the_callers_session_stays_active(spark, others):
+    from pyspark.sql import SparkSession
+
+    Analysis(spark, OTHERS[:2], q.shop(spark)).edges.collect()
+    assert SparkSession.getActiveSession().conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
 def test_many_statements_go_through_the_shared_folder(spark, monkeypatch):
     from loomtrace import shared
 
