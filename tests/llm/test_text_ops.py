@@ -313,6 +313,22 @@ def test_contamination(spark, monkeypatch, block):
     assert decontam.contamination_digests(frame(spark), items.where("false")).where("contaminated").count() == 0
 
 
+def test_benchmark_and_labels_with_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i in range(1, 22)], "doc_id bigint, quality int, toxic int")
+    wide_items, wide_labels = items, labels
+    for name in ("doc_id", "k", "t", "n_hit", "spans", "name"):
+        wide_items = wide_items.withColumn(name, F.lit(name))
+    for name in ("text", "__y", "h", "score", "c0"):
+        wide_labels = wide_labels.withColumn(name, F.lit(name))
+    one, two = [rows_of(decontam.contamination_digests(frame(spark), x), "doc_id", "n_words", "n_hit", "items_sha256") for x in (items, wide_items)]
+    assert one == two
+    one, two = [rows_of(quality.quality(frame(spark), x), "doc_id", "score", "predicted") for x in (labels, wide_labels)]
+    assert one == two
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 4), min_size=1, max_size=80), st.lists(st.lists(st.integers(1, 5), min_size=1, max_size=4), min_size=1, max_size=5))
 def test_fm_index(text, patterns):
