@@ -25,7 +25,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     SALTS parts a node; so a hub's neighbours are neither gathered in one row nor joined in one task.  Rounds are cut from
     their lineage in the shared folder.  Edges from a node to itself and nulls are ignored.
     """
-    e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    e = (
+        edges.where("a is not null and b is not null and a <> b")
+        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        .distinct()
+    )
     e = cut(e)
     before = None
     for _ in range(most_rounds):
@@ -33,7 +37,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # neighbours above a node go to its smallest neighbour: a change where it has one below
         span = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x"))
         up = both.where("v > u")
-        large = salted(up, span.where("m < u and x > u").select("u", "m")).select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v")).distinct()
+        large = (
+            salted(up, span.where("m < u and x > u").select("u", "m")).select(F.col("v").alias("u"), F.coalesce("m", "u").alias("v"))
+            .distinct()
+        )
         # neighbours below a node, and itself, go to the smallest of them: a change where it has several
         span = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x"))
         joined = salted(large, span.where("m < x").select("u", "m")).where("v <> coalesce(m, v)")
@@ -45,4 +52,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = state
     else:
         raise RuntimeError(f"no components after {most_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return (
+        e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        .unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")))
+        .distinct()
+    )

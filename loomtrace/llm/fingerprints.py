@@ -81,7 +81,10 @@ def fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     def work(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_text(s) for s in sketches([t or "" for t in batch.column(1).to_pylist()])], pa.string())], [key, "fingerprint"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([to_text(s) for s in sketches([t or "" for t in batch.column(1).to_pylist()])], pa.string())],
+                [key, "fingerprint"],
+            )
 
     src = docs.select(key, text)
     return arrow_map(src, work, f"`{key}` {dict(src.dtypes)[key]}, fingerprint string")
@@ -116,13 +119,23 @@ def merged(parts: DataFrame, by: str, sketch: str = "fingerprint", k: int = K) -
     src_type = to_arrow_type(src.schema["__g"].dataType)
     few = arrow_map(src, local, f"g {kind}, h bigint").distinct()
     salt = F.pmod(F.hash("h"), F.lit(32))
-    few = few.withColumn("s", salt).withColumn("r", F.row_number().over(Window.partitionBy("g", "s").orderBy(F.col("h").asc_nulls_last()))).where(F.col("r") <= k)
+    few = (
+        few.withColumn("s", salt)
+        .withColumn("r", F.row_number().over(Window.partitionBy("g", "s").orderBy(F.col("h").asc_nulls_last())))
+        .where(F.col("r") <= k)
+    )
     few = few.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.col("h").asc_nulls_last()))).where(F.col("r") <= k)
     lists = few.groupBy("g").agg(F.array_sort(F.collect_list("h")).alias("h"))
 
     def joined(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([to_text(np.array([x + (1 << 63) for x in h], np.uint64)) for h in batch.column(1).to_pylist()], pa.string())], [by, "fingerprint"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(
+                    [to_text(np.array([x + (1 << 63) for x in h], np.uint64)) for h in batch.column(1).to_pylist()],
+                    pa.string(),
+                )],
+                [by, "fingerprint"],
+            )
 
     return arrow_map(lists, joined, f"`{by}` {kind}, fingerprint string")
 
@@ -169,7 +182,11 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
                 edited.append(t[: len(t) - q] + after[:q])
             out = [[] for _ in names]
             for (k, t, a), (_, _, b), e, s in zip(rows, rows[1:], edited, sketches(edited), strict=False):
-                for o, v in zip(out, (None if k == NO_KEY else k, len(t), hashlib.sha256(e.encode()).hexdigest(), to_text(a), to_text(s), resemblance(a, s), resemblance(a, b), distinct(a), containment(a, s)), strict=True):
+                for o, v in zip(
+                    out,
+                    (None if k == NO_KEY else k, len(t), hashlib.sha256(e.encode()).hexdigest(), to_text(a), to_text(s), resemblance(a, s), resemblance(a, b), distinct(a), containment(a, s)),
+                    strict=True,
+                ):
                     o.append(v)
             return pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names)
 

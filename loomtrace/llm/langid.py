@@ -50,7 +50,12 @@ def sampled(labelled: DataFrame, cap: int, text: str = "text", lang: str = "lang
     Hashes are made distinct and ranked in salted groups before texts are looked at, so neither many copies of a text nor
     one frequent language meet in one task, and only the sample's texts go on."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.col(text) != ""))
-    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), (F.octet_length(text) > cap).alias("big"), F.col(text).alias("t"))
+    rows = rows.select(
+        F.col(lang).alias("lang"),
+        F.xxhash64(text).alias("h"),
+        (F.octet_length(text) > cap).alias("big"),
+        F.col(text).alias("t"),
+    )
     keys = rows.select("lang", "h", "big").distinct()
     counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     salted = Window.partitionBy("lang", F.pmod("h", F.lit(16))).orderBy("big", "h")
@@ -119,7 +124,10 @@ def classify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], key: str =
         use = Classifier(dictionaries)
         for batch in batches:
             got = [use.predict(t, margin) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in columns] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())], [*columns, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(batch.schema.get_field_index(c)) for c in columns] + [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())],
+                [*columns, "lang_pred", "score", "accepted"],
+            )
 
     return arrow_map(src, work, schema)
 

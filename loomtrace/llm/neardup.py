@@ -65,7 +65,11 @@ def set_rows(docs: DataFrame, words: int = minmax.SHINGLE) -> DataFrame:
                 )
                 i = j
 
-    return arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), hashed, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>")
+    return arrow_map(
+        docs.select(F.col("doc_id").cast("bigint"), "text"),
+        hashed,
+        "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>",
+    )
 
 
 def bucket_links(percent: int, words: int = minmax.SHINGLE):
@@ -105,7 +109,10 @@ def bucket_links(percent: int, words: int = minmax.SHINGLE):
         out: list[tuple[int, int]] = []
 
         def made():
-            b = pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
+            b = pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())],
+                ["a", "b"],
+            )
             out.clear()
             return b
 
@@ -134,10 +141,20 @@ def near_links(docs: DataFrame, groups: DataFrame, percent: int, words: int = mi
     by_band = groups.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
     sizes = (
         by_band.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("band").alias("band"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("s2"), F.min(F.struct("rep", "n")).alias("least"))
+        .agg(
+            F.count(F.lit(1)).alias("size"),
+            F.min("band").alias("band"),
+            F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s1"),
+            F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("s2"),
+            F.min(F.struct("rep", "n")).alias("least"),
+        )
         .where("size > 1")
     )
-    kept = sizes.groupBy("size", "s1", "s2", "least").agg(F.min(F.struct("band", "bucket")).alias("f")).select("f.bucket", "f.band", "size", F.col("least.rep").alias("lead"), F.col("least.n").alias("lead_n"))
+    kept = (
+        sizes.groupBy("size", "s1", "s2", "least")
+        .agg(F.min(F.struct("band", "bucket")).alias("f"))
+        .select("f.bucket", "f.band", "size", F.col("least.rep").alias("lead"), F.col("least.n").alias("lead_n"))
+    )
     members = cut(by_band.select("bucket", "rep", "n").join(kept, "bucket"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").where("rep is not null").repartition(parts, "rep")
     texts = cut(texts.join(members.select("rep").distinct(), "rep", "left_semi"))  # stays dealt by rep
@@ -157,29 +174,60 @@ def near_links(docs: DataFrame, groups: DataFrame, percent: int, words: int = mi
     pairs = members.where((F.col("rep") != F.col("lead")) & can).groupBy("lead", "rep").agg(F.max("size").alias("size"))
     pairs = pairs.withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), "rep"), F.ceil(F.col("size") / BUCKET_BLOCK)))
     heads = pairs.select("lead", "chunk").distinct()
-    first = met(task(heads, "chunk", 0, 0, bucket="lead", rep="lead", label="lead").unionAll(task(pairs, "chunk", 0, 1, bucket="lead", label="rep")))
+    first = met(task(
+        heads,
+        "chunk",
+        0,
+        0,
+        bucket="lead",
+        rep="lead",
+        label="lead",
+    ).unionAll(task(pairs, "chunk", 0, 1, bucket="lead", label="rep")))
     labels = first.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("label"))
 
     # buckets without their leaders that have several labels
-    rest = members.where("rep <> lead").join(labels, "rep", "left").select("bucket", "band", "size", "rep", F.coalesce("label", "rep").alias("label"))
+    rest = (
+        members.where("rep <> lead")
+        .join(labels, "rep", "left")
+        .select("bucket", "band", "size", "rep", F.coalesce("label", "rep").alias("label"))
+    )
     counts = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    several = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most")).where("kinds > 1")
+    several = (
+        counts.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("most"))
+        .where("kinds > 1")
+    )
     several = cut(several.select("bucket", "all", F.col("most.label").alias("main"), F.col("most.n").alias("mains")))  # so that a large bucket's join can be split
     open_ = cut(rest.join(several, "bucket"))
 
     # large ones: outsiders with pivots of the commonest label
     large = open_.where(F.col("all") > BUCKET_BLOCK)
-    pivots = large.where("label = main").withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(13), "rep"), "rep"))).where(F.col("r") <= PIVOTS)
-    outside = large.where("label <> main").withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), "rep"), F.ceil((F.col("all") - F.col("mains")) / BUCKET_BLOCK)))
+    pivots = (
+        large.where("label = main")
+        .withColumn("r", F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(13), "rep"), "rep")))
+        .where(F.col("r") <= PIVOTS)
+    )
+    outside = (
+        large.where("label <> main")
+        .withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), "rep"), F.ceil((F.col("all") - F.col("mains")) / BUCKET_BLOCK)))
+    )
     chunks = outside.select("bucket", "chunk").distinct()
     second = met(task(pivots.join(chunks, "bucket"), "chunk", 0, 0, "band", "size").unionAll(task(outside, "chunk", 0, 1, "band", "size")))
     pivots = pivots.select("bucket", "rep", F.lit(True).alias("pivot"))
-    joined = second.join(pivots.select(F.col("rep").alias("a"), "bucket"), "a").select("bucket", F.col("b").alias("rep"), F.lit(True).alias("in")).distinct()
+    joined = (
+        second.join(pivots.select(F.col("rep").alias("a"), "bucket"), "a")
+        .select("bucket", F.col("b").alias("rep"), F.lit(True).alias("in"))
+        .distinct()
+    )
     left = open_.join(pivots, ["bucket", "rep"], "left").where("pivot is null").join(joined, ["bucket", "rep"], "left")
     left = left.withColumn("label", F.when(F.col("in"), F.col("main")).otherwise(F.col("label")))
 
     # the rest in pairs of blocks: outsiders' blocks come first and meet all blocks after them
-    sums = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"), F.sum((F.col("label") != F.col("main")).cast("bigint")).alias("outs")).where("outs > 0 and left > 1")
+    sums = (
+        left.groupBy("bucket")
+        .agg(F.count(F.lit(1)).alias("left"), F.sum((F.col("label") != F.col("main")).cast("bigint")).alias("outs"))
+        .where("outs > 0 and left > 1")
+    )
     left = left.join(cut(sums), "bucket")
     one = F.col("left") <= BUCKET_BLOCK
     outs = F.when(one, F.lit(1)).otherwise(F.ceil(F.col("outs") / BUCKET_BLOCK))
@@ -187,7 +235,16 @@ def near_links(docs: DataFrame, groups: DataFrame, percent: int, words: int = mi
     is_out = F.col("label") != F.col("main")
     h = F.xxhash64(F.lit(11), "rep")
     own = F.when(one, F.lit(0)).when(is_out, F.pmod(h, outs)).otherwise(outs + F.pmod(h, mains_blocks)).cast("int")
-    blocks = left.select("bucket", "band", "size", "rep", "label", own.alias("own"), outs.cast("int").alias("outs"), (outs + mains_blocks).cast("int").alias("blocks"))
+    blocks = left.select(
+        "bucket",
+        "band",
+        "size",
+        "rep",
+        "label",
+        own.alias("own"),
+        outs.cast("int").alias("outs"),
+        (outs + mains_blocks).cast("int").alias("blocks"),
+    )
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("own") < F.col("outs"), F.col("blocks")).otherwise(F.col("outs")) - 1))
     blocks = blocks.withColumn("o", other)
     third = met(task(blocks, F.least("own", "o"), F.greatest("own", "o"), "own", "band", "size"))
@@ -198,10 +255,19 @@ def near_groups(docs: DataFrame, percent: int = 85, words: int = minmax.SHINGLE)
     """doc_id, n_shingles, component_id, kept: links are pairs with 100 * intersection >= percent * union of their sets of shingles of ``words`` words."""
     rows = cut(set_rows(docs, words))
     full = rows.where("n_shingles > 0")
-    groups = cut(full.where("doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
+    groups = cut(full.where("doc_id is not null").groupBy("d1", "d2").agg(
+        F.min("doc_id").alias("rep"),
+        F.first("n_shingles").alias("n"),
+        F.first("bands").alias("bands"),
+    ))
     reps = groups.select("d1", "d2", "rep")
     # a document with rows of several sets links their groups through itself
-    several = full.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y")).where("x <> y").select("doc_id")
+    several = (
+        full.groupBy("doc_id")
+        .agg(F.min(F.struct("d1", "d2")).alias("x"), F.max(F.struct("d1", "d2")).alias("y"))
+        .where("x <> y")
+        .select("doc_id")
+    )
     through = full.join(several, "doc_id").join(reps, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = near_links(docs, groups, percent, words)
     linked = components(links.unionAll(through))

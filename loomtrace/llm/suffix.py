@@ -85,7 +85,10 @@ def difference_cover_order(text: np.ndarray, depth: int) -> np.ndarray:
     # suffixes that agree in ``depth`` symbols have any order, so that keys may step back among them; running maxima keep them together
     k1 = np.maximum.accumulate((t[s1] << 21) | rank[s1 + 1])
     k2 = np.maximum.accumulate((t[s2] << 42) | (t[s2 + 1] << 21) | rank[s2 + 2])
-    below = np.searchsorted(k1, (t[third] << 21) | rank[third + 1]) + np.searchsorted(k2, (t[third] << 42) | (t[third + 1] << 21) | rank[third + 2])
+    below = np.searchsorted(k1, (t[third] << 21) | rank[third + 1]) + np.searchsorted(
+        k2,
+        (t[third] << 42) | (t[third + 1] << 21) | rank[third + 2],
+    )
     out = np.empty(n, np.int64)
     at = np.maximum.accumulate(below) + np.arange(len(third))
     out[at] = third
@@ -195,7 +198,10 @@ def unpacked(x: bytes, types: tuple) -> tuple[list[np.ndarray], int]:
 
 
 def part_batch(rows: list[tuple[int, bool, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], ["b", "done", "payload"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())],
+        ["b", "done", "payload"],
+    )
 
 
 def notes(key: np.ndarray, h: np.ndarray, u: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
@@ -207,7 +213,10 @@ def notes(key: np.ndarray, h: np.ndarray, u: np.ndarray, start: np.ndarray, stop
     at = np.flatnonzero(cut)
     ends = pa.array((np.append(at, len(key)) * 2).astype(np.int32))
     values = np.stack((start[order], stop[order]), 1).astype(np.int64).reshape(-1)
-    return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(h[at]), pa.array(u[at].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(values))], schema=NOTES_ARROW)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key[at]), pa.array(h[at]), pa.array(u[at].astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(values))],
+        schema=NOTES_ARROW,
+    )
 
 
 def slices(batch: pa.RecordBatch, column: int, size: int):
@@ -255,7 +264,10 @@ def find_anchors(buckets: int, length: int, anchor: int):
         for x, y in zip(cuts, np.append(cuts[1:], len(sort)), strict=True):
             take = sort[x:y]
             rows.append((int(bucket[take[0]]), packed([(h[at][take], ASK[0]), (kinds[take], ASK[1]), (twice[take], ASK[2])])))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([first[0]] * len(rows), pa.int64()), pa.array([first[1]] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["b", "k", "h", "payload"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), pa.array([first[0]] * len(rows), pa.int64()), pa.array([first[1]] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary())],
+            ["b", "k", "h", "payload"],
+        )
 
     return find
 
@@ -280,7 +292,10 @@ def answer(most: int):
             at += len(a[0])
             take = again[own]
             out.append(packed([(a[0][take], ANSWER[0]), (often[own][take], ANSWER[1])]))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in names], pa.int64()), pa.array([h for _, h in names], pa.int64()), pa.array(out, pa.binary())], ["k", "h", "payload"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in names], pa.int64()), pa.array([h for _, h in names], pa.int64()), pa.array(out, pa.binary())],
+            ["k", "h", "payload"],
+        )
 
     return work
 
@@ -316,11 +331,22 @@ def cut_texts(buckets: int, length: int, anchor: int):
                 if not len(take):
                     continue
                 row = np.searchsorted(at, start[take], "right") - 1
-                own = list(zip(*[batch.column(c).slice(i, j - i).to_numpy()[row].tolist() for c in (0, 1, 2)], (start[take] - at[row]).tolist(), strict=True))
+                own = list(zip(
+                    *[batch.column(c).slice(i, j - i).to_numpy()[row].tolist() for c in (0, 1, 2)],
+                    (start[take] - at[row]).tolist(),
+                    strict=True,
+                ))
                 text = raw.tobytes()
                 first: dict[tuple, tuple] = {}
                 done = []  # documents and places ascend, so the first owner of a text is the earliest
-                for a, owner, s, m, w in zip(h[take].tolist(), own, start[take].tolist(), more[take].tolist(), known[1][place[take]].tolist(), strict=True):
+                for a, owner, s, m, w in zip(
+                    h[take].tolist(),
+                    own,
+                    start[take].tolist(),
+                    more[take].tolist(),
+                    known[1][place[take]].tolist(),
+                    strict=True,
+                ):
                     if not w:
                         piece = text[s : s + m + length]
                         if first.setdefault((a, piece), owner) is not owner:
@@ -329,7 +355,10 @@ def cut_texts(buckets: int, length: int, anchor: int):
                     for d in range(m + 1):
                         piece = text[s + d : s + d + length]
                         owner_d = (*owner[:3], owner[3] + d)
-                        if first.setdefault((int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little"), piece), owner_d) is not owner_d:
+                        if first.setdefault(
+                            (int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little"), piece),
+                            owner_d,
+                        ) is not owner_d:
                             done.append((*owner_d, length))
                 by: dict[int, list] = {}
                 for (route, piece), owner in first.items():
@@ -439,12 +468,20 @@ def _with_spans(docs: DataFrame, length: int, anchor: int, rest: list[str]) -> D
     """__k, __u, __again (equal to an earlier row in key and text), __t, __rest, spans (a list of (u, spans))."""
     parts = fanout(docs)
     t = F.coalesce("text", F.lit(""))
-    src = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_KEY)).alias("__k"), t.alias("__t"), F.struct(F.col("text").isNull().alias("__null"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("__rest"))
+    src = docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_KEY)).alias("__k"),
+        t.alias("__t"),
+        F.struct(F.col("text").isNull().alias("__null"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(rest)]).alias("__rest"),
+    )
     # texts without a window take no part and are dealt by their row; so many equal ones don't meet
     short = F.octet_length("__t") < length
     src = src.withColumn("__h", F.when(short, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("__t")))
     w = Window.partitionBy("__k", "__h").orderBy("__t")
-    dealt = src.repartition(parts, "__k", "__h").withColumn("__u", F.dense_rank().over(w)).withColumn("__again", F.coalesce(F.lag("__t").over(w) == F.col("__t"), F.lit(False)))
+    dealt = (
+        src.repartition(parts, "__k", "__h")
+        .withColumn("__u", F.dense_rank().over(w))
+        .withColumn("__again", F.coalesce(F.lag("__t").over(w) == F.col("__t"), F.lit(False)))
+    )
     # with __rest, so that all steps read one exchange
     live = dealt.where(~F.col("__again") & ~short).select("__k", "__h", "__u", "__t", "__rest")
     asked = arrow_map(live, find_anchors(parts, length, anchor), "b int, k bigint, h bigint, payload binary").repartitionById(parts, "b")
@@ -484,9 +521,16 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
                 for o, v in zip(out, (len(raw), gone, spans, hashlib.sha256(kept).hexdigest()), strict=True):
                     o.append(v)
             key = batch.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(key, mask=key == NO_KEY), *[pa.array(o, pa.int64()) for o in out[:3]], pa.array(out[3])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return arrow_map(_with_spans(docs, length, anchor, []), judge, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key, mask=key == NO_KEY), *[pa.array(o, pa.int64()) for o in out[:3]], pa.array(out[3])],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+            )
+
+    return arrow_map(
+        _with_spans(docs, length, anchor, []),
+        judge,
+        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string",
+    )
 
 
 def drop_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:

@@ -43,7 +43,15 @@ def resolve(records: DataFrame) -> DataFrame:
     """One row for each revisit: record_id, url_key, ts, target_id, target_ts, outcome ('resolved', 'changed' or 'no earlier response'), headers."""
     parts = fanout(records)
     revisit = F.coalesce(F.col("kind") == "revisit", F.lit(False))
-    r = records.select("record_id", canonical(F.col("url")).alias("url_key"), F.coalesce(F.col("ts").cast("bigint"), F.lit(-(1 << 62))).alias("ts"), revisit.alias("again"), "etag", "last_modified", "digest")
+    r = records.select(
+        "record_id",
+        canonical(F.col("url")).alias("url_key"),
+        F.coalesce(F.col("ts").cast("bigint"), F.lit(-(1 << 62))).alias("ts"),
+        revisit.alias("again"),
+        "etag",
+        "last_modified",
+        "digest",
+    )
     r = r.withColumn("blk", OrderedBuckets(r, [F.col("ts")], parts).of(F.col("ts")))
     full = F.when(~F.col("again") & F.col("url_key").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest"))
     r = r.withColumn("full", full)
@@ -52,8 +60,22 @@ def resolve(records: DataFrame) -> DataFrame:
     blocks = r.where("url_key is not null").groupBy("url_key", "blk").agg(F.max("full").alias("last"))
     earlier = Window.partitionBy("url_key").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     carried = blocks.withColumn("carry", F.max("last").over(earlier)).select("url_key", "blk", "carry")
-    found = here.join(carried, ["url_key", "blk"], "left").select("record_id", "url_key", "ts", "etag", "last_modified", "digest", F.coalesce("near", "carry").alias("target"))
-    lost = r.where("again and url_key is null").select("record_id", "url_key", "ts", "etag", "last_modified", "digest", F.lit(None).cast(found.schema["target"].dataType).alias("target"))
+    found = (
+        here.join(carried, ["url_key", "blk"], "left")
+        .select("record_id", "url_key", "ts", "etag", "last_modified", "digest", F.coalesce("near", "carry").alias("target"))
+    )
+    lost = (
+        r.where("again and url_key is null")
+        .select(
+            "record_id",
+            "url_key",
+            "ts",
+            "etag",
+            "last_modified",
+            "digest",
+            F.lit(None).cast(found.schema["target"].dataType).alias("target"),
+        )
+    )
     found = found.unionByName(lost)
     plain = lambda c: F.regexp_replace(c, "^W/", "")
     t = F.col("target")
@@ -63,12 +85,27 @@ def resolve(records: DataFrame) -> DataFrame:
         .otherwise(F.coalesce(F.col("digest") == t["digest"], F.lit(False)))
     )
     outcome = F.when(t.isNull(), "no earlier response").when(agree, "resolved").otherwise("changed")
-    found = found.select("record_id", "url_key", "ts", t["record_id"].alias("target_id"), t["ts"].alias("target_ts"), outcome.alias("outcome"))
+    found = found.select(
+        "record_id",
+        "url_key",
+        "ts",
+        t["record_id"].alias("target_id"),
+        t["ts"].alias("target_ts"),
+        outcome.alias("outcome"),
+    )
     once = records.groupBy("record_id").agg(F.first("headers", ignorenulls=True).alias("h"))
     own = once.select("record_id", F.col("h").alias("new"))
     old = once.select(F.col("record_id").alias("target_id"), F.col("h").alias("old"))
     joined = found.join(own, "record_id", "left").join(old, "target_id", "left")
-    return joined.select("record_id", "url_key", "ts", "target_id", "target_ts", "outcome", F.when(F.col("outcome") == "resolved", merge_headers(F.col("old"), F.col("new"))).alias("headers"))
+    return joined.select(
+        "record_id",
+        "url_key",
+        "ts",
+        "target_id",
+        "target_ts",
+        "outcome",
+        F.when(F.col("outcome") == "resolved", merge_headers(F.col("old"), F.col("new"))).alias("headers"),
+    )
 
 
 def merge_headers(old: Column, new: Column) -> Column:
@@ -94,13 +131,31 @@ def captures(pages: DataFrame) -> DataFrame:
     day = lambda c: F.concat(F.lit("day "), F.floor(c / 1000).cast("string"))
     response = page.select(
         F.col("page_id").alias("record_id"), "url", (F.col("page_id") * 2).alias("ts"), F.lit("response").alias("kind"), F.col("tag").alias("etag"), day(F.col("page_id")).alias("last_modified"), "digest",
-        F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.col("size"), F.lit("etag"), F.col("tag"), F.lit("date"), (F.col("page_id") * 2).cast("string"), F.lit("age"), F.lit("0")).alias("headers"),
+        F.create_map(
+            F.lit("content-type"),
+            F.lit("text/html"),
+            F.lit("content-length"),
+            F.col("size"),
+            F.lit("etag"),
+            F.col("tag"),
+            F.lit("date"),
+            (F.col("page_id") * 2).cast("string"),
+            F.lit("age"),
+            F.lit("0"),
+        ).alias("headers"),
     )
     at = F.when(F.pmod("page_id", F.lit(11)) == 3, F.lit(-1)).otherwise(F.col("page_id") * 2 + 1 + 2 * DELAY).cast("bigint")
     tag_again = F.when(F.pmod("page_id", F.lit(7)) == 5, F.lit('"another"')).otherwise(F.col("tag"))
     again = page.select(
         (-1 - F.col("page_id")).alias("record_id"), "url", at.alias("ts"), F.lit("revisit").alias("kind"), F.concat(F.lit("W/"), tag_again).alias("etag"), day(F.col("page_id")).alias("last_modified"), "digest",
-        F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), at.cast("string"), F.lit("cache-control"), F.lit("max-age=60")).alias("headers"),
+        F.create_map(
+            F.lit("content-length"),
+            F.lit("0"),
+            F.lit("date"),
+            at.cast("string"),
+            F.lit("cache-control"),
+            F.lit("max-age=60"),
+        ).alias("headers"),
     )
     return response.unionByName(again)
 
