@@ -53,7 +53,16 @@ class Analysis:
         self.depth = max((r[2] for r in rows["owners"]), default=0)
         self.natural = any(r[3] == "natural_join" for r in rows["clauses"])
         comment = F.col("comment") if "comment" in columns.columns else F.lit(None).cast("string")
-        self.catalog = columns.select("catalog", "schema_name", "table_name", "column_name", "data_type", "ordinal", "is_partition", comment.alias("comment"))
+        self.catalog = columns.select(
+            "catalog",
+            "schema_name",
+            "table_name",
+            "column_name",
+            "data_type",
+            "ordinal",
+            "is_partition",
+            comment.alias("comment"),
+        )
         # what is parsed is on the driver already; of few statements the tables that they name, and all that is derived,
         # stay there as long as they are small; others are written
         self.keep = cut
@@ -79,19 +88,58 @@ class Analysis:
     @stage
     def relations(self) -> DataFrame:
         """Relations with found (in the catalog), entity_id and relation_id."""
-        known = self.catalog.select(F.col("catalog").alias("k_c"), F.col("schema_name").alias("k_s"), ids.normal(F.col("table_name")).alias("k_t")).distinct()
-        r = self.p_relations.join(known, (F.col("kind") == "table") & (F.col("catalog") == F.col("k_c")) & (F.col("schema") == F.col("k_s")) & (ids.normal(F.col("table")) == F.col("k_t")), "left")
-        return r.select(*self.p_relations.columns, ((F.col("kind") != "table") | F.col("k_t").isNotNull()).alias("found"), ids.table_id(F.col("catalog"), F.col("schema"), F.col("table")).alias("entity_id"), ids.relation_id(F.col("alias")).alias("relation_id"))
+        known = (
+            self.catalog.select(
+                F.col("catalog").alias("k_c"),
+                F.col("schema_name").alias("k_s"),
+                ids.normal(F.col("table_name")).alias("k_t"),
+            )
+            .distinct()
+        )
+        r = self.p_relations.join(
+            known,
+            (F.col("kind") == "table") & (F.col("catalog") == F.col("k_c")) & (F.col("schema") == F.col("k_s")) & (ids.normal(F.col("table")) == F.col("k_t")),
+            "left",
+        )
+        return r.select(
+            *self.p_relations.columns,
+            ((F.col("kind") != "table") | F.col("k_t").isNotNull()).alias("found"),
+            ids.table_id(F.col("catalog"), F.col("schema"), F.col("table")).alias("entity_id"),
+            ids.relation_id(F.col("alias")).alias("relation_id"),
+        )
 
     @cached_property
     def _levels(self) -> tuple[DataFrame, DataFrame]:
         """(owner columns, select items with stars expanded and ordinals counted anew)."""
         rel = self.relations.select(*KEY, "ord", "alias", "table", "kind", "source_owner", "found", "entity_id", "catalog", "schema")
-        cat = self.catalog.select(F.col("catalog").alias("k_c"), F.col("schema_name").alias("k_s"), ids.normal(F.col("table_name")).alias("k_t"), F.col("ordinal").alias("col_ord"), "column_name", "data_type", "is_partition")
+        cat = self.catalog.select(
+            F.col("catalog").alias("k_c"),
+            F.col("schema_name").alias("k_s"),
+            ids.normal(F.col("table_name")).alias("k_t"),
+            F.col("ordinal").alias("col_ord"),
+            "column_name",
+            "data_type",
+            "is_partition",
+        )
         physical = (
             rel.where("kind = 'table' and found")
-            .join(cat, (F.col("catalog") == F.col("k_c")) & (F.col("schema") == F.col("k_s")) & (ids.normal(F.col("table")) == F.col("k_t")))
-            .select(*KEY, "ord", "alias", "table", "kind", "source_owner", "col_ord", "column_name", "data_type", "is_partition", ids.column_id(F.col("catalog"), F.col("schema"), F.col("table"), F.col("column_name")).alias("column_id"))
+            .join(
+                cat,
+                (F.col("catalog") == F.col("k_c")) & (F.col("schema") == F.col("k_s")) & (ids.normal(F.col("table")) == F.col("k_t")),
+            )
+            .select(
+                *KEY,
+                "ord",
+                "alias",
+                "table",
+                "kind",
+                "source_owner",
+                "col_ord",
+                "column_name",
+                "data_type",
+                "is_partition",
+                ids.column_id(F.col("catalog"), F.col("schema"), F.col("table"), F.col("column_name")).alias("column_id"),
+            )
         )
         columns, items = [self.keep(physical)], []
         nested = rel.where("kind <> 'table'")
@@ -111,12 +159,36 @@ class Analysis:
                 *KEY, F.col("ordinal").alias("item_ord"), F.lit(0).alias("a"), F.lit(0).alias("b"), "expression_sql", "output_name", "alias", "expression_kind", "expression_class", "function_name",
                 F.lit(False).alias("from_star"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("source_owner"), F.lit(None).cast("int").alias("source_ord"), F.lit(None).cast("string").alias("column_id"), F.lit(None).cast("string").alias("column_name"), "start_idx", "stop_idx",
             )
-            made = plain.unionByName(wide).withColumn("ordinal", F.row_number().over(Window.partitionBy(*KEY).orderBy("item_ord", "a", "b"))).drop("a", "b")
+            made = (
+                plain.unionByName(wide)
+                .withColumn("ordinal", F.row_number().over(Window.partitionBy(*KEY).orderBy("item_ord", "a", "b")))
+                .drop("a", "b")
+            )
             made = self.keep(made)
             items.append(made)
             if level < self.depth:
-                out = made.where("segment_index = 0").select("query_id", F.col("owner").alias("source_owner"), F.col("ordinal").alias("col_ord"), F.col("output_name").alias("column_name"))
-                columns.append(self.keep(nested.join(out, ["query_id", "source_owner"]).select(*KEY, "ord", "alias", "table", "kind", "source_owner", "col_ord", "column_name", F.lit("unknown").alias("data_type"), F.lit(False).alias("is_partition"), F.lit(None).cast("string").alias("column_id"))))
+                out = (
+                    made.where("segment_index = 0")
+                    .select(
+                        "query_id",
+                        F.col("owner").alias("source_owner"),
+                        F.col("ordinal").alias("col_ord"),
+                        F.col("output_name").alias("column_name"),
+                    )
+                )
+                columns.append(self.keep(nested.join(out, ["query_id", "source_owner"]).select(
+                    *KEY,
+                    "ord",
+                    "alias",
+                    "table",
+                    "kind",
+                    "source_owner",
+                    "col_ord",
+                    "column_name",
+                    F.lit("unknown").alias("data_type"),
+                    F.lit(False).alias("is_partition"),
+                    F.lit(None).cast("string").alias("column_id"),
+                )))
         if not self.inside:
             self.settle()
         return every(columns), every(items)
@@ -137,11 +209,25 @@ class Analysis:
         if not self.natural:
             return self.p_join_keys
         c = self.owner_columns.select(*KEY, "ord", "alias", "column_name")
-        right = self.p_clauses.where("clause = 'natural_join'").select(*KEY, F.col("text").alias("alias")).join(c, [*KEY, "alias"]).select(*KEY, F.col("ord").alias("r_ord"), F.col("alias").alias("r_table"), F.col("column_name").alias("r_column"))
+        right = (
+            self.p_clauses.where("clause = 'natural_join'")
+            .select(*KEY, F.col("text").alias("alias"))
+            .join(c, [*KEY, "alias"])
+            .select(*KEY, F.col("ord").alias("r_ord"), F.col("alias").alias("r_table"), F.col("column_name").alias("r_column"))
+        )
         both = right.join(c, KEY).where("ord < r_ord and lower(column_name) = lower(r_column)")
         first = both.groupBy(*KEY, "r_ord", "r_table", "r_column").agg(F.min_by(F.struct("alias", "column_name"), "ord").alias("l"))
         number = F.row_number().over(Window.partitionBy("query_id").orderBy("owner", "segment_index", "r_ord", "r_column")) + 100_000
-        made = first.select(*KEY, number.alias("key_ord"), F.lit("Inner").alias("join_type"), F.col("l.alias").alias("l_table"), F.col("l.column_name").alias("l_column"), "r_table", "r_column", F.concat(F.lit("USING ("), "r_column", F.lit(")")).alias("raw_sql"))
+        made = first.select(
+            *KEY,
+            number.alias("key_ord"),
+            F.lit("Inner").alias("join_type"),
+            F.col("l.alias").alias("l_table"),
+            F.col("l.column_name").alias("l_column"),
+            "r_table",
+            "r_column",
+            F.concat(F.lit("USING ("), "r_column", F.lit(")")).alias("raw_sql"),
+        )
         return self.keep(self.p_join_keys.unionByName(made.select(*self.p_join_keys.columns)))
 
     @cached_property
@@ -157,25 +243,61 @@ class Analysis:
     def resolved(self) -> DataFrame:
         """One row a reference: status resolved, missing (its relation is not in the catalog), ambiguous or unknown; where it leads; candidates."""
         r = self._refs
-        c = self.owner_columns.select(*[F.col(k).alias(f"c_{k}") for k in KEY], F.col("ord").alias("c_ord"), F.col("alias").alias("c_alias"), F.col("table").alias("c_table"), F.col("kind").alias("c_kind"), "source_owner", F.col("col_ord").alias("source_ord"), "column_name", "column_id")
+        c = self.owner_columns.select(
+            *[F.col(k).alias(f"c_{k}") for k in KEY],
+            F.col("ord").alias("c_ord"),
+            F.col("alias").alias("c_alias"),
+            F.col("table").alias("c_table"),
+            F.col("kind").alias("c_kind"),
+            "source_owner",
+            F.col("col_ord").alias("source_ord"),
+            "column_name",
+            "column_id",
+        )
         n = ids.normal
         on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"c_{k}") for k in KEY]) & (n(F.col("column")) == n(F.col("column_name"))) & (F.col("table").isNull() | (n(F.col("table")) == n(F.col("c_alias"))) | (n(F.col("table")) == n(F.col("c_table"))))
         ref = [*KEY, "clause", "ordinal", "ref_ord"]
         w = Window.partitionBy(*ref)
-        both = r.join(c, on, "left").withColumn("by_alias", F.max((n(F.col("table")) == n(F.col("c_alias"))).cast("int")).over(w)).where("table is null or c_ord is null or by_alias = 0 or lower(trim(table)) = lower(trim(c_alias)) or by_alias is null")
+        both = (
+            r.join(c, on, "left")
+            .withColumn("by_alias", F.max((n(F.col("table")) == n(F.col("c_alias"))).cast("int")).over(w))
+            .where("table is null or c_ord is null or by_alias = 0 or lower(trim(table)) = lower(trim(c_alias)) or by_alias is null")
+        )
         both = both.withColumn("n", F.count("c_ord").over(w)).withColumn("rank", F.row_number().over(w.orderBy("c_ord", "source_ord")))
         names, aliases = F.array_sort(F.collect_set("c_table").over(w)), F.collect_set(n(F.col("c_alias"))).over(w)
         first = both.withColumn("candidates", names).withColumn("aliases", aliases).where("rank = 1")
         # a column on which all its relations are joined by equality is the first one's
         equal = self.join_keys.where("lower(l_column) = lower(r_column)" + ("" if self.by_join else " and raw_sql like 'USING%'"))
-        equal = equal.select(*[F.col(k).alias(f"e_{k}") for k in KEY], n(F.col("l_column")).alias("e_column"), F.explode(F.array(n(F.col("l_table")), n(F.col("r_table")))).alias("e_table"))
+        equal = equal.select(
+            *[F.col(k).alias(f"e_{k}") for k in KEY],
+            n(F.col("l_column")).alias("e_column"),
+            F.explode(F.array(n(F.col("l_table")), n(F.col("r_table")))).alias("e_table"),
+        )
         equal = equal.groupBy(*[f"e_{k}" for k in KEY], "e_column").agg(F.collect_set("e_table").alias("joined"))
         e_on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"e_{k}") for k in KEY]) & (n(F.col("column")) == F.col("e_column")) & F.col("table").isNull() & (F.col("n") > 1)
-        first = first.join(equal, e_on, "left").withColumn("n", F.when(F.size(F.array_except("aliases", "joined")) == 0, F.lit(1)).otherwise(F.col("n")))
-        lost = self.relations.where("not found").select(*[F.col(k).alias(f"m_{k}") for k in KEY], F.col("ord").alias("m_ord"), F.col("alias").alias("m_alias"), F.col("table").alias("m_table"), F.col("catalog").alias("m_catalog"), F.col("schema").alias("m_schema"))
+        first = (
+            first.join(equal, e_on, "left")
+            .withColumn("n", F.when(F.size(F.array_except("aliases", "joined")) == 0, F.lit(1)).otherwise(F.col("n")))
+        )
+        lost = (
+            self.relations.where("not found")
+            .select(
+                *[F.col(k).alias(f"m_{k}") for k in KEY],
+                F.col("ord").alias("m_ord"),
+                F.col("alias").alias("m_alias"),
+                F.col("table").alias("m_table"),
+                F.col("catalog").alias("m_catalog"),
+                F.col("schema").alias("m_schema"),
+            )
+        )
         m_on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"m_{k}") for k in KEY]) & (F.col("n") == 0) & (F.col("table").isNull() | (n(F.col("table")) == n(F.col("m_alias"))) | (n(F.col("table")) == n(F.col("m_table")))) & (F.col("schema").isNull() | (n(F.col("schema")) == n(F.col("m_schema"))))
         first = first.join(lost, m_on, "left").withColumn("m_rank", F.row_number().over(w.orderBy("m_ord"))).where("m_rank = 1")
-        status = F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").when(F.col("m_ord").isNotNull(), "missing").otherwise("unknown")
+        status = (
+            F.when(F.col("n") == 1, "resolved")
+            .when(F.col("n") > 1, "ambiguous")
+            .when(F.col("m_ord").isNotNull(), "missing")
+            .otherwise("unknown")
+        )
         ok, miss = status == "resolved", status == "missing"
         return first.select(
             *ref, "raw", "column", "table", "start_idx", "stop_idx", status.alias("status"), F.when(ok, F.col("c_kind")).when(miss, "table").alias("kind"), F.when(ok, F.col("source_owner")).alias("source_owner"), F.when(ok, F.col("source_ord")).alias("source_ord"),
@@ -186,7 +308,11 @@ class Analysis:
     def _steps(self) -> DataFrame:
         """From an owner's output to what it is made of: references and expanded stars."""
         own = self.items.where("not from_star").select(*KEY, "item_ord", "ordinal")
-        refs = self.resolved.where("clause = 'select' and status in ('resolved', 'missing')").withColumnRenamed("ordinal", "item_ord").join(own, [*KEY, "item_ord"])
+        refs = (
+            self.resolved.where("clause = 'select' and status in ('resolved', 'missing')")
+            .withColumnRenamed("ordinal", "item_ord")
+            .join(own, [*KEY, "item_ord"])
+        )
         cols = [*KEY, "ordinal", "ref_ord", "kind", "source_owner", "source_ord", "column_id", "column_name"]
         return refs.select(*cols).unionByName(self.items.where("from_star").withColumn("ref_ord", F.lit(0)).select(*cols))
 
@@ -197,14 +323,32 @@ class Analysis:
             start, keep = start.withColumn("path", F.array("ref_ord")), [*keep, "path"]
         cols = ["query_id", *keep, "kind", "source_owner", "source_ord", "column_id", "column_name"]
         front, done = start.select(*cols), []
-        steps = self._steps.select("query_id", F.col("owner").alias("s_owner"), F.col("ordinal").alias("s_ord"), F.col("ref_ord").alias("n_ref"), F.col("kind").alias("n_kind"), F.col("source_owner").alias("n_owner"), F.col("source_ord").alias("n_ord"), F.col("column_id").alias("n_id"), F.col("column_name").alias("n_name"))
+        steps = self._steps.select(
+            "query_id",
+            F.col("owner").alias("s_owner"),
+            F.col("ordinal").alias("s_ord"),
+            F.col("ref_ord").alias("n_ref"),
+            F.col("kind").alias("n_kind"),
+            F.col("source_owner").alias("n_owner"),
+            F.col("source_ord").alias("n_ord"),
+            F.col("column_id").alias("n_id"),
+            F.col("column_name").alias("n_name"),
+        )
         for i in range(self.depth + 1):
             done.append(front.where("kind = 'table'"))
             if i == self.depth:
                 break
             front = self.keep(
                 front.where("kind <> 'table'").join(steps, "query_id").where("source_owner = s_owner and source_ord = s_ord")
-                .select("query_id", *[F.concat("path", F.array("n_ref")).alias("path") if c == "path" else c for c in keep], F.col("n_kind").alias("kind"), F.col("n_owner").alias("source_owner"), F.col("n_ord").alias("source_ord"), F.col("n_id").alias("column_id"), F.col("n_name").alias("column_name")).distinct()
+                .select(
+                    "query_id",
+                    *[F.concat("path", F.array("n_ref")).alias("path") if c == "path" else c for c in keep],
+                    F.col("n_kind").alias("kind"),
+                    F.col("n_owner").alias("source_owner"),
+                    F.col("n_ord").alias("source_ord"),
+                    F.col("n_id").alias("column_id"),
+                    F.col("n_name").alias("column_name"),
+                ).distinct()
             )
         return every(done).select("query_id", *keep, "column_id", "column_name").distinct()
 
@@ -220,16 +364,59 @@ class Analysis:
         """query_id, code, level, related (names, sorted)."""
         d = self.p_diagnostics.select("query_id", "code", "level", "related")
         rel = self.relations
-        table = rel.where("kind = 'table' and not found and owner not like '\\_\\_subquery%'").select("query_id", F.lit("UNKNOWN_TABLE").alias("code"), F.lit("warning").alias("level"), F.col("table").alias("related")).distinct()
+        table = (
+            rel.where("kind = 'table' and not found and owner not like '\\_\\_subquery%'")
+            .select("query_id", F.lit("UNKNOWN_TABLE").alias("code"), F.lit("warning").alias("level"), F.col("table").alias("related"))
+            .distinct()
+        )
         refs = self.resolved.where("clause = 'select' and owner not like '\\_\\_subquery%'")
-        unknown = refs.where("status = 'unknown'").select("query_id", F.lit("UNKNOWN_COLUMN").alias("code"), F.lit("warning").alias("level"), F.col("raw").alias("related")).distinct()
-        ambiguous = refs.where("status = 'ambiguous'").select("query_id", F.lit("AMBIGUOUS_COLUMN").alias("code"), F.lit("warning").alias("level"), F.concat(F.col("raw"), F.lit(": "), F.array_join("candidates", ", ")).alias("related")).distinct()
-        twice = rel.withColumn("n", F.row_number().over(Window.partitionBy(*KEY, ids.normal(F.col("alias"))).orderBy("ord"))).where("n > 1").select("query_id", F.lit("DUPLICATE_ALIAS").alias("code"), F.lit("warning").alias("level"), F.col("alias").alias("related")).distinct()
+        unknown = (
+            refs.where("status = 'unknown'")
+            .select("query_id", F.lit("UNKNOWN_COLUMN").alias("code"), F.lit("warning").alias("level"), F.col("raw").alias("related"))
+            .distinct()
+        )
+        ambiguous = (
+            refs.where("status = 'ambiguous'")
+            .select(
+                "query_id",
+                F.lit("AMBIGUOUS_COLUMN").alias("code"),
+                F.lit("warning").alias("level"),
+                F.concat(F.col("raw"), F.lit(": "), F.array_join("candidates", ", ")).alias("related"),
+            )
+            .distinct()
+        )
+        twice = (
+            rel.withColumn("n", F.row_number().over(Window.partitionBy(*KEY, ids.normal(F.col("alias"))).orderBy("ord")))
+            .where("n > 1")
+            .select("query_id", F.lit("DUPLICATE_ALIAS").alias("code"), F.lit("warning").alias("level"), F.col("alias").alias("related"))
+            .distinct()
+        )
         stars = self.p_select_items.where("expression_kind = 'star'").select(*KEY, F.col("ordinal").alias("item_ord"), "star_target")
-        failed = stars.join(self.items.where("from_star").select(*KEY, "item_ord").distinct(), [*KEY, "item_ord"], "left_anti").select("query_id", F.lit("STAR_EXPANSION_FAILED").alias("code"), F.lit("warning").alias("level"), F.when(F.col("star_target") == "", "*").otherwise(F.concat("star_target", F.lit(".*"))).alias("related")).distinct()
+        failed = (
+            stars.join(self.items.where("from_star").select(*KEY, "item_ord").distinct(), [*KEY, "item_ord"], "left_anti")
+            .select(
+                "query_id",
+                F.lit("STAR_EXPANSION_FAILED").alias("code"),
+                F.lit("warning").alias("level"),
+                F.when(F.col("star_target") == "", "*").otherwise(F.concat("star_target", F.lit(".*"))).alias("related"),
+            )
+            .distinct()
+        )
         # outputs of the statement that are expressions of no class and lead to no column
         plain = self._outputs.where("expression_kind in ('function', 'expression') and expression_class is null and not from_star")
-        bare = plain.join(self.sources.where("segment_index = 0").select("query_id", "ordinal").distinct(), ["query_id", "ordinal"], "left_anti").select("query_id", F.lit("NOT_SUPPORTED_IN_P0").alias("code"), F.lit("info").alias("level"), F.col("expression_sql").alias("related"))
+        bare = (
+            plain.join(
+                self.sources.where("segment_index = 0").select("query_id", "ordinal").distinct(),
+                ["query_id", "ordinal"],
+                "left_anti",
+            )
+            .select(
+                "query_id",
+                F.lit("NOT_SUPPORTED_IN_P0").alias("code"),
+                F.lit("info").alias("level"),
+                F.col("expression_sql").alias("related"),
+            )
+        )
         return every([d, table, unknown, ambiguous, twice, failed, bare])
 
     @stage
@@ -237,14 +424,38 @@ class Analysis:
         """Diagnostics with ids, numbered in a query by level, code and names; errors first."""
         rank = F.when(F.col("level") == "error", 0).when(F.col("level") == "warning", 1).otherwise(2)
         n = F.row_number().over(Window.partitionBy("query_id").orderBy(rank, "code", "related"))
-        return self.diagnostics.distinct().withColumn("ord", n).select("query_id", "ord", F.concat(F.lit("diag:"), "code", F.lit(":"), F.col("ord").cast("string")).alias("diagnostic_id"), "code", "level", "related")
+        return (
+            self.diagnostics.distinct()
+            .withColumn("ord", n)
+            .select(
+                "query_id",
+                "ord",
+                F.concat(F.lit("diag:"), "code", F.lit(":"), F.col("ord").cast("string")).alias("diagnostic_id"),
+                "code",
+                "level",
+                "related",
+            )
+        )
 
     @stage
     def statuses(self) -> DataFrame:
         """query_id, status, errors, warnings, infos."""
-        d = self.diagnostics.groupBy("query_id").agg(F.count_if(F.col("level") == "error").alias("errors"), F.count_if(F.col("level") == "warning").alias("warnings"), F.count_if(F.col("level") == "info").alias("infos"))
+        d = (
+            self.diagnostics.groupBy("query_id")
+            .agg(
+                F.count_if(F.col("level") == "error").alias("errors"),
+                F.count_if(F.col("level") == "warning").alias("warnings"),
+                F.count_if(F.col("level") == "info").alias("infos"),
+            )
+        )
         r = self.p_requests.join(d, "query_id", "left").na.fill(0, ["errors", "warnings", "infos"])
-        return r.select("query_id", F.when(F.col("errors") > 0, "failed").when(F.col("warnings") + F.col("infos") > 0, "partial").otherwise("success").alias("status"), "errors", "warnings", "infos")
+        return r.select(
+            "query_id",
+            F.when(F.col("errors") > 0, "failed").when(F.col("warnings") + F.col("infos") > 0, "partial").otherwise("success").alias("status"),
+            "errors",
+            "warnings",
+            "infos",
+        )
 
     # --- graph ---
 
@@ -252,30 +463,82 @@ class Analysis:
     def expressions(self) -> DataFrame:
         """Classified outputs of the statements' own select lists."""
         i = self.items.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0) & F.col("expression_class").isNotNull())
-        p = self.p_select_items.select(*KEY, F.col("ordinal").alias("item_ord"), "is_distinct", F.array_join("partition_by", ", ").alias("partition_by"), F.array_join("order_by", ", ").alias("order_by"))
-        return i.join(p, [*KEY, "item_ord"]).select("query_id", F.concat(F.lit("expression:scope:root:"), F.col("ordinal").cast("string"), F.lit(":"), "expression_class").alias("expression_id"), "ordinal", F.col("expression_class").alias("kind"), "function_name", "is_distinct", "expression_sql", "partition_by", "order_by", "output_name")
+        p = self.p_select_items.select(
+            *KEY,
+            F.col("ordinal").alias("item_ord"),
+            "is_distinct",
+            F.array_join("partition_by", ", ").alias("partition_by"),
+            F.array_join("order_by", ", ").alias("order_by"),
+        )
+        return (
+            i.join(p, [*KEY, "item_ord"])
+            .select(
+                "query_id",
+                F.concat(
+                    F.lit("expression:scope:root:"),
+                    F.col("ordinal").cast("string"),
+                    F.lit(":"),
+                    "expression_class",
+                ).alias("expression_id"),
+                "ordinal",
+                F.col("expression_class").alias("kind"),
+                "function_name",
+                "is_distinct",
+                "expression_sql",
+                "partition_by",
+                "order_by",
+                "output_name",
+            )
+        )
 
     @stage
     def expression_parts(self) -> DataFrame:
         """query_id, expression_id, part (when, then, else, argument), ord, text, columns: what classified outputs are made of."""
         own = self.items.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0)).select("query_id", "item_ord", "ordinal")
-        x = self.expressions.select("query_id", "ordinal", "expression_id").join(own, ["query_id", "ordinal"]).select("query_id", F.col("item_ord").alias("ordinal"), "expression_id")
+        x = (
+            self.expressions.select("query_id", "ordinal", "expression_id")
+            .join(own, ["query_id", "ordinal"])
+            .select("query_id", F.col("item_ord").alias("ordinal"), "expression_id")
+        )
         parts = self.p_expression_parts.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0))
-        return parts.join(x, ["query_id", "ordinal"]).select("query_id", "expression_id", "part", "ord", "text", F.array_join("columns", ", ").alias("columns"))
+        return (
+            parts.join(x, ["query_id", "ordinal"])
+            .select("query_id", "expression_id", "part", "ord", "text", F.array_join("columns", ", ").alias("columns"))
+        )
 
     @stage
     def _outputs(self) -> DataFrame:
-        return self.items.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0)).withColumn("output_id", ids.output_id(F.col("ordinal"), F.col("output_name")))
+        return (
+            self.items.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0))
+            .withColumn("output_id", ids.output_id(F.col("ordinal"), F.col("output_name")))
+        )
 
     @stage
     def edges(self) -> DataFrame:
         """query_id, id, edge_type, source, target, label, confidence, owner."""
-        out = self._outputs.select("query_id", "ordinal", "output_id", "output_name", "expression_kind", "expression_class", "item_ord", "from_star")
+        out = self._outputs.select(
+            "query_id",
+            "ordinal",
+            "output_id",
+            "output_name",
+            "expression_kind",
+            "expression_class",
+            "item_ord",
+            "from_star",
+        )
         src = self.sources.where("segment_index = 0").drop("segment_index")
         none, one = F.lit(None).cast("string"), F.lit(1.0)
 
         def made(df, kind, source, target, label=none, confidence=one, owner=F.lit(ROOT)):  # noqa: B008
-            return df.select("query_id", kind.alias("edge_type"), source.alias("source"), target.alias("target"), label.alias("label"), confidence.alias("confidence"), owner.alias("owner"))
+            return df.select(
+                "query_id",
+                kind.alias("edge_type"),
+                source.alias("source"),
+                target.alias("target"),
+                label.alias("label"),
+                confidence.alias("confidence"),
+                owner.alias("owner"),
+            )
 
         plain = out.where("expression_class is null").join(src, ["query_id", "ordinal"])
         kind = F.when(F.lower("column_name") == F.lower("output_name"), "projection").otherwise("alias")
@@ -285,13 +548,41 @@ class Analysis:
         e.append(made(x.join(out, ["query_id", "ordinal"]), F.lit("expression"), F.col("expression_id"), F.col("output_id")))
         e.append(made(out.where("expression_kind = 'literal'"), F.lit("projection"), ids.literal_id(F.col("ordinal")), F.col("output_id")))
         # outputs with an unresolved reference, and outputs that are made of nothing known
-        bad = self.resolved.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0) & (F.col("clause") == "select") & F.col("status").isin("unknown", "ambiguous")).select("query_id", F.col("ordinal").alias("item_ord"), F.col("column").alias("bad")).distinct()
-        lost = out.where("expression_class is null and not from_star").join(bad, ["query_id", "item_ord"]).select("query_id", "ordinal", "output_id", "bad")
-        bare = out.where("expression_class is null and expression_kind <> 'literal' and not from_star").join(src.select("query_id", "ordinal").distinct(), ["query_id", "ordinal"], "left_anti").join(lost.select("query_id", "ordinal"), ["query_id", "ordinal"], "left_anti").select("query_id", "ordinal", "output_id", F.col("output_name").alias("bad"))
-        e.append(made(lost.unionByName(bare), F.lit("unknown"), ids.unknown_id(F.col("ordinal"), F.col("bad")), F.col("output_id"), confidence=F.lit(0.3)))
+        bad = (
+            self.resolved.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0) & (F.col("clause") == "select") & F.col("status").isin("unknown", "ambiguous"))
+            .select("query_id", F.col("ordinal").alias("item_ord"), F.col("column").alias("bad"))
+            .distinct()
+        )
+        lost = (
+            out.where("expression_class is null and not from_star")
+            .join(bad, ["query_id", "item_ord"])
+            .select("query_id", "ordinal", "output_id", "bad")
+        )
+        bare = (
+            out.where("expression_class is null and expression_kind <> 'literal' and not from_star")
+            .join(src.select("query_id", "ordinal").distinct(), ["query_id", "ordinal"], "left_anti")
+            .join(lost.select("query_id", "ordinal"), ["query_id", "ordinal"], "left_anti")
+            .select("query_id", "ordinal", "output_id", F.col("output_name").alias("bad"))
+        )
+        e.append(made(
+            lost.unionByName(bare),
+            F.lit("unknown"),
+            ids.unknown_id(F.col("ordinal"), F.col("bad")),
+            F.col("output_id"),
+            confidence=F.lit(0.3),
+        ))
         branches = self.p_clauses.where((F.col("clause") == "union_segment") & (F.col("owner") == ROOT)).select("query_id").distinct()
-        union = self.sources.join(branches, "query_id", "left_semi").join(out.select("query_id", "ordinal", "output_id"), ["query_id", "ordinal"])
-        e.append(made(union, F.lit("union_mapping"), F.col("column_id"), F.col("output_id"), F.concat(F.lit("UNION segment "), F.col("segment_index").cast("string"))))
+        union = (
+            self.sources.join(branches, "query_id", "left_semi")
+            .join(out.select("query_id", "ordinal", "output_id"), ["query_id", "ordinal"])
+        )
+        e.append(made(
+            union,
+            F.lit("union_mapping"),
+            F.col("column_id"),
+            F.col("output_id"),
+            F.concat(F.lit("UNION segment "), F.col("segment_index").cast("string")),
+        ))
         sides = self.resolved.where("clause in ('key_l', 'key_r') and status in ('resolved', 'missing')")
         ends = self._trace(sides, ["owner", "segment_index", "clause", "ordinal"])
         place = [*KEY, "ordinal"]
@@ -311,16 +602,33 @@ class Analysis:
         """Relations with the CTE or root that they finally belong to: a query in FROM belongs to the scope around it."""
         rel = self.relations.where("owner not like '\\_\\_subquery%'")
         out = rel.withColumn("top", F.col("owner"))
-        parent = rel.where("kind = 'derived'").select(F.col("query_id").alias("p_q"), F.col("source_owner").alias("p_o"), F.col("owner").alias("up")).distinct()
+        parent = (
+            rel.where("kind = 'derived'")
+            .select(F.col("query_id").alias("p_q"), F.col("source_owner").alias("p_o"), F.col("owner").alias("up"))
+            .distinct()
+        )
         for _ in range(self.depth):
-            out = out.join(parent, (F.col("query_id") == F.col("p_q")) & (F.col("top") == F.col("p_o")), "left").withColumn("top", F.coalesce("up", "top")).drop("p_q", "p_o", "up")
+            out = (
+                out.join(parent, (F.col("query_id") == F.col("p_q")) & (F.col("top") == F.col("p_o")), "left")
+                .withColumn("top", F.coalesce("up", "top"))
+                .drop("p_q", "p_o", "up")
+            )
         return out
 
     @cached_property
     def cte_inputs(self) -> DataFrame:
         """query_id, source (a table's or CTE's id), target (the CTE that selects from it), owner."""
         t = self._tops.where((F.col("top") != ROOT) & (F.col("kind") != "derived") & ~F.col("top").startswith("__"))
-        return t.select("query_id", F.col("entity_id").alias("source"), ids.table_id(F.lit("default"), F.lit("default"), F.col("top")).alias("target"), F.col("top").alias("owner")).where("source <> target").distinct()
+        return (
+            t.select(
+                "query_id",
+                F.col("entity_id").alias("source"),
+                ids.table_id(F.lit("default"), F.lit("default"), F.col("top")).alias("target"),
+                F.col("top").alias("owner"),
+            )
+            .where("source <> target")
+            .distinct()
+        )
 
     @stage
     def nodes(self) -> DataFrame:
@@ -329,18 +637,49 @@ class Analysis:
         label = F.when(F.col("schema") == "default", F.col("table")).otherwise(F.concat_ws(".", "schema", "table"))
         tables = rel.select("query_id", F.col("entity_id").alias("id"), F.col("kind").alias("node_type"), label.alias("label"))
         ends = self.edges.select("query_id", F.explode(F.array("source", "target")).alias("id"))
-        columns = ends.where("id like 'column:%'").select("query_id", "id", F.lit("column").alias("node_type"), F.substring_index("id", ".", -1).alias("label"))
-        unknown = ends.where("id like 'unknown:%'").select("query_id", "id", F.lit("unknown").alias("node_type"), F.substring_index("id", ":", -1).alias("label"))
+        columns = (
+            ends.where("id like 'column:%'")
+            .select("query_id", "id", F.lit("column").alias("node_type"), F.substring_index("id", ".", -1).alias("label"))
+        )
+        unknown = (
+            ends.where("id like 'unknown:%'")
+            .select("query_id", "id", F.lit("unknown").alias("node_type"), F.substring_index("id", ":", -1).alias("label"))
+        )
         out = self._outputs
-        outputs = out.select("query_id", F.col("output_id").alias("id"), F.lit("output_column").alias("node_type"), F.col("output_name").alias("label"))
-        literals = out.where("expression_kind = 'literal'").select("query_id", ids.literal_id(F.col("ordinal")).alias("id"), F.lit("literal").alias("node_type"), F.col("expression_sql").alias("label"))
-        exprs = self.expressions.select("query_id", F.col("expression_id").alias("id"), F.lit("expression").alias("node_type"), F.when(F.col("kind") == "case", "CASE").otherwise(F.col("function_name")).alias("label"))
+        outputs = out.select(
+            "query_id",
+            F.col("output_id").alias("id"),
+            F.lit("output_column").alias("node_type"),
+            F.col("output_name").alias("label"),
+        )
+        literals = (
+            out.where("expression_kind = 'literal'")
+            .select(
+                "query_id",
+                ids.literal_id(F.col("ordinal")).alias("id"),
+                F.lit("literal").alias("node_type"),
+                F.col("expression_sql").alias("label"),
+            )
+        )
+        exprs = self.expressions.select(
+            "query_id",
+            F.col("expression_id").alias("id"),
+            F.lit("expression").alias("node_type"),
+            F.when(F.col("kind") == "case", "CASE").otherwise(F.col("function_name")).alias("label"),
+        )
         return every([tables, columns, unknown, outputs, literals, exprs]).distinct()
 
     @stage
     def summary(self) -> DataFrame:
         """query_id, tables, source_columns, output_columns, edges, diagnostics."""
-        n = self.nodes.groupBy("query_id").agg(F.count_if(F.col("node_type") == "table").alias("tables"), F.count_if(F.col("node_type") == "column").alias("source_columns"), F.count_if(F.col("node_type") == "output_column").alias("output_columns"))
+        n = (
+            self.nodes.groupBy("query_id")
+            .agg(
+                F.count_if(F.col("node_type") == "table").alias("tables"),
+                F.count_if(F.col("node_type") == "column").alias("source_columns"),
+                F.count_if(F.col("node_type") == "output_column").alias("output_columns"),
+            )
+        )
         e = self.edges.groupBy("query_id").agg(F.count(F.lit(1)).alias("edges"))
         d = self.diagnostics.groupBy("query_id").agg(F.count(F.lit(1)).alias("diagnostics"))
         return self.p_requests.select("query_id").join(n, "query_id", "left").join(e, "query_id", "left").join(d, "query_id", "left").na.fill(0)
@@ -351,9 +690,17 @@ class Analysis:
     def scopes(self) -> DataFrame:
         """query_id, scope_id, parent, aliases (alias=entity id, sorted): the root and one child for each CTE."""
         t = self._tops.where("kind <> 'derived' and (top = '__root__' or not startswith(top, '__'))")
-        own = t.groupBy("query_id", "top").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "alias", "entity_id"))), "; ").alias("aliases"))
+        own = (
+            t.groupBy("query_id", "top")
+            .agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "alias", "entity_id"))), "; ").alias("aliases"))
+        )
         at_root = F.col("top") == ROOT
-        return own.select("query_id", F.when(at_root, "scope:root").otherwise(F.concat(F.lit("scope:cte:"), ids.segment(F.col("top")))).alias("scope_id"), F.when(~at_root, "scope:root").alias("parent"), "aliases")
+        return own.select(
+            "query_id",
+            F.when(at_root, "scope:root").otherwise(F.concat(F.lit("scope:cte:"), ids.segment(F.col("top")))).alias("scope_id"),
+            F.when(~at_root, "scope:root").alias("parent"),
+            "aliases",
+        )
 
     @stage
     def stages(self) -> DataFrame:
@@ -361,18 +708,49 @@ class Analysis:
         names = ("parse", "scope", "name_resolution", "projection", "expression_analysis", "lineage", "source_location", "graph", "semantics")
         of = {"PARSE_ERROR": "parse", "RECURSIVE_CTE_UNSUPPORTED": "scope", "DUPLICATE_ALIAS": "scope", "UNKNOWN_TABLE": "name_resolution", "UNKNOWN_COLUMN": "name_resolution", "AMBIGUOUS_COLUMN": "name_resolution", "STAR_EXPANSION_FAILED": "projection", "NOT_SUPPORTED_IN_P0": "projection"}
         code = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
-        hit = self.diagnostics.select("query_id", F.element_at(code, F.col("code")).alias("stage"), "level", "code").groupBy("query_id", "stage").agg(F.max(F.col("level") == "error").alias("error"), F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("codes"))
+        hit = (
+            self.diagnostics.select("query_id", F.element_at(code, F.col("code")).alias("stage"), "level", "code")
+            .groupBy("query_id", "stage")
+            .agg(F.max(F.col("level") == "error").alias("error"), F.array_join(F.array_sort(F.collect_set("code")), ", ").alias("codes"))
+        )
         each = self.p_requests.select("query_id", "parsed", F.posexplode(F.array(*[F.lit(n) for n in names])).alias("ord", "stage"))
-        state = F.when(~F.col("parsed") & (F.col("stage") != "parse"), "skipped").when(F.col("error"), "failed").when(F.col("error").isNotNull(), "partial").otherwise("success")
-        return each.join(hit, ["query_id", "stage"], "left").select("query_id", F.col("ord").cast("int").alias("ord"), "stage", state.alias("state"), F.coalesce("codes", F.lit("")).alias("codes"))
+        state = (
+            F.when(~F.col("parsed") & (F.col("stage") != "parse"), "skipped")
+            .when(F.col("error"), "failed")
+            .when(F.col("error").isNotNull(), "partial")
+            .otherwise("success")
+        )
+        return (
+            each.join(hit, ["query_id", "stage"], "left")
+            .select(
+                "query_id",
+                F.col("ord").cast("int").alias("ord"),
+                "stage",
+                state.alias("state"),
+                F.coalesce("codes", F.lit("")).alias("codes"),
+            )
+        )
 
     @stage
     def confidence(self) -> DataFrame:
         """query_id, partial, level, reasons: a lineage with outputs that are not resolved in full is partial."""
-        lost = self.edges.where("edge_type = 'unknown'").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("target", ":", -1))), ", ").alias("lost"))
+        lost = (
+            self.edges.where("edge_type = 'unknown'")
+            .groupBy("query_id")
+            .agg(F.array_join(F.array_sort(F.collect_set(F.substring_index("target", ":", -1))), ", ").alias("lost"))
+        )
         r = self.statuses.join(lost, "query_id", "left")
-        level = F.when(F.col("status") == "failed", "low").when((F.col("status") == "partial") | F.col("lost").isNotNull(), "medium").otherwise("high")
-        reasons = F.when(F.col("status") == "failed", "the statement does not parse").when(F.col("lost").isNotNull(), F.concat(F.lit("not resolved in full: "), "lost")).when(F.col("status") == "partial", "there are diagnostics").otherwise("all columns are resolved")
+        level = (
+            F.when(F.col("status") == "failed", "low")
+            .when((F.col("status") == "partial") | F.col("lost").isNotNull(), "medium")
+            .otherwise("high")
+        )
+        reasons = (
+            F.when(F.col("status") == "failed", "the statement does not parse")
+            .when(F.col("lost").isNotNull(), F.concat(F.lit("not resolved in full: "), "lost"))
+            .when(F.col("status") == "partial", "there are diagnostics")
+            .otherwise("all columns are resolved")
+        )
         return r.select("query_id", F.col("lost").isNotNull().alias("partial"), level.alias("level"), reasons.alias("reasons"))
 
     @stage
@@ -382,8 +760,20 @@ class Analysis:
             rest = [c for c in df.columns if c != "query_id"]
             return df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
 
-        r = self.statuses.select("query_id", "status", F.when(F.col("status") == "failed", "low").when(F.col("status") == "partial", "medium").otherwise("high").alias("confidence"))
-        for df, name in ((self.nodes, "nodes"), (self.edges.select("query_id", "id", "edge_type", "source", "target", "label", "confidence"), "edges"), (self.diagnostics, "diagnostics")):
+        r = self.statuses.select(
+            "query_id",
+            "status",
+            F.when(F.col("status") == "failed", "low").when(F.col("status") == "partial", "medium").otherwise("high").alias("confidence"),
+        )
+        for df, name in ((self.nodes, "nodes"), (self.edges.select(
+            "query_id",
+            "id",
+            "edge_type",
+            "source",
+            "target",
+            "label",
+            "confidence",
+        ), "edges"), (self.diagnostics, "diagnostics")):
             r = r.join(lists(df, name), "query_id", "left").withColumn(name, F.coalesce(name, F.array()))
         return r.select("query_id", F.to_json(F.struct(*[c for c in r.columns if c != "query_id"])).alias("result"))
 
@@ -393,13 +783,47 @@ class Analysis:
     def grain(self) -> DataFrame:
         """query_id, grain_type, columns: of the statement's own select; GROUP BY before DISTINCT before windows."""
         c = self.p_clauses.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0))
-        group = c.where("clause = 'group_by'").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), ", ").alias("group_columns"))
+        group = (
+            c.where("clause = 'group_by'")
+            .groupBy("query_id")
+            .agg(F.array_join(
+                F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]),
+                ", ",
+            ).alias("group_columns"))
+        )
         distinct = c.where("clause = 'distinct'").select("query_id", F.lit(True).alias("is_distinct")).distinct()
-        window = self.expressions.where("kind = 'window'").groupBy("query_id").agg(F.min_by("partition_by", "ordinal").alias("window_columns"))
-        names = self._outputs.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "output_name"))), lambda x: x["output_name"]), ", ").alias("names"))
-        q = self.p_requests.where("parsed").select("query_id").join(group, "query_id", "left").join(distinct, "query_id", "left").join(window, "query_id", "left").join(names, "query_id", "left")
-        kind = F.when(F.col("group_columns").isNotNull(), "group_by").when(F.col("is_distinct"), "distinct").when(F.col("window_columns").isNotNull(), "window_partition").when(F.col("names").isNotNull(), "detail").otherwise("unknown")
-        return q.select("query_id", kind.alias("grain_type"), F.coalesce("group_columns", F.when(F.col("is_distinct"), F.col("names")), "window_columns", F.lit("")).alias("columns"))
+        window = (
+            self.expressions.where("kind = 'window'")
+            .groupBy("query_id")
+            .agg(F.min_by("partition_by", "ordinal").alias("window_columns"))
+        )
+        names = (
+            self._outputs.groupBy("query_id")
+            .agg(F.array_join(
+                F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "output_name"))), lambda x: x["output_name"]),
+                ", ",
+            ).alias("names"))
+        )
+        q = (
+            self.p_requests.where("parsed")
+            .select("query_id")
+            .join(group, "query_id", "left")
+            .join(distinct, "query_id", "left")
+            .join(window, "query_id", "left")
+            .join(names, "query_id", "left")
+        )
+        kind = (
+            F.when(F.col("group_columns").isNotNull(), "group_by")
+            .when(F.col("is_distinct"), "distinct")
+            .when(F.col("window_columns").isNotNull(), "window_partition")
+            .when(F.col("names").isNotNull(), "detail")
+            .otherwise("unknown")
+        )
+        return q.select(
+            "query_id",
+            kind.alias("grain_type"),
+            F.coalesce("group_columns", F.when(F.col("is_distinct"), F.col("names")), "window_columns", F.lit("")).alias("columns"),
+        )
 
     @stage
     def filters(self) -> DataFrame:
@@ -407,10 +831,17 @@ class Analysis:
         refs = self.p_column_refs.where("clause = 'where'").select(*KEY, "column")
         parts = self.owner_columns.where("is_partition").select(*KEY, F.lower("column_name").alias("p")).distinct()
         named = F.lower("column").rlike("^(dt|pt|ds|date)$|_(dt|date)$")
-        hit = refs.join(parts, [refs[k] == parts[k] for k in KEY] + [F.lower(refs["column"]) == parts["p"]], "left").select(*[refs[k] for k in KEY], (named | F.col("p").isNotNull()).alias("hit"))
+        hit = (
+            refs.join(parts, [refs[k] == parts[k] for k in KEY] + [F.lower(refs["column"]) == parts["p"]], "left")
+            .select(*[refs[k] for k in KEY], (named | F.col("p").isNotNull()).alias("hit"))
+        )
         hit = hit.groupBy(*KEY).agg(F.max("hit").alias("hit"))
         w = self.p_clauses.where("clause in ('where', 'having', 'qualify')").join(hit, KEY, "left")
-        kind = F.when(F.col("clause") != "where", F.col("clause")).when(F.coalesce("hit", F.lit(False)), "partition_filter").otherwise("where")
+        kind = (
+            F.when(F.col("clause") != "where", F.col("clause"))
+            .when(F.coalesce("hit", F.lit(False)), "partition_filter")
+            .otherwise("where")
+        )
         on = self.join_keys.select("query_id", "owner", F.lit("join_condition").alias("filter_type"), F.col("raw_sql").alias("expression"))
         return w.select("query_id", "owner", kind.alias("filter_type"), F.col("text").alias("expression")).unionByName(on)
 
@@ -418,27 +849,54 @@ class Analysis:
     def metrics(self) -> DataFrame:
         """query_id, output_name, metric_type, target (the physical column of the first reference, or null)."""
         own = self._steps.where((F.col("owner") == ROOT) & (F.col("segment_index") == 0))
-        first = self._trace(own, ["ordinal"], path=True).groupBy("query_id", "ordinal").agg(F.min_by("column_id", F.struct("path", "column_id")).alias("target"))
+        first = (
+            self._trace(own, ["ordinal"], path=True)
+            .groupBy("query_id", "ordinal")
+            .agg(F.min_by("column_id", F.struct("path", "column_id")).alias("target"))
+        )
         o = self._outputs.where("expression_kind in ('function', 'expression')")
         head = F.upper(F.regexp_replace("expression_sql", r"\s+", " "))
         kind = F.when(head.rlike(r"^COUNT ?\( ?DISTINCT"), "count_distinct")
         for name in ("SUM", "COUNT", "AVG", "MIN", "MAX"):
             kind = kind.when(head.rlike(rf"^{name} ?\("), name.lower())
-        return o.join(first, ["query_id", "ordinal"], "left").select("query_id", "output_name", kind.otherwise("expression").alias("metric_type"), "target")
+        return (
+            o.join(first, ["query_id", "ordinal"], "left")
+            .select("query_id", "output_name", kind.otherwise("expression").alias("metric_type"), "target")
+        )
 
     @stage
     def joins(self) -> DataFrame:
         """query_id, owner, join_type, left_key, right_key, risk."""
         many = self._tops.where("kind = 'table'").groupBy("query_id").agg(F.count_distinct("entity_id").alias("n"))
         how = F.lower("join_type") if self.extended else F.lit("inner")
-        return self.join_keys.join(many, "query_id", "left").select("query_id", "owner", how.alias("join_type"), F.concat_ws(".", "l_table", "l_column").alias("left_key"), F.concat_ws(".", "r_table", "r_column").alias("right_key"), F.when(F.col("n") >= 2, "medium").otherwise("low").alias("risk"))
+        return (
+            self.join_keys.join(many, "query_id", "left")
+            .select(
+                "query_id",
+                "owner",
+                how.alias("join_type"),
+                F.concat_ws(".", "l_table", "l_column").alias("left_key"),
+                F.concat_ws(".", "r_table", "r_column").alias("right_key"),
+                F.when(F.col("n") >= 2, "medium").otherwise("low").alias("risk"),
+            )
+        )
 
     @stage
     def dedup(self) -> DataFrame:
         """query_id, dedup_type, owner."""
         c = self.p_clauses.where("owner not like '\\_\\_subquery%'")
-        named = c.where("clause in ('distinct', 'group_by', 'union_distinct')").select("query_id", "owner", F.when(F.col("clause") == "union_distinct", "union").otherwise(F.col("clause")).alias("dedup_type"))
-        rows = self.p_select_items.where("expression_class = 'window' and function_name = 'ROW_NUMBER'").select("query_id", "owner", F.lit("row_number").alias("dedup_type"))
+        named = (
+            c.where("clause in ('distinct', 'group_by', 'union_distinct')")
+            .select(
+                "query_id",
+                "owner",
+                F.when(F.col("clause") == "union_distinct", "union").otherwise(F.col("clause")).alias("dedup_type"),
+            )
+        )
+        rows = (
+            self.p_select_items.where("expression_class = 'window' and function_name = 'ROW_NUMBER'")
+            .select("query_id", "owner", F.lit("row_number").alias("dedup_type"))
+        )
         return named.unionByName(rows).distinct()
 
     @stage
@@ -447,7 +905,12 @@ class Analysis:
         made = lambda df, kind, level: df.select("query_id", F.lit(kind).alias("risk_type"), F.lit(level).alias("level")).distinct()
         partitioned = self.filters.where("filter_type = 'partition_filter'").select("query_id").distinct()
         has = self._tops.where("kind = 'table'").select("query_id").distinct()
-        per = self.relations.where("kind = 'table' and owner not like '\\_\\_subquery%'").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        per = (
+            self.relations.where("kind = 'table' and owner not like '\\_\\_subquery%'")
+            .groupBy(*KEY)
+            .agg(F.count(F.lit(1)).alias("n"))
+            .where("n > 1")
+        )
         keyless = per.join(self.join_keys.select(*KEY).distinct(), KEY, "left_anti")
         return every([
             made(self.joins.where("risk = 'medium'"), "join_amplification", "warning"),
@@ -461,19 +924,33 @@ class Analysis:
     def semantics(self) -> DataFrame:
         """query_id, status ('partial' with an unknown grain or an error among the risks), report: grain, filters, metrics, joins, de-duplication, risks and evidence as one JSON text."""
         def lists(df, name):
-            return df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "query_id"]))).alias(name))
+            return (
+                df.groupBy("query_id")
+                .agg(F.array_sort(F.collect_list(F.struct(*[c for c in df.columns if c != "query_id"]))).alias(name))
+            )
 
         r = self.grain.join(self.risks.where("level = 'error'").select("query_id", F.lit(True).alias("bad")).distinct(), "query_id", "left")
-        r = r.select("query_id", F.when((F.col("grain_type") == "unknown") | F.col("bad"), "partial").otherwise("success").alias("status"), F.struct("grain_type", "columns").alias("result_grain"))
+        r = r.select(
+            "query_id",
+            F.when((F.col("grain_type") == "unknown") | F.col("bad"), "partial").otherwise("success").alias("status"),
+            F.struct("grain_type", "columns").alias("result_grain"),
+        )
         marks = every([
             self.filters.select("query_id", F.concat(F.lit("filter:"), "expression").alias("e")),
             self.metrics.where("target is not null").select("query_id", F.col("target").alias("e")),
             self.joins.select("query_id", F.concat(F.lit("join:"), "left_key", F.lit("="), "right_key").alias("e")),
         ])
-        r = r.join(marks.groupBy("query_id").agg(F.array_sort(F.collect_set("e")).alias("evidence")), "query_id", "left").withColumn("evidence", F.coalesce("evidence", F.array()))
+        r = (
+            r.join(marks.groupBy("query_id").agg(F.array_sort(F.collect_set("e")).alias("evidence")), "query_id", "left")
+            .withColumn("evidence", F.coalesce("evidence", F.array()))
+        )
         for df, name in ((self.filters, "filters"), (self.metrics, "metrics"), (self.joins, "joins"), (self.dedup, "dedup"), (self.risks, "risks")):
             r = r.join(lists(df, name), "query_id", "left").withColumn(name, F.coalesce(name, F.array()))
-        return r.select("query_id", "status", F.to_json(F.struct(*[c for c in r.columns if c not in ("query_id", "status")])).alias("report"))
+        return r.select(
+            "query_id",
+            "status",
+            F.to_json(F.struct(*[c for c in r.columns if c not in ("query_id", "status")])).alias("report"),
+        )
 
     # --- locations ---
 
@@ -489,28 +966,70 @@ class Analysis:
         parts = [
             made(out, "output_column", F.col("output_id")),
             made(self.relations.where("kind <> 'derived'"), "table", F.col("entity_id")),
-            made(self.relations.where("kind <> 'derived' and alias_start is not null"), "table_alias", F.col("relation_id"), "alias_start", "alias_stop"),
-            made(self.relations.where("kind = 'derived'"), "subquery", F.concat(F.lit("subquery:scope:root:"), F.regexp_extract("source_owner", r"(\d+)$", 1))),
+            made(
+                self.relations.where("kind <> 'derived' and alias_start is not null"),
+                "table_alias",
+                F.col("relation_id"),
+                "alias_start",
+                "alias_stop",
+            ),
+            made(
+                self.relations.where("kind = 'derived'"),
+                "subquery",
+                F.concat(F.lit("subquery:scope:root:"), F.regexp_extract("source_owner", r"(\d+)$", 1)),
+            ),
             made(refs, "column", entity),
             made(c.where("clause = 'cte'"), "cte", F.concat(F.lit("cte:scope:root:"), ids.segment(F.col("text")))),
             made(c.where("clause = 'join_on'"), "join", F.concat(F.lit("join_on:scope:root:"), F.col("ord").cast("string"))),
-            made(c.where("clause in ('where', 'having', 'qualify', 'group_by', 'order_by')"), "clause", F.concat("clause", F.lit(":"), F.col("ord").cast("string"))),
-            made(c.where((F.col("clause") == "union_segment") & root), "union_segment", F.concat(F.lit("union_segment:root:"), F.col("ord").cast("string"))),
+            made(
+                c.where("clause in ('where', 'having', 'qualify', 'group_by', 'order_by')"),
+                "clause",
+                F.concat("clause", F.lit(":"), F.col("ord").cast("string")),
+            ),
+            made(
+                c.where((F.col("clause") == "union_segment") & root),
+                "union_segment",
+                F.concat(F.lit("union_segment:root:"), F.col("ord").cast("string")),
+            ),
         ]
-        body = self.p_select_items.where(root & F.col("expression_class").isNotNull()).select("query_id", F.col("ordinal").alias("item_ord"), F.col("segment_index"), "body_start", "body_stop")
+        body = (
+            self.p_select_items.where(root & F.col("expression_class").isNotNull())
+            .select("query_id", F.col("ordinal").alias("item_ord"), F.col("segment_index"), "body_start", "body_stop")
+        )
         ex = self._outputs.where("expression_class is not null").join(body, ["query_id", "item_ord", "segment_index"])
-        parts.append(made(ex, "expression", F.concat(F.lit("expression:scope:root:"), F.col("ordinal").cast("string"), F.lit(":"), "expression_class"), "body_start", "body_stop"))
+        parts.append(made(
+            ex,
+            "expression",
+            F.concat(F.lit("expression:scope:root:"), F.col("ordinal").cast("string"), F.lit(":"), "expression_class"),
+            "body_start",
+            "body_stop",
+        ))
         sql = self.p_requests.select("query_id", "sql")
         at = every(parts).distinct().join(sql, "query_id")
         return at.select(
-            "query_id", "entity_id", "entity_type", F.decode(F.substring(F.encode("sql", "UTF-16LE"), F.col("start_offset") * 2 + 1, (F.col("end_offset") - F.col("start_offset")) * 2), "UTF-16LE").alias("raw_text"),
+            "query_id", "entity_id", "entity_type", F.decode(
+                F.substring(F.encode("sql", "UTF-16LE"), F.col("start_offset") * 2 + 1, (F.col("end_offset") - F.col("start_offset")) * 2),
+                "UTF-16LE",
+            ).alias("raw_text"),
             "start_offset", "end_offset", ids.line_of(F.col("sql"), F.col("start_offset")).alias("start_line"), ids.column_of(F.col("sql"), F.col("start_offset")).alias("start_col"),
         )
 
     @stage
     def node_locations(self) -> DataFrame:
         """query_id, id, node_type, status ('exact', 'unavailable'), confidence, location_id, start_offset, end_offset: the first place of every node of the graph."""
-        first = self.locations.groupBy("query_id", F.col("entity_id").alias("id")).agg(F.min(F.struct("start_offset", "end_offset")).alias("at"))
+        first = (
+            self.locations.groupBy("query_id", F.col("entity_id").alias("id"))
+            .agg(F.min(F.struct("start_offset", "end_offset")).alias("at"))
+        )
         n = self.nodes.select("query_id", "id", "node_type").distinct().join(first, ["query_id", "id"], "left")
         there = F.col("at").isNotNull()
-        return n.select("query_id", "id", "node_type", F.when(there, "exact").otherwise("unavailable").alias("status"), F.when(there, F.lit(1.0)).otherwise(F.lit(0.0)).alias("confidence"), F.when(there, ids.location_id(F.col("id"), F.col("at.start_offset"), F.col("at.end_offset"))).alias("location_id"), "at.start_offset", "at.end_offset")
+        return n.select(
+            "query_id",
+            "id",
+            "node_type",
+            F.when(there, "exact").otherwise("unavailable").alias("status"),
+            F.when(there, F.lit(1.0)).otherwise(F.lit(0.0)).alias("confidence"),
+            F.when(there, ids.location_id(F.col("id"), F.col("at.start_offset"), F.col("at.end_offset"))).alias("location_id"),
+            "at.start_offset",
+            "at.end_offset",
+        )

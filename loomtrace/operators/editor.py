@@ -72,7 +72,10 @@ def complete(spark: SparkSession, columns: DataFrame, sql: str, line: int, col:
     words = spark.createDataFrame([("keyword", k) for k in KEYWORDS] + [("function", f) for f in FUNCTIONS], "kind string, label string")
     where = context(before)
     if where == "table":
-        return words.unionByName(columns.select(F.lit("table").alias("kind"), F.col("table_name").alias("label")).distinct().orderBy("label").limit(100))
+        return words.unionByName(columns.select(
+            F.lit("table").alias("kind"),
+            F.col("table_name").alias("label"),
+        ).distinct().orderBy("label").limit(100))
     if where == "column":
         named = sorted(set(tables_in(every).values()))
         found = columns.where(F.lower("table_name").isin(named)) if named else columns
@@ -100,8 +103,25 @@ def hover(spark: SparkSession, columns: DataFrame, sql: str, line: int, col: int
         prefix = text[p : a - 1].strip("`").lower()
     used = tables_in(tokens(spark, sql))
     owner = [used.get(prefix, prefix)] if prefix else sorted(set(used.values()))
-    column = columns.where(F.lower("table_name").isin(owner) & (F.lower("column_name") == word)).select(F.lit("column").alias("kind"), F.concat_ws(".", "table_name", "column_name").alias("name"), "data_type", F.lit(2 if not prefix else 0).alias("r"))
-    table = columns.where(F.lower("table_name") == (used.get(word, word) if not prefix else word)).select(F.lit("table").alias("kind"), F.col("table_name").alias("name"), F.lit(None).cast("string").alias("data_type"), F.lit(1).alias("r")).distinct()
+    column = (
+        columns.where(F.lower("table_name").isin(owner) & (F.lower("column_name") == word))
+        .select(
+            F.lit("column").alias("kind"),
+            F.concat_ws(".", "table_name", "column_name").alias("name"),
+            "data_type",
+            F.lit(2 if not prefix else 0).alias("r"),
+        )
+    )
+    table = (
+        columns.where(F.lower("table_name") == (used.get(word, word) if not prefix else word))
+        .select(
+            F.lit("table").alias("kind"),
+            F.col("table_name").alias("name"),
+            F.lit(None).cast("string").alias("data_type"),
+            F.lit(1).alias("r"),
+        )
+        .distinct()
+    )
     both = column.unionByName(table)
     least = both.agg(F.min("r").alias("least"))
     return both.join(F.broadcast(least), F.col("r") == F.col("least")).select("kind", "name", "data_type")
@@ -133,11 +153,25 @@ def format_sql(spark: SparkSession, sql: str) -> str:
 
 def revealed(locations: DataFrame, requests: DataFrame, entity_id: str) -> DataFrame:
     """query_id, start_line, start_col, end_line, end_col: the range of an entity's first place, for an editor."""
-    first = locations.where(F.col("entity_id") == entity_id).groupBy("query_id").agg(F.min(F.struct("start_offset", "end_offset", "start_line", "start_col")).alias("at"))
+    first = (
+        locations.where(F.col("entity_id") == entity_id)
+        .groupBy("query_id")
+        .agg(F.min(F.struct("start_offset", "end_offset", "start_line", "start_col")).alias("at"))
+    )
     j = first.join(requests.select("query_id", "sql"), "query_id")
-    return j.select("query_id", "at.start_line", "at.start_col", ids.line_of(F.col("sql"), F.col("at.end_offset")).alias("end_line"), ids.column_of(F.col("sql"), F.col("at.end_offset")).alias("end_col"))
+    return j.select(
+        "query_id",
+        "at.start_line",
+        "at.start_col",
+        ids.line_of(F.col("sql"), F.col("at.end_offset")).alias("end_line"),
+        ids.column_of(F.col("sql"), F.col("at.end_offset")).alias("end_col"),
+    )
 
 
 def as_of(locations: DataFrame, line: int, col: int) -> DataFrame:
     """query_id, entity_id: the location on the cursor's line that begins last at or before it."""
-    return locations.where((F.col("start_line") == line) & (F.col("start_col") <= col)).groupBy("query_id").agg(F.max_by("entity_id", F.struct("start_col", "entity_id")).alias("entity_id"))
+    return (
+        locations.where((F.col("start_line") == line) & (F.col("start_col") <= col))
+        .groupBy("query_id")
+        .agg(F.max_by("entity_id", F.struct("start_col", "entity_id")).alias("entity_id"))
+    )

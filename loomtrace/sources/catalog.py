@@ -65,22 +65,81 @@ def read_payload(spark: SparkSession, path: str) -> DataFrame:
 
 def payload_columns(payload: DataFrame) -> DataFrame:
     """One row a column, with its places t_idx and c_idx; tables without columns keep one row with a null name."""
-    t = payload.select("metadata_version", F.coalesce("default_catalog", F.lit("default")).alias("dc"), F.coalesce("default_schema", F.lit("default")).alias("ds"), F.posexplode_outer("tables").alias("t_idx", "t"))
-    c = t.select("metadata_version", "t_idx", F.coalesce("t.catalog", "dc").alias("catalog"), F.coalesce("t.schema", "ds").alias("schema_name"), F.col("t.name").alias("table_name"), F.posexplode_outer("t.columns").alias("c_idx", "c"))
-    return c.select("metadata_version", "t_idx", "catalog", "schema_name", "table_name", "c_idx", F.col("c.name").alias("column_name"), F.coalesce("c.data_type", F.lit("unknown")).alias("data_type"), F.col("c.comment").alias("comment"), F.col("c.ordinal").alias("ordinal"), F.coalesce("c.is_partition", F.lit(False)).alias("is_partition"))
+    t = payload.select(
+        "metadata_version",
+        F.coalesce("default_catalog", F.lit("default")).alias("dc"),
+        F.coalesce("default_schema", F.lit("default")).alias("ds"),
+        F.posexplode_outer("tables").alias("t_idx", "t"),
+    )
+    c = t.select(
+        "metadata_version",
+        "t_idx",
+        F.coalesce("t.catalog", "dc").alias("catalog"),
+        F.coalesce("t.schema", "ds").alias("schema_name"),
+        F.col("t.name").alias("table_name"),
+        F.posexplode_outer("t.columns").alias("c_idx", "c"),
+    )
+    return c.select(
+        "metadata_version",
+        "t_idx",
+        "catalog",
+        "schema_name",
+        "table_name",
+        "c_idx",
+        F.col("c.name").alias("column_name"),
+        F.coalesce("c.data_type", F.lit("unknown")).alias("data_type"),
+        F.col("c.comment").alias("comment"),
+        F.col("c.ordinal").alias("ordinal"),
+        F.coalesce("c.is_partition", F.lit(False)).alias("is_partition"),
+    )
 
 
 def validate(payload: DataFrame) -> DataFrame:
     """t_idx, c_idx, code, level: what an import reports."""
     c = payload_columns(payload)
-    blank = c.where("table_name is null or trim(table_name) = ''").select("t_idx", F.lit(None).cast("int").alias("c_idx"), F.lit("METADATA_IMPORT_EMPTY_TABLE_NAME").alias("code"), F.lit("error").alias("level")).distinct()
-    empty = c.where("column_name is null and c_idx is null").select("t_idx", F.lit(None).cast("int").alias("c_idx"), F.lit("METADATA_IMPORT_EMPTY_COLUMNS").alias("code"), F.lit("error").alias("level"))
+    blank = (
+        c.where("table_name is null or trim(table_name) = ''")
+        .select(
+            "t_idx",
+            F.lit(None).cast("int").alias("c_idx"),
+            F.lit("METADATA_IMPORT_EMPTY_TABLE_NAME").alias("code"),
+            F.lit("error").alias("level"),
+        )
+        .distinct()
+    )
+    empty = (
+        c.where("column_name is null and c_idx is null")
+        .select(
+            "t_idx",
+            F.lit(None).cast("int").alias("c_idx"),
+            F.lit("METADATA_IMPORT_EMPTY_COLUMNS").alias("code"),
+            F.lit("error").alias("level"),
+        )
+    )
     w = Window.partitionBy("t_idx", F.lower(F.trim("column_name"))).orderBy("c_idx")
     named = c.where("column_name is not null")
-    twice = named.withColumn("n", F.row_number().over(w)).where("n > 1").select("t_idx", "c_idx", F.lit("METADATA_IMPORT_DUPLICATE_COLUMN").alias("code"), F.lit("error").alias("level"))
-    deep = named.where(is_complex(F.col("data_type"))).select("t_idx", "c_idx", F.lit("METADATA_IMPORT_COMPLEX_TYPE").alias("code"), F.lit("info").alias("level"))
-    loose = named.where("ordinal is null").select("t_idx", "c_idx", F.lit("METADATA_IMPORT_MISSING_ORDINAL").alias("code"), F.lit("warning").alias("level"))
-    version = payload.where("coalesce(schema_version, '1.0') <> '1.0'").select(F.lit(None).cast("int").alias("t_idx"), F.lit(None).cast("int").alias("c_idx"), F.lit("METADATA_IMPORT_SCHEMA_UNSUPPORTED").alias("code"), F.lit("error").alias("level"))
+    twice = (
+        named.withColumn("n", F.row_number().over(w))
+        .where("n > 1")
+        .select("t_idx", "c_idx", F.lit("METADATA_IMPORT_DUPLICATE_COLUMN").alias("code"), F.lit("error").alias("level"))
+    )
+    deep = (
+        named.where(is_complex(F.col("data_type")))
+        .select("t_idx", "c_idx", F.lit("METADATA_IMPORT_COMPLEX_TYPE").alias("code"), F.lit("info").alias("level"))
+    )
+    loose = (
+        named.where("ordinal is null")
+        .select("t_idx", "c_idx", F.lit("METADATA_IMPORT_MISSING_ORDINAL").alias("code"), F.lit("warning").alias("level"))
+    )
+    version = (
+        payload.where("coalesce(schema_version, '1.0') <> '1.0'")
+        .select(
+            F.lit(None).cast("int").alias("t_idx"),
+            F.lit(None).cast("int").alias("c_idx"),
+            F.lit("METADATA_IMPORT_SCHEMA_UNSUPPORTED").alias("code"),
+            F.lit("error").alias("level"),
+        )
+    )
     return version.unionByName(blank).unionByName(empty).unionByName(twice).unionByName(deep).unionByName(loose)
 
 
@@ -92,14 +151,21 @@ def diff(payload: DataFrame, current: DataFrame) -> DataFrame:
     old = sets(current).select(*key, F.col("names").alias("old"))
     j = new.join(old, key, "left")
     change = F.when(F.col("old").isNull(), "added").when(F.col("old") == F.col("names"), "unchanged").otherwise("updated")
-    return j.select("table_name", change.alias("change"), F.size(F.array_except("names", F.coalesce("old", F.array().cast("array<string>")))).cast("bigint").alias("added_columns"))
+    return j.select(
+        "table_name",
+        change.alias("change"),
+        F.size(F.array_except("names", F.coalesce("old", F.array().cast("array<string>")))).cast("bigint").alias("added_columns"),
+    )
 
 
 def preview(payload: DataFrame, current: DataFrame) -> DataFrame:
     """What a commit would do, in one row: metadata_version, status, tables, total_columns, added, updated, unchanged, errors,
     warnings, info.  Nothing is written; a payload of an unsupported schema version is one error and is not looked at further."""
     found = validate(payload)
-    levels = found.agg(*[F.count_if(F.col("level") == x).alias(n) for x, n in (("error", "errors"), ("warning", "warnings"), ("info", "info"))], F.coalesce(F.bool_or(F.col("code") == "METADATA_IMPORT_SCHEMA_UNSUPPORTED"), F.lit(False)).alias("stop"))
+    levels = found.agg(
+        *[F.count_if(F.col("level") == x).alias(n) for x, n in (("error", "errors"), ("warning", "warnings"), ("info", "info"))],
+        F.coalesce(F.bool_or(F.col("code") == "METADATA_IMPORT_SCHEMA_UNSUPPORTED"), F.lit(False)).alias("stop"),
+    )
     changes = diff(payload, current).agg(*[F.count_if(F.col("change") == x).alias(x) for x in ("added", "updated", "unchanged")])
     c = payload_columns(payload)
     counts = c.agg(F.count_distinct("t_idx").alias("tables"), F.count("column_name").alias("total_columns"))
@@ -107,16 +173,49 @@ def preview(payload: DataFrame, current: DataFrame) -> DataFrame:
     stop = F.col("stop")
     zero = lambda n: F.when(stop, F.lit(0)).otherwise(F.col(n)).cast("bigint").alias(n)
     counted = ("total_columns", "added", "updated", "unchanged")
-    return one.select("metadata_version", F.lit("preview_ready").alias("status"), "tables", *[zero(n) for n in counted], F.when(stop, F.lit(1)).otherwise(F.col("errors")).cast("bigint").alias("errors"), zero("warnings"), zero("info"))
+    return one.select(
+        "metadata_version",
+        F.lit("preview_ready").alias("status"),
+        "tables",
+        *[zero(n) for n in counted],
+        F.when(stop, F.lit(1)).otherwise(F.col("errors")).cast("bigint").alias("errors"),
+        zero("warnings"),
+        zero("info"),
+    )
 
 
 def merged(payload: DataFrame, current: DataFrame) -> DataFrame:
     """The catalog after a commit: the payload's tables replace those of their names; of equal column names the last wins."""
     c = payload_columns(payload).where("column_name is not null and trim(table_name) <> ''")
-    last = c.withColumn("n", F.row_number().over(Window.partitionBy("catalog", "schema_name", ids.normal(F.col("table_name")), ids.normal(F.col("column_name"))).orderBy(F.desc("t_idx"), F.desc("c_idx")))).where("n = 1")
-    new = last.select("metadata_version", "catalog", "schema_name", "table_name", "column_name", "data_type", "comment", F.coalesce("ordinal", F.col("c_idx") + 1).alias("ordinal"), "is_partition")
+    last = (
+        c.withColumn(
+            "n",
+            F.row_number().over(Window.partitionBy(
+                "catalog",
+                "schema_name",
+                ids.normal(F.col("table_name")),
+                ids.normal(F.col("column_name")),
+            ).orderBy(F.desc("t_idx"), F.desc("c_idx"))),
+        )
+        .where("n = 1")
+    )
+    new = last.select(
+        "metadata_version",
+        "catalog",
+        "schema_name",
+        "table_name",
+        "column_name",
+        "data_type",
+        "comment",
+        F.coalesce("ordinal", F.col("c_idx") + 1).alias("ordinal"),
+        "is_partition",
+    )
     tables = new.select("catalog", "schema_name", ids.normal(F.col("table_name")).alias("t")).distinct()
-    old = current.withColumn("t", ids.normal(F.col("table_name"))).join(tables, ["catalog", "schema_name", "t"], "left_anti").select(*new.columns)
+    old = (
+        current.withColumn("t", ids.normal(F.col("table_name")))
+        .join(tables, ["catalog", "schema_name", "t"], "left_anti")
+        .select(*new.columns)
+    )
     return old.unionByName(new)
 
 
@@ -124,7 +223,15 @@ def commit(payload: DataFrame, current: DataFrame, versions: DataFrame, job_id:
     """What a commit writes: columns (the new catalog), versions (with the payload's, counted on), jobs (one row) and
     errors.  Only an unsupported schema version stops it; the columns then stay as they are and the job is failed."""
     found = validate(payload)
-    errors = found.where("level = 'error'").select(F.lit(job_id).alias("job_id"), F.col("t_idx").alias("table_index"), F.col("c_idx").alias("column_index"), F.col("code").alias("error_code"))
+    errors = (
+        found.where("level = 'error'")
+        .select(
+            F.lit(job_id).alias("job_id"),
+            F.col("t_idx").alias("table_index"),
+            F.col("c_idx").alias("column_index"),
+            F.col("code").alias("error_code"),
+        )
+    )
     stopped = not found.where("code = 'METADATA_IMPORT_SCHEMA_UNSUPPORTED'").isEmpty()
     columns = current if stopped else merged(payload, current)
     c = payload_columns(payload).where("column_name is not null")
@@ -133,7 +240,11 @@ def commit(payload: DataFrame, current: DataFrame, versions: DataFrame, job_id:
     version = payload.select("metadata_version")
     jobs = version.crossJoin(counts).crossJoin(bad).select(F.lit(job_id).alias("job_id"), "metadata_version", F.lit("failed" if stopped else "committed").alias("status"), "total_tables", "total_columns", "error_count")  # one row each
     last = versions.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
-    new = version.join(versions, version["metadata_version"] == versions["version"], "left_anti").crossJoin(last).select(F.col("metadata_version").alias("version"), (F.col("last") + 1).alias("seq"))
+    new = (
+        version.join(versions, version["metadata_version"] == versions["version"], "left_anti")
+        .crossJoin(last)
+        .select(F.col("metadata_version").alias("version"), (F.col("last") + 1).alias("seq"))
+    )
     return {"columns": columns, "versions": versions if stopped else versions.select("version", "seq").unionByName(new), "jobs": jobs, "errors": errors}
 
 
@@ -152,7 +263,13 @@ def of_version(columns: DataFrame, version: str | None, names: dict[str, str | N
 
 def search_tables(columns: DataFrame, keyword: str = "", limit: int = 20, version: str | None = None, catalog: str | None = None, schema: str | None = None) -> DataFrame:
     c = of_version(columns, version, {"catalog": catalog, "schema_name": schema})
-    return c.where(F.lower("table_name").contains(keyword.lower())).select("catalog", "schema_name", "table_name").distinct().orderBy("table_name", "schema_name", "catalog").limit(limit)
+    return (
+        c.where(F.lower("table_name").contains(keyword.lower()))
+        .select("catalog", "schema_name", "table_name")
+        .distinct()
+        .orderBy("table_name", "schema_name", "catalog")
+        .limit(limit)
+    )
 
 
 def table_named(columns: DataFrame, table: str, version: str | None = None, catalog: str = "default", schema: str = "default") -> DataFrame:
@@ -170,18 +287,46 @@ def search_columns(columns: DataFrame, table: str, keyword: str | Column = "", l
 def context(columns: DataFrame, version: str | None = None) -> DataFrame:
     """catalog, schema_name, table_name, columns (structs in their order): all tables of a version."""
     c = of_version(columns, version, {})
-    return c.groupBy("catalog", "schema_name", "table_name").agg(F.array_sort(F.collect_list(F.struct("ordinal", "column_name", "data_type", "is_partition"))).alias("columns"))
+    return (
+        c.groupBy("catalog", "schema_name", "table_name")
+        .agg(F.array_sort(F.collect_list(F.struct("ordinal", "column_name", "data_type", "is_partition"))).alias("columns"))
+    )
 
 
 def exported(columns: DataFrame, version: str, schema: str | None = None, top: int | None = None, source: str = "catalog") -> DataFrame:
     """A payload of a version's tables (of one schema; the first ``top`` by name)."""
     c = of_version(columns, version, {"schema_name": schema})
-    tables = c.groupBy("catalog", "schema_name", "table_name").agg(F.array_sort(F.collect_list(F.struct("ordinal", "column_name", "data_type", "comment", "is_partition"))).alias("cols"))
+    tables = (
+        c.groupBy("catalog", "schema_name", "table_name")
+        .agg(F.array_sort(F.collect_list(F.struct("ordinal", "column_name", "data_type", "comment", "is_partition"))).alias("cols"))
+    )
     if top is not None:
         tables = tables.orderBy("table_name", "schema_name", "catalog").limit(top)
-    each = F.transform("cols", lambda x: F.struct(x["column_name"].alias("name"), x["data_type"].alias("data_type"), x["comment"].alias("comment"), x["ordinal"].alias("ordinal"), x["is_partition"].alias("is_partition"), F.lit(True).alias("nullable")))
+    each = F.transform(
+        "cols",
+        lambda x: F.struct(
+            x["column_name"].alias("name"),
+            x["data_type"].alias("data_type"),
+            x["comment"].alias("comment"),
+            x["ordinal"].alias("ordinal"),
+            x["is_partition"].alias("is_partition"),
+            F.lit(True).alias("nullable"),
+        ),
+    )
     none = F.lit(None).cast("string")
-    one = F.struct("catalog", F.col("schema_name").alias("schema"), F.col("table_name").alias("name"), none.alias("comment"), none.alias("table_type"), each.alias("columns"))
-    made = tables.agg(F.array_sort(F.collect_list(F.struct(F.col("table_name").alias("o"), F.col("schema_name").alias("p"), F.col("catalog").alias("q"), one.alias("t")))).alias("ts"))
+    one = F.struct(
+        "catalog",
+        F.col("schema_name").alias("schema"),
+        F.col("table_name").alias("name"),
+        none.alias("comment"),
+        none.alias("table_type"),
+        each.alias("columns"),
+    )
+    made = tables.agg(F.array_sort(F.collect_list(F.struct(
+        F.col("table_name").alias("o"),
+        F.col("schema_name").alias("p"),
+        F.col("catalog").alias("q"),
+        one.alias("t"),
+    ))).alias("ts"))
     heads = [F.lit("1.0").alias("schema_version"), F.lit(version).alias("metadata_version"), F.lit(False).alias("case_sensitive"), F.lit("default").alias("default_catalog"), F.lit("default").alias("default_schema"), F.lit(source).alias("source_name")]
     return made.select(*heads, F.transform("ts", lambda x: x["t"]).alias("tables"))

@@ -108,7 +108,10 @@ class Store:
         same = columns.where(F.col("metadata_version") == version)
         made = catalog.commit(payload, same, self.read("versions").select("version", "seq"), job_id)
         c = catalog.payload_columns(payload)
-        skipped = c.where("c_idx is null or table_name is null or trim(table_name) = ''").agg(F.count_distinct("t_idx").alias("skipped_tables"))
+        skipped = (
+            c.where("c_idx is null or table_name is null or trim(table_name) = ''")
+            .agg(F.count_distinct("t_idx").alias("skipped_tables"))
+        )
         now = F.current_timestamp()
         jobs = made["jobs"].crossJoin(skipped).withColumn("created_at", now)  # one row each
         new = {"jobs": self.read("jobs").unionByName(jobs), "errors": self.read("errors").unionByName(made["errors"])}
@@ -116,17 +119,39 @@ class Store:
             mine = made["columns"]
             new["columns"] = columns.where(F.col("metadata_version") != version).unionByName(mine)
             key = ["metadata_version", "catalog", "schema_name", "normalized_name"]
-            named = mine.withColumn("normalized_name", ids.normal(F.col("table_name"))).groupBy(*key).agg(F.min("table_name").alias("table_name"))
-            touched = c.select("metadata_version", "catalog", "schema_name", ids.normal(F.col("table_name")).alias("normalized_name")).distinct().withColumn("touched", F.lit(True))
+            named = (
+                mine.withColumn("normalized_name", ids.normal(F.col("table_name")))
+                .groupBy(*key)
+                .agg(F.min("table_name").alias("table_name"))
+            )
+            touched = (
+                c.select("metadata_version", "catalog", "schema_name", ids.normal(F.col("table_name")).alias("normalized_name"))
+                .distinct()
+                .withColumn("touched", F.lit(True))
+            )
             old = self.read("tables").select(*key, "created_at", "updated_at")
             tables = named.join(old, key, "left").join(touched, key, "left")
-            tables = tables.select(*key, "table_name", F.coalesce("created_at", now).alias("created_at"), F.when(F.col("touched") | F.col("updated_at").isNull(), now).otherwise(F.col("updated_at")).alias("updated_at"))
+            tables = tables.select(
+                *key,
+                "table_name",
+                F.coalesce("created_at", now).alias("created_at"),
+                F.when(F.col("touched") | F.col("updated_at").isNull(), now).otherwise(F.col("updated_at")).alias("updated_at"),
+            )
             new["tables"] = self.read("tables").where(F.col("metadata_version") != version).unionByName(tables)
             count = named.agg(F.count(F.lit(1)).alias("n"))
-            was = self.read("versions").select("version", F.col("source_name").alias("s"), F.col("table_count").alias("n_old"), F.col("created_at").alias("at"))
+            was = (
+                self.read("versions")
+                .select("version", F.col("source_name").alias("s"), F.col("table_count").alias("n_old"), F.col("created_at").alias("at"))
+            )
             own = F.col("version") == version
             v = made["versions"].join(was, "version", "left").crossJoin(count)  # one row
-            new["versions"] = v.select("version", "seq", F.when(own & F.col("s").isNull(), F.lit(head.source_name)).otherwise(F.col("s")).alias("source_name"), F.when(own, F.col("n")).otherwise(F.col("n_old")).alias("table_count"), F.coalesce("at", now).alias("created_at"))
+            new["versions"] = v.select(
+                "version",
+                "seq",
+                F.when(own & F.col("s").isNull(), F.lit(head.source_name)).otherwise(F.col("s")).alias("source_name"),
+                F.when(own, F.col("n")).otherwise(F.col("n_old")).alias("table_count"),
+                F.coalesce("at", now).alias("created_at"),
+            )
         self.publish(new)
         return job_id
 
