@@ -104,8 +104,9 @@ def test_every_language_is_learned(spark):
 
     rng = random.Random(2)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    english = [word("abcdefghst") for _ in range(150)]
     greek, long, short = "αλφα βητα γαμμα δελτα", " ".join(word("пбдгжз") for _ in range(12_000)), "ßß"
-    rows = [(4 * i, "un chien et un chat dorment sur le canapé", "fr", None, 0) for i in range(600)] + [(4 * i + 1, " ".join(word("abcdefghst") for _ in range(30)), "en", None, 0) for i in range(300)]
+    rows = [(4 * i, "un chien et un chat dorment sur le canapé", "fr", None, 0) for i in range(600)] + [(4 * i + 1, " ".join(rng.choice(english) for _ in range(30)), "en", None, 0) for i in range(300)]
     rows += [(10_001, greek, "el", None, 0), (10_003, long, "ru", None, 0), (10_005, short, "de", None, 0), (10_007, "", "xx", None, 0), (10_009, greek, None, None, 0)]
     df = frame(spark, rows)
     made = dict(langid.fit(df))
