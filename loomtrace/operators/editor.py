@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -52,18 +52,43 @@ def context(words: list[str]) -> str:
     return "keyword"
 
 
-def tables_in(words: list[str]) -> dict[str, str]:
-    """Alias -> table of what follows FROM and JOIN."""
+def tables_in(words: list[str]) -> dict[str, tuple[str, str]]:
+    """Alias -> (schema, table) of what follows FROM and JOIN; a name without a schema is in the default one."""
     out = {}
+    plain = lambda w: w.strip("`").lower()
     for i, w in enumerate(words[:-1]):
-        if w.upper() in ("FROM", "JOIN") or (w == "," and any(x.upper() == "FROM" for x in words[:i]) and not any(x.upper() in ("WHERE", "GROUP", "ORDER") for x in words[:i])):
-            name = words[i + 1].strip("`").lower()
-            rest = words[i + 2 : i + 4]
-            alias = rest[1] if len(rest) == 2 and rest[0].upper() == "AS" else rest[0] if rest and rest[0].upper() not in STRUCTURE and rest[0].isidentifier() else name
-            out[alias.strip("`").lower()] = name
+        before = [x.upper() for x in words[:i]]
+        listed = w == "," and "FROM" in before and not {"WHERE", "GROUP", "ORDER"} & set(before)
+        if w.upper() not in ("FROM", "JOIN") and not listed:
+            continue
+        end = i + 2
+        while words[end : end + 1] == ["."] and len(words) > end + 1:
+            end += 2
+        parts = [plain(x) for x in words[i + 1 : end : 2]]
+        rest = words[end : end + 2]
+        if len(rest) == 2 and rest[0].upper() == "AS":
+            alias = rest[1]
+        else:
+            alias = rest[0] if rest and rest[0].upper() not in STRUCTURE and rest[0].isidentifier() else parts[-1]
+        out[plain(alias)] = ((["default", *parts])[-2], parts[-1])
     return out
 
 
+def of_tables(columns: DataFrame, named: set[tuple[str, str]]) -> DataFrame:
+    """Catalog rows of (schema, table) names."""
+    hit = F.lit(False)
+    for schema, table in sorted(named):
+        hit = hit | ((F.lower("schema_name") == schema) & (F.lower("table_name") == table))
+    return columns.where(hit)
+
+
+def first_tables(columns: DataFrame, tables: int = 50, each: int = 200) -> DataFrame:
+    """The first tables by name, and of each the first columns: what is offered where no table is named."""
+    few = columns.select("schema_name", "table_name").distinct().orderBy("table_name", "schema_name").limit(tables)
+    place = F.row_number().over(Window.partitionBy("schema_name", "table_name").orderBy("ordinal"))
+    return columns.join(few, ["schema_name", "table_name"], "left_semi").withColumn("place", place).where(F.col("place") <= each)
+
+
 def complete(spark: SparkSession, columns: DataFrame, sql: str, line: int, col: int) -> DataFrame:
     """kind, label: candidates at a cursor (both from 1)."""
     lines = sql.replace("\r\n", "\n").split("\n")
@@ -77,8 +102,8 @@ def complete(spark: SparkSession, columns: DataFrame, sql: str, line: int, col:
             F.col("table_name").alias("label"),
         ).distinct().orderBy("label").limit(100))
     if where == "column":
-        named = sorted(set(tables_in(every).values()))
-        found = columns.where(F.lower("table_name").isin(named)) if named else columns
+        named = set(tables_in(every).values())
+        found = of_tables(columns, named) if named else first_tables(columns)
         label = F.col("column_name") if named else F.concat_ws(".", "table_name", "column_name")
         return words.unionByName(found.select(F.lit("column").alias("kind"), label.alias("label")).distinct())
     return words
@@ -102,9 +127,9 @@ def hover(spark: SparkSession, columns: DataFrame, sql: str, line: int, col: int
             p -= 1
         prefix = text[p : a - 1].strip("`").lower()
     used = tables_in(tokens(spark, sql))
-    owner = [used.get(prefix, prefix)] if prefix else sorted(set(used.values()))
+    owner = {used.get(prefix, ("default", prefix))} if prefix else set(used.values())
     column = (
-        columns.where(F.lower("table_name").isin(owner) & (F.lower("column_name") == word))
+        of_tables(columns, owner).where(F.lower("column_name") == word)
         .select(
             F.lit("column").alias("kind"),
             F.concat_ws(".", "table_name", "column_name").alias("name"),
@@ -113,7 +138,7 @@ def hover(spark: SparkSession, columns: DataFrame, sql: str, line: int, col: int
         )
     )
     table = (
-        columns.where(F.lower("table_name") == (used.get(word, word) if not prefix else word))
+        of_tables(columns, {(prefix, word) if prefix else used.get(word, ("default", word))})
         .select(
             F.lit("table").alias("kind"),
             F.col("table_name").alias("name"),

@@ -5,6 +5,8 @@ Execution queries have the same statement as SQL.  Queries about a statement's m
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ def shop(spark: SparkSession) -> DataFrame:
 
 
 def driver_catalog(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = DRIVER) -> DataFrame:
-    return catalog.columns_of(spark, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+    with ThreadPoolExecutor(len(tables)) as pool:  # each table's schema is read by a small job
+        frames = list(pool.map(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"), tables))
+    return catalog.columns_of(spark, dict(zip(tables, frames, strict=True)))
 
 
 def values(columns: str, rows: list[tuple], kinds: str = "") -> str:

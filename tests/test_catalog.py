@@ -93,3 +93,8 @@ def test_completion_of_unfinished_text(spark):
     assert {r.label for r in got.collect()} == {"user_id", "user_name", "dt"}
     assert editor.hover(spark, q.shop(spark), "SELECT zz FROM user_table", 1, 9).count() == 0
     assert editor.hover(spark, q.shop(spark), "SELECT 1", 7, 90).count() == 0
+    two = catalog.columns_from(spark, {"t": "a int", "ods.t": "b int, c int"})
+    assert {r.label for r in editor.complete(spark, two, "SELECT  FROM ods.t x", 1, 8).where("kind = 'column'").collect()} == {"b", "c"}
+    assert {r.label for r in editor.complete(spark, two, "SELECT  FROM t", 1, 8).where("kind = 'column'").collect()} == {"a"}
+    assert {r.label for r in editor.complete(spark, two, "SELECT ", 1, 8).where("kind = 'column'").collect()} == {"t.a", "t.b", "t.c"}
+    assert editor.hover(spark, two, "SELECT x.c FROM ods.t x", 1, 10).first().name == "t.c" and editor.hover(spark, two, "SELECT 1 FROM ods.t", 1, 19).first().kind == "table"
