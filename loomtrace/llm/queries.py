@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import ORACLE as DECONTAM_SQL
 from .neardup import ORACLE as NEAR_SQL
+from .prefixtrie import ORACLE as TRIE_SQL
 from .suffix import ORACLE as SUFFIX_SQL
 from .warc import ORACLE as WARC_SQL
 
@@ -86,6 +87,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2, added=True)
 
 
+def op11_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urltree import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixtrie import trie
+
+    return trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_language_id": op2_language_id,
@@ -97,10 +116,14 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_fm_index_decontamination": op9_fm_index_decontamination,
     "op10_token_files": op10_token_files,
+    "op11_url_templates": op11_url_templates,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
 }
 ORACLES: dict[str, str] = {
     "op4_warc_revisits": WARC_SQL,
     "op7_minmax_near_dedup": NEAR_SQL,
     "op8_suffix_dedup": SUFFIX_SQL,
     "op9_fm_index_decontamination": DECONTAM_SQL,
+    "op12_prefix_trie": TRIE_SQL,
 }

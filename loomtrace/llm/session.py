@@ -41,6 +41,23 @@ def fanout(df: DataFrame) -> int:
     return max(conf, df.rdd.getNumPartitions())
 
 
+#: A key that has at least this part of all rows is joined by broadcast.
+HEAVY = 1000
+
+
+def keyed(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """rows inner joined with a table that has each key once and, as ``weight``, how many rows have it.
+
+    Keys that hold a thousandth of the rows or more - a thousand at most, whatever the input's size - are broadcast, so that no task has all rows of
+    one; the others are shuffled, each no more than a thousandth of the rows."""
+    table = cut(table)
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * F.lit(HEAVY) >= F.lit(max(total, HEAVY))
+    heavy, light = table.where(hot), table.where(~hot)
+    few = F.broadcast(heavy)
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))
+
+
 class OrderedBuckets:
     """Buckets of about equal size that ascend with some columns.  Spark's range partitioner samples the cuts, one a
     partition; they go into plans as one constant of some 16 bytes a partition, not as expressions."""
