@@ -45,13 +45,13 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "derived_table": "SELECT x.k, x.s FROM (SELECT o_custkey AS k, COUNT(*) AS s FROM orders GROUP BY o_custkey) x WHERE x.s > 3",
     "nested_derived_table": f"SELECT y.seg, MAX(y.s) AS top FROM (SELECT c.c_mktsegment AS seg, x.s FROM (SELECT o_custkey AS k, {money('o_totalprice', 's')} FROM orders GROUP BY o_custkey) x JOIN customer c ON c.c_custkey = x.k) y GROUP BY y.seg",
     "cte_chain": f"WITH a AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O'), b AS (SELECT a.o_custkey AS k, {money('l.l_extendedprice', 's')} FROM a JOIN lineitem l ON a.o_orderkey = l.l_orderkey GROUP BY a.o_custkey), c AS (SELECT k, s FROM b WHERE s > 1000) SELECT k, s FROM c",
-    "recursive_cte": "WITH RECURSIVE t(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t",
+    "recursive_cte": "WITH RECURSIVE t(k, n) AS (SELECT CAST(r_regionkey AS BIGINT), CAST(0 AS BIGINT) FROM region UNION ALL SELECT k * 2 + 1, n + 1 FROM t WHERE n < 15) SELECT k, n FROM t",
     "scalar_subquery": "SELECT c_custkey, (SELECT MAX(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS top FROM customer",
     "exists_subquery": "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)",
     "in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "lateral_explode": ("SELECT label, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(CAST(e AS DECIMAL(18,6))) AS DOUBLE) AS s FROM embeddings LATERAL VIEW explode(embedding) t AS e GROUP BY label", "SELECT label, COUNT(*) AS n, CAST(SUM(CAST(e AS DECIMAL(18,6))) AS DOUBLE) AS s FROM (SELECT label, unnest(embedding) AS e FROM embeddings) GROUP BY label"),
     "hint_distribute": ("SELECT /*+ BROADCAST(r) */ n_nationkey, r_name FROM nation JOIN region r ON n_regionkey = r_regionkey DISTRIBUTE BY n_nationkey", "SELECT n_nationkey, r_name FROM nation JOIN region r ON n_regionkey = r_regionkey"),
-    "from_less": "SELECT CAST(1 AS BIGINT) AS one, 'a' AS letter",
+    "from_less": "SELECT r_regionkey, x.one, x.letter FROM region CROSS JOIN (SELECT CAST(1 AS BIGINT) AS one, 'a' AS letter) x",
     "quoted_names": ("SELECT r_regionkey AS `区域`, r_name AS `name of it` FROM region", 'SELECT r_regionkey AS "区域", r_name AS "name of it" FROM region'),
     "inline_comments": "SELECT /* the key */ r_regionkey, -- its name\n r_name FROM region",
     # joins

@@ -6,6 +6,7 @@ all of them.  Loops run over the depth of nesting (known from the parse), not ov
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import cached_property, reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -52,6 +53,10 @@ class Analysis:
         rows = parsed.parse(spark, statements, dialect)
         self.depth = max((r[2] for r in rows["owners"]), default=0)
         self.natural = any(r[3] == "natural_join" for r in rows["clauses"])
+        # kinds of rows that there are: what they need is left out of all other analyses
+        self.has = {k for k, v in rows.items() if v}
+        self.cyclic = any(r[3] for r in rows["owners"])
+        self.owners = max(Counter(r[0] for r in rows["owners"]).values(), default=0)
         comment = F.col("comment") if "comment" in columns.columns else F.lit(None).cast("string")
         self.catalog = columns.select(
             "catalog",
@@ -68,7 +73,7 @@ class Analysis:
         self.keep = cut
         if sum(map(len, rows.values())) <= shared.FEW:
             self.keep = brought
-            names = sorted({r[7].strip("`\" ").lower() for r in rows["relations"]})
+            names = sorted({r[7].strip("`\" ").lower() for r in rows["relations"]} | {r[6].strip("`\" ").lower() for r in rows["writes"]})
             named = self.catalog.where(ids.normal(F.col("table_name")).isin(names)).limit(shared.FEW + 1).toArrow()
             if named.num_rows <= shared.FEW:
                 spark = quick(spark)
@@ -150,6 +155,9 @@ class Analysis:
             star = own.where("expression_kind = 'star'").select(*KEY, "ordinal", F.col("star_target"), "start_idx", "stop_idx")
             c = have.select(*KEY, "ord", "alias", "table", "kind", "source_owner", "col_ord", "column_name", "column_id")
             wide = star.join(c, KEY).where((F.col("star_target") == "") | (ids.normal(F.col("alias")) == ids.normal(F.col("star_target"))))
+            if "star_except" in self.has:
+                left_out = self.p_star_except.select(*KEY, "ordinal", ids.normal(F.col("name")).alias("name")).distinct()
+                wide = wide.withColumn("name", ids.normal(F.col("column_name"))).join(left_out, [*KEY, "ordinal", "name"], "left_anti").drop("name")
             wide = wide.select(
                 *KEY, F.col("ordinal").alias("item_ord"), F.col("ord").alias("a"), F.col("col_ord").alias("b"), F.concat_ws(".", "alias", "column_name").alias("expression_sql"), F.col("column_name").alias("output_name"),
                 F.lit(None).cast("string").alias("alias"), F.lit("column").alias("expression_kind"), F.lit(None).cast("string").alias("expression_class"), F.lit(None).cast("string").alias("function_name"),
@@ -164,6 +172,8 @@ class Analysis:
                 .withColumn("ordinal", F.row_number().over(Window.partitionBy(*KEY).orderBy("item_ord", "a", "b")))
                 .drop("a", "b")
             )
+            if "renames" in self.has:
+                made = made.join(self.p_renames, ["query_id", "owner", "ordinal"], "left").withColumn("output_name", F.coalesce("name", "output_name")).drop("name")
             made = self.keep(made)
             items.append(made)
             if level < self.depth:
@@ -236,15 +246,23 @@ class Analysis:
         cols = [*KEY, "clause", "ordinal", "ref_ord", "raw", "column", "table", "schema", "start_idx", "stop_idx"]
         refs = self.p_column_refs.select(*cols)
         none = F.lit(None).cast("int")
-        side = lambda s: self.join_keys.select(*KEY, F.lit(f"key_{s}").alias("clause"), F.col("key_ord").alias("ordinal"), F.lit(0).alias("ref_ord"), F.concat_ws(".", f"{s}_table", f"{s}_column").alias("raw"), F.col(f"{s}_column").alias("column"), F.col(f"{s}_table").alias("table"), F.lit(None).cast("string").alias("schema"), none.alias("start_idx"), none.alias("stop_idx"))
-        return every([refs, side("l"), side("r")])
+        side = lambda s, keys=self.join_keys, clause="key": keys.select(*KEY, F.lit(f"{clause}_{s}").alias("clause"), F.col("key_ord").alias("ordinal"), F.lit(0).alias("ref_ord"), F.concat_ws(".", f"{s}_table", f"{s}_column").alias("raw"), F.col(f"{s}_column").alias("column"), F.col(f"{s}_table").alias("table"), F.lit(None).cast("string").alias("schema"), none.alias("start_idx"), none.alias("stop_idx"))
+        parts = [refs, side("l"), side("r")]
+        if "correlations" in self.has:
+            parts += [side(s, self.p_correlations, "cor") for s in "lr"]
+        return every(parts)
 
     @stage
     def resolved(self) -> DataFrame:
         """One row a reference: status resolved, missing (its relation is not in the catalog), ambiguous or unknown; where it leads; candidates."""
-        r = self._refs
+        r = self._refs.select("*", F.col("owner").alias("c_owner"), F.col("segment_index").alias("c_segment_index"), F.lit(0).alias("distance"), F.lit(None).cast("int").alias("ord_limit"))
+        if "visible" in self.has:
+            around = self.p_visible.select("query_id", "owner", F.col("scope_owner").alias("c_owner"), F.col("scope_segment").alias("c_segment_index"), "distance", "ord_limit")
+            r = r.unionByName(self._refs.join(around, ["query_id", "owner"]).select(*r.columns))
         c = self.owner_columns.select(
-            *[F.col(k).alias(f"c_{k}") for k in KEY],
+            "query_id",
+            F.col("owner").alias("c_owner"),
+            F.col("segment_index").alias("c_segment_index"),
             F.col("ord").alias("c_ord"),
             F.col("alias").alias("c_alias"),
             F.col("table").alias("c_table"),
@@ -255,12 +273,15 @@ class Analysis:
             "column_id",
         )
         n = ids.normal
-        on = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"c_{k}") for k in KEY]) & (n(F.col("column")) == n(F.col("column_name"))) & (F.col("table").isNull() | (n(F.col("table")) == n(F.col("c_alias"))) | (n(F.col("table")) == n(F.col("c_table"))))
+        scope = ["query_id", "c_owner", "c_segment_index"]
+        on = reduce(lambda x, y: x & y, [F.col(f"r.{k}") == F.col(f"c.{k}") for k in scope]) & (n(F.col("column")) == n(F.col("column_name"))) & (F.col("table").isNull() | (n(F.col("table")) == n(F.col("c_alias"))) | (n(F.col("table")) == n(F.col("c_table")))) & (F.col("ord_limit").isNull() | (F.col("c_ord") < F.col("ord_limit")))
         ref = [*KEY, "clause", "ordinal", "ref_ord"]
         w = Window.partitionBy(*ref)
+        both = r.alias("r").join(c.alias("c"), on, "left").select("r.*", *[f"c.{k}" for k in c.columns if k not in scope])
+        if "visible" in self.has:  # the nearest scope that has the name
+            both = both.withColumn("near", F.coalesce(F.min(F.when(F.col("c_ord").isNotNull(), F.col("distance"))).over(w), F.lit(0))).where("distance = near").drop("near")
         both = (
-            r.join(c, on, "left")
-            .withColumn("by_alias", F.max((n(F.col("table")) == n(F.col("c_alias"))).cast("int")).over(w))
+            both.withColumn("by_alias", F.max((n(F.col("table")) == n(F.col("c_alias"))).cast("int")).over(w))
             .where("table is null or c_ord is null or by_alias = 0 or lower(trim(table)) = lower(trim(c_alias)) or by_alias is null")
         )
         both = both.withColumn("n", F.count("c_ord").over(w)).withColumn("rank", F.row_number().over(w.orderBy("c_ord", "source_ord")))
@@ -300,7 +321,7 @@ class Analysis:
         )
         ok, miss = status == "resolved", status == "missing"
         return first.select(
-            *ref, "raw", "column", "table", "start_idx", "stop_idx", status.alias("status"), F.when(ok, F.col("c_kind")).when(miss, "table").alias("kind"), F.when(ok, F.col("source_owner")).alias("source_owner"), F.when(ok, F.col("source_ord")).alias("source_ord"),
+            *ref, "raw", "column", "table", "start_idx", "stop_idx", "distance", F.col("c_owner").alias("scope_owner"), status.alias("status"), F.when(ok, F.col("c_kind")).when(miss, "table").alias("kind"), F.when(ok, F.col("source_owner")).alias("source_owner"), F.when(ok, F.col("source_ord")).alias("source_ord"),
             F.when(ok, F.col("column_id")).when(miss, ids.column_id(F.col("m_catalog"), F.col("m_schema"), F.col("m_table"), F.col("column"))).alias("column_id"), F.when(ok, F.col("column_name")).when(miss, F.col("column")).alias("column_name"), F.when(ok, F.col("c_alias")).alias("relation_alias"), "candidates",
         )
 
@@ -313,12 +334,20 @@ class Analysis:
             .withColumnRenamed("ordinal", "item_ord")
             .join(own, [*KEY, "item_ord"])
         )
-        cols = [*KEY, "ordinal", "ref_ord", "kind", "source_owner", "source_ord", "column_id", "column_name"]
-        return refs.select(*cols).unionByName(self.items.where("from_star").withColumn("ref_ord", F.lit(0)).select(*cols))
+        cols = [*KEY, "ordinal", "ref_ord", "kind", "source_owner", "source_ord", "column_id", "column_name", "via"]
+        parts = [refs.withColumn("via", F.lit("ref")).select(*cols), self.items.where("from_star").withColumn("ref_ord", F.lit(0)).withColumn("via", F.lit("ref")).select(*cols)]
+        none = F.lit(None).cast("string")
+        if "subqueries" in self.has:  # an output with a query in it is made of that query's first output
+            inner = self.p_subqueries.where("clause = 'select' and kind <> 'exists'").withColumnRenamed("ordinal", "item_ord").join(own, [*KEY, "item_ord"])
+            parts.append(inner.select(*KEY, "ordinal", "ref_ord", F.lit("derived").alias("kind"), F.col("sub_owner").alias("source_owner"), F.lit(1).alias("source_ord"), none.alias("column_id"), none.alias("column_name"), F.lit("subquery").alias("via")))
+        # columns of VALUES and of table functions of constants lead to themselves
+        made = self.items.where("expression_kind = 'generated'")
+        parts.append(made.select(*KEY, "ordinal", F.lit(0).alias("ref_ord"), F.lit("table").alias("kind"), none.alias("source_owner"), F.lit(None).cast("int").alias("source_ord"), F.concat(F.lit("generated:"), "owner", F.lit("."), ids.segment(F.col("output_name"))).alias("column_id"), F.col("output_name").alias("column_name"), F.lit("ref").alias("via")))
+        return every(parts)
 
     def _trace(self, start: DataFrame, keep: list[str], path: bool = False) -> DataFrame:
         """Physical columns behind rows with query_id, kind, source_owner, source_ord, column_id, column_name; through as many
-        owners as are nested.  With ``path``, also where each stands: the references' numbers on the way, from ref_ord on."""
+        owners as are nested, of recursive ones until nothing new is met.  With ``path``, also where each stands: the references' numbers on the way, from ref_ord on."""
         if path:
             start, keep = start.withColumn("path", F.array("ref_ord")), [*keep, "path"]
         cols = ["query_id", *keep, "kind", "source_owner", "source_ord", "column_id", "column_name"]
@@ -334,11 +363,16 @@ class Analysis:
             F.col("column_id").alias("n_id"),
             F.col("column_name").alias("n_name"),
         )
-        for i in range(self.depth + 1):
+        open_ended = self.cyclic or "subqueries" in self.has or "visible" in self.has
+        last, seen = self.owners if open_ended else self.depth, []
+        place = ["query_id", *(k for k in keep if k != "path"), "source_owner", "source_ord"]
+        for i in range(last + 1):
             done.append(front.where("kind = 'table'"))
-            if i == self.depth:
+            if i == last or open_ended and i and front.where("kind <> 'table'").isEmpty():
                 break
-            front = self.keep(
+            if self.cyclic:
+                seen.append(front.where("kind <> 'table'").select(*place).distinct())
+            front = (
                 front.where("kind <> 'table'").join(steps, "query_id").where("source_owner = s_owner and source_ord = s_ord")
                 .select(
                     "query_id",
@@ -350,12 +384,90 @@ class Analysis:
                     F.col("n_name").alias("column_name"),
                 ).distinct()
             )
+            if self.cyclic:
+                old = every(seen).select(*[F.col(k).alias(f"old_{k}") for k in place])
+                same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"old_{k}")) for k in place]) & (F.col("kind") != "table")
+                front = front.join(old, same, "left_anti")
+            front = self.keep(front)
         return every(done).select("query_id", *keep, "column_id", "column_name").distinct()
 
     @stage
     def sources(self) -> DataFrame:
-        """query_id, segment_index, ordinal, column_id, column_name: the physical columns of every output of the statements' own select lists."""
-        return self._trace(self._steps.where(F.col("owner") == ROOT), ["segment_index", "ordinal"])
+        """query_id, segment_index, ordinal, via ('ref', or 'subquery' for those of a query in the output), column_id, column_name: the physical columns of every output of the statements' own select lists."""
+        return self._trace(self._steps.where(F.col("owner") == ROOT), ["segment_index", "ordinal", "via"])
+
+    # --- what is written ---
+
+    @stage
+    def writes(self) -> DataFrame:
+        """query_id, write_ord, action, owner, ordinal, value (its text), table_id, target (a column's id; null where none is), target_name, n_values, n_columns (null: unknown)."""
+        on = ["catalog", "schema", "table"]
+        cat = self.catalog.select(F.col("catalog"), F.col("schema_name").alias("schema"), ids.normal(F.col("table_name")).alias("table"), "column_name", "ordinal")
+        w = self.p_writes.withColumn("own", F.col("table")).withColumn("table", ids.normal(F.col("table")))
+        one = ["query_id", "write_ord"]
+        given = w.where("columns is not null").select(*one, F.posexplode("columns").alias("pos", "name")).withColumn("pos", F.col("pos") + 1)
+        own = w.where("columns is null").join(cat, on).where("not array_contains(fixed, column_name)")
+        own = own.select(*one, F.row_number().over(Window.partitionBy(*one).orderBy("ordinal")).alias("pos"), F.col("column_name").alias("name"))
+        columns = self.keep(given.unionByName(own))
+        count = columns.groupBy(*one).agg(F.count(F.lit(1)).alias("n_columns"))
+        items = self.items.where("segment_index = 0").select("query_id", "owner", F.col("ordinal").alias("item"), "output_name", F.col("expression_sql").alias("value"))
+        pairs = w.join(items, ["query_id", "owner"], "left").join(count, one, "left")
+        columns = columns.withColumnRenamed("query_id", "c_q").withColumnRenamed("write_ord", "c_w")
+        near = (F.col("query_id") == F.col("c_q")) & (F.col("write_ord") == F.col("c_w")) & F.when(F.col("pairing") == "name", ids.normal(F.col("output_name")) == ids.normal(F.col("name"))).otherwise(F.col("item") == F.col("pos"))
+        # of a table that is made, or not known, the columns are called as the outputs
+        name = F.coalesce("name", F.when(F.col("n_columns").isNull() | (F.col("pairing") == "outputs"), F.col("output_name")))
+        found = pairs.join(columns, near, "left").withColumn("target_name", name)
+        return found.select(
+            *one, "action", "owner", F.col("item").alias("ordinal"), "value", ids.table_id(F.col("catalog"), F.col("schema"), F.col("own")).alias("table_id"),
+            F.when(F.col("target_name").isNotNull(), ids.column_id(F.col("catalog"), F.col("schema"), F.col("own"), F.col("target_name"))).alias("target"),
+            "target_name", F.count("item").over(Window.partitionBy(*one)).alias("n_values"), "n_columns", "pairing", "own", "output_name",
+        )
+
+    @stage
+    def write_sources(self) -> DataFrame:
+        """query_id, owner, ordinal, column_id: the physical columns of every value that is written."""
+        owners = self.p_writes.select("query_id", "owner").distinct()
+        return self._trace(self._steps.join(owners, ["query_id", "owner"]), ["owner", "ordinal"]).select("query_id", "owner", "ordinal", "column_id").distinct()
+
+    @stage
+    def correlated(self) -> DataFrame:
+        """query_id, owner, key_ord, l, r (physical columns; one of them of a scope around the owner), raw_sql: the equalities that join a nested query to what is around it."""
+        place = [*KEY, "ordinal"]
+        sides = self.resolved.where("clause in ('cor_l', 'cor_r') and status in ('resolved', 'missing')")
+        apart = sides.groupBy(*place).agg(F.min("distance").alias("a"), F.max("distance").alias("z"), F.count(F.lit(1)).alias("n")).where("n = 2 and a < z")
+        ends = self._trace(sides.join(apart.select(*place), place), [*KEY[1:], "clause", "ordinal"])
+        keys = self.p_correlations.select(*KEY, F.col("key_ord").alias("ordinal"), "raw_sql")
+        for x in "lr":
+            keys = keys.join(ends.where(f"clause = 'cor_{x}'").select(*place, F.col("column_id").alias(x)), place)
+        return keys.select("query_id", "owner", F.col("ordinal").alias("key_ord"), "l", "r", "raw_sql")
+
+    @stage
+    def outer_keys(self) -> DataFrame:
+        """query_id, segment_index, ordinal, column_id: the root's columns that a query in an output refers to."""
+        inside = self.p_inside.select("query_id", "owner", F.col("segment_index").alias("root_segment"), F.col("ordinal").alias("root_item"))
+        refs = self.resolved.where((F.col("distance") > 0) & (F.col("scope_owner") == ROOT) & F.col("status").isin("resolved", "missing") & ~F.col("clause").startswith("cor_"))
+        refs = refs.join(inside, ["query_id", "owner"])
+        found = self._trace(refs, ["root_segment", "root_item"])
+        items = self.items.where((F.col("owner") == ROOT) & ~F.col("from_star")).select("query_id", F.col("segment_index").alias("root_segment"), F.col("item_ord").alias("root_item"), "ordinal")
+        return found.join(items, ["query_id", "root_segment", "root_item"]).select("query_id", F.col("root_segment").alias("segment_index"), "ordinal", "column_id").distinct()
+
+    @stage
+    def row_sources(self) -> DataFrame:
+        """query_id, column_id: the physical columns that decide which rows there are, and in which group or order: those of filters, join conditions, groups, orders, of DISTINCT,
+        set operations, generators and pivots, and the outputs of queries in filters; in all owners."""
+        cols = ["query_id", "kind", "source_owner", "source_ord", "column_id", "column_name"]
+        refs = self.resolved.where("clause <> 'select' and status in ('resolved', 'missing')").select(*cols)
+        whole = self.p_clauses.where("clause in ('distinct', 'union_distinct', 'set_op', 'generator', 'pivot')").select("query_id", "owner").distinct()
+        parts = [refs, self._steps.join(whole, ["query_id", "owner"]).select(*cols)]
+        # groups and orders by the number or the name of an output, and outputs that make rows
+        named = self.p_clauses.where("clause in ('group_by', 'order_by', 'generator_item')").select("query_id", "owner", ids.normal(F.col("text")).alias("named"), (F.col("clause") == "generator_item").alias("by_item"))
+        items = self.items.select("query_id", "owner", "ordinal", F.col("item_ord").cast("string").alias("item"), ids.normal(F.col("output_name")).alias("output"))
+        hit = items.join(named, ["query_id", "owner"]).where("if(by_item, named = item, named = output or named = cast(ordinal as string))").select("query_id", "owner", "ordinal").distinct()
+        parts.append(self._steps.join(hit, ["query_id", "owner", "ordinal"]).select(*cols))
+        if "subqueries" in self.has:
+            inner = self.p_subqueries.where("clause <> 'select'").select("query_id", F.col("sub_owner").alias("owner")).distinct()
+            parts.append(self._steps.join(inner, ["query_id", "owner"]).select(*cols))
+        return self._trace(self.keep(every(parts).distinct()), []).select("query_id", "column_id").distinct()
 
     # --- diagnostics ---
 
@@ -365,11 +477,11 @@ class Analysis:
         d = self.p_diagnostics.select("query_id", "code", "level", "related")
         rel = self.relations
         table = (
-            rel.where("kind = 'table' and not found and owner not like '\\_\\_subquery%'")
+            rel.where("kind = 'table' and not found")
             .select("query_id", F.lit("UNKNOWN_TABLE").alias("code"), F.lit("warning").alias("level"), F.col("table").alias("related"))
             .distinct()
         )
-        refs = self.resolved.where("clause = 'select' and owner not like '\\_\\_subquery%'")
+        refs = self.resolved.where("clause = 'select'")
         unknown = (
             refs.where("status = 'unknown'")
             .select("query_id", F.lit("UNKNOWN_COLUMN").alias("code"), F.lit("warning").alias("level"), F.col("raw").alias("related"))
@@ -405,11 +517,7 @@ class Analysis:
         # outputs of the statement that are expressions of no class and lead to no column
         plain = self._outputs.where("expression_kind in ('function', 'expression') and expression_class is null and not from_star")
         bare = (
-            plain.join(
-                self.sources.where("segment_index = 0").select("query_id", "ordinal").distinct(),
-                ["query_id", "ordinal"],
-                "left_anti",
-            )
+            plain.join(self._led, ["query_id", "ordinal"], "left_anti")
             .select(
                 "query_id",
                 F.lit("NOT_SUPPORTED_IN_P0").alias("code"),
@@ -417,7 +525,22 @@ class Analysis:
                 F.col("expression_sql").alias("related"),
             )
         )
-        return every([d, table, unknown, ambiguous, twice, failed, bare])
+        return every([d, table, unknown, ambiguous, twice, failed, bare, *self._write_diagnostics()])
+
+    def _write_diagnostics(self) -> list[DataFrame]:
+        """Targets that are not in the catalog, values without a column, and numbers of values and columns that differ."""
+        if "writes" not in self.has:
+            return []
+        w = self.writes
+        made = lambda df, code, related: df.select("query_id", F.lit(code).alias("code"), F.lit("warning").alias("level"), related.alias("related")).distinct()
+        known = self.catalog.select(ids.table_id(F.col("catalog"), F.col("schema_name"), F.col("table_name")).alias("table_id")).distinct()
+        lost = w.where("action <> 'create'").join(known, "table_id", "left_anti").join(self.relations.where("kind = 'table'").select("query_id", F.col("table").alias("own")).distinct(), ["query_id", "own"], "left_anti")
+        differ = w.where("pairing = 'position' and n_values <> n_columns")
+        return [
+            made(lost, "UNKNOWN_TABLE", F.col("own")),
+            made(w.where("pairing = 'name' and n_columns is not null and target is null and output_name is not null"), "UNKNOWN_COLUMN", F.concat_ws(".", "own", "output_name")),
+            made(differ, "WRITE_COLUMNS_DIFFER", F.concat("own", F.lit(": "), F.col("n_values").cast("string"), F.lit(" values, "), F.col("n_columns").cast("string"), F.lit(" columns"))),
+        ]
 
     @stage
     def reported(self) -> DataFrame:
@@ -506,6 +629,14 @@ class Analysis:
             .select("query_id", "expression_id", "part", "ord", "text", F.array_join("columns", ", ").alias("columns"))
         )
 
+    @cached_property
+    def _led(self) -> DataFrame:
+        """query_id, ordinal of outputs that lead to a column, or whose inner query depends on one."""
+        led = self.sources.where("segment_index = 0").select("query_id", "ordinal")
+        if "inside" in self.has:
+            led = led.unionByName(self.outer_keys.where("segment_index = 0").select("query_id", "ordinal"))
+        return led.distinct()
+
     @stage
     def _outputs(self) -> DataFrame:
         return (
@@ -541,10 +672,11 @@ class Analysis:
             )
 
         plain = out.where("expression_class is null").join(src, ["query_id", "ordinal"])
-        kind = F.when(F.lower("column_name") == F.lower("output_name"), "projection").otherwise("alias")
+        kind = F.when(F.col("via") == "subquery", "subquery").when(F.lower("column_name") == F.lower("output_name"), "projection").otherwise("alias")
         e = [made(plain, kind, F.col("column_id"), F.col("output_id"))]
         x = self.expressions.select("query_id", "ordinal", "expression_id")
-        e.append(made(x.join(src, ["query_id", "ordinal"]), F.lit("expression"), F.col("column_id"), F.col("expression_id")))
+        how = F.when(F.col("via") == "subquery", "subquery").otherwise("expression")
+        e.append(made(x.join(src, ["query_id", "ordinal"]), how, F.col("column_id"), F.col("expression_id")))
         e.append(made(x.join(out, ["query_id", "ordinal"]), F.lit("expression"), F.col("expression_id"), F.col("output_id")))
         e.append(made(out.where("expression_kind = 'literal'"), F.lit("projection"), ids.literal_id(F.col("ordinal")), F.col("output_id")))
         # outputs with an unresolved reference, and outputs that are made of nothing known
@@ -560,7 +692,7 @@ class Analysis:
         )
         bare = (
             out.where("expression_class is null and expression_kind <> 'literal' and not from_star")
-            .join(src.select("query_id", "ordinal").distinct(), ["query_id", "ordinal"], "left_anti")
+            .join(self._led, ["query_id", "ordinal"], "left_anti")
             .join(lost.select("query_id", "ordinal"), ["query_id", "ordinal"], "left_anti")
             .select("query_id", "ordinal", "output_id", F.col("output_name").alias("bad"))
         )
@@ -593,6 +725,15 @@ class Analysis:
         lost = lambda x: F.coalesce(x, ids.unknown_id(F.concat(F.lit("join_"), F.col("ordinal").cast("string")), F.col(f"{x}_column")))
         keys = keys.where("l is not null or r is not null").withColumn("l", lost("l")).withColumn("r", lost("r"))
         e.append(made(keys, F.lit("join_condition"), F.col("l"), F.col("r"), F.concat(F.lit("ON "), "raw_sql"), owner=F.col("owner")))
+        if "correlations" in self.has:
+            e.append(made(self.correlated, F.lit("correlation"), F.col("l"), F.col("r"), F.concat(F.lit("ON "), "raw_sql"), owner=F.col("owner")))
+        if "inside" in self.has:
+            outer = self.outer_keys.where("segment_index = 0").join(out.select("query_id", "ordinal", "output_id"), ["query_id", "ordinal"])
+            e.append(made(outer, F.lit("correlation"), F.col("column_id"), F.col("output_id")))
+        if "writes" in self.has:
+            w = self.writes.where("target is not null").join(self.write_sources, ["query_id", "owner", "ordinal"], "left")
+            literal = F.concat(F.lit("literal:write:"), F.col("write_ord").cast("string"), F.lit(":"), F.col("ordinal").cast("string"))
+            e.append(made(w, F.lit("write"), F.coalesce("column_id", literal), F.col("target"), F.upper(F.replace("action", F.lit("_"), F.lit(" "))), owner=F.col("owner")))
         e.append(made(self.cte_inputs, F.lit("projection"), F.col("source"), F.col("target"), owner=F.col("owner")))
         all_ = every(e).withColumn("id", ids.edge_id(F.col("edge_type"), F.col("source"), F.col("target")))
         return all_.dropDuplicates(["query_id", "id"])
@@ -667,7 +808,16 @@ class Analysis:
             F.lit("expression").alias("node_type"),
             F.when(F.col("kind") == "case", "CASE").otherwise(F.col("function_name")).alias("label"),
         )
-        return every([tables, columns, unknown, outputs, literals, exprs]).distinct()
+        parts = [tables, columns, unknown, outputs, literals, exprs]
+        made = ends.where("id like 'generated:%'")
+        parts.append(made.select("query_id", "id", F.lit("generated").alias("node_type"), F.substring_index("id", ".", -1).alias("label")))
+        if "writes" in self.has:
+            w = self.writes
+            parts.append(w.select("query_id", F.col("table_id").alias("id"), F.lit("table").alias("node_type"), F.substring_index("table_id", ".", -1).alias("label")))
+            value = F.concat(F.lit("literal:write:"), F.col("write_ord").cast("string"), F.lit(":"), F.col("ordinal").cast("string"))
+            written = ends.where("id like 'literal:write:%'").select("query_id", "id").distinct()
+            parts.append(w.select("query_id", value.alias("id"), F.lit("literal").alias("node_type"), F.col("value").alias("label")).join(written, ["query_id", "id"], "left_semi"))
+        return every(parts).distinct()
 
     @stage
     def summary(self) -> DataFrame:
@@ -960,7 +1110,7 @@ class Analysis:
         made = lambda df, kind, entity, a="start_idx", b="stop_idx": df.select("query_id", entity.alias("entity_id"), F.lit(kind).alias("entity_type"), F.col(a).alias("start_offset"), (F.col(b) + 1).alias("end_offset")).where("start_offset is not null")
         root = F.col("owner") == ROOT
         out = self._outputs.where("not from_star")
-        refs = self.resolved.where(~F.col("clause").startswith("key_"))
+        refs = self.resolved.where(~F.col("clause").startswith("key_") & ~F.col("clause").startswith("cor_"))
         entity = F.coalesce("column_id", F.concat(F.lit("ref:"), "raw"))
         c = self.p_clauses
         parts = [

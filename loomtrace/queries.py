@@ -10,20 +10,50 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import proven
 from .functions import ids, surface
 from .operators import editor, graph
 from .operators.analysis import Analysis
+from .plans import parsed
 from .sources import catalog
 
-QUERIES: dict = dict(surface.QUERIES)
-ORACLES: dict[str, str] = dict(surface.ORACLES)
+QUERIES: dict = surface.QUERIES | proven.QUERIES
+ORACLES: dict[str, str] = surface.ORACLES | proven.ORACLES
 
 SHOP = {"order_table": "order_no string, user_id string, order_amt decimal(18,2), status int, dt string", "user_table": "user_id string, user_name string, dt string"}
 DRIVER = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def shop(spark: SparkSession) -> DataFrame:
-    return catalog.columns_from(spark, SHOP, partitions=("dt",))
+#: The tables of SHOP as they are made of the given ones.
+MADE = {
+    "order_table": "SELECT CAST(o_orderkey AS VARCHAR(20)) AS order_no, CAST(o_custkey AS VARCHAR(20)) AS user_id, CAST(o_totalprice AS DECIMAL(18,2)) AS order_amt, CASE o_orderstatus WHEN 'O' THEN 1 WHEN 'F' THEN 2 ELSE 3 END AS status, SUBSTR(CAST(o_orderdate AS VARCHAR(30)), 1, 10) AS dt FROM orders",
+    "user_table": "SELECT CAST(c_custkey AS VARCHAR(20)) AS user_id, c_name AS user_name, CONCAT('1997-0', CAST(1 + c_custkey % 9 AS VARCHAR(1)), '-01') AS dt FROM customer",
+}
+
+
+def shop(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
+    """The catalog of SHOP: of the tables made of the given ones (their types are SHOP's), or as it stands there where none are given."""
+    if sf_dir is None:
+        return catalog.columns_from(spark, SHOP, partitions=("dt",))
+    schemas = {t: ", ".join(f"{f.name} {'string' if f.dataType.simpleString().startswith('varchar') else f.dataType.simpleString()}" for f in surface.run(spark, sf_dir, sql).schema) for t, sql in MADE.items()}
+    return catalog.columns_from(spark, schemas, partitions=("dt",))
+
+
+#: Rows of the tables that a catalog's statements are about.
+ALL_ROWS = "SELECT user_id FROM order_table UNION ALL SELECT user_id FROM user_table"
+
+
+def rows_of(spark: SparkSession, sf_dir: str, sql: str) -> int:
+    """Runs a statement over the made tables: how many rows it has."""
+    for t, made in MADE.items():
+        surface.run(spark, sf_dir, made).createOrReplaceTempView(t)
+    return spark.sql(f"SELECT COUNT(*) AS n FROM ({sql})").first().n
+
+
+def with_rows(inner: str, sql: str) -> str:
+    """SQL for rows of a query, each with how many rows a statement over the made tables has."""
+    made = ", ".join(f"{t} AS ({m})" for t, m in MADE.items())
+    return f"WITH {made} SELECT v.*, (SELECT COUNT(*) FROM ({sql}) x) AS n_rows FROM ({inner}) v"
 
 
 def driver_catalog(spark: SparkSession, sf_dir: str, tables: tuple[str, ...] = DRIVER) -> DataFrame:
@@ -46,27 +76,41 @@ def values(columns: str, rows: list[tuple], kinds: str = "") -> str:
     return " UNION ALL ".join("SELECT " + ", ".join(f"{one(v, k)} AS {n}" for v, n, k in zip(r, names, kinds, strict=True)) for r in rows)
 
 
-def add(name: str, make, columns: str, rows: list[tuple], kinds: str = "") -> None:
-    """Registers a query with its rows; integer columns are cast to bigint."""
+def add(name: str, make, columns: str, rows: list[tuple], kinds: str = "", runs: str = ALL_ROWS, other: str | None = None) -> None:
+    """Registers a query with its rows, each with n_rows: how many rows ``runs`` (for the oracle: ``other``) has over the made tables; integer columns are cast to bigint."""
     names = columns.split(", ")
     ks = kinds or "s" * len(names)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = make(spark)
-        return df.select(*[(F.col(n).cast("bigint") if k == "i" else F.col(n).cast("double") if k == "d" else F.col(n).cast("string")).alias(n) for n, k in zip(names, ks, strict=True)])
+        df = make(spark, sf_dir)
+        n = rows_of(spark, sf_dir, runs)
+        return df.select(*[(F.col(n).cast("bigint") if k == "i" else F.col(n).cast("double") if k == "d" else F.col(n).cast("string")).alias(n) for n, k in zip(names, ks, strict=True)], F.lit(n).cast("bigint").alias("n_rows"))
 
     QUERIES[name] = run
-    ORACLES[name] = values(columns, rows, ks)
+    ORACLES[name] = with_rows(values(columns, rows, ks), other or runs)
 
 
 #: What explained() has registered, for tests that explain all statements at once.
 EXPLAINED: dict[str, tuple] = {}
+#: Statements that run in Spark only, and what the oracle runs for them.
+OTHER: dict[str, str] = {
+    "lineage_lateral_view": "SELECT o.order_no, unnest(string_split(o.dt, '-')) AS part FROM order_table o",
+    "lineage_lateral_views": "SELECT unnest(string_split(e, '')) AS f FROM (SELECT unnest(string_split(dt, '-')) AS e FROM order_table)",
+}
+
+
+#: Statements about names that there are not, or that no engine executes: all rows of the made tables are counted instead.
+NOT_RUN = {
+    "parse_table_refs", "parse_error_diagnostic", "scope_cte_cycle", "resolve_unknown_table", "resolve_unknown_column", "resolve_ambiguous", "resolve_status", "diagnostic_report",
+    "stage_statuses", "stage_codes", "lineage_confidence", "lineage_join_unknown", "lineage_unknown", "lineage_missing_metadata", "expression_kinds", "sem_qualify",
+}
 
 
 def explained(name: str, table: str, sql: str, columns: str, rows: list[tuple], kinds: str = "", where: str = "true", extended: bool = False) -> None:
     """A query about one statement over SHOP."""
     EXPLAINED[name] = (table, sql, columns, rows, kinds or "s" * len(columns.split(", ")), where, extended)
-    add(name, lambda spark: getattr(Analysis(spark, [("q", sql)], shop(spark), extended=extended), table).where(where), columns, rows, kinds)
+    runs = ALL_ROWS if name in NOT_RUN else sql
+    add(name, lambda spark, sf: getattr(Analysis(spark, [("q", sql)], shop(spark, sf), extended=extended), table).where(where), columns, rows, kinds, runs, OTHER.get(name))
 
 
 OT, UT, OUT = "column:default.order_table.", "column:default.user_table.", "output_column:scope:root:"
@@ -118,7 +162,8 @@ QUERIES["catalog_column_search"] = lambda spark, sf: catalog.search_columns(driv
 ORACLES["catalog_column_search"] = "SELECT table_name, column_name, CAST(ordinal_position AS BIGINT) AS ordinal FROM information_schema.columns WHERE table_name = 'orders' AND column_name LIKE '%key%'"
 QUERIES["catalog_context_counts"] = lambda spark, sf: driver_catalog(spark, sf).groupBy("table_name").agg(F.count("*").alias("n"))
 ORACLES["catalog_context_counts"] = f"SELECT table_name, COUNT(*) AS n FROM information_schema.columns WHERE table_name IN ({_IN}) GROUP BY table_name"
-add("catalog_latest_version", lambda spark: catalog.latest(spark.createDataFrame([("v1", 1), ("v3", 3), ("v2", 2)], "version string, seq bigint")), "version", [("v3",)])
+QUERIES["catalog_latest_version"] = lambda spark, sf: catalog.latest(spark.read.parquet(f"{sf}/region.parquet").select(F.concat(F.lit("v"), F.col("r_regionkey").cast("string")).alias("version"), F.col("r_regionkey").cast("bigint").alias("seq")))
+ORACLES["catalog_latest_version"] = "SELECT 'v' || CAST(max(r_regionkey) AS VARCHAR) AS version FROM region"
 
 
 def payload(spark: SparkSession, tables: list) -> DataFrame:
@@ -127,28 +172,28 @@ def payload(spark: SparkSession, tables: list) -> DataFrame:
     return spark.createDataFrame(rows, catalog.PAYLOAD)
 
 
-add("import_diff", lambda spark: catalog.diff(payload(spark, [("order_table", [("order_no", "int", 1), ("user_id", "string", 2), ("order_amt", "int", 3), ("status", "int", 4), ("dt", "string", 5)]), ("user_table", [("user_id", "string", 1), ("age", "int", 2)]), ("fresh", [("a", "int", 1), ("b", "int", 2)])]), shop(spark)), "table_name, change, added_columns", [("order_table", "unchanged", 0), ("user_table", "updated", 1), ("fresh", "added", 2)], "ssi")
-add("import_duplicate_columns", lambda spark: catalog.validate(payload(spark, [("t", [("order_no", "string", 1), ("user_id", "string", 2), ("ORDER_NO", "string", 3)])])), "t_idx, c_idx, code, level", [(0, 2, "METADATA_IMPORT_DUPLICATE_COLUMN", "error")], "iiss")
-add("import_complex_types", lambda spark: catalog.validate(payload(spark, [("t", [("a", "map<string,int>", 1), ("b", "decimal(18,2)", 2), ("c", "string", 3)]), ("u", [("d", "ARRAY<int>", 1)])])), "t_idx, c_idx, code, level", [(0, 0, "METADATA_IMPORT_COMPLEX_TYPE", "info"), (0, 1, "METADATA_IMPORT_COMPLEX_TYPE", "info"), (1, 0, "METADATA_IMPORT_COMPLEX_TYPE", "info")], "iiss")
-add("import_missing_ordinal", lambda spark: catalog.validate(payload(spark, [("t", [("a", "int", 1), ("b", "int", None)])])), "t_idx, c_idx, code, level", [(0, 1, "METADATA_IMPORT_MISSING_ORDINAL", "warning")], "iiss")
-add("import_commit", lambda spark: catalog.merged(payload(spark, [("user_table", [("id", "int", 1), ("name", "string", 2), ("ID", "bigint", 3)])]), shop(spark)).where("table_name = 'user_table'"), "table_name, column_name, data_type, ordinal", [("user_table", "ID", "bigint", 3), ("user_table", "name", "string", 2)], "sssi")
+add("import_diff", lambda spark, sf: catalog.diff(payload(spark, [("order_table", [("order_no", "int", 1), ("user_id", "string", 2), ("order_amt", "int", 3), ("status", "int", 4), ("dt", "string", 5)]), ("user_table", [("user_id", "string", 1), ("age", "int", 2)]), ("fresh", [("a", "int", 1), ("b", "int", 2)])]), shop(spark, sf)), "table_name, change, added_columns", [("order_table", "unchanged", 0), ("user_table", "updated", 1), ("fresh", "added", 2)], "ssi")
+add("import_duplicate_columns", lambda spark, sf: catalog.validate(payload(spark, [("t", [("order_no", "string", 1), ("user_id", "string", 2), ("ORDER_NO", "string", 3)])])), "t_idx, c_idx, code, level", [(0, 2, "METADATA_IMPORT_DUPLICATE_COLUMN", "error")], "iiss")
+add("import_complex_types", lambda spark, sf: catalog.validate(payload(spark, [("t", [("a", "map<string,int>", 1), ("b", "decimal(18,2)", 2), ("c", "string", 3)]), ("u", [("d", "ARRAY<int>", 1)])])), "t_idx, c_idx, code, level", [(0, 0, "METADATA_IMPORT_COMPLEX_TYPE", "info"), (0, 1, "METADATA_IMPORT_COMPLEX_TYPE", "info"), (1, 0, "METADATA_IMPORT_COMPLEX_TYPE", "info")], "iiss")
+add("import_missing_ordinal", lambda spark, sf: catalog.validate(payload(spark, [("t", [("a", "int", 1), ("b", "int", None)])])), "t_idx, c_idx, code, level", [(0, 1, "METADATA_IMPORT_MISSING_ORDINAL", "warning")], "iiss")
+add("import_commit", lambda spark, sf: catalog.merged(payload(spark, [("user_table", [("id", "int", 1), ("name", "string", 2), ("ID", "bigint", 3)])]), shop(spark, sf)).where("table_name = 'user_table'"), "table_name, column_name, data_type, ordinal", [("user_table", "ID", "bigint", 3), ("user_table", "name", "string", 2)], "sssi")
 
-add("import_preview", lambda spark: catalog.preview(payload(spark, [("order_table", [("order_no", "int", 1), ("extra", "array<int>", None)]), ("user_table", [("user_id", "string", 1), ("USER_NAME", "string", 2), ("dt", "string", 3)]), ("fresh", [("a", "int", 1), ("A", "int", 2)])]), shop(spark)), "metadata_version, status, tables, total_columns, added, updated, unchanged, errors, warnings, info", [("v2", "preview_ready", 3, 7, 1, 1, 1, 1, 1, 1)], "ssiiiiiiii")
-add("import_diff_keys", lambda spark: catalog.diff(payload(spark, [("Order_Table", [(c, "int", 1) for c in ("ORDER_NO", "user_id", "order_amt", "status", "dt")])]), shop(spark)), "table_name, change, added_columns", [("Order_Table", "unchanged", 0)], "ssi")
-add("catalog_table_lookup", lambda spark: catalog.table_named(shop(spark), "`ORDER_table`", "v1"), "catalog, schema_name, table_name", [("default", "default", "order_table")])
-add("catalog_context", lambda spark: catalog.context(shop(spark), "v1").select("table_name", F.array_join(F.transform("columns", lambda x: x["column_name"]), ", ").alias("names")), "table_name, names", [("order_table", "order_no, user_id, order_amt, status, dt"), ("user_table", "user_id, user_name, dt")])
-add("catalog_export", lambda spark: catalog.payload_columns(catalog.exported(shop(spark), "v1", top=1)), "metadata_version, table_name, c_idx, column_name, is_partition", [("v1", "order_table", i, c, str(c == "dt").lower()) for i, c in enumerate(("order_no", "user_id", "order_amt", "status", "dt"))], "ssiss")
+add("import_preview", lambda spark, sf: catalog.preview(payload(spark, [("order_table", [("order_no", "int", 1), ("extra", "array<int>", None)]), ("user_table", [("user_id", "string", 1), ("USER_NAME", "string", 2), ("dt", "string", 3)]), ("fresh", [("a", "int", 1), ("A", "int", 2)])]), shop(spark, sf)), "metadata_version, status, tables, total_columns, added, updated, unchanged, errors, warnings, info", [("v2", "preview_ready", 3, 7, 1, 1, 1, 1, 1, 1)], "ssiiiiiiii")
+add("import_diff_keys", lambda spark, sf: catalog.diff(payload(spark, [("Order_Table", [(c, "int", 1) for c in ("ORDER_NO", "user_id", "order_amt", "status", "dt")])]), shop(spark, sf)), "table_name, change, added_columns", [("Order_Table", "unchanged", 0)], "ssi")
+add("catalog_table_lookup", lambda spark, sf: catalog.table_named(shop(spark, sf), "`ORDER_table`", "v1"), "catalog, schema_name, table_name", [("default", "default", "order_table")])
+add("catalog_context", lambda spark, sf: catalog.context(shop(spark, sf), "v1").select("table_name", F.array_join(F.transform("columns", lambda x: x["column_name"]), ", ").alias("names")), "table_name, names", [("order_table", "order_no, user_id, order_amt, status, dt"), ("user_table", "user_id, user_name, dt")])
+add("catalog_export", lambda spark, sf: catalog.payload_columns(catalog.exported(shop(spark, sf), "v1", top=1)), "metadata_version, table_name, c_idx, column_name, is_partition", [("v1", "order_table", i, c, str(c == "dt").lower()) for i, c in enumerate(("order_no", "user_id", "order_amt", "status", "dt"))], "ssiss")
 
 _DOUBLE = [("t", [("a", "int", 1), ("A", "int", 2), ("b", "int", 3)]), ("u", [("x", "int", 1)])]
 
 
-def _committed(spark: SparkSession, part: str) -> DataFrame:
-    return catalog.commit(payload(spark, _DOUBLE), shop(spark), spark.createDataFrame([("v1", 1)], "version string, seq bigint"), "job-1")[part]
+def _committed(spark: SparkSession, sf: str, part: str) -> DataFrame:
+    return catalog.commit(payload(spark, _DOUBLE), shop(spark, sf), spark.createDataFrame([("v1", 1)], "version string, seq bigint"), "job-1")[part]
 
 
-add("import_job", lambda spark: _committed(spark, "jobs"), "job_id, metadata_version, status, total_tables, total_columns, error_count", [("job-1", "v2", "committed", 2, 4, 1)], "sssiii")
-add("import_errors", lambda spark: _committed(spark, "errors"), "table_index, column_index, error_code", [(0, 1, "METADATA_IMPORT_DUPLICATE_COLUMN")], "iis")
-add("catalog_versions", lambda spark: _committed(spark, "versions"), "version, seq", [("v1", 1), ("v2", 2)], "si")
+add("import_job", lambda spark, sf: _committed(spark, sf, "jobs"), "job_id, metadata_version, status, total_tables, total_columns, error_count", [("job-1", "v2", "committed", 2, 4, 1)], "sssiii")
+add("import_errors", lambda spark, sf: _committed(spark, sf, "errors"), "table_index, column_index, error_code", [(0, 1, "METADATA_IMPORT_DUPLICATE_COLUMN")], "iis")
+add("catalog_versions", lambda spark, sf: _committed(spark, sf, "versions"), "version, seq", [("v1", 1), ("v2", 2)], "si")
 
 # --- parse and scope ---
 
@@ -175,7 +220,7 @@ explained("resolve_unknown_column", "diagnostics", "SELECT order_no, nope FROM o
 explained("resolve_ambiguous", "diagnostics", "SELECT user_id FROM order_table o JOIN user_table u ON o.user_id = u.user_id", "code, level, related", [("AMBIGUOUS_COLUMN", "warning", "user_id: order_table, user_table")])
 explained("resolve_using", "resolved", "SELECT user_id, order_no, user_name FROM order_table JOIN user_table USING (user_id)", RESOLVED, [("user_id", "resolved", OT + "user_id"), ("order_no", "resolved", OT + "order_no"), ("user_name", "resolved", UT + "user_name")], where="clause = 'select'")
 explained("resolve_natural", "resolved", "SELECT user_id, dt, user_name FROM order_table NATURAL JOIN user_table", RESOLVED, [("user_id", "resolved", OT + "user_id"), ("dt", "resolved", OT + "dt"), ("user_name", "resolved", UT + "user_name")], where="clause = 'select'")
-add("resolve_by_join", lambda spark: Analysis(spark, [("q", "SELECT user_id, o.dt, dt AS d FROM order_table o JOIN user_table u ON o.user_id = u.user_id")], shop(spark), disambiguate_by_join=True).resolved.where("clause = 'select'"), RESOLVED, [("user_id", "resolved", OT + "user_id"), ("o.dt", "resolved", OT + "dt"), ("dt", "ambiguous", None)])
+add("resolve_by_join", lambda spark, sf: Analysis(spark, [("q", "SELECT user_id, o.dt, dt AS d FROM order_table o JOIN user_table u ON o.user_id = u.user_id")], shop(spark, sf), disambiguate_by_join=True).resolved.where("clause = 'select'"), RESOLVED, [("user_id", "resolved", OT + "user_id"), ("o.dt", "resolved", OT + "dt"), ("dt", "ambiguous", None)])
 explained("resolve_through_cte", "sources", "WITH a AS (SELECT order_amt AS x FROM order_table), b AS (SELECT x AS y FROM a) SELECT b.y AS z FROM b", "ordinal, column_id", [(1, OT + "order_amt")], "is")
 explained("resolve_status", "statuses", "SELECT nope FROM order_table", "status, errors, warnings", [("partial", 0, 1)], "sii")
 
@@ -223,8 +268,12 @@ GRAPH_EDGES = values("source, target", [(UT + "user_name", OUT + "1:user_name"),
 
 
 def graphed(name: str, make, sql: str) -> None:
-    QUERIES[name] = lambda spark, sf_dir: make(Analysis(spark, [("q", GRAPH)], shop(spark)))
-    ORACLES[name] = f"WITH RECURSIVE e AS ({GRAPH_EDGES}), {sql}"
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        n = rows_of(spark, sf_dir, GRAPH)
+        return make(Analysis(spark, [("q", GRAPH)], shop(spark, sf_dir))).withColumn("n_rows", F.lit(n).cast("bigint"))
+
+    QUERIES[name] = run
+    ORACLES[name] = with_rows(f"WITH RECURSIVE e AS ({GRAPH_EDGES}), {sql}", GRAPH)
 
 
 graphed("graph_upstream_closure", lambda a: graph.closure(a.edges, OUT + "2:total").select("id", F.col("distance").cast("bigint").alias("distance")), f"c(id, d) AS (SELECT source, 1 FROM e WHERE target = '{OUT}2:total' UNION SELECT e.source, c.d + 1 FROM e JOIN c ON e.target = c.id WHERE c.d < 9) SELECT id, CAST(MIN(d) AS BIGINT) AS distance FROM c GROUP BY id")
@@ -233,49 +282,66 @@ graphed("graph_levels", lambda a: graph.levels(a.nodes, a.edges).select("id", F.
 graphed("graph_table_view", lambda a: graph.table_view(a.nodes, a.edges)[1].select("source", "target"), "x AS (SELECT 1) SELECT source, target FROM e WHERE source LIKE 'table:%' AND target LIKE 'table:%'")
 graphed("graph_neighbourhood", lambda a: graph.neighbourhood(a.edges, "table:default.b").select("id"), "x AS (SELECT 1) SELECT source AS id FROM e WHERE target = 'table:default.b' UNION SELECT target FROM e WHERE source = 'table:default.b' UNION SELECT 'table:default.b'")
 graphed("graph_output_sources", lambda a: graph.output_tables(a.sources, a._outputs).select("output_name", "table_id"), "x AS (SELECT 1) " + values("output_name, table_id", [("user_name", "table:default.user_table"), ("total", "table:default.order_table")]))
-add("graph_layout", lambda spark: graph.layout(Analysis(spark, [("q", "SELECT order_no, status AS s FROM order_table")], shop(spark)).nodes), "id, x, y", [("table:default.order_table", 48, 72), (OT + "order_no", 270, 130), (OT + "status", 270, 188), (OUT + "1:order_no", 560, 246), (OUT + "2:s", 560, 304)], "sii")
+add("graph_layout", lambda spark, sf: graph.layout(Analysis(spark, [("q", "SELECT order_no, status AS s FROM order_table")], shop(spark, sf)).nodes), "id, x, y", [("table:default.order_table", 48, 72), (OT + "order_no", 270, 130), (OT + "status", 270, 188), (OUT + "1:order_no", 560, 246), (OUT + "2:s", 560, 304)], "sii")
 
 graphed("graph_highlights", lambda a: graph.highlights(a.nodes, a.edges, "expression").select("id"), f"x AS (SELECT 1) SELECT source AS id FROM e WHERE target = '{X}2:agg' UNION SELECT target FROM e WHERE source = '{X}2:agg' UNION SELECT '{X}2:agg'")
 graphed("graph_search", lambda a: graph.search(a.nodes.where("node_type = 'column'"), "AMT").select("id"), f"x AS (SELECT 1) SELECT '{OT}order_amt' AS id")
 
-add("graph_output_catalogs", lambda spark: (lambda a: graph.output_tables(a.sources, a._outputs))(Analysis(spark, [("q", "SELECT t.a AS x, s.raw.b FROM cat.ods.raw t JOIN s.raw ON t.k = s.raw.k")], shop(spark))), "output_name, table_id", [("x", "table:cat.ods.raw"), ("b", "table:s.raw")])
+add("graph_output_catalogs", lambda spark, sf: (lambda a: graph.output_tables(a.sources, a._outputs))(Analysis(spark, [("q", "SELECT t.a AS x, s.raw.b FROM cat.ods.raw t JOIN s.raw ON t.k = s.raw.k")], shop(spark, sf))), "output_name, table_id", [("x", "table:cat.ods.raw"), ("b", "table:s.raw")])
 graphed("graph_semantics_marks", lambda a: graph.highlights(a.nodes, a.edges, "semantics").select("id"), f"x AS (SELECT 1) SELECT 'table:default.a' AS id UNION SELECT 'table:default.b' UNION SELECT '{OT}user_id' UNION SELECT '{UT}user_id'")
-add("graph_result_view", lambda spark: (lambda a: graph.result_view(a.nodes, graph.layout(a.nodes))[0])(Analysis(spark, [("q", JOINED)], shop(spark))), "id, x, y", [("result:q", 560, 101)], "sii")
+add("graph_result_view", lambda spark, sf: (lambda a: graph.result_view(a.nodes, graph.layout(a.nodes))[0])(Analysis(spark, [("q", JOINED)], shop(spark, sf))), "id, x, y", [("result:q", 560, 101)], "sii")
 
 # --- locations ---
 
 explained("locations_of_nodes", "node_locations", "SELECT order_no, 1 AS one FROM order_table", "id, status, start_offset, end_offset", [("table:default.order_table", "exact", 31, 42), (OT + "order_no", "exact", 7, 15), (OUT + "1:order_no", "exact", 7, 15), (OUT + "2:one", "exact", 17, 25), ("literal:scope:root:2", "unavailable", None, None)], "ssii")
-add("editor_reveal", lambda spark: (lambda a: editor.revealed(a.locations, a.p_requests, OUT + "2:s"))(Analysis(spark, [("q", "SELECT order_no,\n  status\n AS s FROM order_table o")], shop(spark))), "start_line, start_col, end_line, end_col", [(2, 3, 3, 6)], "iiii")
+add("editor_reveal", lambda spark, sf: (lambda a: editor.revealed(a.locations, a.p_requests, OUT + "2:s"))(Analysis(spark, [("q", "SELECT order_no,\n  status\n AS s FROM order_table o")], shop(spark, sf))), "start_line, start_col, end_line, end_col", [(2, 3, 3, 6)], "iiii")
 
 PLACED = "entity_id, entity_type, raw_text, start_offset, end_offset, start_line, start_col"
 explained("locations_select", "locations", "SELECT order_no,\n  status AS s FROM order_table o", PLACED, [(OUT + "1:order_no", "output_column", "order_no", 7, 15, 1, 8), (OT + "order_no", "column", "order_no", 7, 15, 1, 8), (OUT + "2:s", "output_column", "status AS s", 19, 30, 2, 3), (OT + "status", "column", "status", 19, 25, 2, 3), ("table:default.order_table", "table", "order_table", 36, 47, 2, 20), ("scope_relation:root:o", "table_alias", "order_table o", 36, 49, 2, 20)], "sssiiii")
 explained("locations_clauses", "locations", "SELECT dt FROM order_table WHERE status = 1 GROUP BY dt ORDER BY dt", PLACED, [("clause:0".replace("clause", "where"), "clause", "status = 1", 33, 43, 1, 34), ("group_by:0", "clause", "dt", 53, 55, 1, 54), ("order_by:0", "clause", "dt", 65, 67, 1, 66)], "sssiiii", where="entity_type = 'clause'")
 explained("locations_cte_join_case_window", "locations", "WITH a AS (SELECT 1 AS x) SELECT CASE WHEN a.x > 0 THEN 1 END AS c, RANK() OVER (ORDER BY a.x) AS r FROM a JOIN user_table u ON a.x = u.user_id", PLACED, [("cte:scope:root:a", "cte", "a AS (SELECT 1 AS x)", 5, 25, 1, 6), (X + "1:case", "expression", "CASE WHEN a.x > 0 THEN 1 END", 33, 61, 1, 34), (X + "2:window", "expression", "RANK() OVER (ORDER BY a.x)", 68, 94, 1, 69), ("join_on:scope:root:0", "join", "a.x = u.user_id", 128, 143, 1, 129)], "sssiiii", where="entity_type in ('cte', 'expression', 'join')")
-add("utf16_coordinates", lambda spark: spark.createDataFrame([("a\n🙂b", 1), ("a\n🙂b", 4), ("x\r\nyz", 4), ("", 0)], "t string, o int").select(F.col("o"), ids.utf16_length(F.col("t")).alias("n"), ids.line_of(F.col("t"), F.col("o")).alias("line"), ids.column_of(F.col("t"), F.col("o")).alias("col")), "o, n, line, col", [(1, 5, 1, 2), (4, 5, 2, 3), (4, 5, 2, 2), (0, 0, 1, 1)], "iiii")
-add("cursor_entity", lambda spark: editor.as_of(Analysis(spark, [("q", "SELECT order_no,\n  status AS s FROM order_table o")], shop(spark)).locations.where("entity_type = 'output_column'"), 2, 9), "entity_id", [(OUT + "2:s",)])
+
+
+def utf16_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the UTF-16 length, and the line and column of its end."""
+    t = F.col("text")
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").withColumn("n", ids.utf16_length(t))
+    return d.select("doc_id", F.col("n").cast("bigint").alias("n"), ids.line_of(t, F.col("n")).cast("bigint").alias("line"), ids.column_of(t, F.col("n")).cast("bigint").alias("col"))
+
+
+QUERIES["utf16_coordinates"] = utf16_coordinates
+ORACLES["utf16_coordinates"] = """
+SELECT doc_id, length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS n, length(text) - length(replace(text, chr(10), '')) + 1 AS line,
+  length(string_split(text, chr(10))[-1]) + length(regexp_replace(string_split(text, chr(10))[-1], '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) + 1 AS col
+FROM documents WHERE text IS NOT NULL"""
+add("cursor_entity", lambda spark, sf: editor.as_of(Analysis(spark, [("q", "SELECT order_no,\n  status AS s FROM order_table o")], shop(spark, sf)).locations.where("entity_type = 'output_column'"), 2, 9), "entity_id", [(OUT + "2:s",)])
 
 # --- semantics ---
 
 REPORT = "SELECT user_id, SUM(order_amt) AS total, COUNT(DISTINCT order_no) AS n, MAX(status) + 1 AS m FROM order_table WHERE dt = '2024-01-01' GROUP BY user_id HAVING SUM(order_amt) > 10"
 explained("sem_grain", "grain", REPORT, "grain_type, columns", [("group_by", "user_id")])
-add("sem_grain_kinds", lambda spark: Analysis(spark, [("a", "SELECT DISTINCT user_id, dt FROM order_table"), ("b", "SELECT order_no, RANK() OVER (PARTITION BY dt ORDER BY status) AS r FROM order_table"), ("c", "SELECT order_no FROM order_table"), ("d", "SELECT dt, COUNT(*) AS n FROM order_table GROUP BY 1")], shop(spark)).grain, "query_id, grain_type, columns", [("a", "distinct", "user_id, dt"), ("b", "window_partition", "dt"), ("c", "detail", ""), ("d", "group_by", "1")])
+add("sem_grain_kinds", lambda spark, sf: Analysis(spark, [("a", "SELECT DISTINCT user_id, dt FROM order_table"), ("b", "SELECT order_no, RANK() OVER (PARTITION BY dt ORDER BY status) AS r FROM order_table"), ("c", "SELECT order_no FROM order_table"), ("d", "SELECT dt, COUNT(*) AS n FROM order_table GROUP BY 1")], shop(spark, sf)).grain, "query_id, grain_type, columns", [("a", "distinct", "user_id, dt"), ("b", "window_partition", "dt"), ("c", "detail", ""), ("d", "group_by", "1")])
 explained("sem_filters", "filters", REPORT, "filter_type, expression", [("partition_filter", "dt = '2024-01-01'"), ("having", "SUM(order_amt) > 10")])
 explained("sem_metrics", "metrics", REPORT, "output_name, metric_type, target", [("total", "sum", OT + "order_amt"), ("n", "count_distinct", OT + "order_no"), ("m", "max", OT + "status")])
 explained("sem_joins", "joins", JOINED, "join_type, left_key, right_key, risk", [("inner", "o.user_id", "u.user_id", "medium"), ("inner", "o.dt", "u.dt", "medium")])
-add("sem_dedup", lambda spark: Analysis(spark, [("a", "SELECT DISTINCT dt FROM order_table"), ("b", "SELECT dt FROM order_table UNION SELECT dt FROM user_table"), ("c", "SELECT dt FROM order_table UNION ALL SELECT dt FROM user_table"), ("d", "SELECT order_no, ROW_NUMBER() OVER (PARTITION BY dt ORDER BY status) AS r FROM order_table"), ("e", "SELECT dt FROM order_table GROUP BY dt")], shop(spark)).dedup, "query_id, dedup_type", [("a", "distinct"), ("b", "union"), ("d", "row_number"), ("e", "group_by")])
-add("sem_risks", lambda spark: Analysis(spark, [("a", JOINED), ("b", "SELECT o.dt FROM order_table o, user_table u WHERE o.dt = '1'"), ("c", "SELECT COUNT(*) AS n FROM order_table")], shop(spark)).risks, "query_id, risk_type, level", [("a", "join_amplification", "warning"), ("a", "no_partition_filter", "info"), ("b", "potential_cartesian", "warning"), ("c", "no_partition_filter", "info"), ("c", "ambiguous_metrics", "info")])
+add("sem_dedup", lambda spark, sf: Analysis(spark, [("a", "SELECT DISTINCT dt FROM order_table"), ("b", "SELECT dt FROM order_table UNION SELECT dt FROM user_table"), ("c", "SELECT dt FROM order_table UNION ALL SELECT dt FROM user_table"), ("d", "SELECT order_no, ROW_NUMBER() OVER (PARTITION BY dt ORDER BY status) AS r FROM order_table"), ("e", "SELECT dt FROM order_table GROUP BY dt")], shop(spark, sf)).dedup, "query_id, dedup_type", [("a", "distinct"), ("b", "union"), ("d", "row_number"), ("e", "group_by")])
+add("sem_risks", lambda spark, sf: Analysis(spark, [("a", JOINED), ("b", "SELECT o.dt FROM order_table o, user_table u WHERE o.dt = '1'"), ("c", "SELECT COUNT(*) AS n FROM order_table")], shop(spark, sf)).risks, "query_id, risk_type, level", [("a", "join_amplification", "warning"), ("a", "no_partition_filter", "info"), ("b", "potential_cartesian", "warning"), ("c", "no_partition_filter", "info"), ("c", "ambiguous_metrics", "info")])
 
 explained("sem_metric_first_source", "metrics", "SELECT SUM(status * order_amt) AS s, MAX(order_amt + status) AS m FROM order_table", "output_name, target", [("s", OT + "status"), ("m", OT + "order_amt")])
 explained("sem_metric_through_ctes", "metrics", "WITH a AS (SELECT user_id, status - order_amt AS d FROM order_table) SELECT user_id, SUM(d) AS s FROM a GROUP BY user_id", "output_name, metric_type, target", [("s", "sum", OT + "status")])
 explained("sem_qualify", "filters", "SELECT order_no FROM order_table WHERE dt = '1' QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY order_amt) = 1", "filter_type, expression", [("partition_filter", "dt = '1'"), ("qualify", "ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY order_amt) = 1")])
-add("sem_report_status", lambda spark: Analysis(spark, [("a", REPORT), ("b", "SELECT o.dt FROM order_table o CROSS JOIN user_table u")], shop(spark), extended=True).semantics.select("query_id", "status", F.get_json_object("report", "$.result_grain.grain_type").alias("grain"), F.size(F.from_json(F.get_json_object("report", "$.evidence"), "array<string>")).alias("evidence")), "query_id, status, grain, evidence", [("a", "success", "group_by", 5), ("b", "partial", "detail", 0)], "sssi")
+add("sem_report_status", lambda spark, sf: Analysis(spark, [("a", REPORT), ("b", "SELECT o.dt FROM order_table o CROSS JOIN user_table u")], shop(spark, sf), extended=True).semantics.select("query_id", "status", F.get_json_object("report", "$.result_grain.grain_type").alias("grain"), F.size(F.from_json(F.get_json_object("report", "$.evidence"), "array<string>")).alias("evidence")), "query_id, status, grain, evidence", [("a", "success", "group_by", 5), ("b", "partial", "detail", 0)], "sssi")
+
+QUALIFIED = "SELECT o_custkey, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus <> 'F' QUALIFY ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2"
+QUERIES["win_qualify"] = lambda spark, sf: surface.run(spark, sf, parsed.without_qualify(spark, QUALIFIED))
+ORACLES["win_qualify"] = QUALIFIED
 
 # --- editor ---
 
-add("complete_tables", lambda spark: editor.complete(spark, shop(spark), "SELECT * FROM ", 1, 15).where("kind = 'table'"), "kind, label", [("table", "order_table"), ("table", "user_table")])
-add("complete_columns", lambda spark: editor.complete(spark, shop(spark), "SELECT  FROM user_table u", 1, 8).where("kind = 'column'"), "kind, label", [("column", "user_id"), ("column", "user_name"), ("column", "dt")])
-add("complete_keywords", lambda spark: editor.complete(spark, shop(spark), "", 1, 1).where("label in ('SELECT', 'COALESCE', 'order_table')"), "kind, label", [("keyword", "SELECT"), ("keyword", "COALESCE"), ("function", "COALESCE")])
-add("complete_vocabulary", lambda spark: editor.complete(spark, shop(spark), "", 1, 1).groupBy("kind").agg(F.count("*").alias("n")), "kind, n", [("keyword", 63), ("function", 33)], "si")
-add("hover_column", lambda spark: editor.hover(spark, shop(spark), "SELECT o.order_amt FROM order_table o", 1, 12), "kind, name, data_type", [("column", "order_table.order_amt", "decimal(18,2)")])
-add("hover_table", lambda spark: editor.hover(spark, shop(spark), "SELECT 1\nFROM user_table", 2, 8), "kind, name, data_type", [("table", "user_table", None)])
-add("format_statement", lambda spark: spark.createDataFrame([(editor.format_sql(spark, "select a.x , count( * ) n from t a where a.y=1 group by a.x"),)], "text string"), "text", [("SELECT a.x, count(*) n\nFROM t a\nWHERE a.y = 1\nGROUP BY a.x",)])
+add("complete_tables", lambda spark, sf: editor.complete(spark, shop(spark, sf), "SELECT * FROM ", 1, 15).where("kind = 'table'"), "kind, label", [("table", "order_table"), ("table", "user_table")])
+add("complete_columns", lambda spark, sf: editor.complete(spark, shop(spark, sf), "SELECT  FROM user_table u", 1, 8).where("kind = 'column'"), "kind, label", [("column", "user_id"), ("column", "user_name"), ("column", "dt")])
+add("complete_keywords", lambda spark, sf: editor.complete(spark, shop(spark, sf), "", 1, 1).where("label in ('SELECT', 'COALESCE', 'order_table')"), "kind, label", [("keyword", "SELECT"), ("keyword", "COALESCE"), ("function", "COALESCE")])
+add("complete_vocabulary", lambda spark, sf: editor.complete(spark, shop(spark, sf), "", 1, 1).groupBy("kind").agg(F.count("*").alias("n")), "kind, n", [("keyword", 63), ("function", 33)], "si")
+add("hover_column", lambda spark, sf: editor.hover(spark, shop(spark, sf), "SELECT o.order_amt FROM order_table o", 1, 12), "kind, name, data_type", [("column", "order_table.order_amt", "decimal(18,2)")])
+add("hover_table", lambda spark, sf: editor.hover(spark, shop(spark, sf), "SELECT 1\nFROM user_table", 2, 8), "kind, name, data_type", [("table", "user_table", None)])
+add("format_statement", lambda spark, sf: spark.createDataFrame([(editor.format_sql(spark, "select a.x , count( * ) n from t a where a.y=1 group by a.x"),)], "text string"), "text", [("SELECT a.x, count(*) n\nFROM t a\nWHERE a.y = 1\nGROUP BY a.x",)])

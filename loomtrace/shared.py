@@ -42,17 +42,27 @@ def brought(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(got, df.schema) if got.num_rows <= FEW else cut(df)
 
 
+def copy_settings(spark: SparkSession, to: SparkSession) -> None:
+    """All SQL settings of a session (case sensitivity, ANSI mode, time zone, ...) in another one of the same application."""
+    for k, v in spark.conf.getAll.items():
+        if k.startswith("spark.sql.") and to.conf.isModifiable(k) and to.conf.get(k, None) != v:
+            to.conf.set(k, v)
+
+
+#: Settings of a session for tables of few rows.
+LIGHT = {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.shuffle.partitions": "1", "spark.sql.leafNodeDefaultParallelism": "1"}
 _quick: dict = {}
 
 
 def quick(spark: SparkSession) -> SparkSession:
-    """A session of the same application for tables of few rows: no code generation, one partition, no plans changed at run time."""
-    key = spark.sparkContext.applicationId
+    """A session of the same application for tables of few rows: no code generation, one partition, no plans changed at run time; all other settings are the caller's."""
+    settings = {k: v for k, v in spark.conf.getAll.items() if k.startswith("spark.sql.") and k not in LIGHT}
+    key = (spark.sparkContext.applicationId, tuple(sorted(settings.items())))
     if key not in _quick:
         made = spark.newSession()
-        for k, v in {"spark.sql.adaptive.enabled": "false", "spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.shuffle.partitions": "1", "spark.sql.leafNodeDefaultParallelism": "1"}.items():
+        copy_settings(spark, made)
+        for k, v in LIGHT.items():
             made.conf.set(k, v)
-        made.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
         _quick.clear()
         _quick[key] = made
     return _quick[key]

@@ -82,7 +82,7 @@ def test_using_gives_a_key(others):
 
 
 def test_insert_and_scalar_subquery(others):
-    assert edges(others, "insert") == {("projection", q.OT + "order_no", q.OUT + "1:order_no")}
+    assert edges(others, "insert") == {("projection", q.OT + "order_no", q.OUT + "1:order_no"), ("write", q.OT + "order_no", "column:default.t.order_no")}
     assert ("projection", q.OT + "order_no", q.OUT + "2:order_no") in edges(others, "scalar")
 
 
