@@ -234,12 +234,32 @@ def test_license_after_other_windows(spark):
     assert licenses.scan(frame(spark, [(1, "mit license", None, None, 0)]), {"two": "mit license"}).first().best_coverage == 1.0
 
 
+def test_licenses_with_foreign_words(spark):
+    """Foreign words between the licence's own, and words of its own that stand around it, as many as there may be."""
+    import random
+
+    rng = random.Random(4)
+    rows, names = [], ["Apache-2.0 notice", "MIT", "BSD-3-Clause", "MPL-2.0 notice", "LGPL-2.1 notice"]
+    for name in names:
+        words = licenses.TEMPLATES[name].split()
+        for gap in (0, 1, 2, 5, 10):
+            body = " ".join(w + " " + " ".join(f"qq{rng.randrange(99)}" for _ in range(gap)) for w in words)
+            rows.append((len(rows), PROSE * gap + body + PROSE, None, None, 0))
+    rows.append((len(rows), " ".join("the of and to " * 8 + w for w in licenses.TEMPLATES["MPL-2.0 notice"].split()), None, None, 0))
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, rows)).collect()}
+    for i, r in got.items():
+        if i < len(rows) - 1:
+            assert names[i // 5] in r.licenses.split(",") and (r.best_coverage == 1.0)
+    assert licenses.scan(frame(spark, [(1, PROSE * 200, None, None, 0)])).first().n_licenses == 0
+
+
 def test_licenses_against_every_window(spark):
     import random
 
     rng = random.Random(8)
-    templates = {"one": "alpha beta gamma delta alpha eps", "two": "beta beta zeta eta", "three": "eps"}
-    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "other"]) for _ in range(rng.randrange(0, 60))) for _ in range(300)]
+    long = "alpha beta gamma delta alpha eps zeta beta eta eps delta gamma theta"
+    templates = {"one": "alpha beta gamma delta alpha eps", "two": "beta beta zeta eta", "three": "eps", "long": long}
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta", "other"]) for _ in range(rng.randrange(0, 150))) for _ in range(300)]
     rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
     for threshold in (0.8, 0.5):
         got = {r.doc_id: r for r in licenses.scan(frame(spark, rows), templates, threshold).collect()}
@@ -247,7 +267,15 @@ def test_licenses_against_every_window(spark):
             w, best = t.split(), {}
             for name, body in templates.items():
                 b = body.split()
-                windows = [w[a : a + n] for a in range(len(w)) if w[a] in b for n in (len(b), 2 * len(b))]
+                if len(b) < licenses.LINE:
+                    windows = [[x for x in w[a : a + n] if x in b] for a in range(len(w)) if w[a] in b for n in (len(b), 2 * len(b))]
+                else:
+                    own = [x for x in w if x in b]
+                    windows = [own[a : a + n] for a in range(len(own)) for n in (len(b), 2 * len(b))]
+                    n = 4 * len(b)
+                    while len(own) > n // 2:
+                        windows += [own[a : a + n] for a in range(0, len(own), n // 2)]
+                        n *= 2
                 best[name] = max([len(licenses.align(b, x)) / len(b) for x in windows], default=0)
             found = {n: c for n, c in best.items() if c >= threshold}
             assert got[i].licenses == ",".join(sorted(found)) and got[i].best_coverage == max(found.values(), default=0.0), t
