@@ -11,8 +11,9 @@ within (URL, block), before it the maximum of the URL's earlier blocks, of which
 Only keys and validators move; headers are joined by record_id at the end.
 
 Defined cases: null or blank URLs share no key and are never resolved; a null ts is before all others (and has no earlier
-response); a null kind counts as a response; repeated rows are kept, as candidates they count once; without a validator that both
-have, a candidate is refused; empty tables give empty results; further columns are ignored.
+response) and comes back as null; a null kind counts as a response; repeated rows are kept, as candidates they count once; of a repeated
+record_id's headers those of the latest row count (of equal ts: those that are the greatest as text; rows without headers last); percent-escapes of
+unreserved characters are these characters, in all others letters are in upper case; without a validator that both have, a candidate is refused; empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +29,30 @@ TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid)(=|$)"
 FIXED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
 
 
+#: Characters that need no percent-escape (fixed values).
+UNRESERVED = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
+
+
+def unescaped(text: Column) -> Column:
+    """Percent-escapes in their canonical form."""
+
+    def one(part, i):
+        code = F.upper(F.substring(part, 1, 2))
+        valid = (i > 0) & code.rlike("^[0-9A-F]{2}$")
+        char = F.chr(F.conv(code, 16, 10).cast("int"))
+        rest = F.substr(part, F.lit(3))
+        plain = F.instr(F.lit(UNRESERVED), char) > 0
+        return F.when(i == 0, part).when(valid & plain, F.concat(char, rest)).when(valid, F.concat(F.lit("%"), code, rest)).otherwise(F.concat(F.lit("%"), part))
+
+    return F.array_join(F.transform(F.split(text, "%"), one), "")
+
+
 def canonical(url: Column) -> Column:
-    """host/path?query: without scheme, fragment, www., default port, tracking parameters and closing slashes; host in lower case, parameters in order."""
+    """host/path?query: without scheme, fragment, www., default port, tracking parameters and closing slashes; host in lower case, parameters in order, escapes in canonical form."""
     u = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_replace(F.regexp_replace(F.lower(F.regexp_extract(u, "^([^/?]*)", 1)), "^www\\.", ""), ":(80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(u, "^[^/?]*([^?]*)", 1), "/+$", "")
-    query = F.regexp_extract(u, "^[^?]*\\?(.*)$", 1)
+    path = F.regexp_replace(unescaped(F.regexp_extract(u, "^[^/?]*([^?]*)", 1)), "/+$", "")
+    query = unescaped(F.regexp_extract(u, "^[^?]*\\?(.*)$", 1))
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~F.lower(p).rlike(TRACKING))), "&")
     out = F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit("")))
     return F.when(host != "", out)
@@ -46,14 +65,15 @@ def resolve(records: DataFrame) -> DataFrame:
     r = records.select(
         "record_id",
         canonical(F.col("url")).alias("url_key"),
-        F.coalesce(F.col("ts").cast("bigint"), F.lit(-(1 << 62))).alias("ts"),
+        F.coalesce(F.col("ts").cast("bigint"), F.lit(-(1 << 63))).alias("ts"),
+        F.col("ts").cast("bigint").alias("given"),
         revisit.alias("again"),
         "etag",
         "last_modified",
         "digest",
     )
     r = r.withColumn("blk", OrderedBuckets(r, [F.col("ts")], parts).of(F.col("ts")))
-    full = F.when(~F.col("again") & F.col("url_key").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest"))
+    full = F.when(~F.col("again") & F.col("url_key").isNotNull(), F.struct("ts", "record_id", "etag", "last_modified", "digest", "given"))
     r = r.withColumn("full", full)
     in_block = Window.partitionBy("url_key", "blk").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     here = r.where("url_key is not null").withColumn("near", F.max("full").over(in_block)).where("again")
@@ -62,14 +82,14 @@ def resolve(records: DataFrame) -> DataFrame:
     carried = blocks.withColumn("carry", F.max("last").over(earlier)).select("url_key", "blk", "carry")
     found = (
         here.join(carried, ["url_key", "blk"], "left")
-        .select("record_id", "url_key", "ts", "etag", "last_modified", "digest", F.coalesce("near", "carry").alias("target"))
+        .select("record_id", "url_key", F.col("given").alias("ts"), "etag", "last_modified", "digest", F.coalesce("near", "carry").alias("target"))
     )
     lost = (
         r.where("again and url_key is null")
         .select(
             "record_id",
             "url_key",
-            "ts",
+            F.col("given").alias("ts"),
             "etag",
             "last_modified",
             "digest",
@@ -90,10 +110,12 @@ def resolve(records: DataFrame) -> DataFrame:
         "url_key",
         "ts",
         t["record_id"].alias("target_id"),
-        t["ts"].alias("target_ts"),
+        t["given"].alias("target_ts"),
         outcome.alias("outcome"),
     )
-    once = records.groupBy("record_id").agg(F.first("headers", ignorenulls=True).alias("h"))
+    line = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), F.coalesce(e["value"], F.lit(""))))
+    latest = F.struct(F.col("headers").isNotNull(), F.col("ts").cast("bigint"), F.array_join(line, "\n"))
+    once = records.groupBy("record_id").agg(F.max_by("headers", latest).alias("h"))
     own = once.select("record_id", F.col("h").alias("new"))
     old = once.select(F.col("record_id").alias("target_id"), F.col("h").alias("old"))
     joined = found.join(own, "record_id", "left").join(old, "target_id", "left")
@@ -167,15 +189,25 @@ def revisit_rows(pages: DataFrame) -> DataFrame:
     return found.select("record_id", "url_key", "ts", "target_id", "target_ts", "outcome", line.alias("headers"))
 
 
+def plain_sql(text: str) -> str:
+    """SQL for unescaped()."""
+    digit = lambda k: f"instr('0123456789ABCDEF', upper(q[{k}])) - 1"
+    char = f"chr(CAST(16 * ({digit(1)}) + {digit(2)} AS INT))"
+    one = f"CASE WHEN i = 1 THEN q WHEN NOT regexp_matches(q[1:2], '^[0-9A-Fa-f]{{2}}$') THEN '%' || q WHEN upper(q[1:2]) <> '00' AND instr('{UNRESERVED}', {char}) > 0 THEN {char} || q[3:] ELSE '%' || upper(q[1:2]) || q[3:] END"
+    return f"array_to_string(list_transform(string_split({text}, '%'), lambda q, i: {one}), '')"
+
+
 ORACLE = f"""
 WITH p AS (
   SELECT page_id, sha1(coalesce(html, '')) AS digest, coalesce(strlen(html), 0) AS size,
          regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages),
-k AS (
+e AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([^/?]*)', 1)), '^www\\.', ''), ':(80|443)$', '') AS host,
-         regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
-         array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\\?(.*)$', 1), '&'),
-           lambda q: q <> '' AND NOT regexp_matches(lower(q), '{TRACKING}'))), '&') AS kept FROM p),
+         regexp_extract(u, '^[^/?]*([^?]*)', 1) AS raw_path, regexp_extract(u, '^[^?]*\\?(.*)$', 1) AS raw_query FROM p),
+k AS (
+  SELECT page_id, digest, size, host, regexp_replace({plain_sql('raw_path')}, '/+$', '') AS path,
+         array_to_string(list_sort(list_filter(string_split({plain_sql('raw_query')}, '&'),
+           lambda q: q <> '' AND NOT regexp_matches(lower(q), '{TRACKING}'))), '&') AS kept FROM e),
 c AS (SELECT page_id, digest, size, CASE WHEN page_id % 11 = 3 THEN -1 ELSE page_id * 2 + 1 + {2 * DELAY} END AS asked,
          CASE WHEN page_id % 7 = 5 THEN 'another' ELSE digest[1:16] END AS tag, CASE WHEN host <> '' THEN host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS url_key FROM k),
 t AS (

@@ -28,6 +28,24 @@ def test_resolve(spark):
     assert warc.resolve(spark.createDataFrame([], RECORD)).count() == 0
 
 
+def test_missing_times_repeated_records_and_escapes(spark):
+    rows = [
+        (1, "http://a.org/~x%2fy?q=%41", None, "response", '"v"', None, None, {"etag": '"v"', "a": "1"}, ""),
+        (1, "http://a.org/~x%2fy?q=%41", None, "response", '"v"', None, None, {"etag": '"v"', "a": "2"}, ""),
+        (1, "http://a.org/~x%2fy?q=%41", None, "response", '"v"', None, None, None, ""),
+        (2, "http://a.org/%7Ex%2Fy?q=A", 5, "revisit", '"v"', None, None, {}, ""),
+        (3, "http://a.org/%7ex%2Fy?q=A", None, "revisit", '"v"', None, None, {}, ""),
+        (4, "b.org/%zz%", 1, "response", '"w"', None, None, {"a": "old"}, ""),
+        (4, "b.org/%zz%", 2, "response", '"w"', None, None, {"a": "new"}, ""),
+        (5, "b.org/%zz%", 3, "revisit", '"w"', None, None, {}, ""),
+    ]
+    for parts in (1, 4):
+        got = {r.record_id: r for r in warc.resolve(spark.createDataFrame(rows, RECORD).repartition(parts)).collect()}
+        assert (got[2].url_key, got[2].target_id, got[2].target_ts, got[2].ts, got[2].outcome, got[2].headers["a"]) == ("a.org/~x%2Fy?q=A", 1, None, 5, "resolved", "2")
+        assert (got[3].ts, got[3].target_id, got[3].outcome) == (None, None, "no earlier response")
+        assert (got[5].url_key, got[5].target_ts, got[5].headers) == ("b.org/%zz%", 2, {"a": "new"})
+
+
 def test_one_url_over_many_blocks(spark):
     rows = [(i, "hot.org/p", 2 * i, "response", f'"{i}"', None, None, {}, "") for i in range(400)] + [(1000 + i, "hot.org/p", 2 * i + 1, "revisit", f'"{i}"', None, None, {}, "") for i in range(400)]
     got = warc.resolve(spark.createDataFrame(rows, RECORD))
