@@ -6,8 +6,10 @@ wins.  The margin - by what part the second smallest is larger - is the confiden
 rejected (``accepted`` is false).
 
 The sample: of each language's distinct texts the SAMPLE_ROWS with the smallest hashes, those of at most a
-SHORTth of a dictionary first.  A dictionary holds whole texts in this order as long as they fit, and the first in any case, so every labelled
-language is learned.  With more than DICTIONARIES_BYTES / DICTIONARY_BYTES languages the dictionaries get smaller.
+SHORTth of a dictionary first.  Of a text that is learned the first LEARNED characters count (a parameter of the fit; texts that are judged are
+always whole).  A dictionary holds texts in this order until it is full, so every labelled language is learned, and texts beyond it never leave
+the executors.  With more than DICTIONARIES_BYTES / DICTIONARY_BYTES languages the dictionaries get smaller; the driver and the tasks hold
+DICTIONARIES_BYTES and a text of each language at most.
 
 Defined cases: null, or text without a letter: lang_pred ``und``, score 0, not accepted; equal sizes: the language with more
 distinct labelled texts, then the first by name, score 0; a text with rows of several languages teaches each; no labelled row
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import arrow_map
+from .session import arrow_map, cut
 
 #: Bytes of a language's dictionary, and of all dictionaries together.
 DICTIONARY_BYTES = 320 << 10
@@ -37,6 +39,8 @@ SAMPLE_ROWS = 256
 PIECE = 1024
 LEVEL = 3
 MARGIN = 0.01
+#: Characters of a text that are learned.
+LEARNED = 40_000
 LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -44,8 +48,8 @@ def held_out(key: str, modulus: int, left: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(modulus)) == left
 
 
-def sampled(labelled: DataFrame, cap: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """lang, n (distinct texts of the language), h, t: the SAMPLE_ROWS first texts of each language by (longer than ``cap`` bytes, hash).
+def sampled(labelled: DataFrame, cap: int, text: str = "text", lang: str = "lang") -> tuple[DataFrame, int]:
+    """(lang, n (distinct texts of the language), big, h, t; room of a dictionary): the first texts of each language by (longer than ``cap`` bytes, hash), SAMPLE_ROWS at most, until a dictionary is full.
 
     Hashes are made distinct and ranked in salted groups before texts are looked at, so neither many copies of a text nor
     one frequent language meet in one task, and only the sample's texts go on."""
@@ -54,7 +58,7 @@ def sampled(labelled: DataFrame, cap: int, text: str = "text", lang: str = "lang
         F.col(lang).alias("lang"),
         F.xxhash64(text).alias("h"),
         (F.octet_length(text) > cap).alias("big"),
-        F.col(text).alias("t"),
+        F.substring(text, 1, LEARNED).alias("t"),
     )
     keys = rows.select("lang", "h", "big").distinct()
     counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
@@ -62,26 +66,32 @@ def sampled(labelled: DataFrame, cap: int, text: str = "text", lang: str = "lang
     every = Window.partitionBy("lang").orderBy("big", "h")
     few = keys.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= SAMPLE_ROWS)
     few = few.withColumn("r", F.row_number().over(every)).where(F.col("r") <= SAMPLE_ROWS).select("lang", "h")
+    counts = cut(counts)
+    room = min(DICTIONARY_BYTES, DICTIONARIES_BYTES // max(1, counts.count()))
     picked = rows.join(F.broadcast(few), ["lang", "h"])  # SAMPLE_ROWS keys of each language
-    return picked.groupBy("lang", "h", "big").agg(F.min("t").alias("t")).join(counts, "lang").select("lang", "n", "big", "h", "t")
+    once = picked.groupBy("lang", "h", "big").agg(F.min("t").alias("t"))
+    before = F.sum(F.octet_length("t") + 1).over(Window.partitionBy("lang").orderBy("big", "h").rowsBetween(Window.unboundedPreceding, -1))
+    once = once.withColumn("before", before).where(F.coalesce("before", F.lit(0)) < room)  # a language's sample is bounded
+    return once.join(counts, "lang").select("lang", "n", "big", "h", "t"), room
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[str, bytes]]:
     """(language, dictionary), those of most distinct texts first."""
     by: dict[str, list] = {}
     counts: dict[str, int] = {}
-    for r in sampled(labelled, DICTIONARY_BYTES // SHORT, text, lang).toLocalIterator():
+    rows, room = sampled(labelled, DICTIONARY_BYTES // SHORT, text, lang)
+    for r in rows.toLocalIterator():
         counts[r.lang] = r.n
         by.setdefault(r.lang, []).append((r.big, r.h, r.t.lower().encode("utf-8", "replace")))
-    room = min(DICTIONARY_BYTES, DICTIONARIES_BYTES // max(1, len(by)))
     return [(name, dictionary([t for _, _, t in sorted(by[name])], room)) for name in sorted(by, key=lambda x: (-counts[x], x))]
 
 
 def dictionary(texts: list[bytes], room: int) -> bytes:
-    """Whole texts in their order as long as they fit, the first in any case and nearest to what is compressed."""
+    """Texts in their order until the room is full, the last one as far as it fits; the first is nearest to what is compressed."""
     got, size = [], 0
     for t in texts:
-        if not got or size + len(t) + 1 <= room:
+        t = t[: max(0, room - size)]
+        if t:
             got.append(t)
             size += len(t) + 1
     out = b"\n".join(reversed(got))
