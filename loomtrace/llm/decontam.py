@@ -35,6 +35,8 @@ from .session import arrow_map, get_file, new_folder, put_file
 WINDOW = 10
 #: Text bytes of a block of benchmark items (or one item); bounds a task's memory.
 BLOCK_BYTES = 4 << 20
+#: Bytes of text that are judged by one block after the other, where there are several.
+ROUND_BYTES = 32 << 20
 #: Every so many text positions the suffix array is kept.
 SAMPLE = 8
 #: Text bytes of a shard that are indexed together.
@@ -296,9 +298,21 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                 held[name] = Windows(json.loads(get_file(folder, name)), window)
             return held[name]
 
-        for batch in batches:
-            shards = list(text_slices(batch.column(0), SHARD_BYTES))
-            seen = [[*kernels.words(raw, at, kernels.ALNUM)] for _, _, raw, at in shards]
+        def rounds():
+            """Batches that are judged together: with several blocks ROUND_BYTES of text, so that a block is made once for all of them."""
+            own, size = [], 0
+            for b in batches:
+                own.append(b)
+                size += b.column(0).nbytes
+                if len(names) <= 1 or size >= ROUND_BYTES:
+                    yield own
+                    own, size = [], 0
+            if own:
+                yield own
+
+        for together in rounds():
+            shards = [(batch, *x) for batch in together for x in text_slices(batch.column(0), SHARD_BYTES)]
+            seen = [[*kernels.words(raw, at, kernels.ALNUM)] for _, _, _, raw, at in shards]
             flags = [np.zeros(len(h), bool) for _, _, h, _ in seen]
             found: list[dict[int, set]] = [{} for _ in seen]
             for name in names:
@@ -307,7 +321,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
                     flag |= hit
                     for r, x in own.items():
                         all_found.setdefault(r, set()).update(x)
-            for (i, j, _, at), (start, end, _, first), flag, own in zip(shards, seen, flags, found, strict=True):
+            for (batch, i, j, _, at), (start, end, _, first), flag, own in zip(shards, seen, flags, found, strict=True):
                 sums = np.concatenate(([0], np.cumsum(flag)))
                 got: dict[int, list] = {}
                 for a, b in hit_runs(flag, first):
