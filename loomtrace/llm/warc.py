@@ -65,7 +65,8 @@ def resolve(records: DataFrame) -> DataFrame:
     r = records.select(
         "record_id",
         canonical(F.col("url")).alias("url_key"),
-        F.coalesce(F.col("ts").cast("bigint"), F.lit(-(1 << 63))).alias("ts"),
+        # one above the least long: the window looks at the one before
+        F.greatest(F.coalesce(F.col("ts").cast("bigint"), F.lit(1 - (1 << 63))), F.lit(1 - (1 << 63))).alias("ts"),
         F.col("ts").cast("bigint").alias("given"),
         revisit.alias("again"),
         "etag",
