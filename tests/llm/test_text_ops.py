@@ -1,6 +1,7 @@
 """Fingerprints, languages, sub-words, licences, quality, decontamination and token files against plain versions."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -307,6 +308,80 @@ def test_quality(spark):
     assert quality.quality(frame(spark, []), labels).count() == 0
 
 
+def plain_features(text):
+    """quality.features in plain Python, of one text."""
+    import math
+    from collections import Counter
+
+    raw = (text or "").encode()
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    low = [raw[a:b].translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))) for a, b in found]
+    n, size = len(found), len(raw)
+    share = lambda a, b: a / max(b, 1)
+    times = Counter(low)
+    count = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+    others = [*range(34, 44), 45, 47, *range(58, 63), 64, *range(91, 97), 123, 125, 126]
+    lines = [tuple(re.findall(rb"[^\x20\x09-\x0D]+", line.translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))) for line in raw.split(b"\n")]
+    lines = [x for x in lines if x]
+    return [
+        math.log1p(n), math.log1p(share(size, n)), len(times) / math.sqrt(max(n, 1) * 10.0), share(sum(x == y for x, y in zip(low, low[1:], strict=False)), n), share(sum(x == y for x, y in zip(low, low[2:], strict=False)), n),
+        share(len(set(zip(low, low[1:], strict=False))), max(n - 1, 1)), share(count(range(65, 91)), size), share(count(range(48, 58)), size), share(count([44]), n), share(count([46]), n), share(count([33, 63]), n), share(count([124]), n),
+        share(count(others), size), share(count(range(128, 256)), size), share(count([10]), n), share(len(set(lines)), len(lines)), math.log1p(max((b - a for a, b in found), default=0)), share(sum(raw[b - 1] in (33, 63) for _, b in found), n),
+        share(sum(65 <= raw[a] <= 90 for a, _ in found), n), share(sum(b - a == 1 for a, b in found), n), share(max(times.values(), default=0), n),
+    ]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aAb Z1,.!?|\n\té🙂-_") , max_size=60), max_size=6))
+def test_quality_features(texts):
+    raw = [t.encode() for t in texts]
+    at = np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
+    got = quality.features(np.frombuffer(b"".join(raw), np.uint8), at)
+    assert got.shape == (len(texts), len(quality.NAMES))
+    for row, text in zip(got, texts, strict=True):
+        assert np.allclose(row, plain_features(text), rtol=1e-12, atol=1e-12), (text, [(n, a, b) for n, a, b in zip(quality.NAMES, row, plain_features(text), strict=True) if abs(a - b) > 1e-12])
+
+
+def test_quality_fit_and_threshold():
+    """The weights against a plain logistic fit on all pairs, the threshold against the plain quantile."""
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0.6, 1, (60, len(quality.NAMES))), rng.normal(0, 1, (90, len(quality.NAMES)))
+    model = quality.Model(good, bad, 0.6)
+    g, b = model.expand(good), model.expand(bad)
+    pairs = (g[:, None, :] - b[None, :, :]).reshape(-1, g.shape[1])
+    loss = lambda w: np.log1p(np.exp(-np.clip(pairs @ w, -40, 40))).mean() + 0.5e-4 * w @ w
+    w = np.zeros(g.shape[1])
+    for _ in range(3000):  # plain gradient steps on all pairs
+        p = 1 / (1 + np.exp(-pairs @ w))
+        w -= 1.0 * (-(pairs * (1 - p)[:, None]).mean(0) + 1e-4 * w)
+    assert loss(model.w) < loss(np.zeros_like(w)) * 0.5 and loss(model.w) <= loss(w) * 1.25 + 1e-3
+    order = np.argsort(np.concatenate([g @ w, b @ w]))
+    mine = np.argsort(np.concatenate([g @ model.w, b @ model.w]))
+    rank = lambda o: np.argsort(o)
+    assert np.corrcoef(rank(order), rank(mine))[0, 1] > 0.95
+    # as many good and bad ones, weighted, are below the threshold as the bad documents' share says
+    below = lambda s: float((s < model.threshold).mean())
+    assert abs(0.4 * below(g @ model.w) + 0.6 * below(b @ model.w) - 0.6) < 0.02
+    x = np.concatenate([good, bad])
+    plain = 1 / (1 + np.exp(-np.clip((model.expand(x) @ model.w - model.threshold) / model.scale, -500, 500)))
+    assert np.allclose(model.score(x), plain)
+
+
+def test_quality_query_against_plain_scores(spark, sf_dir):
+    """The query's rows on a given table: each text's plain features, scored by the model that the query fits."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    from loomtrace.llm.langid import held_out
+
+    model = quality.fit(docs, labels.where(~held_out("doc_id", 3, 1)))
+    rows = docs.select("doc_id", "text").collect()
+    plain = model.score(np.array([plain_features(r.text) for r in rows]))
+    want = {r.doc_id: (zlib.crc32(str(r.doc_id).encode()) % 3 == 1, s) for r, s in zip(rows, plain, strict=True)}
+    got = quality.quality(docs, labels).collect()
+    assert len(got) == len(rows) and all(g.held_out == want[g.doc_id][0] and abs(g.score - want[g.doc_id][1]) < 1e-9 and g.predicted == int(g.score >= 0.5) for g in got)
+    held = {r.doc_id: r.quality for r in labels.collect() if want.get(r.doc_id, (False,))[0] and r.quality is not None}
+    assert not held or np.mean([(want[k][1] >= 0.5) == v for k, v in held.items()]) >= 0.9
+
+
 ITEMS = [(1, PROSE), (2, "alpha beta"), (3, None), (4, "--"), (5, OTHER), (6, "alpha, BETA!"), (7, "日本語"), (7, "eleven"), (None, "zzz")]
 
 
