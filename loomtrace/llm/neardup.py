@@ -24,6 +24,8 @@ null and it is kept; an empty table gives an empty result; further columns are i
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -198,9 +200,22 @@ def near_links(docs: DataFrame, groups: DataFrame, percent: int, words: int = mi
         .where("kinds > 1")
     )
     several = cut(several.select("bucket", "all", F.col("most.label").alias("main"), F.col("most.n").alias("mains")))  # so that a large bucket's join can be split
+    if several.isEmpty():
+        return first
     open_ = cut(rest.join(several, "bucket"))
+    found = [first]
 
     # large ones: outsiders with pivots of the commonest label
+    left = open_
+    if not several.where(F.col("all") > BUCKET_BLOCK).isEmpty():
+        second, left = pivoted(open_, task, met)
+        found.append(second)
+    third = paired(left, task, met)
+    return reduce(DataFrame.unionAll, [*found, *([third] if third is not None else [])])
+
+
+def pivoted(open_: DataFrame, task, met) -> tuple[DataFrame, DataFrame]:
+    """(links of large buckets' outsiders with pivots of the commonest label, the rest of all buckets)."""
     large = open_.where(F.col("all") > BUCKET_BLOCK)
     pivots = (
         large.where("label = main")
@@ -220,15 +235,20 @@ def near_links(docs: DataFrame, groups: DataFrame, percent: int, words: int = mi
         .distinct()
     )
     left = open_.join(pivots, ["bucket", "rep"], "left").where("pivot is null").join(joined, ["bucket", "rep"], "left")
-    left = left.withColumn("label", F.when(F.col("in"), F.col("main")).otherwise(F.col("label")))
+    return second, left.withColumn("label", F.when(F.col("in"), F.col("main")).otherwise(F.col("label"))).select(*open_.columns)
+
 
-    # the rest in pairs of blocks: outsiders' blocks come first and meet all blocks after them
+def paired(left: DataFrame, task, met) -> DataFrame | None:
+    """Links of the rest in pairs of blocks: outsiders' blocks come first and meet all blocks after them; None if there is nothing to compare."""
     sums = (
         left.groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("left"), F.sum((F.col("label") != F.col("main")).cast("bigint")).alias("outs"))
         .where("outs > 0 and left > 1")
     )
-    left = left.join(cut(sums), "bucket")
+    sums = cut(sums)
+    if sums.isEmpty():
+        return None
+    left = left.join(sums, "bucket")
     one = F.col("left") <= BUCKET_BLOCK
     outs = F.when(one, F.lit(1)).otherwise(F.ceil(F.col("outs") / BUCKET_BLOCK))
     mains_blocks = F.when(one, F.lit(0)).otherwise(F.ceil((F.col("left") - F.col("outs")) / BUCKET_BLOCK))
@@ -247,8 +267,7 @@ def near_links(docs: DataFrame, groups: DataFrame, percent: int, words: int = mi
     )
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("own") < F.col("outs"), F.col("blocks")).otherwise(F.col("outs")) - 1))
     blocks = blocks.withColumn("o", other)
-    third = met(task(blocks, F.least("own", "o"), F.greatest("own", "o"), "own", "band", "size"))
-    return first.unionAll(second).unionAll(third)
+    return met(task(blocks, F.least("own", "o"), F.greatest("own", "o"), "own", "band", "size"))
 
 
 def near_groups(docs: DataFrame, percent: int = 85, words: int = minmax.SHINGLE) -> DataFrame:
