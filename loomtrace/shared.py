@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder in spark.checkpoint.dir (an own one where that is unset, as on one machine) and read from there."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; an own one where that is unset, as on one machine."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-            import tempfile
-
-            folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the folder that the driver and the executors share, and read from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
