@@ -6,6 +6,7 @@ all of them.  Loops run over the depth of nesting (known from the parse), not ov
 
 from __future__ import annotations
 
+import time
 from collections import Counter
 from functools import cached_property, reduce, wraps
 
@@ -20,6 +21,26 @@ from ..shared import brought, cut, quick, small_table
 ROOT = parsed.ROOT
 KEY = ["query_id", "owner", "segment_index"]
 
+#: What a diagnostic says of its subject, and what helps.
+MESSAGES = (
+    ("PARSE_ERROR", "the statement does not parse", "correct the statement where the parser gave up"),
+    ("UNKNOWN_TABLE", "the table {} is not in the catalog", "import its metadata, or correct its name"),
+    ("UNKNOWN_COLUMN", "no table in scope has a column {}", "correct the name, or import the table's metadata"),
+    ("AMBIGUOUS_COLUMN", "{} is a column of several tables in scope", "name the table before the column"),
+    ("DUPLICATE_ALIAS", "the alias {} is given twice in one scope", "give each relation an alias of its own"),
+    ("STAR_EXPANSION_FAILED", "{} cannot be expanded: no columns are known", "import the metadata of the tables, or list the columns"),
+    ("NOT_SUPPORTED_IN_P0", "{} leads to no column", None),
+    ("RECURSIVE_CTE_UNSUPPORTED", "the CTE {} refers to itself", "check the columns of its recursive part"),
+    ("WRITE_COLUMNS_DIFFER", "the values that are written to {} are not as many as its columns", "list the target's columns"),
+)
+#: The stage that a table of the analysis belongs to.
+STAGES = {
+    "relations": "scope", "_tops": "scope", "scopes": "scope", "resolved": "name_resolution", "_levels": "projection", "_outputs": "projection", "expressions": "expression_analysis", "expression_parts": "expression_analysis",
+    "_steps": "lineage", "sources": "lineage", "row_sources": "lineage", "correlated": "lineage", "outer_keys": "lineage", "writes": "lineage", "write_sources": "lineage", "edges": "lineage", "locations": "source_location", "_places": "source_location", "node_locations": "source_location",
+    "nodes": "graph", "summary": "graph", "grain": "semantics", "filters": "semantics", "metrics": "semantics", "joins": "semantics", "dedup": "semantics", "risks": "semantics", "semantics": "semantics",
+}
+
+
 def every(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -30,10 +51,15 @@ def stage(make):
     @wraps(make)
     def kept(self):
         self.inside += 1
+        started, self.nested = time.perf_counter(), [*self.nested, 0.0]
         try:
             return self.keep(make(self))
         finally:
             self.inside -= 1
+            took, (*self.nested, inner) = time.perf_counter() - started, self.nested
+            self.spent[STAGES.get(make.__name__, "other")] += took - inner  # without the stages that it asked for
+            if self.nested:
+                self.nested[-1] += took
             if not self.inside:
                 self.settle()
 
@@ -50,7 +76,12 @@ class Analysis:
 
     def __init__(self, spark: SparkSession, statements: list[tuple[str, str]], columns: DataFrame, dialect: str = "spark", extended: bool = False, disambiguate_by_join: bool = False):
         self.extended, self.by_join, caller = extended, disambiguate_by_join, spark
+        #: Seconds of each stage so far.
+        self.spent: Counter = Counter()
+        self.nested: list[float] = []
+        started = time.perf_counter()
         rows = parsed.parse(spark, statements, dialect)
+        self.spent["parse"] = time.perf_counter() - started
         self.depth = max((r[2] for r in rows["owners"]), default=0)
         self.natural = any(r[3] == "natural_join" for r in rows["clauses"])
         # kinds of rows that there are: what they need is left out of all other analyses
@@ -542,23 +573,55 @@ class Analysis:
             made(differ, "WRITE_COLUMNS_DIFFER", F.concat("own", F.lit(": "), F.col("n_values").cast("string"), F.lit(" values, "), F.col("n_columns").cast("string"), F.lit(" columns"))),
         ]
 
+    @stage
+    def _places(self) -> DataFrame:
+        """query_id, code, named, start_idx, stop_idx: where a diagnostic's subject stands first (a repeated alias: where it stands again)."""
+        made = lambda df, code, name, a="start_idx", b="stop_idx": df.select("query_id", F.lit(code).alias("code"), name.alias("named"), F.col(a).alias("start_idx"), F.col(b).alias("stop_idx"))
+        refs, rel, items = self.resolved.where("clause = 'select'"), self.relations, self.p_select_items
+        parts = [
+            made(refs.where("status = 'unknown'"), "UNKNOWN_COLUMN", F.col("raw")),
+            made(refs.where("status = 'ambiguous'"), "AMBIGUOUS_COLUMN", F.col("raw")),
+            made(rel.where("kind = 'table' and not found"), "UNKNOWN_TABLE", F.col("table")),
+            made(items.where("expression_kind = 'star'"), "STAR_EXPANSION_FAILED", F.when(F.col("star_target") == "", "*").otherwise(F.concat("star_target", F.lit(".*")))),
+            made(items.where("expression_kind in ('function', 'expression')"), "NOT_SUPPORTED_IN_P0", F.col("expression_sql")),
+        ]
+        if "writes" in self.has:
+            parts += [made(self.p_writes, "UNKNOWN_TABLE", F.col("table")), made(self.p_writes, "WRITE_COLUMNS_DIFFER", F.col("table"))]
+        at = self.p_diagnostics.where("at is not null").withColumn("stop_idx", F.col("at"))
+        parts.append(at.select("query_id", "code", F.coalesce("related", F.lit("")).alias("named"), F.col("at").alias("start_idx"), "stop_idx"))
+        first = every(parts).where("start_idx is not null").groupBy("query_id", "code", "named").agg(F.min(F.struct("start_idx", "stop_idx")).alias("p"))
+        again = made(rel, "DUPLICATE_ALIAS", F.col("alias"), "alias_start", "alias_stop").where("start_idx is not null").groupBy("query_id", "code", "named").agg(F.max(F.struct("start_idx", "stop_idx")).alias("p"))
+        return first.unionByName(again).select("query_id", "code", "named", "p.*")
+
     @stage
     def reported(self) -> DataFrame:
-        """Diagnostics with ids, numbered in a query by level, code and names; errors first."""
+        """Diagnostics with ids, numbered in a query by level, code and names, errors first; with message, suggestion, place (location_id, UTF-16 offsets, line and column) and details."""
         rank = F.when(F.col("level") == "error", 0).when(F.col("level") == "warning", 1).otherwise(2)
         n = F.row_number().over(Window.partitionBy("query_id").orderBy(rank, "code", "related"))
-        return (
-            self.diagnostics.distinct()
-            .withColumn("ord", n)
-            .select(
-                "query_id",
-                "ord",
-                F.concat(F.lit("diag:"), "code", F.lit(":"), F.col("ord").cast("string")).alias("diagnostic_id"),
-                "code",
-                "level",
-                "related",
-            )
-        )
+        d = self.diagnostics.distinct().withColumn("ord", n)
+        ambiguous, differ = F.col("code") == "AMBIGUOUS_COLUMN", F.col("code") == "WRITE_COLUMNS_DIFFER"
+        d = d.withColumn("named", F.when(ambiguous | differ, F.substring_index("related", ": ", 1)).otherwise(F.coalesce("related", F.lit(""))))
+        said = self.p_diagnostics.groupBy("query_id", "code", F.coalesce("related", F.lit("")).alias("named")).agg(F.min("message").alias("said"))
+        d = d.join(self._places, ["query_id", "code", "named"], "left").join(said, ["query_id", "code", "named"], "left")
+        tables = self.relations.where("kind = 'table'").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("table")), ", ").alias("tables"))
+        d = d.join(tables, "query_id", "left").join(self.p_requests.select("query_id", "sql"), "query_id", "left")
+        text, hint = F.col("said"), F.lit(None).cast("string")
+        for code, message, suggestion in MESSAGES:
+            text = F.coalesce(text, F.when(F.col("code") == code, F.replace(F.lit(message), F.lit("{}"), F.col("named"))))
+            hint = F.coalesce(hint, F.when(F.col("code") == code, F.lit(suggestion)))
+        rest = F.substring_index("related", ": ", -1)
+        details = (
+            F.when(ambiguous, F.create_map(F.lit("candidates"), rest))
+            .when(differ, F.create_map(F.lit("counts"), rest))
+            .when(F.col("code").isin("UNKNOWN_COLUMN", "STAR_EXPANSION_FAILED"), F.create_map(F.lit("tables"), F.coalesce("tables", F.lit(""))))
+            .otherwise(F.create_map().cast("map<string,string>"))
+        )
+        start, end = F.col("start_idx"), F.col("stop_idx") + 1
+        return d.select(
+            "query_id", "ord", F.concat(F.lit("diag:"), "code", F.lit(":"), F.col("ord").cast("string")).alias("diagnostic_id"), "code", "level", "related", F.coalesce(text, F.col("code")).alias("message"), hint.alias("suggestion"),
+            F.when(start.isNotNull(), ids.location_id(F.concat_ws(":", "code", "named"), start, end)).alias("location_id"), start.alias("start_offset"), end.alias("end_offset"),
+            F.when(start.isNotNull(), ids.line_of(F.col("sql"), start)).alias("start_line"), F.when(start.isNotNull(), ids.column_of(F.col("sql"), start)).alias("start_col"), details.alias("details"),
+        )
 
     @stage
     def statuses(self) -> DataFrame:
@@ -773,10 +836,10 @@ class Analysis:
 
     @stage
     def nodes(self) -> DataFrame:
-        """query_id, id, node_type, label."""
+        """query_id, id, node_type, label, comment (of tables that are not in the catalog)."""
         rel = self.relations.where("kind <> 'derived'")
         label = F.when(F.col("schema") == "default", F.col("table")).otherwise(F.concat_ws(".", "schema", "table"))
-        tables = rel.select("query_id", F.col("entity_id").alias("id"), F.col("kind").alias("node_type"), label.alias("label"))
+        tables = rel.select("query_id", F.col("entity_id").alias("id"), F.col("kind").alias("node_type"), label.alias("label"), (~F.col("found")).alias("lost"))
         ends = self.edges.select("query_id", F.explode(F.array("source", "target")).alias("id"))
         columns = (
             ends.where("id like 'column:%'")
@@ -817,7 +880,9 @@ class Analysis:
             value = F.concat(F.lit("literal:write:"), F.col("write_ord").cast("string"), F.lit(":"), F.col("ordinal").cast("string"))
             written = ends.where("id like 'literal:write:%'").select("query_id", "id").distinct()
             parts.append(w.select("query_id", value.alias("id"), F.lit("literal").alias("node_type"), F.col("value").alias("label")).join(written, ["query_id", "id"], "left_semi"))
-        return every(parts).distinct()
+        none = F.lit(False).alias("lost")
+        lost = every([tables, *(p.select("*", none) for p in parts if p is not tables)]).groupBy("query_id", "id", "node_type", "label").agg(F.bool_or("lost").alias("lost"))
+        return lost.select("query_id", "id", "node_type", "label", F.when(F.col("lost"), "no metadata imported").alias("comment"))
 
     @stage
     def summary(self) -> DataFrame:
@@ -854,7 +919,7 @@ class Analysis:
 
     @stage
     def stages(self) -> DataFrame:
-        """query_id, ord, stage, state, codes (of its diagnostics, each once): how each stage of the analysis went."""
+        """query_id, ord, stage, state, codes (of its diagnostics, each once), elapsed_ms (of all statements together, so far; null: not asked for): how each stage of the analysis went."""
         names = ("parse", "scope", "name_resolution", "projection", "expression_analysis", "lineage", "source_location", "graph", "semantics")
         of = {"PARSE_ERROR": "parse", "RECURSIVE_CTE_UNSUPPORTED": "scope", "DUPLICATE_ALIAS": "scope", "UNKNOWN_TABLE": "name_resolution", "UNKNOWN_COLUMN": "name_resolution", "AMBIGUOUS_COLUMN": "name_resolution", "STAR_EXPANSION_FAILED": "projection", "NOT_SUPPORTED_IN_P0": "projection"}
         code = F.create_map(*[F.lit(x) for kv in of.items() for x in kv])
@@ -870,6 +935,9 @@ class Analysis:
             .when(F.col("error").isNotNull(), "partial")
             .otherwise("success")
         )
+        spent = F.lit(None).cast("bigint")
+        for name, seconds in self.spent.items():
+            spent = F.when(F.col("stage") == name, F.lit(round(1000 * seconds))).otherwise(spent)
         return (
             each.join(hit, ["query_id", "stage"], "left")
             .select(
@@ -878,6 +946,7 @@ class Analysis:
                 "stage",
                 state.alias("state"),
                 F.coalesce("codes", F.lit("")).alias("codes"),
+                spent.alias("elapsed_ms"),
             )
         )
 

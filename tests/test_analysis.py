@@ -134,3 +134,27 @@ def test_many_statements_go_through_the_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(shared, "FEW", 0)
     a = Analysis(spark, OTHERS[:3], q.shop(spark))
     assert ("projection", q.UT + "user_id", q.OUT + "1:user_id") in edges(a, "shadow") and a.statuses.count() == 3
+
+
+def test_reports_say_what_where_and_how_long(spark):
+    sql = {
+        "parse": "SELECT order_no\nFROM order_table\nWHERE dt = = 1",
+        "column": "SELECT order_no,\n  nope FROM order_table",
+        "table": "SELECT a FROM nowhere n",
+        "ambiguous": "SELECT user_id FROM order_table o JOIN user_table u ON o.dt = u.dt",
+        "alias": "SELECT 1 AS one FROM order_table o JOIN user_table o ON 1 = 1",
+        "written": "INSERT INTO user_table SELECT order_no FROM order_table",
+    }
+    a = Analysis(spark, list(sql.items()), q.shop(spark))
+    a.edges.count()
+    got = {r.query_id: r for r in a.reported.collect() if r.code in ("PARSE_ERROR", "UNKNOWN_COLUMN", "UNKNOWN_TABLE", "AMBIGUOUS_COLUMN", "DUPLICATE_ALIAS", "WRITE_COLUMNS_DIFFER")}
+    assert got["parse"].start_line == 3 and sql["parse"][got["parse"].start_offset :].startswith("= 1") and "Syntax error" in got["parse"].message
+    r = got["column"]
+    assert (r.start_line, r.start_col, r.start_offset, r.end_offset) == (2, 3, 19, 23) and r.message == "no table in scope has a column nope" and r.details == {"tables": "order_table"} and r.location_id.startswith("loc:")
+    assert sql["table"][got["table"].start_offset : got["table"].end_offset] == "nowhere" and got["table"].suggestion
+    assert got["ambiguous"].details == {"candidates": "order_table, user_table"} and sql["ambiguous"][got["ambiguous"].start_offset :].startswith("user_id")
+    assert got["alias"].start_offset > sql["alias"].index("JOIN") and got["written"].details == {"counts": "1 values, 3 columns"}
+    nodes = {r.id: r.comment for r in a.nodes.where("query_id = 'table' and node_type = 'table'").collect()}
+    assert nodes == {"table:default.nowhere": "no metadata imported"}
+    spent = {r.stage: r.elapsed_ms for r in a.stages.where("query_id = 'column'").collect()}
+    assert spent["parse"] > 0 and spent["lineage"] > 0 and spent["semantics"] is None

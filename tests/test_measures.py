@@ -5,8 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrace import measures
-from loomtrace.functions import sketches, surface
+from loomtrace.functions import sketches
 from loomtrace.operators import measured, ranged
 
 
@@ -59,16 +58,3 @@ def test_measured_joins(spark, sf_dir):
     got = measured.measured_joins(spark, [("a", "SELECT n_name FROM nation JOIN region ON n_regionkey = r_regionkey"), ("b", "SELECT a.n_name FROM nation a JOIN customer c ON a.n_regionkey = c.c_nationkey"), ("c", "SELECT n_name FROM nation JOIN nope ON n_regionkey = x")], tables).collect()
     assert {(r.query_id, r.risk, r.level) for r in got} == {("a", "medium", "warning"), ("b", "high", "error")}
     assert next(r.joined_rows for r in got if r.query_id == "a") == 25
-
-
-@pytest.mark.parametrize("name", sorted(measures.QUERIES))
-def test_measures(spark, sf_dir, name):
-    import duckdb
-
-    con = duckdb.connect()
-    for t in surface.TABLES:
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    found = con.sql(measures.ORACLES[name])
-    columns = sorted(found.columns)
-    want = sorted((tuple(dict(zip(found.columns, r, strict=True))[c] for c in columns) for r in found.fetchall()), key=repr)
-    assert sorted((tuple(r[c] for c in columns) for r in measures.QUERIES[name](spark, sf_dir).collect()), key=repr) == want and want
