@@ -58,14 +58,32 @@ def keyed(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> Da
     return rows.join(few, keys).unionByName(rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(light, keys))
 
 
+#: A bucket may hold so many times its share of the rows.
+UNEVEN = 4
+
+
 class OrderedBuckets:
     """Buckets of about equal size that ascend with some columns.  Spark's range partitioner samples the cuts, one a
-    partition; they go into plans as one constant of some 16 bytes a partition, not as expressions."""
+    partition; they go into plans as one constant of some 16 bytes a partition, not as expressions.
+
+    Cuts are looked for by the first column alone, so that what the others are made of (texts) isn't read for it; only where one
+    of its values fills a bucket several times over are they looked for by all columns."""
 
     def __init__(self, df: DataFrame, columns: list[Column], parts: int):
-        order = F.struct(*[c.cast("bigint").alias(f"o{i}") for i, c in enumerate(columns)])
-        dealt = df.select(order.alias("o")).repartitionByRange(max(1, parts), "o").select(F.spark_partition_id().alias("p"), "o")
-        cuts = sorted(tuple(r.o) for r in dealt.groupBy("p").agg(F.min("o").alias("o")).collect())[1:]
+
+        def found(use: list[Column]) -> tuple[list[tuple], bool]:
+            order = F.struct(*[c.cast("bigint").alias(f"o{i}") for i, c in enumerate(use)])
+            dealt = df.select(order.alias("o")).repartitionByRange(max(1, parts), "o").select(F.spark_partition_id().alias("p"), "o")
+            rows = dealt.groupBy("p").agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("n")).collect()
+            total = sum(r.n for r in rows)
+            even = len(rows) >= parts // 2 and max((r.n for r in rows), default=0) * max(1, parts) <= UNEVEN * total or total <= len(rows)
+            return sorted(tuple(r.o) for r in rows)[1:], even
+
+        cuts, even = found(columns[:1])
+        if len(columns) > 1 and not even:
+            cuts, _ = found(columns)
+        least = (-(1 << 63),) * (len(columns) - 1)
+        cuts = [c if len(c) == len(columns) else c + least for c in cuts]
         self.n = len(cuts) + 1
         self.width = max(1, int(len(cuts) ** 0.5))
         groups = [cuts[i : i + self.width] for i in range(0, len(cuts), self.width)]
