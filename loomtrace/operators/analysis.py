@@ -7,7 +7,9 @@ all of them.  Loops run over the depth of nesting (known from the parse), not ov
 from __future__ import annotations
 
 import time
+import uuid
 from collections import Counter
+from collections.abc import Iterable
 from functools import cached_property, reduce, wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -74,20 +76,30 @@ class Analysis:
     joined by equality on it; for USING and NATURAL joins that always holds.
     """
 
-    def __init__(self, spark: SparkSession, statements: list[tuple[str, str]], columns: DataFrame, dialect: str = "spark", extended: bool = False, disambiguate_by_join: bool = False):
+    def __init__(self, spark: SparkSession, statements: Iterable[tuple[str, str]], columns: DataFrame, dialect: str = "spark", extended: bool = False, disambiguate_by_join: bool = False):
         self.extended, self.by_join, caller = extended, disambiguate_by_join, spark
         #: Seconds of each stage so far.
         self.spent: Counter = Counter()
         self.nested: list[float] = []
         started = time.perf_counter()
-        rows = parsed.parse(spark, statements, dialect)
+        # the parsed rows of a large corpus are written batch by batch: the driver holds those of one batch
+        folder, rows, self.has = None, {}, set()
+        self.depth, self.owners, self.natural, self.cyclic = 0, 0, False, False
+        for more in parsed.batches(spark, statements, dialect):
+            if rows and folder is None:
+                folder = f"{shared.shared_folder(spark).rstrip('/')}/parsed-{uuid.uuid4().hex}"
+            if folder:
+                self.write_batch(spark, rows, folder)
+            rows = more
+            self.has |= {k for k, v in rows.items() if v}
+            self.depth = max(self.depth, max((r[2] for r in rows["owners"]), default=0))
+            self.natural |= any(r[3] == "natural_join" for r in rows["clauses"])
+            self.cyclic |= any(r[3] for r in rows["owners"])
+            self.owners = max(self.owners, max(Counter(r[0] for r in rows["owners"]).values(), default=0))
+        rows = rows or {k: [] for k in parsed.SCHEMAS}
+        if folder:
+            self.write_batch(spark, rows, folder)
         self.spent["parse"] = time.perf_counter() - started
-        self.depth = max((r[2] for r in rows["owners"]), default=0)
-        self.natural = any(r[3] == "natural_join" for r in rows["clauses"])
-        # kinds of rows that there are: what they need is left out of all other analyses
-        self.has = {k for k, v in rows.items() if v}
-        self.cyclic = any(r[3] for r in rows["owners"])
-        self.owners = max(Counter(r[0] for r in rows["owners"]).values(), default=0)
         comment = F.col("comment") if "comment" in columns.columns else F.lit(None).cast("string")
         self.catalog = columns.select(
             "catalog",
@@ -102,7 +114,7 @@ class Analysis:
         # what is parsed is on the driver already; of few statements the tables that they name, and all that is derived,
         # stay there as long as they are small; others are written
         self.keep = cut
-        if sum(map(len, rows.values())) <= shared.FEW:
+        if not folder and sum(map(len, rows.values())) <= shared.FEW:
             self.keep = brought
             names = sorted({r[7].strip("`\" ").lower() for r in rows["relations"]} | {r[6].strip("`\" ").lower() for r in rows["writes"]})
             named = self.catalog.where(ids.normal(F.col("table_name")).isin(names)).limit(shared.FEW + 1).toArrow()
@@ -111,9 +123,16 @@ class Analysis:
                 self.catalog = spark.createDataFrame(named, self.catalog.schema)
         self.caller, self.spark, self.inside = caller, spark, 0
         for name, ddl in parsed.SCHEMAS.items():
-            setattr(self, "p_" + name, small_table(spark, rows[name], ddl))
+            table = spark.read.schema(ddl).parquet(f"{folder}/{name}") if folder and name in self.has else small_table(spark, [] if folder else rows[name], ddl)
+            setattr(self, "p_" + name, table)
         self.settle()
 
+    @staticmethod
+    def write_batch(spark: SparkSession, rows: dict[str, list], folder: str) -> None:
+        for name, ddl in parsed.SCHEMAS.items():
+            if rows[name]:
+                small_table(spark, rows[name], ddl).write.mode("append").parquet(f"{folder}/{name}")
+
     def settle(self) -> None:
         """Making local tables leaves their session the active one; the caller's is that again."""
         if self.spark is not self.caller:

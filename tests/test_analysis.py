@@ -158,3 +158,16 @@ def test_reports_say_what_where_and_how_long(spark):
     assert nodes == {"table:default.nowhere": "no metadata imported"}
     spent = {r.stage: r.elapsed_ms for r in a.stages.where("query_id = 'column'").collect()}
     assert spent["parse"] > 0 and spent["lineage"] > 0 and spent["semantics"] is None
+
+
+def test_a_corpus_in_batches_and_repeated_texts(spark, monkeypatch):
+    """Parsed rows that are written batch by batch give what they give at once; a text that stands repeatedly is parsed once."""
+    texts = [f"SELECT order_no AS a{i % 4}, nope FROM order_table o JOIN user_table u ON o.user_id = u.user_id" for i in range(12)] + ["SELEC"]
+    statements = [(f"q{i}", t) for i, t in enumerate(texts)]
+    whole = Analysis(spark, statements, q.shop(spark))
+    small = parsed.batches
+    monkeypatch.setattr(parsed, "batches", lambda spark, statements, dialect: small(spark, statements, dialect, 5))
+    parts = Analysis(spark, iter(statements), q.shop(spark))
+    for table in ("edges", "diagnostics", "statuses", "locations"):
+        rows = [sorted(map(str, getattr(a, table).collect())) for a in (whole, parts)]
+        assert rows[0] == rows[1] and len(rows[0]) >= 12, table
