@@ -35,8 +35,26 @@ def shop(spark: SparkSession, sf_dir: str | None = None) -> DataFrame:
     """The catalog of SHOP: of the tables made of the given ones (their types are SHOP's), or as it stands there where none are given."""
     if sf_dir is None:
         return catalog.columns_from(spark, SHOP, partitions=("dt",))
-    schemas = {t: ", ".join(f"{f.name} {'string' if f.dataType.simpleString().startswith('varchar') else f.dataType.simpleString()}" for f in surface.run(spark, sf_dir, sql).schema) for t, sql in MADE.items()}
-    return catalog.columns_from(spark, schemas, partitions=("dt",))
+    return catalog.columns_from(spark, made_tables(spark, sf_dir), partitions=("dt",))
+
+
+#: Columns of the made tables of the folder that was asked for last.
+_columns: dict = {}
+
+
+def made_tables(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Makes the made tables views of the session; their columns."""
+    key = (spark.sparkContext.applicationId, spark, sf_dir)
+    if key not in _columns or any(not spark.catalog.tableExists(t) for t in MADE):
+        kind = lambda f: "string" if f.dataType.simpleString().startswith("varchar") else f.dataType.simpleString()
+        found = {}
+        for t, sql in MADE.items():
+            df = surface.run(spark, sf_dir, sql)
+            df.createOrReplaceTempView(t)
+            found[t] = ", ".join(f"{f.name} {kind(f)}" for f in df.schema)
+        _columns.clear()
+        _columns[key] = found
+    return _columns[key]
 
 
 #: Rows of the tables that a catalog's statements are about.
@@ -45,8 +63,7 @@ ALL_ROWS = "SELECT user_id FROM order_table UNION ALL SELECT user_id FROM user_t
 
 def rows_of(spark: SparkSession, sf_dir: str, sql: str) -> int:
     """Runs a statement over the made tables: how many rows it has."""
-    for t, made in MADE.items():
-        surface.run(spark, sf_dir, made).createOrReplaceTempView(t)
+    made_tables(spark, sf_dir)
     return spark.sql(f"SELECT COUNT(*) AS n FROM ({sql})").first().n
 
 
@@ -82,8 +99,11 @@ def add(name: str, make, columns: str, rows: list[tuple], kinds: str = "", runs:
     ks = kinds or "s" * len(names)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = make(spark, sf_dir)
-        n = rows_of(spark, sf_dir, runs)
+        made_tables(spark, sf_dir)
+        with ThreadPoolExecutor(1) as pool:  # the statement runs while it is explained
+            counted = pool.submit(rows_of, spark, sf_dir, runs)
+            df = make(spark, sf_dir)
+            n = counted.result()
         return df.select(*[(F.col(n).cast("bigint") if k == "i" else F.col(n).cast("double") if k == "d" else F.col(n).cast("string")).alias(n) for n, k in zip(names, ks, strict=True)], F.lit(n).cast("bigint").alias("n_rows"))
 
     QUERIES[name] = run
@@ -269,8 +289,12 @@ GRAPH_EDGES = values("source, target", [(UT + "user_name", OUT + "1:user_name"),
 
 def graphed(name: str, make, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        n = rows_of(spark, sf_dir, GRAPH)
-        return make(Analysis(spark, [("q", GRAPH)], shop(spark, sf_dir))).withColumn("n_rows", F.lit(n).cast("bigint"))
+        made_tables(spark, sf_dir)
+        with ThreadPoolExecutor(1) as pool:
+            counted = pool.submit(rows_of, spark, sf_dir, GRAPH)
+            df = make(Analysis(spark, [("q", GRAPH)], shop(spark, sf_dir)))
+            n = counted.result()
+        return df.withColumn("n_rows", F.lit(n).cast("bigint"))
 
     QUERIES[name] = run
     ORACLES[name] = with_rows(f"WITH RECURSIVE e AS ({GRAPH_EDGES}), {sql}", GRAPH)
