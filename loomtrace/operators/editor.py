@@ -157,23 +157,64 @@ BREAKS = ("SELECT", "FROM", "WHERE", "GROUP", "HAVING", "ORDER", "LIMIT", "UNION
 
 
 def format_sql(spark: SparkSession, sql: str) -> str:
-    """A statement with keywords in capitals and a line for each clause; comments stay where they are."""
-    out, last, depth, sign = "", "", 0, False
+    """A statement with keywords in capitals, a line for each clause, an indented line for each select item and each condition; queries in
+    parentheses are indented in the same way; comments stay where they are."""
+    words = tokens(spark, sql, comments=True)
     operators = ("=", "<", ">", "<=", ">=", "<>", "!=", "+", "-", "*", "/", "%")
-    for w in tokens(spark, sql, comments=True):
+    out, last, sign, between = "", "", False, False
+    #: Of each open parenthesis whether it holds a query; the clause of each query that is open.
+    open_, clauses, due = [], [""], False
+
+    def line(extra: int = 0) -> None:
+        nonlocal out
+        out = out.rstrip() + "\n" + "  " * (2 * (len(clauses) - 1) + extra)
+
+    for n, w in enumerate(words):
         if w.startswith(("--", "/*")):
-            out = (out if out.endswith("\n") or not out else out.rstrip(" ") + " ") + w.rstrip() + ("\n" if w.startswith("--") else " ")
+            out = (out if out.endswith("\n") or not out else out.rstrip(" ") + " ") + w.rstrip()
+            if w.startswith("--"):
+                line(int(due or bool(clauses[-1])))
+                due = False
+            else:
+                out += " "
             continue
-        up = w.upper() if w.upper() in STRUCTURE or w.upper() in BREAKS else w
-        depth += (w == "(") - (w == ")")
-        if up in BREAKS and depth == 0 and out and not (up == "JOIN" and last in BREAKS):
-            out = out.rstrip() + "\n"
-        glue = sign or w in (",", ")", ".", ";") or last in ("(", ".") or (w == "(" and last.upper() not in STRUCTURE and last not in (",", *operators))
-        out = out.rstrip(" ") + up if glue or out.endswith("\n") or not out else out + up
+        up = w.upper() if w.upper() in STRUCTURE or w.upper() in BREAKS or w.upper() in ("BETWEEN", "AND", "OR", "DISTINCT") else w
+        here = not open_ or open_[-1]
+        if w == ")" and open_ and open_.pop():
+            clauses.pop()
+            line(1)
+        elif up in BREAKS and here and not (up in ("JOIN", "OUTER") and last in (*BREAKS, "OUTER")):
+            if out and last != "(":
+                line()
+            clauses[-1], due, between = up, False, False
+        elif due and up not in ("DISTINCT", "ALL"):
+            line(1)
+            due = False
+        elif up in ("AND", "OR") and here and clauses[-1] in ("WHERE", "HAVING"):
+            if up == "OR" or not between:
+                line(1)
+            between = False
+        between = between or up == "BETWEEN"
+        fresh = not out or out.rstrip(" ").endswith("\n")
+        glue = sign or w in (",", ")", ".", ";") or last in ("(", ".") or (w == "(" and last.upper() not in STRUCTURE and last.upper() not in ("IN", "AS", "EXISTS", "AND", "OR", "NOT") and last not in (",", *operators))
+        out = out + up if fresh else out.rstrip(" ") + up if glue else out + up
         out += " "
+        if w == "(":
+            query = n + 1 < len(words) and words[n + 1].upper() in ("SELECT", "WITH")
+            open_.append(query)
+            if query:
+                clauses.append("")
+                line()
+                last = "("
+                sign = False
+                continue
+        if up == "SELECT":
+            due = True
+        elif up == "," and here and clauses[-1] == "SELECT":
+            line(1)
         sign = w in ("+", "-") and (not last or last in ("(", ",", *operators) or last.upper() in STRUCTURE)
         last = up
-    return out.strip()
+    return "\n".join(x.rstrip() for x in out.strip().split("\n"))
 
 
 def revealed(locations: DataFrame, requests: DataFrame, entity_id: str) -> DataFrame:

@@ -368,4 +368,4 @@ add("complete_keywords", lambda spark, sf: editor.complete(spark, shop(spark, sf
 add("complete_vocabulary", lambda spark, sf: editor.complete(spark, shop(spark, sf), "", 1, 1).groupBy("kind").agg(F.count("*").alias("n")), "kind, n", [("keyword", 63), ("function", 33)], "si")
 add("hover_column", lambda spark, sf: editor.hover(spark, shop(spark, sf), "SELECT o.order_amt FROM order_table o", 1, 12), "kind, name, data_type", [("column", "order_table.order_amt", "decimal(18,2)")])
 add("hover_table", lambda spark, sf: editor.hover(spark, shop(spark, sf), "SELECT 1\nFROM user_table", 2, 8), "kind, name, data_type", [("table", "user_table", None)])
-add("format_statement", lambda spark, sf: spark.createDataFrame([(editor.format_sql(spark, "select a.x , count( * ) n from t a where a.y=1 group by a.x"),)], "text string"), "text", [("SELECT a.x, count(*) n\nFROM t a\nWHERE a.y = 1\nGROUP BY a.x",)])
+add("format_statement", lambda spark, sf: spark.createDataFrame([(editor.format_sql(spark, "select a.x , count( * ) n from t a where a.y=1 group by a.x"),)], "text string"), "text", [("SELECT\n  a.x,\n  count(*) n\nFROM t a\nWHERE a.y = 1\nGROUP BY a.x",)])

@@ -85,7 +85,9 @@ def test_export_and_import_again(spark, tmp_path):
 
 
 def test_formatting_keeps_comments(spark):
-    assert editor.format_sql(spark, "select -1, a - -2 -- why\nfrom t /* all */ where b=1") == "SELECT -1, a - -2 -- why\nFROM t /* all */\nWHERE b = 1"
+    assert editor.format_sql(spark, "select -1, a - -2 -- why\nfrom t /* all */ where b=1") == "SELECT\n  -1,\n  a - -2 -- why\nFROM t /* all */\nWHERE b = 1"
+    nested = editor.format_sql(spark, "select a from (select b as a from t where x between 1 and 2 and y in (1, 2)) q left join r on q.a=r.a and r.z>1")
+    assert nested == "SELECT\n  a\nFROM (\n    SELECT\n      b AS a\n    FROM t\n    WHERE x BETWEEN 1 AND 2\n      AND y IN (1, 2)\n  ) q\nLEFT JOIN r ON q.a = r.a AND r.z > 1" and editor.format_sql(spark, nested) == nested
 
 
 def test_completion_of_unfinished_text(spark):
