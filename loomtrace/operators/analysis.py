@@ -38,7 +38,7 @@ MESSAGES = (
 #: The stage that a table of the analysis belongs to.
 STAGES = {
     "relations": "scope", "_tops": "scope", "scopes": "scope", "resolved": "name_resolution", "_levels": "projection", "_outputs": "projection", "expressions": "expression_analysis", "expression_parts": "expression_analysis",
-    "_steps": "lineage", "sources": "lineage", "row_sources": "lineage", "correlated": "lineage", "outer_keys": "lineage", "writes": "lineage", "write_sources": "lineage", "edges": "lineage", "locations": "source_location", "_places": "source_location", "node_locations": "source_location",
+    "_steps": "lineage", "_ends": "lineage", "row_sources": "lineage", "correlated": "lineage", "outer_keys": "lineage", "writes": "lineage", "write_sources": "lineage", "edges": "lineage", "locations": "source_location", "_places": "source_location", "node_locations": "source_location",
     "nodes": "graph", "summary": "graph", "grain": "semantics", "filters": "semantics", "metrics": "semantics", "joins": "semantics", "dedup": "semantics", "risks": "semantics", "semantics": "semantics",
 }
 
@@ -84,7 +84,7 @@ class Analysis:
         started = time.perf_counter()
         # the parsed rows of a large corpus are written batch by batch: the driver holds those of one batch
         folder, rows, self.has = None, {}, set()
-        self.depth, self.owners, self.natural, self.cyclic = 0, 0, False, False
+        self.depth, self.owners, self.natural, self.cyclic, self.stars = 0, 0, False, False, False
         for more in parsed.batches(spark, statements, dialect):
             if rows and folder is None:
                 folder = f"{shared.shared_folder(spark).rstrip('/')}/parsed-{uuid.uuid4().hex}"
@@ -93,6 +93,7 @@ class Analysis:
             rows = more
             self.has |= {k for k, v in rows.items() if v}
             self.depth = max(self.depth, max((r[2] for r in rows["owners"]), default=0))
+            self.stars |= any(r[7] == "star" for r in rows["select_items"])
             self.natural |= any(r[3] == "natural_join" for r in rows["clauses"])
             self.cyclic |= any(r[3] for r in rows["owners"])
             self.owners = max(self.owners, max(Counter(r[0] for r in rows["owners"]).values(), default=0))
@@ -199,9 +200,12 @@ class Analysis:
         columns, items = [self.keep(physical)], []
         nested = rel.where("kind <> 'table'")
         level_of = self.p_owners.groupBy("query_id", "owner").agg(F.max("level").alias("level"))
-        for level in range(self.depth + 1):
+        # stars need the columns of the levels below; without any, all levels are one
+        for level in range(self.depth + 1) if self.stars else [0]:
             have = every(columns)
-            own = self.p_select_items.join(level_of, ["query_id", "owner"]).where(F.col("level") == level).drop("level")
+            own = self.p_select_items
+            if self.stars:
+                own = own.join(level_of, ["query_id", "owner"]).where(F.col("level") == level).drop("level")
             star = own.where("expression_kind = 'star'").select(*KEY, "ordinal", F.col("star_target"), "start_idx", "stop_idx")
             c = have.select(*KEY, "ord", "alias", "table", "kind", "source_owner", "col_ord", "column_name", "column_id")
             wide = star.join(c, KEY).where((F.col("star_target") == "") | (ids.normal(F.col("alias")) == ids.normal(F.col("star_target"))))
@@ -218,7 +222,7 @@ class Analysis:
                 F.lit(False).alias("from_star"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("source_owner"), F.lit(None).cast("int").alias("source_ord"), F.lit(None).cast("string").alias("column_id"), F.lit(None).cast("string").alias("column_name"), "start_idx", "stop_idx",
             )
             made = (
-                plain.unionByName(wide)
+                (plain.unionByName(wide) if self.stars else plain)
                 .withColumn("ordinal", F.row_number().over(Window.partitionBy(*KEY).orderBy("item_ord", "a", "b")))
                 .drop("a", "b")
             )
@@ -226,7 +230,7 @@ class Analysis:
                 made = made.join(self.p_renames, ["query_id", "owner", "ordinal"], "left").withColumn("output_name", F.coalesce("name", "output_name")).drop("name")
             made = self.keep(made)
             items.append(made)
-            if level < self.depth:
+            if level < self.depth or not self.stars:
                 out = (
                     made.where("segment_index = 0")
                     .select(
@@ -442,9 +446,18 @@ class Analysis:
         return every(done).select("query_id", *keep, "column_id", "column_name").distinct()
 
     @stage
+    def _ends(self) -> DataFrame:
+        """query_id, owner, segment_index, clause ('out' for outputs, 'key_l' and 'key_r' for sides of join keys), ordinal, via, column_id, column_name: outputs and join keys, traced together."""
+        keep = ["owner", "segment_index", "clause", "ordinal", "via"]
+        cols = ["query_id", *keep, "kind", "source_owner", "source_ord", "column_id", "column_name"]
+        out = self._steps.where(F.col("owner") == ROOT).withColumn("clause", F.lit("out"))
+        sides = self.resolved.where("clause in ('key_l', 'key_r') and status in ('resolved', 'missing')").withColumn("via", F.lit("ref"))
+        return self._trace(out.select(*cols).unionByName(sides.select(*cols)), keep)
+
+    @cached_property
     def sources(self) -> DataFrame:
         """query_id, segment_index, ordinal, via ('ref', or 'subquery' for those of a query in the output), column_id, column_name: the physical columns of every output of the statements' own select lists."""
-        return self._trace(self._steps.where(F.col("owner") == ROOT), ["segment_index", "ordinal", "via"])
+        return self._ends.where("clause = 'out'").select("query_id", "segment_index", "ordinal", "via", "column_id", "column_name")
 
     # --- what is written ---
 
@@ -797,8 +810,7 @@ class Analysis:
             F.col("output_id"),
             F.concat(F.lit("UNION segment "), F.col("segment_index").cast("string")),
         ))
-        sides = self.resolved.where("clause in ('key_l', 'key_r') and status in ('resolved', 'missing')")
-        ends = self._trace(sides, ["owner", "segment_index", "clause", "ordinal"])
+        ends = self._ends
         place = [*KEY, "ordinal"]
         keys = self.join_keys.select(*KEY, F.col("key_ord").alias("ordinal"), "raw_sql", "l_column", "r_column")
         for x in ("l", "r"):
