@@ -136,6 +136,30 @@ def test_url_templates_learn_from_rules(spark):
     assert judged(spark, []) == []
 
 
+def test_joins_of_heavy_and_light_keys(spark, monkeypatch):
+    """Keys that are broadcast and keys that are shuffled give one result."""
+    from pyspark.sql import functions as F
+
+    from loomtrace.llm import session
+
+    rows = spark.range(4000).select((F.col("id") % 7 * F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 50)).alias("k"), "id").withColumn("k", F.when(F.col("id") % 40 == 1, None).otherwise(F.col("k")))
+    table = rows.where("k is not null and k <> 12").groupBy("k").agg(F.count("*").alias("n")).withColumn("v", F.col("k") * 2)
+    want = sorted(map(tuple, rows.join(table, "k").select("id", "v").collect()))
+    for heavy in (1, 3, 20, 1000):
+        monkeypatch.setattr(session, "HEAVY", heavy)
+        assert sorted(map(tuple, session.keyed(rows, table, ["k"], "n").select("id", "v").collect())) == want
+
+
+@pytest.mark.parametrize("heavy", [2, 30])
+def test_url_templates_with_few_heavy_nodes(spark, monkeypatch, heavy):
+    from loomtrace.llm import session
+
+    monkeypatch.setattr(session, "HEAVY", heavy)
+    rng = random.Random(heavy)
+    pages = [(i, f"http://{'hot.example.com' if i % 3 == 0 else f'h{rng.randrange(9)}.example.org'}/{rng.choice(['en', 'de', 'fr', 'x' + str(rng.randrange(40))])}/{rng.choice(['a', 'b', str(i)])}") for i in range(700)]
+    assert judged(spark, pages) == plain_judge(pages)
+
+
 def test_url_templates_of_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict, r.template, r.purity if r.purity is None else round(r.purity, 9)) for r in urltree.judge(pages).collect()), key=repr)
