@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..shared import small_table
 
 #: Keywords and functions that are offered (fixed values).
 KEYWORDS = (
@@ -94,7 +95,7 @@ def complete(spark: SparkSession, columns: DataFrame, sql: str, line: int, col:
     lines = sql.replace("\r\n", "\n").split("\n")
     offset = sum(len(x) + 1 for x in lines[: line - 1]) + col - 1
     before, every = tokens(spark, sql[:offset]), tokens(spark, sql)
-    words = spark.createDataFrame([("keyword", k) for k in KEYWORDS] + [("function", f) for f in FUNCTIONS], "kind string, label string")
+    words = small_table(spark, [("keyword", k) for k in KEYWORDS] + [("function", f) for f in FUNCTIONS], "kind string, label string")
     where = context(before)
     if where == "table":
         return words.unionByName(columns.select(
