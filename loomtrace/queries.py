@@ -10,15 +10,15 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import measures, proven
+from . import foreign, measures, proven
 from .functions import ids, surface
 from .operators import editor, graph
 from .operators.analysis import Analysis
 from .plans import parsed
 from .sources import catalog
 
-QUERIES: dict = surface.QUERIES | proven.QUERIES | measures.QUERIES
-ORACLES: dict[str, str] = surface.ORACLES | proven.ORACLES | measures.ORACLES
+QUERIES: dict = surface.QUERIES | proven.QUERIES | measures.QUERIES | foreign.QUERIES
+ORACLES: dict[str, str] = surface.ORACLES | proven.ORACLES | measures.ORACLES | foreign.ORACLES
 
 SHOP = {"order_table": "order_no string, user_id string, order_amt decimal(18,2), status int, dt string", "user_table": "user_id string, user_name string, dt string"}
 DRIVER = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

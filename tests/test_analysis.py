@@ -110,12 +110,6 @@ def test_result_and_stages(others):
     assert stages["bad", "parse"] == "failed" and stages["bad", "lineage"] == "skipped" and stages["using", "graph"] == "success"
 
 
-def test_other_dialects(spark):
-    assert parsed.dialect_text("SELECT a FROM t LIMIT 5, 10", "mysql") == "SELECT a FROM t LIMIT 10 OFFSET 5"
-    got = parsed.parse(spark, [("x", "SELECT a.b FROM a STRAIGHT_JOIN c ON a.i = c.i LIMIT 5, 10")], "mysql")
-    assert got["requests"][0][2] and len(got["join_keys"]) == 1
-
-
 def test_flagship(spark, sf_dir):
     got = {(r.edge_type, r.source, r.target) for r in q.flagship(spark, sf_dir).collect()}
     assert ("alias", "column:default.lineitem.l_discount", q.OUT + "2:revenue") in got and len(got) == 9
