@@ -3,7 +3,7 @@
 range_join(): an interval of length l is put on a grid of step 2**ceil(log2(l)), where it meets two cells at most; a point is
 put into its cell on every grid that an interval uses (their number is the spread of lengths, not of rows).  Grid and cell are
 the join's key, and the ends are compared exactly.  Cells that hold a large part of the points are dealt to several tasks,
-their intervals repeated for each.
+their intervals repeated for each; the dealt points are written first, so that a lost executor changes nothing.
 
 as_of_join(): both sides become one list, range-partitioned by key and time.  In a partition the latest right row is carried
 along; what stood before a partition's first rows comes from a table of the last row of each key and partition.  A key with a
@@ -46,7 +46,10 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
     parts = F.coalesce("__parts", F.lit(1))
     p = p.join(F.broadcast(heavy), ["__g", "__c"], "left").withColumn("__s", F.pmod(F.xxhash64(*own, F.monotonically_increasing_id()), parts).cast("int"))
     i = i.join(F.broadcast(heavy), ["__g", "__c"], "left").withColumn("__s", F.explode(F.sequence(F.lit(0), parts - 1)))
-    both = p.select(*own, "__x", "__g", "__c", "__s").join(i.select(*intervals.columns, "__a", "__z", "__g", "__c", "__s"), ["__g", "__c", "__s"])
+    p = p.select(*own, "__x", "__g", "__c", "__s")
+    if not heavy.isEmpty():  # a task that runs again may see rows in another order: what they were dealt to is kept
+        p = cut(p)
+    both = p.join(i.select(*intervals.columns, "__a", "__z", "__g", "__c", "__s"), ["__g", "__c", "__s"])
     return both.where("__a <= __x and __x <= __z").select(*own, *intervals.columns)
 
 
