@@ -78,3 +78,26 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
         return False
     both = common(a, b)
     return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+class Rarest:
+    """Rows by the rarest of their shingles.  A linked pair has at least percent of either set in common, so if both sets are
+    in one order, their first ``size - percent of size + 1`` shingles have one in common, whatever the order."""
+
+    def __init__(self, values: np.ndarray, at: np.ndarray, percent: int):
+        n = np.diff(at)
+        row = np.repeat(np.arange(len(n)), n)
+        _, kind, times = np.unique(values, return_inverse=True, return_counts=True)
+        order = np.lexsort((kind, times[kind], row))
+        first = np.arange(len(values)) - at[row] < (n + (-percent * n) // 100 + 1)[row]
+        self.kind, self.row = kind[order][first], row[first]
+        self.at = np.searchsorted(self.row, np.arange(len(n) + 1))
+        by = np.argsort(self.kind, kind="stable")
+        self.rows, self.first = self.row[by], np.searchsorted(self.kind[by], np.arange(len(times) + 1))
+
+    def meets(self, x: int) -> np.ndarray:
+        """Of each row, whether one of its rarest shingles is one of row x's."""
+        out = np.zeros(len(self.at) - 1, bool)
+        for k in self.kind[self.at[x] : self.at[x + 1]].tolist():
+            out[self.rows[self.first[k] : self.first[k + 1]]] = True
+        return out

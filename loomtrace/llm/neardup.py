@@ -8,10 +8,11 @@
    leader share its label.
 5. Of a bucket only pairs of members with different labels are open.  In a bucket of more than BUCKET_BLOCK members, those
    without the commonest label first meet PIVOTS members that have it, and take that label if linked.
-6. What is still open is compared in pairs of blocks of BUCKET_BLOCK members: members without the commonest label with all
-   others.  So a large group of near copies costs its size times the number of its blocks of outsiders, memory is bounded, no
-   pair is ever a row, and no bucket is capped.  Pairs of sizes that can't link, or (in buckets of more than SMALL members)
-   met in an earlier band, are left out.
+6. What is still open is compared in pairs of blocks: members without the commonest label with all others.  A bucket is BLOCKS
+   blocks; only where these would hold more than BLOCK_SHINGLES shingles, it is more, of BUCKET_BLOCK members at least.  So a
+   member goes to BLOCKS tasks at most however large its group, up to that bound of memory; no pair is ever a row, and no
+   bucket is capped.  Pairs of sizes that can't link, or (in buckets of more than SMALL members) met in an earlier band or
+   without a common shingle among their rarest ones, are left out.
 7. Components of the links, by star steps.
 
 With 24 bands of 4 values, a pair of likeness 0.85 shares no band with probability (1 - 0.85**4)**24 = 2e-8, one of
@@ -38,6 +39,8 @@ from .session import arrow_map, cut, fanout
 BUCKET_BLOCK = 128
 PIVOTS = 64
 SMALL = 16
+#: Blocks of a bucket, and shingles from which a block is cut further.
+BLOCKS, BLOCK_SHINGLES = 4, 1 << 18
 #: Text bytes that are hashed at once.
 STEP_BYTES = 4 << 20
 
@@ -88,6 +91,7 @@ def bucket_links(percent: int, words: int = minmax.SHINGLE):
         keys = None
         if size > SMALL and band > 0:
             keys = minmax.bands(minmax.signatures(values, v_at))[:, :band]
+        rare = minmax.Rarest(values, v_at, percent) if len(rows) > SMALL else None
         root = np.array([r[2] for r in rows])
         split = own[0] != own[-1]
         half = own.index(own[-1]) if split else 0
@@ -100,6 +104,8 @@ def bucket_links(percent: int, words: int = minmax.SHINGLE):
             may = (100 * small >= percent * large) & (root[lo:] != root[x])
             if keys is not None:
                 may &= ~(keys[lo:] == keys[x]).any(axis=1)
+            if rare is not None:
+                may &= rare.meets(x)[lo:]
             for y in (np.flatnonzero(may) + lo).tolist():
                 if root[x] != root[y] and minmax.linked(part[x], part[y], percent):
                     links.append((ids[x], ids[y]))
@@ -157,7 +163,7 @@ def near_links(docs: DataFrame, groups: DataFrame, percent: int, words: int = mi
         .agg(F.min(F.struct("band", "bucket")).alias("f"))
         .select("f.bucket", "f.band", "size", F.col("least.rep").alias("lead"), F.col("least.n").alias("lead_n"))
     )
-    members = cut(by_band.select("bucket", "rep", "n").join(kept, "bucket"))
+    members = cut(by_band.select("bucket", "rep", "n").join(kept, "bucket"))  # n: shingles
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").where("rep is not null").repartition(parts, "rep")
     texts = cut(texts.join(members.select("rep").distinct(), "rep", "left_semi"))  # stays dealt by rep
 
@@ -191,7 +197,7 @@ def near_links(docs: DataFrame, groups: DataFrame, percent: int, words: int = mi
     rest = (
         members.where("rep <> lead")
         .join(labels, "rep", "left")
-        .select("bucket", "band", "size", "rep", F.coalesce("label", "rep").alias("label"))
+        .select("bucket", "band", "size", "rep", "n", F.coalesce("label", "rep").alias("label"))
     )
     counts = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     several = (
@@ -242,7 +248,7 @@ def paired(left: DataFrame, task, met) -> DataFrame | None:
     """Links of the rest in pairs of blocks: outsiders' blocks come first and meet all blocks after them; None if there is nothing to compare."""
     sums = (
         left.groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("left"), F.sum((F.col("label") != F.col("main")).cast("bigint")).alias("outs"))
+        .agg(F.count(F.lit(1)).alias("left"), F.sum((F.col("label") != F.col("main")).cast("bigint")).alias("outs"), F.sum("n").alias("shingles"))
         .where("outs > 0 and left > 1")
     )
     sums = cut(sums)
@@ -250,8 +256,10 @@ def paired(left: DataFrame, task, met) -> DataFrame | None:
         return None
     left = left.join(sums, "bucket")
     one = F.col("left") <= BUCKET_BLOCK
-    outs = F.when(one, F.lit(1)).otherwise(F.ceil(F.col("outs") / BUCKET_BLOCK))
-    mains_blocks = F.when(one, F.lit(0)).otherwise(F.ceil((F.col("left") - F.col("outs")) / BUCKET_BLOCK))
+    # members of a block
+    block = F.greatest(F.lit(BUCKET_BLOCK), F.ceil(F.col("left") / F.greatest(F.lit(BLOCKS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))))
+    outs = F.when(one, F.lit(1)).otherwise(F.ceil(F.col("outs") / block))
+    mains_blocks = F.when(one, F.lit(0)).otherwise(F.ceil((F.col("left") - F.col("outs")) / block))
     is_out = F.col("label") != F.col("main")
     h = F.xxhash64(F.lit(11), "rep")
     own = F.when(one, F.lit(0)).when(is_out, F.pmod(h, outs)).otherwise(outs + F.pmod(h, mains_blocks)).cast("int")

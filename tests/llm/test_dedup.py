@@ -64,6 +64,46 @@ def test_same_key_other_text_links_through_the_document(spark):
     assert {r.component_id for r in neardup.near_groups(spark.createDataFrame(rows, SCHEMA)).collect()} == {1}
 
 
+def lookalikes(n):
+    """Texts of likeness 0.7 to 0.8: each has lost another stretch of one text; every tenth is a near copy of the one before it."""
+    rng, out = np.random.default_rng(7), []
+    for k in range(n):
+        words = [f"b{j}" for j in range(100)]
+        at = int(rng.integers(0, 92))
+        words[at : at + 8] = [f"x{k}y{j}" for j in range(8)]
+        out.append((k, out[-1][1] + " more" if k % 10 == 9 else " ".join(words), "en", "s", 0))
+    return out
+
+
+def test_rows_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    """A group of look-alikes that mostly aren't linked: each member goes to a bounded number of tasks, and no link is lost."""
+    monkeypatch.setattr(neardup, "BUCKET_BLOCK", 4)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    made, arrow_map = [], neardup.arrow_map
+
+    def counted(df, function, schema):
+        if schema.startswith("a "):
+            made[-1] += df.count()
+        return arrow_map(df, function, schema)
+
+    monkeypatch.setattr(neardup, "arrow_map", counted)
+    for n in (80, 240):
+        made.append(0)
+        rows = lookalikes(n)
+        assert rows_of(neardup.near_groups(frame(spark, rows)), "doc_id", "component_id") == plain_groups(rows)
+    assert made[1] <= 4.5 * made[0]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=25), min_size=1, max_size=12), st.sampled_from([50, 80, 85, 100]))
+def test_linked_sets_have_a_rare_value_in_common(sets, percent):
+    part = [np.array(sorted(x), np.uint64) for x in sets]
+    rare = minmax.Rarest(np.concatenate(part), np.cumsum([0, *map(len, part)]), percent)
+    for x in range(len(part)):
+        meets = rare.meets(x)
+        assert all(meets[y] for y in range(len(part)) if minmax.linked(part[x], part[y], percent))
+
+
 def test_signature_estimates_likeness():
     rng = np.random.default_rng(3)
     base = np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
