@@ -5,8 +5,11 @@ probability sigmoid(w . (x_good - x_bad)); w is learned by logistic loss on feat
 w . x, and the threshold is the quantile of the learned documents' strengths at the bad documents' share.  The score is
 sigmoid((strength - threshold) / scale), so that 0.5 is the threshold.
 
-The fit takes a bounded sample of labelled rows (SAMPLE rows of each class at most, chosen by a hash) and PAIRS pairs a
-step; the features of every document are counts over its whole text.
+The fit takes every labelled row and every pair of a good and a bad one; the features of every document are counts over its
+whole text.  What a step needs of the pairs are sums of the rows by class and strength in cells of 1/CELL, as the logistic loss of a
+pair depends on the two strengths only: tasks add them up over their rows, so the work grows with the rows, not the pairs.
+Features are whole numbers of 1/GRID (those above 32,767 count as that), so the sums are exact and don't depend on how the rows
+are dealt.
 
 Defined cases: null and empty texts have all-zero counts and are scored like any other; without labelled rows of both
 classes every score is 0.5; of repeated rows of a document or its label one counts in the fit; labels that are null or of no document are left out; an
@@ -17,15 +20,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
 from .langid import held_out
-from .session import arrow_map
-
-#: Labelled rows of each class in the fit at most, and pairs of one step.
-SAMPLE, PAIRS, STEPS = 3000, 4096, 400
+from .session import arrow_map, cut
+
+#: Steps of the fit at most, and the step's size (in strengths) from which it is done.
+STEPS, DONE = 60, 1e-4
+#: Parts of one in which features, expanded features and weights are counted.
+GRID, UNIT, WEIGHT = 1 << 16, 1 << 12, 1 << 20
+#: Cells of a strength: of the pairs, and of the threshold.
+CELL, FINE = 16, 1 << 14
+RIDGE = 1e-4
 #: Bins of a feature.
 BINS = 8
 STEP_BYTES, STEP_ROWS = 4 << 20, 2000
@@ -109,40 +117,173 @@ def features(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in f], 1) if n else np.empty((0, len(NAMES)))
 
 
+def on_grid(x: np.ndarray) -> np.ndarray:
+    """Features in whole parts of 1/GRID."""
+    return np.rint(np.clip(x * GRID, -(1 << 31), (1 << 31) - 1)).astype(np.int32)
+
+
+def added(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and the sums of their rows of values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(values[order], first) if len(first) else values[:0]
+
+
+class Rows:
+    """Rows of features on the grid and their labels, in memory."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = x, y
+
+    def bins(self) -> list[tuple]:
+        """Of each feature: mean, spread, cuts of BINS equal parts."""
+        x = self.x.astype(np.float64)
+        cuts = np.quantile(x, np.linspace(0, 1, BINS + 1)[1:-1], axis=0)
+        return [(m, d, c.tolist()) for m, d, c in zip(x.mean(0), x.std(0), cuts.T, strict=True)]
+
+    def sums(self, of) -> tuple[np.ndarray, np.ndarray]:
+        """The keys and rows of whole numbers that ``of`` makes of features and labels, added up by key."""
+        return added(*of(self.x, self.y))
+
+
+class Table:
+    """The same of a table (y, x), added up in tasks; the driver gets one row a key from each of as many tasks as there are cores."""
+
+    def __init__(self, df: DataFrame):
+        self.df = df
+
+    def bins(self) -> list[tuple]:
+        values = self.df.select(F.posexplode("x").alias("j", "v")).groupBy("j", "v").agg(F.count(F.lit(1)).alias("n"))
+        v, n = F.col("v").cast("decimal(12,0)"), F.col("n").cast("decimal(12,0)")
+        cuts = [float(q) for q in np.linspace(0, 1, BINS + 1)[1:-1]]
+        got = values.groupBy("j").agg(F.percentile("v", cuts, F.col("n")).alias("cuts"), F.sum("n").alias("n"), F.sum(v * n).alias("s"), F.sum((v * v).cast("decimal(20,0)") * n).alias("q")).collect()
+        out = []
+        for r in sorted(got, key=lambda r: r.j):
+            total, square = int(r.s), int(r.q)
+            out.append((total / r.n, ((r.n * square - total * total) / (r.n * r.n)) ** 0.5, r.cuts))
+        return out
+
+    def sums(self, of) -> tuple[np.ndarray, np.ndarray]:
+        def work(batches):
+            got = None
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.asarray(batch.column(1).flatten()).reshape(-1, len(NAMES))
+                    new = added(*of(x, np.asarray(batch.column(0))))
+                    got = new if got is None else added(*[np.concatenate(c) for c in zip(got, new, strict=True)])
+            if got is not None and len(got[0]):
+                keys, values = got
+                ends = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * values.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.ListArray.from_arrays(ends, pa.array(values.reshape(-1)))], ["k", "v"])
+
+        few = self.df.coalesce(max(1, self.df.sparkSession.sparkContext.defaultParallelism))
+        got = arrow_map(few, work, "k bigint, v array<bigint>").toArrow()
+        keys = got["k"].to_numpy()
+        return added(keys, got["v"].combine_chunks().flatten().to_numpy().reshape(len(keys), -1))
+
+
 class Model:
     """Weights over binned features; strength is their sum."""
 
-    def __init__(self, good: np.ndarray, bad: np.ndarray, bad_share: float, seed: int = 1):
-        both = np.concatenate((good, bad))
-        self.edges = [np.unique(np.quantile(both[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(both.shape[1])]
-        self.mean, self.spread = both.mean(0), both.std(0) + 1e-9
-        g, b = self.expand(good), self.expand(bad)
-        rng = np.random.default_rng(seed)
-        w, m, v = np.zeros(g.shape[1]), np.zeros(g.shape[1]), np.zeros(g.shape[1])
-        for t in range(1, STEPS + 1):
-            d = g[rng.integers(0, len(g), PAIRS)] - b[rng.integers(0, len(b), PAIRS)]
-            p = 1 / (1 + np.exp(-np.clip(d @ w, -40, 40)))
-            grad = -(d * (1 - p)[:, None]).mean(0) + 1e-4 * w
-            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
-            w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        self.w = w
-        sg, sb = g @ w, b @ w
-        # the quantile at the bad documents' share, of all learned documents: each class weighs as much as it has rows
-        s = np.concatenate((sg, sb))
-        weight = np.concatenate((np.full(len(sg), (1 - bad_share) / len(sg)), np.full(len(sb), bad_share / len(sb))))
-        order = np.argsort(s)
-        at = int(np.searchsorted(np.cumsum(weight[order]), bad_share + 1e-9, "right"))
-        low, high = s[order[max(0, at - 1)]], s[order[min(at, len(s) - 1)]]
-        self.threshold = float((low + high) / 2)
-        self.scale = float(max(1e-6, (np.median(sg) - np.median(sb)) / 8))
+    def __init__(self, good: np.ndarray, bad: np.ndarray, bad_share: float):
+        self.learn(Rows(on_grid(np.concatenate((good, bad))), np.repeat([1, 0], [len(good), len(bad)])), bad_share)
+
+    @classmethod
+    def of(cls, data: Table, bad_share: float) -> Model:
+        model = cls.__new__(cls)
+        model.learn(data, bad_share)
+        return model
+
+    def learn(self, data: Rows | Table, bad_share: float) -> None:
+        bins = data.bins()
+        self.mean, self.spread = np.array([b[0] for b in bins]) / GRID, np.array([b[1] for b in bins]) / GRID + 1e-9
+        self.edges = [np.unique(b[2]) / GRID for b in bins]
+        self.w = np.zeros(len(bins) + sum(map(len, self.edges)))
+        # no curvature of the loss is above a quarter of the pairs' mean squares, so steps by these never go too far
+        unit = np.append(1, np.full(len(self.w), UNIT))
+        bad, good = data.sums(self.squares)[1].reshape(2, len(unit), len(unit)) / np.outer(unit, unit)
+        bad, good = bad / bad[0, 0], good / good[0, 0]
+        apart = good[0, 1:] - bad[0, 1:]
+        cover = np.outer(apart, apart) + sum(m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:]) for m in (good, bad))
+        bound = cover / 4 + RIDGE * np.eye(len(self.w))
+        best, at, t = self.w, self.w, 1
+        for _ in range(STEPS):
+            self.w = np.rint(at * WEIGHT) / WEIGHT
+            slope = self.slope(*data.sums(self.cells))
+            new = self.w - np.linalg.solve(bound, slope)
+            step = new - best
+            if slope @ step > 0:  # past the least one: the momentum starts anew
+                t = 1
+            best, at = new, new + (t - 1) / (t + 2) * step
+            t += 1
+            if (step @ cover @ step) ** 0.5 < DONE:
+                break
+        self.w = np.rint(best * WEIGHT) / WEIGHT
+        self.place(data, bad_share)
+
+    def slope(self, keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """The loss's gradient at w, of all pairs, from the sums of cells."""
+        n, x = sums[:, 0].astype(np.float64), sums[:, 1:] / UNIT
+        strength, good = x @ self.w / n, keys % 2 == 1
+        lost = 1 / (1 + np.exp(np.clip(strength[good][:, None] - strength[~good][None, :], -40, 40)))
+        per_good, per_bad = lost @ n[~good], n[good] @ lost  # of each row of a cell, over all of the other class
+        return (per_bad @ x[~good] - per_good @ x[good]) / (n[good].sum() * n[~good].sum()) + RIDGE * self.w
+
+    def place(self, data: Rows | Table, bad_share: float) -> None:
+        """Threshold and scale: the quantile of all strengths at the bad documents' share, and the medians' distance."""
+        keys, n = data.sums(self.counts)
+        n, good = n[:, 0], keys % 2 == 1
+        every = np.ones(len(keys), bool)
+        total = int(n.sum())
+        below = min(max(1, int(bad_share * total + 1e-6)), total - 1)
+        middle = lambda m: [(int(n[m].sum()) - 1) // 2, int(n[m].sum()) // 2]
+        wanted = [(None, below - 1), (None, below), *[(c, r) for c in (1, 0) for r in middle(good == c)]]
+        found = []
+        for c, rank in wanted:
+            use = every if c is None else good == c
+            found.append(keys[use][np.searchsorted(np.cumsum(n[use]), rank, "right")] // 2)
+        fine, m = data.sums(lambda x, y: self.counts(x, y, FINE, np.unique(found)))
+        m = m[:, 0]
+        at = []
+        for (c, rank), cell in zip(wanted, found, strict=True):
+            use = every if c is None else good == c
+            own = (fine // 2 // (FINE // CELL) == cell) & (True if c is None else fine % 2 == c)
+            left = rank - int(n[use & (keys // 2 < cell)].sum())
+            at.append((fine[own][np.searchsorted(np.cumsum(m[own]), left, "right")] // 2 + 0.5) / FINE)
+        low, high, *medians = at
+        self.threshold = (low + high) / 2
+        self.scale = max(1e-6, (sum(medians[:2]) - sum(medians[2:])) / 2 / 8)
 
     def expand(self, x: np.ndarray) -> np.ndarray:
-        out = [np.clip((x - self.mean) / self.spread, -4, 4)]
+        x = on_grid(x) / GRID
+        out = [np.rint(np.clip((x - self.mean) / self.spread, -4, 4) * UNIT) / UNIT]
         for j, e in enumerate(self.edges):
             if len(e):
                 out.append((x[:, j : j + 1] > e[None, :]).astype(np.float64))
         return np.concatenate(out, 1)
 
+    def units(self, x: np.ndarray) -> np.ndarray:
+        """One and the expanded features of rows on the grid, as whole numbers."""
+        return np.concatenate((np.ones((len(x), 1)), self.expand(x / GRID) * UNIT), 1)
+
+    def squares(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = self.units(x)
+        return np.arange(2), np.stack([(u[y == c].T @ u[y == c]).astype(np.int64).reshape(-1) for c in (0, 1)])
+
+    def cells(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = self.units(x)
+        keys, sums = added(np.floor(u[:, 1:] @ self.w * (CELL / UNIT)).astype(np.int64) * 2 + y, u)
+        return keys, sums.astype(np.int64)
+
+    def counts(self, x: np.ndarray, y: np.ndarray, parts: int = CELL, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Rows by strength in cells of 1/parts; only of the cells of 1/CELL ``within``, where given."""
+        strength = self.units(x)[:, 1:] @ self.w / UNIT
+        keys = np.floor(strength * parts).astype(np.int64) * 2 + y
+        if within is not None:
+            keys = keys[np.isin(np.floor(strength * CELL), within)]
+        return keys, np.ones((len(keys), 1), np.int64)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip((self.expand(x) @ self.w - self.threshold) / self.scale, -500, 500)))
 
@@ -157,42 +298,42 @@ def scored_parts(batch: pa.RecordBatch, column: int):
         i = j
 
 
+def counted(docs: DataFrame, keep: tuple = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` as c0, c1 and so on, and the features on the grid, x; one pass, no shuffle."""
+    src = docs.select(*[(F.col(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(keep)], F.col("text").alias("__t"))
+    names = src.columns[:-1]
+    schema = ", ".join(f"{c} {t}" for c, t in src.dtypes[:-1])
+
+    def work(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, STEP_ROWS):
+                batch = whole.slice(at, STEP_ROWS)
+                x = on_grid(np.concatenate(list(scored_parts(batch, len(names)))))
+                ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(NAMES))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1)))], [*names, "x"])
+
+    return arrow_map(src, work, f"{schema}, x array<int>")
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
-    """Learns from labels (doc_id, label 0 or 1).  Counts are over all that have a document, each doc_id once (of several labels the smallest); the sample is the SAMPLE doc_ids of each label with the smallest hashes, looked for in a part of the hashes' range that holds about twice as many."""
+    """Learns from all labels (doc_id, label 0 or 1) that have a document, each doc_id once: of several labels the smallest, of several rows the one of the smallest features."""
+    return fit_counted(counted(docs), labels, label)
+
+
+def fit_counted(rows: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
+    """The same of rows of c0, the doc_id, and x."""
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-        .select(F.col("doc_id").alias("__k"), F.col(label).cast("int").alias("__y"))
+        .select(F.col("doc_id").alias("__k"), F.col(label).cast("bigint").alias("__y"))
         .groupBy("__k")
         .agg(F.min("__y").alias("__y"))
     )
-    known = known.join(docs.select(F.col("doc_id").alias("__k")), "__k", "left_semi")
-    counts = dict(known.groupBy("__y").count().collect())
+    learned = rows.select(F.col("c0").alias("__k"), "x").join(known, "__k").groupBy("__k").agg(F.min("__y").alias("y"), F.min("x").alias("x"))
+    learned = cut(learned.select("y", "x"))
+    counts = dict(learned.groupBy("y").count().collect())
     if not counts.get(0) or not counts.get(1):
         return None
-    part = F.when(F.col("__y") == 0, F.lit(min(1.0, 2 * SAMPLE / counts[0]))).otherwise(F.lit(min(1.0, 2 * SAMPLE / counts[1])))
-    h = F.xxhash64(F.lit(3), "__k")
-    first = F.row_number().over(Window.partitionBy("__y").orderBy(F.shiftrightunsigned(h, 11), "__k"))
-    sample = (
-        known.where((F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))) < part)
-        .withColumn("__r", first)
-        .where(F.col("__r") <= SAMPLE)
-        .drop("__r")
-    )
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__k"))  # 2 * SAMPLE keys at most
-    rows = rows.groupBy("__k").agg(F.min(F.struct("text", "__y")).alias("r")).select("r.text", "r.__y")  # repeated rows once
-
-    def work(batches):
-        for batch in batches:
-            x = np.concatenate(list(scored_parts(batch, 0))) if batch.num_rows else np.empty((0, len(NAMES)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["y", "x"])
-
-    got = arrow_map(rows, work, "y int, x array<double>").collect()
-    x, y = np.array([r.x for r in got], np.float64).reshape(len(got), len(NAMES)), np.array([r.y for r in got])
-    order = np.lexsort((*x.T, y)) if len(got) else []
-    x, y = x[order], y[order]
-    if not (y == 0).any() or not (y == 1).any():
-        return None
-    return Model(x[y == 1], x[y == 0], counts[0] / (counts[0] + counts[1]))
+    return Model.of(Table(learned), counts[0] / (counts[0] + counts[1]))
 
 
 def score(docs: DataFrame, model: Model | None, keep: tuple = ("doc_id",)) -> DataFrame:
@@ -221,10 +362,19 @@ def score(docs: DataFrame, model: Model | None, keep: tuple = ("doc_id",)) -> Da
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted; learned from labels that are not held out (crc32 of doc_id modulo 3 is not 1)."""
+    """doc_id, held_out, score, predicted; learned from labels that are not held out (crc32 of doc_id modulo 3 is not 1).  Texts are read once: what is learned and scored are their features."""
     out = held_out("doc_id", 3, 1)
-    model = fit(docs, labels.where(~out))
-    return score(docs, model, ("doc_id", out)).select(F.col("c0").alias("doc_id"), F.col("c1").alias("held_out"), "score", "predicted")
+    rows = cut(counted(docs, ("doc_id", out)))
+    model = fit_counted(rows, labels.where(~out))
+
+    def work(batches):
+        for batch in batches:
+            x = np.asarray(batch.column(2).flatten()).reshape(-1, len(NAMES))
+            s = model.score(x / GRID) if model else np.full(len(x), 0.5)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    types = dict(rows.dtypes)
+    return arrow_map(rows, work, f"doc_id {types['c0']}, held_out {types['c1']}, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:

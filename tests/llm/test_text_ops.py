@@ -382,6 +382,42 @@ def test_quality_query_against_plain_scores(spark, sf_dir):
     assert not held or np.mean([(want[k][1] >= 0.5) == v for k, v in held.items()]) >= 0.9
 
 
+def test_quality_fit_takes_every_labelled_row(spark):
+    """Of more rows than any sample once held: the fit of the table is that of all rows in memory, however they are dealt."""
+    rng = np.random.default_rng(5)
+    words = PROSE.split()
+    texts = [" ".join(rng.choice(words, int(rng.integers(3, 30)))) + ("!" * int(rng.integers(0, 3)) if i % 2 else " 42, x") for i in range(8000)]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:50], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    label = lambda i: int(i % 2 == 0 or i % 17 == 0)
+    labels = spark.createDataFrame([(i, label(i), 0) for i in range(8000)] + [(i, 1, 0) for i in range(9000, 9100)], "doc_id bigint, quality int, toxic int")
+    raw = [t.encode() for t in texts]
+    x = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    y = np.array([label(i) for i in range(8000)])
+    want = quality.Model(x[y == 1], x[y == 0], float((y == 0).mean()))
+    for dealt in (docs.repartition(1), docs.repartition(7)):
+        got = quality.fit(dealt, labels)
+        assert [e.tolist() for e in got.edges] == [e.tolist() for e in want.edges]
+        assert np.allclose(got.w, want.w, atol=1e-4) and abs(got.threshold - want.threshold) < 1e-3 and abs(got.scale - want.scale) < 1e-3
+    strengths = np.sort(want.expand(x) @ want.w)
+    bad = int((y == 0).sum())
+    assert abs(want.threshold - (strengths[bad - 1] + strengths[bad]) / 2) < 2 / quality.FINE
+
+
+def test_quality_slope_is_that_of_all_pairs():
+    rng = np.random.default_rng(6)
+    good, bad = rng.normal(0.4, 1, (70, len(quality.NAMES))), rng.normal(0, 1, (90, len(quality.NAMES)))
+    model = quality.Model(good, bad, 0.5)
+    rows = quality.Rows(quality.on_grid(np.concatenate((good, bad))), np.repeat([1, 0], [len(good), len(bad)]))
+    for part in (0.0, 0.3, 1.0):
+        w = model.w
+        model.w = np.rint(w * part * quality.WEIGHT) / quality.WEIGHT
+        pairs = (model.expand(good)[:, None, :] - model.expand(bad)[None, :, :]).reshape(-1, len(w))
+        plain = quality.RIDGE * model.w - (pairs / (1 + np.exp(pairs @ model.w))[:, None]).mean(0)
+        assert np.abs(model.slope(*rows.sums(model.cells)) - plain).max() < 1e-3
+        model.w = w
+
+
 ITEMS = [(1, PROSE), (2, "alpha beta"), (3, None), (4, "--"), (5, OTHER), (6, "alpha, BETA!"), (7, "日本語"), (7, "eleven"), (None, "zzz")]
 
 
