@@ -4,6 +4,9 @@ Of every statement and every column that it may read, one run has the column nul
 one row: the number of rows and a digest of every output (sums of hashes; for floating-point outputs counts and sums, compared with
 a tolerance).  The column changes an output, or the number of rows; the statement's lineage explains that by an edge to the
 output, or by the column deciding over rows (filters, join keys, groups, ...).
+
+A key that is known to be null leaves some joins (full ones, EXISTS as an output) without equality, so that Spark compares all
+rows with all.  Where a run's plan has such a loop that the statement's own hasn't, the nulls are made row by row.
 """
 
 from __future__ import annotations
@@ -33,14 +36,37 @@ def read(sql: str, tables: dict[str, list[str]]) -> list[tuple[str, str]]:
     return [(t, c) for t, columns in tables.items() if t in words for c in columns if every or c.lower() in words]
 
 
+def needed(sql: str, tables: dict[str, list[str]]) -> list[tuple[str, str]]:
+    """Those of read() whose erasure can show: COUNT(*) is no star, it reads no column."""
+    return read(re.sub(r"(?i)\bcount\s*\(\s*\*\s*\)", "count(1)", sql), tables)
+
+
+def erased(df: DataFrame, column: str, hidden: bool = False) -> DataFrame:
+    """df with the column null in all rows; ``hidden``: without the optimizer knowing that it is."""
+    if hidden:
+        return df.withColumn(column, F.when(F.length(F.col(column).cast("string")) < 0, F.col(column)))
+    return df.withColumn(column, F.lit(None).cast(df.schema[column].dataType))
+
+
+def loops(spark: SparkSession, sql: str) -> tuple[int, bool]:
+    """How many joins of a statement's plan compare all rows with all, and whether it has a join."""
+    text = spark.sql(f"EXPLAIN {sql}").first()[0]
+    return len(re.findall("NestedLoopJoin|CartesianProduct", text)), "Join" in text
+
+
+#: Bits of a hash that are summed on their own: such sums are whole numbers of 64 bits for up to 2**41 rows.
+PIECES = ((0, 22), (22, 21), (43, 21))
+
+
 def digest(df: DataFrame) -> DataFrame:
-    """One row: n, and of each output how many values there are, a sum of hashes, a sum and a sum of squares."""
+    """One row: n, and of each output how many values there are, sums of pieces of hashes, a sum and a sum of squares."""
     plain = df.toDF(*[f"o{i}" for i in range(len(df.columns))])
     out = [F.count(F.lit(1)).alias("n")]
     for i, f in enumerate(plain.schema):
         number = f.dataType.simpleString() in ("float", "double")
         x = F.col(f.name)
-        values = [F.lit(0).cast("decimal(38,0)"), F.sum(x), F.sum(x * x)] if number else [F.sum(F.xxhash64(x).cast("decimal(38,0)")), F.lit(0.0), F.lit(0.0)]
+        pieces = [F.sum(F.shiftrightunsigned(F.xxhash64(x), at).bitwiseAND(2**bits - 1)) for at, bits in PIECES]
+        values = [F.lit(0), F.sum(x), F.sum(x * x)] if number else [F.array(*pieces), F.lit(0.0), F.lit(0.0)]
         out += [F.count(x).alias(f"c{i}"), *[v.alias(f"{n}{i}") for n, v in zip("hsq", values, strict=True)]]
     return plain.agg(*out)
 
@@ -57,20 +83,24 @@ def influences(spark: SparkSession, statements: list[tuple[str, str]], tables: d
     views = lambda t, df: df.createOrReplaceTempView(t)
     plain = {t: own.table(t) for t in tables}
     runs = []
-    for q, sql in statements:
-        runs.append((q, None, own.sql(sql)))
-        for t, c in read(sql, names):
-            views(t, plain[t].withColumn(c, F.lit(None).cast(plain[t].schema[c].dataType)))
-            runs.append((q, f"{t}.{c}", own.sql(sql)))
-            views(t, plain[t])
     with ThreadPoolExecutor(THREADS) as pool:  # each run gives the driver one row
-        rows = list(pool.map(lambda r: digest(r[2]).first(), runs))
-    base = {q: (row, df.columns) for (q, c, df), row in zip(runs, rows, strict=True) if c is None}
+        start = lambda q, c, df: runs.append((q, c, df.columns, pool.submit(lambda: digest(df).first())))
+        for q, sql in statements:
+            start(q, None, own.sql(sql))
+            usual, joins = loops(own, sql)
+            for t, c in needed(sql, names):
+                views(t, erased(plain[t], c))
+                if joins and loops(own, sql)[0] > usual:
+                    views(t, erased(plain[t], c, hidden=True))
+                start(q, f"{t}.{c}", own.sql(sql))
+                views(t, plain[t])
+        found = [(q, c, outputs, row.result()) for q, c, outputs, row in runs]
+    base = {q: row for q, c, _, row in found if c is None}
     out = []
-    for (q, c, _), row in zip(runs, rows, strict=True):
+    for q, c, outputs, row in found:
         if c is None:
             continue
-        first, outputs = base[q]
+        first = base[q]
         if row.n != first.n:
             out.append((q, c, ROWS))
         else:

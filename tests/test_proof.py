@@ -2,6 +2,7 @@
 
 import pytest
 
+from loomtrace.operators import proof
 from loomtrace.operators.analysis import Analysis
 from loomtrace.queries import driver_catalog
 from loomtrace.sources import catalog
@@ -85,3 +86,26 @@ def test_names_made_in_place(explained):
 
 def test_given_catalog(spark, sf_dir):
     assert driver_catalog(spark, sf_dir, ("nation",)).count() == 3
+
+
+def _plans(monkeypatch):
+    plans, digest = [], proof.digest
+    monkeypatch.setattr(proof, "digest", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), digest(df))[1])
+    return plans
+
+
+def test_counting_rows_reads_no_column(spark, sf_dir, monkeypatch):
+    plans = _plans(monkeypatch)
+    tables = {"nation": spark.read.parquet(f"{sf_dir}/nation.parquet")}
+    got = proof.influences(spark, [("q", "SELECT n_regionkey, COUNT( * ) AS n FROM nation GROUP BY n_regionkey")], tables)
+    assert got == [("q", "nation.n_regionkey", "(rows)")] and len(plans) == 2  # the statement's, and n_regionkey erased
+    assert len(proof.needed("SELECT *, COUNT(*) OVER () AS n FROM nation", {"nation": ["a", "b"]})) == 2
+
+
+def test_erased_key_of_exists_meets_no_row(spark, sf_dir, monkeypatch):
+    plans = _plans(monkeypatch)
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders")}
+    sql = "SELECT c_name, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) AS big FROM customer"
+    got = proof.influences(spark, [("q", sql)], tables)
+    assert got == [("q", "customer.c_custkey", "big"), ("q", "customer.c_name", "c_name"), ("q", "orders.o_custkey", "big"), ("q", "orders.o_totalprice", "big")]
+    assert len(plans) == 5 and not any("NestedLoop" in p or "Cartesian" in p for p in plans)
