@@ -29,10 +29,10 @@ def range_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_discounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many lines' prices lie in each part's price band: one side has all lines, the bands overlap."""
+    """How many orders' prices lie in each part's price band: the bands overlap, and only their numbers of orders are made."""
     part = read(spark, sf_dir, "part").select("p_partkey", (F.col("p_retailprice") - 1).alias("low"), (F.col("p_retailprice") + F.col("p_size")).alias("high"))
-    found = ranged.range_join(read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("price")), part, "price", "low", "high")
-    return found.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n"))
+    found = ranged.range_counts(read(spark, sf_dir, "orders").select((F.col("o_totalprice") / 100).alias("price")), part, "price", "low", "high")
+    return found.where("n > 0").groupBy("p_partkey").agg(F.sum("n").alias("n"))
 
 
 def as_of(name: str, keys: list[str], strict: bool) -> None:

@@ -5,6 +5,9 @@ put into its cell on every grid that an interval uses (their number is the sprea
 the join's key, and the ends are compared exactly.  Cells that hold a large part of the points are dealt to several tasks,
 their intervals repeated for each; the dealt points are written first, so that a lost executor changes nothing.
 
+range_counts(): where only the number of an interval's points is asked for, no pair is made.  It is the number of points up to the
+interval's stop less that of points before its start; both are sums over one list of points and ends, range-partitioned by value.
+
 as_of_join(): both sides become one list, range-partitioned by key and time.  In a partition the latest right row is carried
 along; what stood before a partition's first rows comes from a table of the last row of each key and partition.  A key with a
 third of all rows is spread over as many partitions as it fills.
@@ -53,6 +56,24 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
     return both.where("__a <= __x and __x <= __z").select(*own, *intervals.columns)
 
 
+def range_counts(points: DataFrame, intervals: DataFrame, point: str, start: str, stop: str, found: str = "n") -> DataFrame:
+    """intervals' columns and ``found``: how many points have start <= point <= stop, as many as range_join() has rows of the interval."""
+    n = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), points.rdd.getNumPartitions())
+    p = points.select(F.col(point).cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x")).groupBy("__x").agg(F.count(F.lit(1)).alias("__w"))
+    i = intervals.withColumn("__a", F.col(start).cast("double")).withColumn("__z", F.col(stop).cast("double")).withColumn("__any", F.expr("coalesce(__a <= __z and not isnan(__z), false)"))
+    # at one value: starts, points, stops
+    end = lambda c, side: i.where("__any").select(F.col(c).alias("__x")).distinct().select("__x", F.lit(0).cast("bigint").alias("__w"), F.lit(side).alias("__side"))
+    every = p.withColumn("__side", F.lit(1)).unionByName(end("__a", 0)).unionByName(end("__z", 2))
+    every = cut(every.repartitionByRange(n, "__x", "__side").withColumn("__p", F.spark_partition_id()))
+    here = F.sum("__w").over(Window.partitionBy("__p").orderBy("__x", "__side").rowsBetween(Window.unboundedPreceding, 0))
+    # one row for each partition
+    before = every.groupBy("__p").agg(F.sum("__w").alias("__w")).select("__p", F.coalesce(F.sum("__w").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    up_to = every.withColumn("__here", here).where("__side <> 1").join(F.broadcast(before), "__p")
+    ends = [up_to.where(f"__side = {side}").select(F.col("__x").alias(c), (F.col("__before") + F.col("__here")).alias(f"{c}n")) for side, c in ((0, "__a"), (2, "__z"))]
+    both = i.join(ends[0], "__a", "left").join(ends[1], "__z", "left")
+    return both.select(*intervals.columns, F.when(F.col("__any"), F.col("__zn") - F.col("__an")).otherwise(F.lit(0)).alias(found))
+
+
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, found: str = "found", strict: bool = False) -> DataFrame:
     """left's columns and ``found``: the value of the right row of the same keys with the latest time up to left's (with ``strict``: before it), null if there is none.
 
