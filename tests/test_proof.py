@@ -109,3 +109,11 @@ def test_erased_key_of_exists_meets_no_row(spark, sf_dir, monkeypatch):
     got = proof.influences(spark, [("q", sql)], tables)
     assert got == [("q", "customer.c_custkey", "big"), ("q", "customer.c_name", "c_name"), ("q", "orders.o_custkey", "big"), ("q", "orders.o_totalprice", "big")]
     assert len(plans) == 5 and not any("NestedLoop" in p or "Cartesian" in p for p in plans)
+
+
+def test_erased_key_of_full_join_meets_no_row(spark, sf_dir, monkeypatch):
+    plans = _plans(monkeypatch)
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "supplier")}
+    got = proof.influences(spark, [("q", "SELECT c.c_custkey, s.s_suppkey FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey + 3")], tables)
+    assert got == [("q", "customer.c_custkey", "(rows)"), ("q", "supplier.s_suppkey", "(rows)")]
+    assert len(plans) == 3 and not any("NestedLoop" in p or "Cartesian" in p for p in plans)
