@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -76,15 +77,18 @@ def differ(a, b, i: int) -> bool:
     return a[f"c{i}"] != b[f"c{i}"] or a[f"h{i}"] != b[f"h{i}"] or far(a[f"s{i}"], b[f"s{i}"]) or far(a[f"q{i}"], b[f"q{i}"])
 
 
-def influences(spark: SparkSession, statements: list[tuple[str, str]], tables: dict[str, DataFrame]) -> list[tuple[str, str, str]]:
-    """(query_id, table.column, output or ROWS) for each column whose erasure changes it."""
+def influences(spark: SparkSession, statements: list[tuple[str, str]], tables: dict[str, DataFrame], whole: dict[tuple[str, str], Callable] | None = None) -> list[tuple[str, str, str]]:
+    """(query_id, table.column, output or ROWS) for each column whose erasure changes it.
+
+    ``whole``: (query_id, table.column) -> what makes the statement's rows of the tables with this column erased in another way; for windows that are left with all rows, which Spark brings into one task."""
+    whole = whole or {}
     own = isolated(spark, tables)
     names = {t: df.columns for t, df in tables.items()}
     views = lambda t, df: df.createOrReplaceTempView(t)
     plain = {t: own.table(t) for t in tables}
     runs = []
     with ThreadPoolExecutor(THREADS) as pool:  # each run gives the driver one row
-        start = lambda q, c, df: runs.append((q, c, df.columns, pool.submit(lambda: digest(df).first())))
+        start = lambda q, c, df, make=lambda df: df: runs.append((q, c, df.columns, pool.submit(lambda: digest(make(df)).first())))
         for q, sql in statements:
             start(q, None, own.sql(sql))
             usual, joins = loops(own, sql)
@@ -92,7 +96,10 @@ def influences(spark: SparkSession, statements: list[tuple[str, str]], tables: d
                 views(t, erased(plain[t], c))
                 if joins and loops(own, sql)[0] > usual:
                     views(t, erased(plain[t], c, hidden=True))
-                start(q, f"{t}.{c}", own.sql(sql))
+                if (q, f"{t}.{c}") in whole:
+                    start(q, f"{t}.{c}", own.sql(sql), lambda df, made=whole[q, f"{t}.{c}"], now={x: own.table(x) for x in tables}: made(now).toDF(*df.columns))
+                else:
+                    start(q, f"{t}.{c}", own.sql(sql))
                 views(t, plain[t])
         found = [(q, c, outputs, row.result()) for q, c, outputs, row in runs]
     base = {q: row for q, c, _, row in found if c is None}
@@ -109,12 +116,12 @@ def influences(spark: SparkSession, statements: list[tuple[str, str]], tables: d
     return sorted(set(out))
 
 
-def prove(spark: SparkSession, statements: list[tuple[str, str]], tables: dict[str, DataFrame], explained: list[tuple[str, str]] | None = None) -> DataFrame:
+def prove(spark: SparkSession, statements: list[tuple[str, str]], tables: dict[str, DataFrame], explained: list[tuple[str, str]] | None = None, whole: dict[tuple[str, str], Callable] | None = None) -> DataFrame:
     """query_id, source (table.column), target (an output or ROWS), verdict: 'explained', 'unexplained' (lineage lacks it) or 'not seen' (lineage says it, no run shows it).
 
-    ``explained`` are the statements as the analysis gets them, where they differ from those that run."""
+    ``explained`` are the statements as the analysis gets them, where they differ from those that run; ``whole`` as of influences()."""
     a = Analysis(spark, explained or statements, catalog.columns_of(spark, tables))
-    seen = small_table(a.spark, influences(spark, statements, tables), "query_id string, source string, target string")
+    seen = small_table(a.spark, influences(spark, statements, tables, whole), "query_id string, source string, target string")
     short = F.regexp_replace("column_id", "^column:default[.]", "")
     out = a._outputs.select("query_id", "output_id", F.col("output_name").alias("target"))
     # through expressions, to the outputs

@@ -6,7 +6,8 @@ the join's key, and the ends are compared exactly.  Cells that hold a large part
 their intervals repeated for each; the dealt points are written first, so that a lost executor changes nothing.
 
 range_counts(): where only the number of an interval's points is asked for, no pair is made.  It is the number of points up to the
-interval's stop less that of points before its start; both are sums over one list of points and ends, range-partitioned by value.
+interval's stop less that of points before its start; both are sums over one list of points and ends, range-partitioned by value.  ranks() numbers rows by such sums over
+the different values.
 
 as_of_join(): both sides become one list, range-partitioned by key and time.  In a partition the latest right row is carried
 along; what stood before a partition's first rows comes from a table of the last row of each key and partition.  A key with a
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..shared import cut
 
@@ -56,24 +58,49 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, start: str,
     return both.where("__a <= __x and __x <= __z").select(*own, *intervals.columns)
 
 
+def _tasks(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), df.rdd.getNumPartitions())
+
+
+def _up_to(rows: DataFrame, order: list[str], sums: list[str], n: int) -> DataFrame:
+    """rows, whose ``order`` is different in each, with the columns of ``sums`` replaced by their sums over all rows up to each."""
+    rows = cut(rows.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()))
+    here = Window.partitionBy("__p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each partition
+    before = rows.groupBy("__p").agg(*[F.sum(c).alias(c) for c in sums]).select("__p", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums])
+    out = rows.select("*", *[F.sum(c).over(here).alias(f"{c}_here") for c in sums]).join(F.broadcast(before), "__p")
+    return out.select(*[(F.col(f"{c}_here") + F.col(f"{c}_before")).alias(c) if c in sums else F.col(c) for c in rows.columns if c != "__p"])
+
+
 def range_counts(points: DataFrame, intervals: DataFrame, point: str, start: str, stop: str, found: str = "n") -> DataFrame:
-    """intervals' columns and ``found``: how many points have start <= point <= stop, as many as range_join() has rows of the interval."""
-    n = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), points.rdd.getNumPartitions())
-    p = points.select(F.col(point).cast("double").alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x")).groupBy("__x").agg(F.count(F.lit(1)).alias("__w"))
-    i = intervals.withColumn("__a", F.col(start).cast("double")).withColumn("__z", F.col(stop).cast("double")).withColumn("__any", F.expr("coalesce(__a <= __z and not isnan(__z), false)"))
+    """intervals' columns and ``found``: how many points have start <= point <= stop, as many as range_join() has rows of the interval.
+
+    Whole numbers are compared as such, others as doubles."""
+    types = [points.schema[point].dataType, intervals.schema[start].dataType, intervals.schema[stop].dataType]
+    kind = "bigint" if all(isinstance(t, IntegralType) for t in types) else "double"
+    p = points.select(F.col(point).cast(kind).alias("__x")).where(F.col("__x").isNotNull() & ~F.isnan("__x")).groupBy("__x").agg(F.count(F.lit(1)).alias("__w"))
+    i = intervals.withColumn("__a", F.col(start).cast(kind)).withColumn("__z", F.col(stop).cast(kind)).withColumn("__any", F.expr("coalesce(__a <= __z and not isnan(__z), false)"))
     # at one value: starts, points, stops
     end = lambda c, side: i.where("__any").select(F.col(c).alias("__x")).distinct().select("__x", F.lit(0).cast("bigint").alias("__w"), F.lit(side).alias("__side"))
     every = p.withColumn("__side", F.lit(1)).unionByName(end("__a", 0)).unionByName(end("__z", 2))
-    every = cut(every.repartitionByRange(n, "__x", "__side").withColumn("__p", F.spark_partition_id()))
-    here = F.sum("__w").over(Window.partitionBy("__p").orderBy("__x", "__side").rowsBetween(Window.unboundedPreceding, 0))
-    # one row for each partition
-    before = every.groupBy("__p").agg(F.sum("__w").alias("__w")).select("__p", F.coalesce(F.sum("__w").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    up_to = every.withColumn("__here", here).where("__side <> 1").join(F.broadcast(before), "__p")
-    ends = [up_to.where(f"__side = {side}").select(F.col("__x").alias(c), (F.col("__before") + F.col("__here")).alias(f"{c}n")) for side, c in ((0, "__a"), (2, "__z"))]
+    up_to = _up_to(every, ["__x", "__side"], ["__w"], _tasks(points))
+    ends = [up_to.where(f"__side = {side}").select(F.col("__x").alias(c), F.col("__w").alias(f"{c}n")) for side, c in ((0, "__a"), (2, "__z"))]
     both = i.join(ends[0], "__a", "left").join(ends[1], "__z", "left")
     return both.select(*intervals.columns, F.when(F.col("__any"), F.col("__zn") - F.col("__an")).otherwise(F.lit(0)).alias(found))
 
 
+def ranks(df: DataFrame, by: str) -> DataFrame:
+    """df's columns, rank, dense_rank, percent_rank and cume_dist of ``by`` over all rows, as windows without a partition have them, but not in one task."""
+    values = df.groupBy(F.col(by).alias("__v")).agg(F.count(F.lit(1)).alias("__w")).select("__v", "__w", F.col("__w").alias("__up"), F.lit(1).cast("bigint").alias("__k"))
+    n = df.count()
+    known = _up_to(values, ["__v"], ["__up", "__k"], _tasks(df))
+    rank = F.col("__up") - F.col("__w") + 1
+    percent = (rank - 1).cast("double") / F.lit(float(max(n - 1, 1)))
+    places = [rank.alias("rank"), F.col("__k").alias("dense_rank"), percent.alias("percent_rank"), (F.col("__up").cast("double") / F.lit(float(max(n, 1)))).alias("cume_dist")]
+    return df.join(known, F.col(by).eqNullSafe(F.col("__v"))).select(*df.columns, *places)
+
+
 def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, value: str, found: str = "found", strict: bool = False) -> DataFrame:
     """left's columns and ``found``: the value of the right row of the same keys with the latest time up to left's (with ``strict``: before it), null if there is none.
 

@@ -6,9 +6,10 @@ Each explains a batch of statements at once; its rows are what changed when a co
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions import surface
-from .operators import proof
+from .operators import proof, ranged
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -85,6 +86,43 @@ MORE: dict[str, dict[str, tuple[str, str | None, str]]] = {
 }
 
 
+def near_of_all(tables: dict[str, DataFrame]) -> DataFrame:
+    """win_range_frame without customers: the counts of its first window's frames are those of ranges of keys; rows without a key are each other's frame."""
+    o = tables["orders"].select("o_orderkey", "o_orderstatus", (F.col("o_orderkey") - 2000).alias("first"))
+    lost = F.lit(o.where("o_orderkey is null").count()).cast("bigint")
+    found = ranged.range_counts(o, o, "o_orderkey", "first", "o_orderkey", "near").withColumn("near", F.when(F.col("o_orderkey").isNull(), lost).otherwise(F.col("near")))
+    return found.selectExpr("o_orderkey", "near", "MIN(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey RANGE BETWEEN 100 PRECEDING AND 10 PRECEDING) AS lo")
+
+
+def first_of_all(tables: dict[str, DataFrame]) -> DataFrame:
+    """win_range_frame without states: the smallest key of its second window's frame is the next one from the frame's start on, if it is not behind the frame."""
+    o = tables["orders"].select("o_orderkey", "o_custkey", (100 - F.col("o_orderkey")).alias("at"))
+    keys = tables["orders"].select((-F.col("o_orderkey")).alias("at"), F.col("o_orderkey").alias("key"))
+    found = ranged.as_of_join(o, keys, [], "at", "key", "lo")
+    return found.selectExpr("o_orderkey", "COUNT(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW) AS near", "IF(lo <= o_orderkey - 10, lo, NULL) AS lo")
+
+
+def total_of_all(tables: dict[str, DataFrame]) -> DataFrame:
+    price = F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total")
+    return tables["orders"].select("o_orderkey").crossJoin(F.broadcast(tables["orders"].agg(price)))
+
+
+def ranked(by: str, how: str):
+    return lambda tables: ranged.ranks(tables["orders"].select("o_orderkey", by), by).select("o_orderkey", how)
+
+
+#: Runs whose windows are left with all rows by the column that is erased: the same rows, made by many tasks.
+WHOLE = {
+    ("win_rank", "orders.o_custkey"): ranked("o_orderstatus", "rank"),
+    ("win_dense_rank", "orders.o_custkey"): ranked("o_orderpriority", "dense_rank"),
+    ("win_percent_rank", "orders.o_custkey"): ranked("o_totalprice", "percent_rank"),
+    ("win_cume_dist", "orders.o_custkey"): ranked("o_totalprice", "cume_dist"),
+    ("win_sum_partition", "orders.o_custkey"): total_of_all,
+    ("win_range_frame", "orders.o_custkey"): near_of_all,
+    ("win_range_frame", "orders.o_orderstatus"): first_of_all,
+}
+
+
 def batch(name: str) -> tuple[list[tuple[str, str]], list[tuple[str, str, list[str]]]]:
     """The statements of a group for Spark, and for the oracle with their outputs."""
     spark, other = [], []
@@ -105,7 +143,7 @@ def register(name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         words = " ".join(sql for _, sql in statements)
         tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if t in words}
-        return proof.prove(spark, statements, tables)
+        return proof.prove(spark, statements, tables, whole=WHOLE)
 
     QUERIES[name] = run
     ORACLES[name] = proof.oracle(other, TABLES)

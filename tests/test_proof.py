@@ -2,6 +2,7 @@
 
 import pytest
 
+from loomtrace import proven
 from loomtrace.operators import proof
 from loomtrace.operators.analysis import Analysis
 from loomtrace.queries import driver_catalog
@@ -117,3 +118,24 @@ def test_erased_key_of_full_join_meets_no_row(spark, sf_dir, monkeypatch):
     got = proof.influences(spark, [("q", "SELECT c.c_custkey, s.s_suppkey FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey + 3")], tables)
     assert got == [("q", "customer.c_custkey", "(rows)"), ("q", "supplier.s_suppkey", "(rows)")]
     assert len(plans) == 3 and not any("NestedLoop" in p or "Cartesian" in p for p in plans)
+
+
+@pytest.mark.parametrize("run", sorted(proven.WHOLE))
+def test_windows_over_all_rows_by_many_tasks(spark, sf_dir, run):
+    query, column = run
+    # repeated keys, gaps between them and rows without a key, state or price
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 1200 and o_orderkey % 200 < 120")
+    odd = orders.where("o_orderkey % 9 = 0").selectExpr("IF(o_orderkey % 2 = 0, o_orderkey, NULL) AS o_orderkey", "o_custkey", "IF(o_custkey % 4 = 0, NULL, o_orderstatus) AS o_orderstatus", "IF(o_custkey % 3 = 0, NULL, o_totalprice) AS o_totalprice", "o_orderdate", "o_orderpriority")
+    every = proof.erased(orders.unionByName(odd), column.partition(".")[2]).cache()
+    every.createOrReplaceTempView("orders")
+    try:
+        want = spark.sql(dict(proven.batch("prove_windows")[0])[query])
+        got = proven.WHOLE[run]({"orders": spark.table("orders")}).toDF(*want.columns)
+        assert [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+        plain, tables = proof.influences(spark, [(query, dict(proven.batch("prove_windows")[0])[query])], {"orders": spark.read.parquet(f"{sf_dir}/orders.parquet")}), []
+        note = {run: lambda t: (tables.append(t), proven.WHOLE[run](t))[1]}
+        assert proof.influences(spark, [(query, dict(proven.batch("prove_windows")[0])[query])], {"orders": spark.read.parquet(f"{sf_dir}/orders.parquet")}, note) == plain and len(tables) == 1
+    finally:
+        spark.catalog.dropTempView("orders")
+        every.unpersist()
